@@ -36,3 +36,103 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.token_files import token_files
 
     return token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=2)
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+
+
+ORACLES["op3_line_dedup"] = """
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM texts),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM lines),
+often AS (SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (SELECT keyed.*, coalesce(often.top <> keyed.doc_id, false) AS lost FROM keyed LEFT JOIN often USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op8_url_filter"] = """
+WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path
+  FROM rests),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+hosts AS (
+  SELECT host, regexp_extract(host, '[^.]*$', 0) AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain,
+         count(*) AS trials, sum(bad) AS bad
+  FROM split JOIN marks ON page_id = doc_id GROUP BY host),
+domains AS (SELECT suffix, domain, sum(trials) AS trials, sum(bad) AS bad FROM hosts GROUP BY suffix, domain),
+suffixes AS (SELECT suffix, sum(trials) AS trials, sum(bad) AS bad FROM domains GROUP BY suffix),
+moments AS (
+  SELECT 'h' AS level, sum(trials) AS n, sum(bad) AS b, count(*) AS g, sum(bad * bad / trials) AS sq FROM hosts
+  UNION ALL SELECT 'd', sum(trials), sum(bad), count(*), sum(bad * bad / trials) FROM domains
+  UNION ALL SELECT 's', sum(trials), sum(bad), count(*), sum(bad * bad / trials) FROM suffixes),
+strengths AS (
+  SELECT level, coalesce(b / n, 0) AS rate,
+         least(greatest(coalesce((b / n) * (1 - b / n) / greatest((sq - n * (b / n) * (b / n) - (g - 1) * (b / n) * (1 - b / n)) / nullif(n - n / g, 0), 1e-9) - 1, 1000), 1), 1000) AS strength
+  FROM moments),
+s AS (SELECT suffix, (bad + strength * rate) / (trials + strength) AS m FROM suffixes, strengths WHERE level = 's'),
+d AS (SELECT domain, (bad + strength * s.m) / (trials + strength) AS m FROM domains JOIN s USING (suffix), strengths WHERE level = 'd'),
+h AS (SELECT host, (bad + strength * d.m) / (trials + strength) AS m, trials + strength AS total FROM hosts JOIN d USING (domain), strengths WHERE level = 'h'),
+blocked AS (SELECT host FROM h WHERE m - 1.645 * sqrt(m * (1 - m) / (total + 1)) > 0.5),
+rules(says, of, start) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+fits AS (
+  SELECT page_id, arg_max(of || start, length(of || start)) AS rule, arg_max(says, length(of || start)) AS says
+  FROM split JOIN rules ON (host = of OR ends_with(host, '.' || of)) AND starts_with(path, start) GROUP BY page_id)
+SELECT split.page_id, split.host, path, rule, coalesce(says, CASE WHEN blocked.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM split LEFT JOIN fits USING (page_id) LEFT JOIN blocked ON blocked.host = split.host
+"""
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_mixing"] = """
+WITH plain AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, md5('mix-1|' || doc_id) AS u
+  FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM plain GROUP BY source),
+weighed AS (
+  SELECT source, source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source IS NULL, source) - 1)::BIGINT % 3 + 1]::DOUBLE AS weight,
+         2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget
+  FROM sizes),
+levels AS (
+  SELECT *, (budget - (sum(cap) OVER b - cap)) / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW b AS (ORDER BY cap / weight, source IS NULL, source ROWS UNBOUNDED PRECEDING)),
+goals AS (
+  SELECT source, source_size, target, whole, target - whole * source_size AS rest FROM (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM (
+      SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels))),
+summed AS (
+  SELECT plain.*, source_size, target, whole, rest, sum(size) OVER (PARTITION BY plain.source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM plain JOIN goals ON plain.source IS NOT DISTINCT FROM goals.source),
+cut AS (SELECT *, CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS more FROM summed),
+gaps AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY source) AS gap FROM cut),
+closing AS (
+  SELECT doc_id, u FROM gaps WHERE more = 0 AND size > 0 AND abs(size - gap) < gap
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), u, doc_id) = 1)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       (size * (whole + more + CASE WHEN doc_id IN (SELECT doc_id FROM closing) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM gaps
+"""
