@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwright.llm.common import table
+from loomwright.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +137,23 @@ SELECT doc_id, size::BIGINT AS size, source_size, target,
        (size * (whole + more + CASE WHEN doc_id IN (SELECT doc_id FROM closing) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM gaps
 """
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.ppm import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(docs["doc_id"], 3) == 1
+    judged = identify(docs, ~held_out, keep=["doc_id"])
+    return judged.select("row.doc_id", (fold(F.col("row.doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.quality import score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = score_documents(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
