@@ -180,3 +180,10 @@ counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN roots USING (vec_id) LEFT JOIN counts USING (vec_id)
 """
+
+
+@query
+def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.shingle_join import near_documents
+
+    return near_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
