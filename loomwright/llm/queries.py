@@ -187,3 +187,10 @@ def op5_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.shingle_join import near_documents
 
     return near_documents(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+@query
+def op9_sampling_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.sampling_prints import edited_prints
+
+    return edited_prints(table(spark, sf_dir, "documents"))
