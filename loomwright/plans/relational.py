@@ -195,7 +195,7 @@ statement("stale_jobs", "SELECT event_id, CASE WHEN ts_s < (SELECT max(ts_s) FRO
 statement("workspace_by_tail", """
     SELECT tail, count(*) AS matches, CASE WHEN count(*) = 1 THEN min(root) END AS root FROM (SELECT root, regexp_extract(root, '([^/]*)$', 1) AS tail FROM roots) x GROUP BY tail""")
 statement("file_metadata", """
-    SELECT id, lang, SIZE(SPLIT(content, '\\n')) AS lines, length(content) AS chars, contains(content, 'Licensed') AS licensed FROM chunks""")
+    SELECT id, lang, SIZE(SPLIT(content, chr(10))) AS lines, length(content) AS chars, contains(content, 'Licensed') AS licensed FROM chunks""")
 statement("every_nth", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY session_id ORDER BY ts_s, event_id) AS place FROM search_events) x WHERE place % 10 = 0")
 statement("sever_edges", "SELECT from_id, to_id, edge_type FROM memory_edges e WHERE NOT EXISTS (SELECT 1 FROM memories m WHERE m.deleted AND (concat('p', CAST(m.id AS STRING)) = e.to_id))")
 statement("price_statistics", """

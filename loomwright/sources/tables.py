@@ -24,7 +24,7 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "imports": """
         SELECT from_id, to_id FROM (
-          SELECT l_partkey AS from_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS to_id FROM lineitem) x
+          SELECT l_partkey AS from_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS to_id FROM lineitem) x
         WHERE to_id IS NOT NULL""",
     "definitions": "SELECT p_partkey AS id, p_name AS name, concat(p_brand, '/', p_type, '/', CAST(p_partkey AS STRING)) AS path, p_brand AS package, p_type AS kind, p_size % 2 = 0 AS exported, p_size AS line_start FROM part",
     "refs": "SELECT o.o_custkey AS from_id, l.l_partkey AS target_id, l.l_returnflag AS kind, l.l_linenumber AS line, l.l_orderkey AS file FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey",
@@ -61,7 +61,7 @@ def to_duckdb(sql: str) -> str:
 def to_spark(sql: str) -> str:
     for a, b in _SPARK:
         sql = re.sub(a, b, sql)
-    return sql
+    return re.sub(r"(?<![\w'.])(\d+\.\d+)(?![\w'.])", r"\1D", sql)  # DuckDB divides decimals as doubles
 
 
 def needed(sql: str) -> list[str]:
