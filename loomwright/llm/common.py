@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -69,4 +70,15 @@ def saved(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes tables made by `saved` whose every use has been written, and lets Spark drop the shuffle files of finished steps."""
+    spark = frames[0].sparkSession
+    for df in frames:
+        drop_scratch(spark, df._scratch)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import saved
+from loomwright.llm.common import discard, saved
 from loomwright.llm.components import components
 
 WIDTH, PERCENT = 3, 90
@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
 
 
 def _levels(rows: DataFrame, bits: int) -> np.ndarray:
-    """The sketch, summed: 0 for hashes of common or lower counts, more by each doubling above twice the mean."""
+    """The sketch, summed: 0 for hashes whose count may be chance (the mean and four deviations), one more by each doubling of what is above the mean."""
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_BLOCK, dtype=np.uint64)
@@ -128,7 +128,8 @@ def _levels(rows: DataFrame, bits: int) -> np.ndarray:
     sums = rows.where(F.col("block").isNotNull()).select("block", "counts").groupBy("block").applyInArrow(add, "block int, total binary")
     for r in sums.toLocalIterator():
         total[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(bytes(r["total"]), dtype="<u8")
-    excess = total / max(2.0 * total.mean(), 1.0)
+    mean = total.mean()
+    excess = (total - mean) / max(4 * np.sqrt(mean), 1.0)
     return np.where(excess < 1, 0, np.floor(np.log2(np.maximum(excess, 1))) + 1).astype(np.uint8)
 
 
@@ -193,6 +194,8 @@ class _Join:
         both = pairs.join(side("x"), "x").join(side("y"), "y")
         both = both.where(_may_link("x_", "y_", percent, 8) & F.arrays_overlap("x_.p2", "y_.p2") & F.arrays_overlap("x_.p3", "y_.p3"))
         left = saved(both.select("x", "y", F.col("x_.doc").alias("dx"), F.col("y_.doc").alias("dy")), "pairs-left")
+        del both
+        discard(pairs, facts)
 
         # the documents of these pairs, picked by a bitmap of fixed size over a hash of their keys
         place = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS))
@@ -223,11 +226,14 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(held, pa.list_(pa.int64()))], ["sid", "s"])
 
         need = left.select(F.col("x").alias("sid")).unionByName(left.select(F.col("y").alias("sid"))).distinct()
-        whole = self.docs.select("t", F.pmod(F.xxhash64("doc"), F.lit(PICK_BITS)).alias("p")).mapInArrow(sets, "sid binary, s array<long>")
-        whole = saved(whole.join(need, "sid", "left_semi").dropDuplicates(["sid"]), "pair-sets")
+        whole_ = self.docs.select("t", F.pmod(F.xxhash64("doc"), F.lit(PICK_BITS)).alias("p")).mapInArrow(sets, "sid binary, s array<long>")
+        whole = saved(whole_.join(need, "sid", "left_semi").dropDuplicates(["sid"]), "pair-sets")
         met = left.join(whole.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x").join(whole.select(F.col("sid").alias("y"), F.col("s").alias("sy")), "y")
         shared = F.size(F.array_intersect("sx", "sy"))
-        return saved(met.where(100 * shared >= percent * (F.size("sx") + F.size("sy") - shared)).select("x", "y"), "pair-links")
+        links = saved(met.where(100 * shared >= percent * (F.size("sx") + F.size("sy") - shared)).select("x", "y"), "pair-links")
+        del met, whole_, need
+        discard(left, whole)
+        return links
 
 
 def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -242,30 +248,42 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     # postings of the first order, of tokens that several documents have
     posts = prefixes.select(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), F.explode("p1").alias("token"))
-    tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("lead")).where(F.col("docs") > 1)
-    facts = prefixes.select(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), "sid", "n", F.slice("bits", 1, 2).alias("bits"))
+    tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > 1)
+    fact = F.struct("sid", "n", F.slice("bits", 1, 4).alias("bits")).alias("f")
+    facts = prefixes.select(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), fact)
     posts = saved(posts.join(tokens, "token").join(facts, "doc"), "postings")
-    fact = F.struct("sid", "n", "bits")
-    few = posts.where(F.col("docs") <= FEW)
-    pairs = few.select("token", fact.alias("x")).join(few.select("token", fact.alias("y")), "token").where((F.col("x.sid") < F.col("y.sid")) & _may_link("x", "y", percent, 2))
-    many = posts.where(F.col("docs") > FEW)
-    leads = many.where(F.col("doc") == F.col("lead")).select("token", fact.alias("x"))
-    star = leads.join(many.select("token", fact.alias("y")), "token").where((F.col("x.sid") != F.col("y.sid")) & _may_link("x", "y", percent, 2))
+    few = posts.where(F.col("docs") <= FEW).select("token", F.lit(0).alias("band"), "f")
+
+    # tokens of many documents are cut by size: linked sets lie in one band or in neighbouring ones, and go to their own and the next
+    band = F.floor(F.ln(F.col("f.n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
+    cut = posts.where(F.col("docs") > FEW).select("token", F.explode(F.array(band, band + 1)).alias("band"), "doc", "f")
+    sizes = cut.groupBy("token", "band").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("lead")).where(F.col("docs") > 1)
+    cut = saved(cut.join(sizes, ["token", "band"]), "postings-cut")
+    few = few.unionByName(cut.where(F.col("docs") <= FEW).select("token", "band", "f"))
+    on = ["token", "band"]
+    pairs = few.select(*on, F.col("f").alias("x")).join(few.select(*on, F.col("f").alias("y")), on).where((F.col("x.sid") < F.col("y.sid")) & _may_link("x", "y", percent, 4))
+    many = cut.where(F.col("docs") > FEW)
+    leads = many.where(F.col("doc") == F.col("lead")).select(*on, F.col("f").alias("x"))
+    star = leads.join(many.select(*on, F.col("f").alias("y")), on).where((F.col("x.sid") != F.col("y.sid")) & _may_link("x", "y", percent, 4))
     sids = lambda df: df.select(F.least("x.sid", "y.sid").alias("x"), F.greatest("x.sid", "y.sid").alias("y"))
     links = join.links(sids(pairs).unionByName(sids(star)))
     roots = saved(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
-    # tokens of many documents that still join different components
-    placed = many.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    placed = saved(placed.select("token", "root", fact.alias("f")), "placed")
+    # cuts of many documents that still hold different components
+    placed = many.withColumn("sid", F.col("f.sid")).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    placed = saved(placed.select(*on, "root", "f"), "placed")
+    del few, pairs, star, leads, many
+    discard(posts, cut)
     mark = F.xxhash64("root")
-    mixed = placed.groupBy("token").agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where(F.col("a") != F.col("b")).select("token")
-    rest = placed.join(mixed, "token", "left_semi")
-    cross = rest.select("token", F.col("f").alias("x"), F.col("root").alias("rx")).join(rest.select("token", F.col("f").alias("y"), F.col("root").alias("ry")), "token")
-    cross = cross.where((F.col("rx") < F.col("ry")) & _may_link("x", "y", percent, 2))
+    mixed = placed.groupBy(*on).agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where(F.col("a") != F.col("b")).select(*on)
+    rest = placed.join(mixed, on, "left_semi")
+    cross = rest.select(*on, F.col("f").alias("x"), F.col("root").alias("rx")).join(rest.select(*on, F.col("f").alias("y"), F.col("root").alias("ry")), on)
+    cross = cross.where((F.col("rx") < F.col("ry")) & _may_link("x", "y", percent, 4))
     more = join.links(sids(cross))
     if not more.isEmpty():
         roots = saved(components(links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    del cross, rest, mixed
+    discard(placed, prefixes)
 
     classes = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc").alias("low"))
     named = saved(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
