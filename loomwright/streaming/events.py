@@ -49,8 +49,8 @@ def dedup_anchored(events: DataFrame, quiet: int = QUIET_S) -> DataFrame:
     return events.select("event_id", "key", "ts_s").groupBy("key").applyInPandas(one, "event_id long, key string, ts_s long")
 
 
-def dedup_stream(events: DataFrame, quiet: int = QUIET_S) -> DataFrame:
-    """The same on a stream: the time of a key's last stored event is its state, which ends after an hour without one."""
+def dedup_stream(events: DataFrame, quiet: int = QUIET_S, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream: the time of a key's last stored event is its state, which ends when the watermark has passed its quiet time."""
 
     def one(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -59,10 +59,11 @@ def dedup_stream(events: DataFrame, quiet: int = QUIET_S) -> DataFrame:
         pdf = pd.concat(list(batches)).sort_values(["ts_s", "event_id"])
         kept, last = _stored(pdf["ts_s"].tolist(), state.get[0] if state.exists else None, quiet)
         state.update((last,))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max((last + quiet) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pdf.loc[kept, ["event_id", "key", "ts_s"]]
 
-    return events.select("event_id", "key", "ts_s").groupBy("key").applyInPandasWithState(one, "event_id long, key string, ts_s long", "last long", "append", "ProcessingTimeTimeout")
+    timed = events.select("event_id", "key", "ts_s", F.timestamp_seconds("ts_s").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("key").applyInPandasWithState(one, "event_id long, key string, ts_s long", "last long", "append", "EventTimeTimeout")
 
 
 def due_batches(events: DataFrame, most: int = BATCH_EVENTS, seconds: int = BATCH_S) -> DataFrame:
