@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import BLANKS
 
-SAMPLES, STEPS = 64, 4096
+SAMPLES, STEPS = 40, 4096
 #: Documents aimed at in a range of keys, and the most ranges.
 RANGE_ROWS, RANGES = 1000, 2000
 #: Of a sample's identity in a fingerprint.
@@ -31,9 +31,9 @@ GROUP = 8
 def _sample(term: Column, log_weight: Column, k: Column) -> Column:
     """A term's draw: its value in the high bits, what identifies it in the low ones; the least of all terms is the sample."""
     h = F.xxhash64(term, k)
-    uniform = lambda at: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(STEPS - 1)) + F.lit(0.5)) / F.lit(float(STEPS))
+    uniform = lambda at: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(STEPS - 1)) + F.lit(0.5)) * F.lit(1.0 / STEPS)
     c, r = -F.ln(uniform(0) * uniform(12)), -F.ln(uniform(24) * uniform(36))
-    beta = F.shiftrightunsigned(h, 48) / F.lit(65536.0)
+    beta = F.shiftrightunsigned(h, 48) * F.lit(1.0 / 65536)
     t = F.floor(log_weight / r + beta)
     value = F.floor((F.ln(c) - r * (t - beta + 1)) * F.lit(float(1 << 32)))
     return F.shiftleft(value, ID_BITS).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long")))
