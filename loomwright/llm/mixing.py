@@ -3,8 +3,9 @@
 Sources in code point order, null last, take the given weights in turn and share a budget of words. No target exceeds
 EPOCHS times its source's size; what is above goes to the others by weight until none is above, which is one water
 level: target = min(cap, weight * level). Documents are then taken in a seeded order: all of them as often as the
-target holds the source whole, and once more from the front of the order as far as the rest goes, and last the one document
-not yet taken so whose size is nearest to what is still missing, if that brings the sum nearer.
+target holds the source whole, and once more from the front of the order as far as the rest goes. What is missing then is less than
+one document: smaller ones fill it in FILLS rounds, in order, and last the one whose size is nearest to what is still missing, if
+that brings the sum nearer.
 
 A null text has size 0 and is taken as often as its place says, with 0 words. Null sources are one source. Repeated
 keys stay apart; rows that tie in the order are alike in key and size. A seed and a table give the same result on every
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from loomwright.llm.common import saved
 
 WEIGHTS, SHARE, EPOCHS, SEED = (3, 1, 2), 1.5, 2, "mix-1"
+#: Rounds of filling what is missing with smaller documents.
+FILLS = 2
 
 
 def words(text: Column) -> Column:
@@ -40,46 +43,67 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", F.least("cap", F.col("weight") * F.max("level").over(everything)).alias("target"))
 
 
+def _prefix(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows: source, u, doc, size; limits: of, limit. Adds more: 1 for the rows that come first in the order and together stay within their source's limit.
+
+    Sums per bucket of the order say in which bucket a limit is reached, 4096 rows a source at most; only that bucket's rows are
+    summed one by one.
+    """
+    bucket = F.substring("u", 1, 3)
+    same = F.col("source").eqNullSafe(F.col("of"))
+    sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
+    edge = sums.withColumn("before", before).join(limits, same).where((F.col("before") <= F.col("limit")) & (F.col("limit") < F.col("before") + F.col("words")))
+    known = limits.join(edge.select(F.col("of").alias("e"), F.col("bucket").alias("edge"), "before"), F.col("of").eqNullSafe(F.col("e")), "left").drop("e")
+    met = rows.join(known, same).withColumn("bucket", bucket)
+    at = met.where(F.col("bucket") == F.col("edge"))
+    w = Window.partitionBy("source", "bucket").orderBy("u", "size", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = at.withColumn("more", (F.col("before") + F.sum("size").over(w) <= F.col("limit")).cast("long"))
+    # without an edge all rows stay within the limit, if there is one
+    whole = F.when(F.col("edge").isNull(), F.col("limit") > 0).otherwise(F.col("bucket") < F.col("edge"))
+    rest = met.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("more", whole.cast("long"))
+    return at.unionByName(rest).drop("of", "limit", "edge", "before", "bucket")
+
+
+def _missing(limits: DataFrame, taken: DataFrame) -> DataFrame:
+    """limits less the sizes of the rows taken (source, size)."""
+    got = taken.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("got"))
+    return limits.join(got, F.col("of").eqNullSafe(F.col("s")), "left").select("of", (F.col("limit") - F.coalesce("got", F.lit(0))).alias("limit"))
+
+
 def mix_plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """Per row: doc, source, u (its place in the order), size, source_size, target, times."""
     u = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"))
     plain = saved(docs.select(F.col(key).alias("doc"), F.col(source).alias("source"), words(F.col(text)).alias("size"), u.alias("u")), "mix-sizes")
-    bucket = F.substring("u", 1, 3)
-    per_bucket = saved(plain.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")), "mix-buckets")
-    goal = targets(per_bucket.groupBy("source").agg(F.sum("words").alias("source_size")))
+    goal = targets(plain.groupBy("source").agg(F.sum("size").alias("source_size")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    goal = saved(goal.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
-
-    # the bucket in which each source's rest runs out; 4096 rows a source at most meet here
-    running = F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words")
-    placed = per_bucket.withColumn("before", running)
-    edge = placed.join(goal.select(F.col("source").alias("of"), "rest"), F.col("source").eqNullSafe(F.col("of"))).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words")))
-    edge = edge.select(F.col("source").alias("of"), F.col("bucket").alias("edge"), F.col("before").alias("edge_before"))
-    goal = goal.join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    g = goal.withColumnRenamed("source", "of")
-    rows = plain.join(g, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("bucket", bucket)
-
-    # within that bucket, a running sum over its rows alone
-    at_edge = rows.where(F.col("bucket") == F.col("edge"))
-    w = Window.partitionBy("source", "bucket").orderBy("u", "size", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at_edge = at_edge.withColumn("more", (F.col("edge_before") + F.sum("size").over(w) <= F.col("rest")).cast("long"))
-    # without an edge the rest is 0 (nothing more) or a whole source's size, which floor leaves to whole
-    others = rows.where(F.col("edge").isNull() | (F.col("bucket") != F.col("edge"))).withColumn("more", F.coalesce((F.col("bucket") < F.col("edge")).cast("long"), F.lit(0)))
-    cut = saved(at_edge.unionByName(others), "mix-cut")
-
-    # the one document that closes the gap best
-    gap = cut.groupBy("source").agg(F.max("rest").alias("rest"), F.sum(F.col("size") * F.col("more")).alias("have"))
-    gap = gap.select(F.col("source").alias("of"), (F.col("rest") - F.col("have")).alias("gap"))
-    free = cut.where((F.col("more") == 0) & (F.col("size") > 0) & F.col("edge").isNotNull()).join(gap, F.col("source").eqNullSafe(F.col("of")))
-    near = F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("u").alias("u"), F.col("doc").alias("doc"), F.col("size").alias("size"))
-    last = free.where(F.abs(F.col("size") - F.col("gap")) < F.col("gap")).groupBy("source").agg(F.min(near).alias("last"))
-    last = last.select(F.col("source").alias("of"), F.col("last.doc").alias("last_doc"), F.col("last.u").alias("last_u"), F.col("last.size").alias("last_size"))
-    # repeated rows tie with it: the first of them alone is taken, so rows of that one key are numbered
-    met = cut.join(last, F.col("source").eqNullSafe(F.col("of")) & F.col("doc").eqNullSafe(F.col("last_doc")) & (F.col("u") == F.col("last_u")), "left")
-    hit = met.where(F.col("last_u").isNotNull())
-    first = F.row_number().over(Window.partitionBy("source", "last_u").orderBy("more", F.col("size") != F.col("last_size")))
-    hit = hit.withColumn("more", F.when(first == 1, F.lit(1).cast("long")).otherwise(F.col("more")))
-    out = hit.unionByName(met.where(F.col("last_u").isNull()))
+    goal = saved(goal.withColumn("whole", whole).withColumnRenamed("source", "of"), "mix-targets")
+    gap = goal.select("of", (F.col("target") - F.col("whole") * F.col("source_size")).alias("limit"))
+    cut = saved(_prefix(plain, gap), "mix-cut")
+    gap = saved(_missing(gap, cut.where("more = 1")), "mix-gap")
+
+    # what is missing is less than one document: smaller ones fill it, in order, and at last the one that fits best; few rows
+    same = F.col("source").eqNullSafe(F.col("of"))
+    columns = ["source", "u", "doc", "size"]
+    free = cut.where((F.col("more") == 0) & (F.col("size") > 0)).select(*columns)
+    extra = None
+    for _ in range(FILLS):
+        fitting = free.join(gap.where("limit > 0"), same).where(F.col("size") <= F.col("limit")).select(*columns)
+        got = saved(_prefix(fitting, gap).where("more = 1").select(*columns), "mix-fill")
+        extra = got if extra is None else extra.unionByName(got)
+        gap = saved(_missing(gap, got), "mix-gap")
+        free = free.join(got.select(*[F.col(c).alias(f"_{c}") for c in columns]), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("u") == F.col("_u")) & F.col("source").eqNullSafe(F.col("_source")), "left_anti")
+    off = F.abs(F.col("size") - F.col("limit"))
+    best = free.join(gap.where("limit > 0"), same).where(off < F.col("limit")).groupBy("source").agg(F.min(F.struct(off.alias("off"), "u", "doc", "size")).alias("b"))
+    extra = extra.unionByName(best.select("source", "b.u", "b.doc", "b.size"))
+    extra = extra.groupBy(*[F.col(c).alias(f"_{c}") for c in columns]).agg(F.count(F.lit(1)).alias("n"))
+
+    # repeated rows are alike: of each kind, as many as were picked are taken, those not taken yet first
+    kind = F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("u") == F.col("_u")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size"))
+    met = cut.join(extra, kind, "left")
+    nth = F.row_number().over(Window.partitionBy(*[f"_{c}" for c in columns]).orderBy("more"))
+    hit = met.where(F.col("n").isNotNull()).withColumn("more", F.when(nth <= F.col("n"), F.lit(1).cast("long")).otherwise(F.col("more")))
+    out = hit.unionByName(met.where(F.col("n").isNull())).join(goal, same)
     return out.select("doc", "source", "u", "size", "source_size", "target", (F.col("whole") + F.col("more")).alias("times"))
 
 

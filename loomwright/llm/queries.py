@@ -130,11 +130,18 @@ summed AS (
   FROM plain JOIN goals ON plain.source IS NOT DISTINCT FROM goals.source),
 cut AS (SELECT *, CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS more FROM summed),
 gaps AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY source) AS gap FROM cut),
+fill1 AS (
+  SELECT doc_id, source, size FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS s FROM gaps WHERE more = 0 AND size > 0 AND size <= gap) x WHERE s <= gap),
+gaps1 AS (SELECT g.* EXCLUDE gap, gap - coalesce(f.got, 0) AS gap FROM gaps g LEFT JOIN (SELECT source, sum(size) AS got FROM fill1 GROUP BY source) f ON f.source IS NOT DISTINCT FROM g.source),
+fill2 AS (
+  SELECT doc_id, source, size FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS s FROM gaps1 WHERE more = 0 AND size > 0 AND size <= gap AND doc_id NOT IN (SELECT doc_id FROM fill1)) x WHERE s <= gap),
+gaps2 AS (SELECT g.* EXCLUDE gap, gap - coalesce(f.got, 0) AS gap FROM gaps1 g LEFT JOIN (SELECT source, sum(size) AS got FROM fill2 GROUP BY source) f ON f.source IS NOT DISTINCT FROM g.source),
 closing AS (
-  SELECT doc_id, u FROM gaps WHERE more = 0 AND size > 0 AND abs(size - gap) < gap
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), u, doc_id) = 1)
+  SELECT doc_id FROM gaps2 WHERE more = 0 AND size > 0 AND abs(size - gap) < gap AND doc_id NOT IN (SELECT doc_id FROM fill1) AND doc_id NOT IN (SELECT doc_id FROM fill2)
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), u, doc_id) = 1),
+extra AS (SELECT doc_id FROM fill1 UNION SELECT doc_id FROM fill2 UNION SELECT doc_id FROM closing)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (size * (whole + more + CASE WHEN doc_id IN (SELECT doc_id FROM closing) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + more + CASE WHEN doc_id IN (SELECT doc_id FROM extra) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM gaps
 """
 

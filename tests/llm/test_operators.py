@@ -362,8 +362,8 @@ def test_mixing(docs, none):
             assert r["target"] == pytest.approx(goal[source[r["doc_id"]]]) and r["source_size"] == sums[source[r["doc_id"]]]
     for r in got:
         taken[round(r["target"], 6)] += r["taken"]
-    for s in order:
-        assert abs(taken[round(goal[s], 6)] - goal[s]) <= 60
+    for s in order:  # whole documents only: half of the largest can be missing, and here two hold most of one source
+        assert abs(taken[round(goal[s], 6)] - goal[s]) <= max(size(r[1]) for r in rows() if r[3] == s) / 2
     assert tuples(mix_report(docs), "doc_id", "taken") == tuples(mix_report(docs), "doc_id", "taken")
     mixed = mix(docs)
     assert mixed.columns == docs.columns and sum(size(r["text"]) for r in mixed.collect()) == sum(r["taken"] for r in got)
