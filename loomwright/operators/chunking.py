@@ -118,6 +118,30 @@ def shortened(c: Chunk) -> Iterator[Chunk]:
     yield first, last, label, body
 
 
+def merged(chunks: list[Chunk], least: int = LEAST) -> list[Chunk]:
+    """Chunks of fewer lines join the one before; what is too long is split."""
+    out: list[Chunk] = []
+    for c in chunks:
+        if out and c[1] - c[0] + 1 < least and len(out[-1][3]) + len(c[3]) < CHARS:
+            a = out.pop()
+            c = (a[0], c[1], a[2], a[3] + "\n" + c[3])
+        out.append(c)
+    return [piece for c in out for piece in shortened(c)]
+
+
+_IMPORT = re.compile(r"\s*(import\s|from\s+\S+\s+import\s|#include\b|use\s+[\w:]+|(const|let|var)\s+.*=\s*require\()")
+
+
+def imports_of(text: str) -> list[str]:
+    return [x.strip() for x in text.split("\n") if _IMPORT.match(x)]
+
+
+def structure(text: str, most_imports: int = 5) -> str:
+    """A code text's imports (some), and the first lines of its declarations."""
+    lines = text.split("\n")
+    return "\n".join([*imports_of(text)[:most_imports], *(x.rstrip() for x in lines if _OPENS.match(x))])
+
+
 class _Markdown(HTMLParser):
     SKIPPED = {"script", "style", "nav", "header", "footer", "noscript", "iframe", "head"}
     BREAKS = {"p", "div", "section", "article", "ul", "ol", "table", "tr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}

@@ -138,8 +138,56 @@ def related_context(t: Tables) -> DataFrame:
 statement("memory_paths", f"""
   WITH e AS (SELECT src, dst, max(weight) AS weight FROM ({_MEM}) x GROUP BY src, dst), back AS (SELECT dst AS src, src AS dst, weight FROM e)
   SELECT a.src, b.dst AS mid_peer, round(max(a.weight * b.weight), 6) AS strength FROM e a JOIN back b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY a.src, b.dst""")
-statement("prefix_attribution", """
+
+
+def prefixes(path: F.Column) -> F.Column:
+    """Every path that holds this one, itself included, so that a containment join is an equi-join."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
+@query("""
   WITH cwd AS (SELECT c_custkey, concat('/', r_name, '/', n_name, '/', c_mktsegment) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
   hits AS (SELECT c.c_custkey, r.project, length(r.root) AS n, row_number() OVER (PARTITION BY c.c_custkey ORDER BY length(r.root) DESC, r.project) AS place, count(*) OVER (PARTITION BY c.c_custkey, length(r.root)) AS ties
     FROM cwd c JOIN roots r ON c.path = r.root OR STARTS_WITH(c.path, concat(r.root, '/')))
   SELECT c_custkey, project FROM hits WHERE place = 1 AND ties = 1""")
+def prefix_attribution(t: Tables) -> DataFrame:
+    """The project of the longest root that holds a path; paths whose longest root has several owners get none."""
+    cwd = t.sql("SELECT c_custkey, concat('/', r_name, '/', n_name, '/', c_mktsegment) AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+    hits = cwd.select("c_custkey", F.explode(prefixes(F.col("path"))).alias("root")).join(t.roots, "root")
+    best = hits.groupBy("c_custkey", F.length("root").alias("n")).agg(F.count(F.lit(1)).alias("owners"), F.min("project").alias("project"))
+    longest = best.groupBy("c_custkey").agg(F.max_by(F.struct("owners", "project"), "n").alias("b"))
+    return longest.where("b.owners = 1").select("c_custkey", "b.project")
+
+
+@query(f"""WITH RECURSIVE e AS ({_MEM} UNION SELECT to_id, from_id, weight FROM memory_edges WHERE weight >= 0.9), reach(id, depth) AS (SELECT 's2', 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN e ON e.src = r.id WHERE r.depth < 5)
+  SELECT id, CAST(min(depth) AS BIGINT) AS hops FROM reach WHERE id IN ('s5', 's9', 's1') GROUP BY id""")
+def shortest_path(t: Tables) -> DataFrame:
+    """Hops from one memory to others, undirected, five at most."""
+    e = t.sql(_MEM).select("src", "dst")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    near = graph.bfs(both, t.spark.createDataFrame([("s2",)], "id string"), 5)
+    return near.where(F.col("id").isin("s5", "s9", "s1")).select("id", F.col("depth").cast("long").alias("hops"))
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT from_id AS src, to_id AS dst FROM memory_edges WHERE edge_type = 'F'), both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach(id, depth) AS (SELECT 's1', 0 UNION SELECT b.dst, r.depth + 1 FROM reach r JOIN both_ways b ON b.src = r.id WHERE r.depth < 2)
+  SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY id""")
+def decision_chain(t: Tables) -> DataFrame:
+    """Related memories over edges of some types alone."""
+    e = t.sql("SELECT from_id AS src, to_id AS dst FROM memory_edges WHERE edge_type = 'F'")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return graph.bfs(both, t.spark.createDataFrame([("s1",)], "id string"), 2).select("id", F.col("depth").cast("long").alias("depth"))
+
+
+statement("memory_bfs", """
+  WITH out1 AS (SELECT DISTINCT to_id AS id FROM memory_edges WHERE from_id = 's3' AND weight >= 0.5)
+  SELECT id, 1 AS depth FROM out1 UNION ALL SELECT 's3', 0""")
+statement("community_labels", """
+  WITH e AS (SELECT a.package AS ca, b.package AS cb FROM imports i JOIN definitions a ON a.id = i.from_id JOIN definitions b ON b.id = i.to_id),
+  inside AS (SELECT ca AS c, count(*) AS n FROM e WHERE ca = cb GROUP BY ca), edge AS (SELECT c, count(*) AS n FROM (SELECT ca AS c FROM e WHERE ca <> cb UNION ALL SELECT cb FROM e WHERE ca <> cb) x GROUP BY c),
+  m AS (SELECT package AS c, min(path) AS first_path, max(path) AS last_path, count(*) AS members FROM definitions GROUP BY package)
+  SELECT m.c AS community, split_part(m.first_path, '/', 1) AS label, m.members, round(coalesce(i.n, 0) * 1.0 / (coalesce(i.n, 0) + coalesce(g.n, 0)), 3) AS cohesion FROM m LEFT JOIN inside i ON i.c = m.c LEFT JOIN edge g ON g.c = m.c WHERE m.members >= 2""")
+statement("graph_stream", """
+  WITH seeds AS (SELECT id FROM definitions WHERE id <= 20), one AS (SELECT DISTINCT i.to_id AS id FROM imports i JOIN seeds s ON s.id = i.from_id),
+  two AS (SELECT DISTINCT i.to_id AS id FROM imports i JOIN one o ON o.id = i.from_id), near AS (SELECT id FROM one UNION SELECT id FROM two)
+  SELECT n.id, 0.45 AS score FROM near n WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.id = n.id)""")

@@ -124,3 +124,35 @@ def log_parse(t: Tables) -> DataFrame:
 
 
 statement("log_filter", "SELECT event_id, event_type FROM events WHERE EPOCH_S(ts) BETWEEN 1704153600 AND 1704758400 AND event_type IN ('error', 'signup') AND contains(lower(props), '3') ORDER BY event_id LIMIT 1000 OFFSET 5")
+
+
+_CODE = "SELECT p_partkey AS id, concat('import ', lower(p_brand), chr(10), 'def f', CAST(p_partkey AS STRING), '(x):', chr(10), '  return ', CAST(p_size AS STRING), chr(10), 'class C:', chr(10), '  pass') AS content FROM part"
+
+
+@query("SELECT p_partkey AS id, concat('import ', lower(p_brand)) AS line FROM part")
+def extract_imports(t: Tables) -> DataFrame:
+    lines = t.sql(_CODE).select("id", F.explode(F.split("content", "\n")).alias("line"))
+    return lines.where(F.col("line").rlike(r"^\s*(import\s|from\s+\S+\s+import\s|#include|use\s)"))
+
+
+@query("SELECT p_partkey AS id, concat('import ', lower(p_brand), chr(10), 'def f', CAST(p_partkey AS STRING), '(x):', chr(10), 'class C:') AS outline FROM part")
+def compress_structure(t: Tables) -> DataFrame:
+    @F.pandas_udf(StringType())
+    def outline(texts: pd.Series) -> pd.Series:
+        return texts.map(chunking.structure)
+
+    return t.sql(_CODE).select("id", outline("content").alias("outline"))
+
+
+@query()
+def chunk_post(t: Tables) -> DataFrame:
+    return chunking.exploded(t.chunks, "id", "content", lambda x: chunking.merged(chunking.markdown(x)))
+
+
+@query("""WITH m AS (SELECT event_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events WHERE event_id < 200)
+  SELECT event_id, min(60 * (m + 1 + i)) AS next_s FROM (SELECT event_id, m, unnest(range(1500)) AS i FROM m) x WHERE ((m + 1 + i) % 60) % 15 = 0 AND ((m + 1 + i) // 60) % 24 IN (3, 9) GROUP BY event_id""")
+def cron_next(t: Tables) -> DataFrame:
+    """The next run of the plan */15 3,9 * * * after each event, in UTC: the first of the day's minutes ahead that it names."""
+    m = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
+    ahead = F.filter(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: m + i), lambda x: ((x % 60) % 15 == 0) & (F.floor(x / 60) % 24).isin(3, 9))
+    return t.events.where("event_id < 200").select("event_id", (F.element_at(ahead, 1) * 60).alias("next_s"))
