@@ -10,7 +10,7 @@ token of the first order are candidates; they must also share prefix tokens unde
 that allow a link, and differ in few bits of a parity bitmap (whose Hamming distance never exceeds the sets'). What passes all filters is
 verified on the whole sets.
 
-A token of many classes isn't expanded into all pairs. Its smallest document is compared with the others first; then
+A token of many classes isn't expanded into all pairs. Its likeliest original is compared with the others first; then
 links make components, and only pairs of different components are compared, which loses no component.
 
 Null and empty texts, or those of white space, have an empty set and link with nothing. Rows with a repeated or null key stay
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import discard, saved
@@ -251,13 +251,15 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > 1)
     fact = F.struct("sid", "n", F.slice("bits", 1, 4).alias("bits")).alias("f")
     facts = prefixes.select(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), fact)
-    posts = saved(posts.join(tokens, "token").join(facts, "doc"), "postings")
+    # a document's weight: how many of its prefix tokens others have; an original has more than copies with edits of their own
+    weight = F.count(F.lit(1)).over(Window.partitionBy("doc")).alias("weight")
+    posts = saved(posts.join(tokens, "token").join(facts, "doc").select("*", weight), "postings")
     few = posts.where(F.col("docs") <= FEW).select("token", F.lit(0).alias("band"), "f")
 
     # tokens of many documents are cut by size: linked sets lie in one band or in neighbouring ones, and go to their own and the next
     band = F.floor(F.ln(F.col("f.n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
-    cut = posts.where(F.col("docs") > FEW).select("token", F.explode(F.array(band, band + 1)).alias("band"), "doc", "f")
-    sizes = cut.groupBy("token", "band").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("lead")).where(F.col("docs") > 1)
+    cut = posts.where(F.col("docs") > FEW).select("token", F.explode(F.array(band, band + 1)).alias("band"), "doc", "weight", "f")
+    sizes = cut.groupBy("token", "band").agg(F.count(F.lit(1)).alias("docs"), F.max_by("doc", "weight").alias("lead")).where(F.col("docs") > 1)
     cut = saved(cut.join(sizes, ["token", "band"]), "postings-cut")
     few = few.unionByName(cut.where(F.col("docs") <= FEW).select("token", "band", "f"))
     on = ["token", "band"]
