@@ -24,6 +24,9 @@ CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\
 REMEMBERED = 400_000
 
 
+_WARM: Codec | None = None
+
+
 class Codec:
     """Encodes and decodes; remembers the ids of pieces between blanks, since most pieces come again.
 
@@ -32,7 +35,16 @@ class Codec:
     space send their text the long way, through the pattern.
     """
 
+    @classmethod
+    def warm(cls, spec: str) -> Codec:
+        """The one that this worker process has already, from one task to the next, if it has one for the same file."""
+        global _WARM
+        if _WARM is None or _WARM.spec != spec:
+            _WARM = cls(spec)
+        return _WARM
+
     def __init__(self, spec: str):
+        self.spec = spec
         self.merges = Merges(spec)
         self.cut = regex.compile(CUT)
         self.blank = regex.compile(r"\s")
@@ -113,7 +125,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
         spec = spark.sparkContext.broadcast(f.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(spec.value)
+        codec = Codec.warm(spec.value)
         for batch in batches:
             for part in slices(batch):
                 packed = codec.encode([t or "" for t in part.column(1).to_pylist()])

@@ -36,6 +36,9 @@ FORMAT = {
 }
 
 
+_WARM: Pieces | None = None
+
+
 class Pieces:
     """Ids by the tokenizers library; pieces between blanks are independent under a tokenizer that drops white space, and remembered."""
 
@@ -46,7 +49,16 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {}
-        self.end = np.array([end], dtype="<u4").tobytes()
+        self.spec, self.end = spec, np.array([end], dtype="<u4").tobytes()
+
+    @classmethod
+    def warm(cls, spec: str, end: int) -> Pieces:
+        """The one that this worker process has already, from one task to the next, if it has one for the same file."""
+        global _WARM
+        if _WARM is None or _WARM.spec != spec:
+            _WARM = cls(spec, end)
+        _WARM.end = np.array([end], dtype="<u4").tobytes()
+        return _WARM
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
@@ -73,7 +85,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int, key
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pieces = Pieces(spec.value, end)
+        pieces = Pieces.warm(spec.value, end)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
