@@ -25,7 +25,7 @@ from loomwright.llm.queries import vocabulary
 from loomwright.llm.shingle_join import near_documents
 
 #: The least posterior of a document's language.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
