@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomwright.llm.bpe_core import Merges
 from loomwright.llm.common import scratch_path
 
-#: As in bpe.py.
-REMEMBERED = 400_000
+#: Pieces of text that one Python worker remembers at most; the memory is emptied when it is full.
+REMEMBERED = 200_000
 #: Row groups of 16 MB and pages of 256 kB or 5 000 rows.
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -40,7 +41,13 @@ _WARM: Pieces | None = None
 
 
 class Pieces:
-    """Ids by the tokenizers library; pieces between blanks are independent under a tokenizer that drops white space, and remembered."""
+    """Ids as the tokenizers library gives them; pieces between blanks are independent under a tokenizer that drops white space, and remembered.
+
+    Most new pieces are a word of Latin letters below PLAIN, perhaps with one mark after it. Composition leaves such letters alone
+    and lower case maps each to one letter, so those words go to the batched merges of bpe_core; all others go to the library.
+    """
+
+    PLAIN = "\u0130"
 
     def __init__(self, spec: str, end: int):
         from tokenizers import Tokenizer
@@ -48,6 +55,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = Merges(spec)
         self.known: dict[str, bytes] = {}
         self.spec, self.end = spec, np.array([end], dtype="<u4").tobytes()
 
@@ -67,9 +75,20 @@ class Pieces:
         new: set[str] = set()
         for x in split:
             new.update(x)
-        fresh = list(new - self.known.keys())
-        for at in range(0, len(fresh), 2048):
-            some = fresh[at : at + 2048]
+        plain, marked, others = [], [], []
+        for p in new - self.known.keys():
+            if p.isalpha() and max(p) < self.PLAIN:
+                plain.append(p)
+            elif len(p) > 1 and p[-1] in ",.;:!?" and p[:-1].isalpha() and max(p) < self.PLAIN:
+                marked.append(p)
+            else:
+                others.append(p)
+        self.known.update(zip(plain, self.merges.encode([p.lower().encode() for p in plain]), strict=True))
+        words = self.merges.encode([p[:-1].lower().encode() for p in marked])
+        marks = {m: self.merges.encode([m.encode()])[0] for m in ",.;:!?"} if marked else {}
+        self.known.update((p, w + marks[p[-1]]) for p, w in zip(marked, words, strict=True))
+        for at in range(0, len(others), 2048):
+            some = others[at : at + 2048]
             self.known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
         known = self.known
         return [b"".join([known[p] for p in x]) + self.end for x in split]
@@ -87,8 +106,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int, key
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pieces = Pieces.warm(spec.value, end)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 packed = pieces.encode([t or "" for t in part.column("text").to_pylist()])
                 counts = np.array([len(x) // 4 for x in packed], dtype=np.int64)
                 ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
