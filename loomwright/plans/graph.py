@@ -35,6 +35,11 @@ statement("resolve_edges", """
   SELECT r.from_id, r.line, r.file, coalesce(l.id, g.id) AS target FROM (SELECT DISTINCT from_id, line, file, target_id FROM refs WHERE file <= 500) r
   LEFT JOIN definitions l ON l.id = r.target_id AND l.exported LEFT JOIN (SELECT kind, min(id) AS id FROM definitions GROUP BY kind) g ON g.kind = (CASE WHEN r.line % 2 = 0 THEN 'none' ELSE 'none2' END)""")
 statement("edge_kind", "SELECT from_id, target_id, line, file, CASE kind WHEN 'A' THEN 'emit' WHEN 'R' THEN 'listen' ELSE 'call' END AS edge_kind FROM refs WHERE file <= 2000")
+# whole tables; the statements of these names above say a slice, which is what they are checked on
+statement("resolve_edges_whole", """
+  SELECT r.from_id, r.line, r.file, coalesce(l.id, g.id) AS target FROM (SELECT DISTINCT from_id, line, file, target_id FROM refs) r
+  LEFT JOIN definitions l ON l.id = r.target_id AND l.exported LEFT JOIN (SELECT kind, min(id) AS id FROM definitions GROUP BY kind) g ON g.kind = (CASE WHEN r.line % 2 = 0 THEN 'none' ELSE 'none2' END)""")
+statement("edge_kind_whole", "SELECT from_id, target_id, line, file, CASE kind WHEN 'A' THEN 'emit' WHEN 'R' THEN 'listen' ELSE 'call' END AS edge_kind FROM refs")
 
 
 def _imports(t: Tables) -> DataFrame:
@@ -85,7 +90,18 @@ _CHAINS = "imports WHERE from_id <= 60 AND to_id <= 60"
 def trace_chains(t: Tables) -> DataFrame:
     """All walks without a repeated node, up to four hops."""
     e = t.sql(f"SELECT DISTINCT from_id, to_id FROM {_CHAINS}")
-    walk = e.where("from_id <= 20").select(F.col("from_id").alias("id")).distinct().withColumn("path", F.array("id"))
+    return _chains(e, e.where("from_id <= 20"))
+
+
+@query()
+def trace_chains_whole(t: Tables) -> DataFrame:
+    """From every node over all imports; the rows grow with the fourth power of a node's imports."""
+    e = t.imports.distinct()
+    return _chains(e, e)
+
+
+def _chains(e: DataFrame, starts: DataFrame) -> DataFrame:
+    walk = starts.select(F.col("from_id").alias("id")).distinct().withColumn("path", F.array("id"))
     out = None
     for _ in range(4):
         walk = walk.join(e, F.col("id") == F.col("from_id")).where(~F.array_contains("path", F.col("to_id"))).select(F.col("to_id").alias("id"), F.concat("path", F.array("to_id")).alias("path"))
@@ -108,6 +124,21 @@ def scc_cycles(t: Tables) -> DataFrame:
     return graph.scc(t.sql(f"SELECT from_id AS src, to_id AS dst FROM {_SMALL}"))
 
 
+@query()
+def connected_components_whole(t: Tables) -> DataFrame:
+    return graph.components(_imports(t))
+
+
+@query()
+def scc_cycles_whole(t: Tables) -> DataFrame:
+    return graph.scc(_imports(t))
+
+
+@query()
+def communities_whole(t: Tables) -> DataFrame:
+    return graph.label_communities(_imports(t).withColumn("weight", F.lit(1.0)))
+
+
 @query()
 def communities(t: Tables) -> DataFrame:
     """Label propagation with its settling rule; modularity is a query of its own."""

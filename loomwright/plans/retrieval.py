@@ -71,9 +71,18 @@ def rrf_fuse(t: Tables) -> DataFrame:
     return ranking.rrf_fuse(cover.where(few), [keyword.where(few)]).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
+@query(f"WITH {_FUSED} SELECT query_id, id, round(score, 9) AS score FROM fused")
+def rrf_fuse_whole(t: Tables) -> DataFrame:
+    cover, keyword = _streams(t)
+    return ranking.rrf_fuse(cover, [keyword]).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
 statement("rrf_explain", f"""WITH {_FUSED}
   SELECT f.query_id, f.id, concat('coverage ', CAST(CAST(floor(coalesce(f.raw, 0) * 100) AS BIGINT) AS STRING), '%, keyword ', CASE WHEN k.id IS NULL THEN 'no' ELSE 'yes' END) AS explanation
   FROM fused f LEFT JOIN keyword k ON k.query_id = f.query_id AND k.id = f.id WHERE f.query_id < 6""")
+statement("rrf_explain_whole", f"""WITH {_FUSED}
+  SELECT f.query_id, f.id, concat('coverage ', CAST(CAST(floor(coalesce(f.raw, 0) * 100) AS BIGINT) AS STRING), '%, keyword ', CASE WHEN k.id IS NULL THEN 'no' ELSE 'yes' END) AS explanation
+  FROM fused f LEFT JOIN keyword k ON k.query_id = f.query_id AND k.id = f.id""")
 statement("keyword_search", f"WITH {_STREAMS} SELECT query_id, id, round(score, 9) AS score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM keyword) x WHERE place <= 20")
 statement("query_terms", f"WITH {_QTERMS} SELECT query_id, term FROM qterms")
 statement("fts_terms", "SELECT DISTINCT item_id AS query_id, REPLACE_ALL(w, '[^a-z0-9_]', '') AS term FROM (SELECT item_id, EXPLODE(SPLIT(lower(substr(text, 1, 80)), ' ')) AS w FROM benchmark) x WHERE length(REPLACE_ALL(w, '[^a-z0-9_]', '')) > 2")
@@ -89,6 +98,8 @@ statement("fuzzy_correct", """
 statement("boost_files", "SELECT id, round(CASE WHEN type IN ('t1', 't4') THEN least(1.0, importance * 1.3) ELSE importance END, 6) AS score FROM memories")
 statement("apply_verdict", """
   SELECT id, row_number() OVER (ORDER BY CASE id WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 11 THEN 3 ELSE 4 END, importance DESC, id) - 1 AS place FROM memories WHERE id < 40""")
+statement("apply_verdict_whole", """
+  SELECT id, row_number() OVER (ORDER BY CASE id WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 11 THEN 3 ELSE 4 END, importance DESC, id) - 1 AS place FROM memories""")
 statement("cache_invalidate", "SELECT query, count(*) AS n FROM search_events WHERE NOT contains(query, '7') AND project_id <> 3 GROUP BY query")
 statement("memory_pack", """
   SELECT id, used FROM (SELECT id, CAST(sum(n) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM (
@@ -97,6 +108,10 @@ statement("jaccard", """
   WITH t AS (SELECT DISTINCT id, tok FROM (SELECT id, EXPLODE(SPLIT(lower(content), ' ')) AS tok FROM chunks WHERE id < 60) x), n AS (SELECT id, count(*) AS n FROM t GROUP BY id)
   SELECT a.id AS a, b.id AS b, round(count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)), 9) AS sim
   FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id""")
+statement("jaccard_whole", """
+  WITH t AS (SELECT DISTINCT id, tok FROM (SELECT id, EXPLODE(SPLIT(lower(content), ' ')) AS tok FROM chunks) x), n AS (SELECT id, count(*) AS n FROM t GROUP BY id)
+  SELECT a.id AS a, b.id AS b, round(count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)), 9) AS sim
+  FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id""")
 statement("confidence_gate", """
   WITH q AS (SELECT item_id AS query_id, CASE WHEN length(text) < 250 THEN 'specific' WHEN length(text) < 330 THEN 'focused' ELSE 'broad' END AS class FROM benchmark),
   gates AS (SELECT 'specific' AS class, 0.55 AS least UNION ALL SELECT 'focused', 0.40 UNION ALL SELECT 'broad', 0.25)

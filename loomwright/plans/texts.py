@@ -44,7 +44,17 @@ _LINES = "SELECT id, unnest(string_split(content, chr(10))) AS line, unnest(rang
 
 @query(f"WITH l AS ({_LINES}) SELECT id, CAST(pos + 1 AS BIGINT) AS n, lpad(CAST(pos + 1 AS VARCHAR), 6, ' ') || '  ' || line AS text FROM l WHERE id < 100 AND pos BETWEEN 1 AND 4")
 def line_range(t: Tables) -> DataFrame:
-    lines = t.chunks.where("id < 100").select("id", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")).where("pos BETWEEN 1 AND 4")
+    return _numbered(t.chunks.where("id < 100"))
+
+
+@query(f"WITH l AS ({_LINES}) SELECT id, CAST(pos + 1 AS BIGINT) AS n, lpad(CAST(pos + 1 AS VARCHAR), 6, ' ') || '  ' || line AS text FROM l WHERE pos BETWEEN 1 AND 4")
+def line_range_whole(t: Tables) -> DataFrame:
+    """Of every text; the lines asked for are the operator's own range."""
+    return _numbered(t.chunks)
+
+
+def _numbered(chunks: DataFrame) -> DataFrame:
+    lines = chunks.select("id", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line")).where("pos BETWEEN 1 AND 4")
     return lines.select("id", (F.col("pos") + 1).cast("long").alias("n"), F.concat(F.lpad((F.col("pos") + 1).cast("string"), 6, " "), F.lit("  "), "line").alias("text"))
 
 
@@ -153,6 +163,16 @@ def chunk_post(t: Tables) -> DataFrame:
   SELECT event_id, min(60 * (m + 1 + i)) AS next_s FROM (SELECT event_id, m, unnest(range(1500)) AS i FROM m) x WHERE ((m + 1 + i) % 60) % 15 = 0 AND ((m + 1 + i) // 60) % 24 IN (3, 9) GROUP BY event_id""")
 def cron_next(t: Tables) -> DataFrame:
     """The next run of the plan */15 3,9 * * * after each event, in UTC: the first of the day's minutes ahead that it names."""
+    return _next_runs(t.events.where("event_id < 200"))
+
+
+@query("""WITH m AS (SELECT event_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events)
+  SELECT event_id, min(60 * (m + 1 + i)) AS next_s FROM (SELECT event_id, m, unnest(range(1500)) AS i FROM m) x WHERE ((m + 1 + i) % 60) % 15 = 0 AND ((m + 1 + i) // 60) % 24 IN (3, 9) GROUP BY event_id""")
+def cron_next_whole(t: Tables) -> DataFrame:
+    return _next_runs(t.events)
+
+
+def _next_runs(events: DataFrame) -> DataFrame:
     m = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 60)
     ahead = F.filter(F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: m + i), lambda x: ((x % 60) % 15 == 0) & (F.floor(x / 60) % 24).isin(3, 9))
-    return t.events.where("event_id < 200").select("event_id", (F.element_at(ahead, 1) * 60).alias("next_s"))
+    return events.select("event_id", (F.element_at(ahead, 1) * 60).alias("next_s"))
