@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import access_boost, clamp01, cosine, decay_score
+from loomwright.operators import ranking
 from loomwright.registry import query, statement
 from loomwright.sources.tables import Tables
 
@@ -48,11 +49,11 @@ def clamp_01(t: Tables) -> DataFrame:
 _RANK = f"0.65 * greatest({_COS}, 0) + 0.2 * {_DECAY.replace('pinned', 'b.pinned').replace('importance', 'b.importance').replace('age_days', 'b.age_days').replace('access_count', 'b.access_count')} + 0.1 * greatest(0.1, least(1.0, ln(1 + b.access_count) / ln(20))) + 0.05 * CASE b.type WHEN 't0' THEN 1.0 WHEN 't1' THEN 0.9 ELSE 0.5 END"
 
 
-def _semantic(t: Tables, q: DataFrame) -> DataFrame:
-    """Of every memory against each of a few broadcast queries: similarity, decay, access and type, weighted."""
+def _semantic(memories: DataFrame, q: DataFrame) -> DataFrame:
+    """Of every one of these memories against each of a few broadcast queries: similarity, decay, access and type, weighted."""
     kind = F.when(F.col("type") == "t0", 1.0).when(F.col("type") == "t1", 0.9).otherwise(0.5)
     score = 0.65 * F.greatest(cosine(F.col("embedding"), F.col("v")), F.lit(0.0)) + 0.2 * _decay() + 0.1 * access_boost(F.col("access_count")) + 0.05 * kind
-    return t.memories.crossJoin(F.broadcast(q)).withColumn("score", score)
+    return memories.crossJoin(F.broadcast(q)).withColumn("score", score)
 
 
 def _queries(t: Tables, n: int) -> DataFrame:
@@ -61,14 +62,34 @@ def _queries(t: Tables, n: int) -> DataFrame:
 
 @query(f"SELECT a.id AS q, b.id, round({_RANK}, 6) AS score FROM memories a, memories b WHERE a.id < 3")
 def semantic_rank(t: Tables) -> DataFrame:
-    return _semantic(t, _queries(t, 3)).select("q", "id", F.round("score", 6).alias("score"))
+    return _semantic(t.memories, _queries(t, 3)).select("q", "id", F.round("score", 6).alias("score"))
+
+
+def _every_50th(t: Tables) -> DataFrame:
+    return t.memories.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("v"))
+
+
+@query(f"SELECT a.id AS q, b.id, round({_RANK}, 6) AS score FROM memories a, memories b WHERE a.id % 50 = 0")
+def semantic_rank_whole(t: Tables) -> DataFrame:
+    """All memories for each id that 50 divides: the rows are a fiftieth of the table's square."""
+    return ranking.in_blocks(_every_50th(t), lambda part: _semantic(t.memories, part)).select("q", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH first AS (SELECT * FROM memories WHERE NOT deleted ORDER BY importance DESC, id LIMIT 60)
   SELECT q, id, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, {_RANK} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_RANK} DESC, b.id) AS n FROM memories a, first b WHERE a.id < 3) x WHERE n <= 20""")
 def recall(t: Tables) -> DataFrame:
+    return _recall(t, _queries(t, 3))
+
+
+@query(f"""WITH first AS (SELECT * FROM memories WHERE NOT deleted ORDER BY importance DESC, id LIMIT 60)
+  SELECT q, id, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, {_RANK} AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_RANK} DESC, b.id) AS n FROM memories a, first b WHERE a.id % 50 = 0) x WHERE n <= 20""")
+def recall_whole(t: Tables) -> DataFrame:
+    return ranking.in_blocks(_every_50th(t), lambda part: _recall(t, part))
+
+
+def _recall(t: Tables, q: DataFrame) -> DataFrame:
     first = t.memories.where("NOT deleted").orderBy(F.desc("importance"), "id").limit(60).select("id")
-    ranked = _semantic(t, _queries(t, 3)).join(first, "id", "left_semi")
+    ranked = _semantic(t.memories, q).join(first, "id", "left_semi")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return ranked.withColumn("n", F.row_number().over(w)).where("n <= 20").select("q", "id", F.round("score", 6).alias("score"))
 

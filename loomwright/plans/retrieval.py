@@ -158,7 +158,17 @@ _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding A
 @query(f"SELECT q, id, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, least(greatest({_COS}, 0), 1) AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS place FROM memories a, memories b WHERE a.id < 8) x WHERE place <= 10")
 def cosine_topk(t: Tables) -> DataFrame:
     """Exact kNN of a stated set of queries, which is small and broadcast, against all vectors; 10 rows a query and task are kept before any shuffle."""
-    q = t.memories.where("id < 8").select(F.col("id").alias("q"), F.col("embedding").alias("v"))
+    return _nearest(t, t.memories.where("id < 8").select(F.col("id").alias("q"), F.col("embedding").alias("v")))
+
+
+@query(f"SELECT q, id, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, least(greatest({_COS}, 0), 1) AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS place FROM memories a, memories b WHERE a.id % 50 = 0) x WHERE place <= 10")
+def cosine_topk_whole(t: Tables) -> DataFrame:
+    """Each id that 50 divides is a query, so queries grow with the table and are broadcast block by block."""
+    q = t.memories.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("v"))
+    return ranking.in_blocks(q, lambda part: _nearest(t, part))
+
+
+def _nearest(t: Tables, q: DataFrame) -> DataFrame:
     near = t.memories.crossJoin(F.broadcast(q)).select("q", "id", cosine(F.col("embedding"), F.col("v")).alias("s"))
     w = Window.partitionBy("q").orderBy(F.desc("s"), "id")
     return near.withColumn("place", F.row_number().over(w)).where("place <= 10").select("q", "id", F.round(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
@@ -169,8 +179,27 @@ def cosine_topk(t: Tables) -> DataFrame:
   SELECT q, id, round(s, 6) AS score FROM (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS n FROM c) y WHERE n <= 5""")
 def bq_two_phase(t: Tables) -> DataFrame:
     """The nearest 100 by Hamming distance of packed signs, re-ranked by cosine."""
-    coded = t.memories.withColumn("bits", sign_bits(F.col("embedding"), 64)).select("id", "embedding", "bits")
-    q = coded.where("id < 8").select(F.col("id").alias("q"), F.col("embedding").alias("v"), F.col("bits").alias("qb"))
+    coded = _coded(t)
+    return _by_signs(coded, _asked(coded.where("id < 8")))
+
+
+@query(f"""WITH b1 AS (SELECT a.id AS q, b.id, list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END)) AS h, {_COS} AS s FROM memories a, memories b WHERE a.id % 50 = 0),
+  c AS (SELECT q, id, s FROM (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY h, id) AS n FROM b1) x WHERE n <= 100)
+  SELECT q, id, round(s, 6) AS score FROM (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS n FROM c) y WHERE n <= 5""")
+def bq_two_phase_whole(t: Tables) -> DataFrame:
+    coded = _coded(t)
+    return ranking.in_blocks(_asked(coded.where("id % 50 = 0")), lambda part: _by_signs(coded, part))
+
+
+def _coded(t: Tables) -> DataFrame:
+    return t.memories.withColumn("bits", sign_bits(F.col("embedding"), 64)).select("id", "embedding", "bits")
+
+
+def _asked(coded: DataFrame) -> DataFrame:
+    return coded.select(F.col("id").alias("q"), F.col("embedding").alias("v"), F.col("bits").alias("qb"))
+
+
+def _by_signs(coded: DataFrame, q: DataFrame) -> DataFrame:
     near = coded.crossJoin(F.broadcast(q)).withColumn("h", hamming(F.col("bits"), F.col("qb")))
     first = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("h", "id"))).where("n <= 100").withColumn("s", cosine(F.col("embedding"), F.col("v")))
     return first.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where("n <= 5").select("q", "id", F.round("s", 6).alias("score"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+
 from loomwright import registry
 from tests.test_operators import reach
 
@@ -38,3 +41,16 @@ def test_chains_start_at_every_node(spark, tmp_path):
         want |= {(">".join(map(str, w)), len(w) - 1) for w in walks}
     got = registry.QUERIES["trace_chains_whole"](spark, imports(spark, tmp_path)).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_searches_take_every_fiftieth_row_in_blocks(spark, tmp_path, monkeypatch):
+    """More queries than a block holds, beyond the first ids: each has its own rows."""
+    from loomwright.operators import ranking
+
+    monkeypatch.setattr(ranking.in_blocks, "__defaults__", (3,))
+    rng = random.Random(3)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(64)], k % 4) for k in range(400, 1000)]
+    d = folder(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    for name, each in {"cosine_topk_whole": 10, "bq_two_phase_whole": 5, "semantic_rank_whole": 600, "recall_whole": 20}.items():
+        got = Counter(r["q"] for r in registry.QUERIES[name](spark, d).collect())
+        assert got == dict.fromkeys(range(400, 1000, 50), each), name
