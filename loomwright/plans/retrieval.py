@@ -33,19 +33,25 @@ _FUSED = f"""{_STREAMS},
   fused AS (SELECT query_id, id, least(1.0, 0.7 * rrf / max(rrf) OVER (PARTITION BY query_id) + 0.3 * coalesce(raw, 0)) AS score, raw FROM summed)"""
 
 
+def _whole_text(sql: str) -> str:
+    """The same statement with the terms of whole texts, not of their first characters."""
+    return re.sub(r"substr\(text, 1, \d+\)", "text", sql)
+
+
 def _words(t: Tables) -> DataFrame:
     words = t.chunks.select("id", F.explode(F.split(F.lower("content"), " ")).alias("term")).where(F.col("term").rlike("^[a-z]{3,}$"))
     return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _terms(t: Tables) -> DataFrame:
-    words = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower(F.substring("text", 1, 60)), " ")).alias("term"))
+def _terms(t: Tables, whole: bool = False) -> DataFrame:
+    text = F.col("text") if whole else F.substring("text", 1, 60)
+    words = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower(text), " ")).alias("term"))
     return words.where(F.col("term").rlike("^[a-z]{3,}$") & ~F.col("term").isin(STOPWORDS)).distinct()
 
 
-def _streams(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _streams(t: Tables, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The coverage stream (in the vector stream's place) and the term-frequency stream."""
-    terms = _terms(t)
+    terms = _terms(t, whole)
     wanted = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
     hits = terms.join(_words(t), "term").groupBy("query_id", "id").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("met"))
     cover = hits.join(wanted, "query_id").select("query_id", "id", (F.col("met") / F.col("terms")).alias("score"))
@@ -53,12 +59,24 @@ def _streams(t: Tables) -> tuple[DataFrame, DataFrame]:
     return cover, keyword
 
 
-@query(f"""WITH {_FUSED}, gated AS (SELECT f.query_id, f.id, f.score, c.project FROM fused f JOIN chunks c ON c.id = f.id WHERE coalesce(f.raw, f.score) >= 0.2),
+_HYBRID = f"""WITH {_FUSED}, gated AS (SELECT f.query_id, f.id, f.score, c.project FROM fused f JOIN chunks c ON c.id = f.id WHERE coalesce(f.raw, f.score) >= 0.2),
   capped AS (SELECT query_id, id, score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id, project ORDER BY score DESC, id) AS nth FROM gated) x WHERE nth <= 2)
-  SELECT query_id, id, round(score, 9) AS score, place FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS place FROM capped) y WHERE place < 10""")
+  SELECT query_id, id, round(score, 9) AS score, place FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS place FROM capped) y WHERE place < 10"""
+
+
+@query(_HYBRID)
 def hybrid_search(t: Tables) -> DataFrame:
     """Terms to coverage and frequency streams, fusion, gate, cap by project, top 10; a batch of queries is one plan."""
-    cover, keyword = _streams(t)
+    return _hybrid(t, *_streams(t))
+
+
+@query(_whole_text(_HYBRID))
+def hybrid_search_whole(t: Tables) -> DataFrame:
+    """The same with the terms of whole query texts."""
+    return _hybrid(t, *_streams(t, whole=True))
+
+
+def _hybrid(t: Tables, cover: DataFrame, keyword: DataFrame) -> DataFrame:
     fused = ranking.min_score(ranking.rrf_fuse(cover, [keyword]), 0.2)
     capped = ranking.per_file_cap(fused.join(t.chunks.select("id", "project"), "id"), 2, "project")
     return ranking.top(capped, 10).select("query_id", "id", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
@@ -71,21 +89,24 @@ def rrf_fuse(t: Tables) -> DataFrame:
     return ranking.rrf_fuse(cover.where(few), [keyword.where(few)]).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {_FUSED} SELECT query_id, id, round(score, 9) AS score FROM fused")
+@query(_whole_text(f"WITH {_FUSED} SELECT query_id, id, round(score, 9) AS score FROM fused"))
 def rrf_fuse_whole(t: Tables) -> DataFrame:
-    cover, keyword = _streams(t)
+    cover, keyword = _streams(t, whole=True)
     return ranking.rrf_fuse(cover, [keyword]).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
 statement("rrf_explain", f"""WITH {_FUSED}
   SELECT f.query_id, f.id, concat('coverage ', CAST(CAST(floor(coalesce(f.raw, 0) * 100) AS BIGINT) AS STRING), '%, keyword ', CASE WHEN k.id IS NULL THEN 'no' ELSE 'yes' END) AS explanation
   FROM fused f LEFT JOIN keyword k ON k.query_id = f.query_id AND k.id = f.id WHERE f.query_id < 6""")
-statement("rrf_explain_whole", f"""WITH {_FUSED}
+statement("rrf_explain_whole", _whole_text(f"""WITH {_FUSED}
   SELECT f.query_id, f.id, concat('coverage ', CAST(CAST(floor(coalesce(f.raw, 0) * 100) AS BIGINT) AS STRING), '%, keyword ', CASE WHEN k.id IS NULL THEN 'no' ELSE 'yes' END) AS explanation
-  FROM fused f LEFT JOIN keyword k ON k.query_id = f.query_id AND k.id = f.id""")
+  FROM fused f LEFT JOIN keyword k ON k.query_id = f.query_id AND k.id = f.id"""))
 statement("keyword_search", f"WITH {_STREAMS} SELECT query_id, id, round(score, 9) AS score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM keyword) x WHERE place <= 20")
 statement("query_terms", f"WITH {_QTERMS} SELECT query_id, term FROM qterms")
 statement("fts_terms", "SELECT DISTINCT item_id AS query_id, REPLACE_ALL(w, '[^a-z0-9_]', '') AS term FROM (SELECT item_id, EXPLODE(SPLIT(lower(substr(text, 1, 80)), ' ')) AS w FROM benchmark) x WHERE length(REPLACE_ALL(w, '[^a-z0-9_]', '')) > 2")
+statement("keyword_search_whole", _whole_text(f"WITH {_STREAMS} SELECT query_id, id, round(score, 9) AS score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM keyword) x WHERE place <= 20"))
+statement("query_terms_whole", _whole_text(f"WITH {_QTERMS} SELECT query_id, term FROM qterms"))
+statement("fts_terms_whole", "SELECT DISTINCT item_id AS query_id, REPLACE_ALL(w, '[^a-z0-9_]', '') AS term FROM (SELECT item_id, EXPLODE(SPLIT(lower(text), ' ')) AS w FROM benchmark) x WHERE length(REPLACE_ALL(w, '[^a-z0-9_]', '')) > 2")
 statement("trigram_search", """
   WITH q AS (SELECT EXPLODE(SPLIT('tion erth chque ciono', ' ')) AS term)
   SELECT id, score FROM (SELECT c.id, count(*) / 4.0 AS score FROM chunks c JOIN q ON contains(lower(c.content), q.term) GROUP BY c.id) x WHERE score >= 0.25""")

@@ -10,7 +10,7 @@ from loomwright.sources.tables import Tables, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "hybrid_search"
+FLAGSHIP = "hybrid_search_whole"
 
 
 def statement(name: str, sql: str) -> None:

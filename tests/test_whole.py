@@ -54,3 +54,15 @@ def test_searches_take_every_fiftieth_row_in_blocks(spark, tmp_path, monkeypatch
     for name, each in {"cosine_topk_whole": 10, "bq_two_phase_whole": 5, "semantic_rank_whole": 600, "recall_whole": 20}.items():
         got = Counter(r["q"] for r in registry.QUERIES[name](spark, d).collect())
         assert got == dict.fromkeys(range(400, 1000, 50), each), name
+
+
+def test_query_terms_come_from_the_whole_text(spark, tmp_path):
+    """The only word that meets a text stands past the first characters."""
+    text = "alpha " * 20 + "zebra"
+    docs = [(7, "a zebra here", "en", "s", 12), (8, "nothing here", "en", "s", 12)]
+    d = folder(spark, tmp_path, benchmark=([(1, text)], "item_id long, text string"), documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
+    of = lambda name: registry.QUERIES[name](spark, d).collect()
+    for name in ("query_terms_whole", "fts_terms_whole"):
+        assert {r["term"] for r in of(name)} == {"alpha", "zebra"}, name
+    for name in ("keyword_search_whole", "rrf_fuse_whole", "rrf_explain_whole", "hybrid_search_whole", registry.FLAGSHIP):
+        assert [r["id"] for r in of(name)] == [7], name
