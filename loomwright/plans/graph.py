@@ -213,6 +213,14 @@ def decision_chain(t: Tables) -> DataFrame:
 statement("memory_bfs", """
   WITH out1 AS (SELECT DISTINCT to_id AS id FROM memory_edges WHERE from_id = 's3' AND weight >= 0.5)
   SELECT id, 1 AS depth FROM out1 UNION ALL SELECT 's3', 0""")
+@query("""WITH RECURSIVE reach(id, depth) AS (SELECT 's3', 0 UNION SELECT e.to_id, r.depth + 1 FROM reach r JOIN memory_edges e ON e.from_id = r.id WHERE r.depth < 3)
+  SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY id""")
+def memory_bfs_whole(t: Tables) -> DataFrame:
+    """Along outgoing edges of any weight, three steps."""
+    edges = t.memory_edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    return graph.bfs(edges, t.spark.createDataFrame([("s3",)], "id string"), 3).select("id", F.col("depth").cast("long").alias("depth"))
+
+
 statement("community_labels", """
   WITH e AS (SELECT a.package AS ca, b.package AS cb FROM imports i JOIN definitions a ON a.id = i.from_id JOIN definitions b ON b.id = i.to_id),
   inside AS (SELECT ca AS c, count(*) AS n FROM e WHERE ca = cb GROUP BY ca), edge AS (SELECT c, count(*) AS n FROM (SELECT ca AS c FROM e WHERE ca <> cb UNION ALL SELECT cb FROM e WHERE ca <> cb) x GROUP BY c),

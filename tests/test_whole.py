@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 from loomwright import registry
+from loomwright.plans import graph
+from loomwright.sources.tables import Tables
 from tests.test_operators import reach
 
 STEPS = [(101, 203), (203, 305), (305, 101), (305, 417), (417, 519), (519, 417), (623, 725), (827, 827), (929, 623)]
@@ -66,3 +68,33 @@ def test_query_terms_come_from_the_whole_text(spark, tmp_path):
         assert {r["term"] for r in of(name)} == {"alpha", "zebra"}, name
     for name in ("keyword_search_whole", "rrf_fuse_whole", "rrf_explain_whole", "hybrid_search_whole", registry.FLAGSHIP):
         assert [r["id"] for r in of(name)] == [7], name
+
+
+def test_languages_of_the_whole_cascade(spark, tmp_path):
+    texts = {
+        "kotlin": ["fun f(x)", "package a.b\nval x: Int = 1", "import a.b\nsealed class C"],
+        "dart": ["void main() {}", "part of 'x.dart';", "import 'dart:io';", "library a;\nclass B", "mixin M on N"],
+        "typescript": ["import { a } from 'b'; let x: int", "import a from 'b'; interface C"],
+        "javascript": ["import a from 'b'"],
+        "python": ["def f():"],
+        "rust": ["fn f() -> i32"],
+        "go": ["package main\nfunc f"],
+        "unknown": ["", "words alone", "<script>"],
+    }
+    rows = [(k, "u", x, name) for k, (name, x) in enumerate((n, x) for n, xs in texts.items() for x in xs)]
+    d = folder(spark, tmp_path, pages=([r[:3] for r in rows], "page_id long, url string, html string"))
+    assert {r["page_id"]: r["language"] for r in registry.QUERIES["detect_code_language_whole"](spark, d).collect()} == {r[0]: r[3] for r in rows}
+
+
+def test_fixed_chunks_hold_every_line(spark, tmp_path):
+    text = "\n".join(f"line {k}" for k in range(120))
+    d = folder(spark, tmp_path, documents=([(5, text, "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long"))
+    got = registry.QUERIES["chunk_fixed_whole"](spark, d).toPandas()
+    assert len(got) == 3 and "\n".join(got.sort_values(got.columns[1])[got.columns[-1]]) == text
+
+
+def test_memory_bfs_goes_to_its_depth(spark, tmp_path):
+    """With edges that lead on, and weak ones."""
+    t = Tables(spark, "")
+    t._known["memory_edges"] = spark.createDataFrame([("s3", "a", 0.1), ("a", "b", 0.9), ("b", "c", 0.9), ("c", "d", 0.9)], "from_id string, to_id string, weight double")
+    assert {r["id"]: r["depth"] for r in graph.memory_bfs_whole(t).collect()} == {"s3": 0, "a": 1, "b": 2, "c": 3}
