@@ -2,8 +2,8 @@
 
 Lines are split at line feeds (a null or empty text is one empty line). A line's key is the line without ASCII white
 space at its ends and with A-Z lower-cased; it is held as two 64-bit hashes. Each batch of documents becomes one run,
-sorted by hash: keys no run has yet (merge anti-join) with their count of documents and largest document, and further
-counts of keys that some run has. A level that has FANOUT runs is merged into one run of the next level.
+sorted by hash: keys no run has yet and keys that some run has, each with the batch's count of documents and largest
+document. The anti-join and semi-join against all runs only tell the two apart; both go into the run, and merging adds them up. A level that has FANOUT runs is merged into one run of the next level.
 
 Null keys of documents: such rows are left whole and aren't counted. Repeated keys of documents count once and lose
 the same lines. Ties can't occur: the largest key wins. An empty table gives an empty result; extra columns, whatever
