@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 ORDER = 3
 #: Documents to learn from, of each language (the first by a hash of their keys), the longest in code points that is
 #: learnt from (whole), and the most languages (those with most documents).
-SAMPLE, LONGEST, LANGUAGES = 600, 20_000, 64
+SAMPLE, LONGEST = 600, 20_000
 CERTAIN = 40
 PAD = 32  # a blank stands before each text
 
@@ -127,15 +127,16 @@ def learn(docs: DataFrame, learnt_from: Column, key: str = "doc_id", text: str =
     """Trees from at most `sample` documents per language, of the rows where learnt_from holds.
 
     Counts give each language's share of the hash range, so that no language's rows meet in one task; what is
-    collected is bounded by LANGUAGES, sample and LONGEST.
+    collected of a language is bounded by sample and LONGEST. A language all of whose texts are longer than LONGEST is learnt from their beginnings.
     """
     rows = docs.where(learnt_from & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).cast("string").alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (1.2 * sample + 20) / r["n"]))).otherwise(share)
+    rows = rows.where(F.col("text").isNotNull())
+    short = F.length("text") <= LONGEST
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("n"))
+    n = F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n"))
     place = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    cut = rows.where((place < share) & F.col("text").isNotNull() & (F.length("text") <= LONGEST)).select("lang", place.alias("p"), "text")
+    met = rows.join(F.broadcast(counts.select("lang", "short", (F.lit(1.2 * sample + 20) / n).alias("share"))), "lang")
+    cut = met.where((place < F.col("share")) & (short | (F.col("short") == 0))).select("lang", place.alias("p"), F.substring("text", 1, LONGEST).alias("text"))
     samples: dict[str, list[bytes]] = {}
     for r in sorted(cut.collect(), key=lambda r: (r["p"], r["text"])):
         if len(mine := samples.setdefault(r["lang"], [])) < sample:
