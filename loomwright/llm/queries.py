@@ -110,7 +110,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_mixing"] = """
-WITH plain AS (
+WITH RECURSIVE plain AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, md5('mix-1|' || doc_id) AS u
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM plain GROUP BY source),
@@ -126,22 +126,25 @@ goals AS (
     SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM (
       SELECT source, source_size, least(cap, weight * max(level) OVER ()) AS target FROM levels))),
 summed AS (
-  SELECT plain.*, source_size, target, whole, rest, sum(size) OVER (PARTITION BY plain.source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  SELECT plain.*, source_size, target, whole, rest, sum(size) OVER (PARTITION BY plain.source ORDER BY u ROWS UNBOUNDED PRECEDING) AS upto
   FROM plain JOIN goals ON plain.source IS NOT DISTINCT FROM goals.source),
 cut AS (SELECT *, CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS more FROM summed),
 gaps AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY source) AS gap FROM cut),
-fill1 AS (
-  SELECT doc_id, source, size FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS s FROM gaps WHERE more = 0 AND size > 0 AND size <= gap) x WHERE s <= gap),
-gaps1 AS (SELECT g.* EXCLUDE gap, gap - coalesce(f.got, 0) AS gap FROM gaps g LEFT JOIN (SELECT source, sum(size) AS got FROM fill1 GROUP BY source) f ON f.source IS NOT DISTINCT FROM g.source),
-fill2 AS (
-  SELECT doc_id, source, size FROM (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY u, size, doc_id ROWS UNBOUNDED PRECEDING) AS s FROM gaps1 WHERE more = 0 AND size > 0 AND size <= gap AND doc_id NOT IN (SELECT doc_id FROM fill1)) x WHERE s <= gap),
-gaps2 AS (SELECT g.* EXCLUDE gap, gap - coalesce(f.got, 0) AS gap FROM gaps1 g LEFT JOIN (SELECT source, sum(size) AS got FROM fill2 GROUP BY source) f ON f.source IS NOT DISTINCT FROM g.source),
+offers AS (
+  SELECT doc_id, coalesce(source, '<none>') AS s, size, gap, u, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)) DESC, u) AS nth
+  FROM (SELECT * FROM gaps WHERE more = 0 AND rest > 0 AND size > 0 AND size < 2 * gap
+        QUALIFY row_number() OVER (PARTITION BY source, length(bin(size)) ORDER BY u) <= 64) x),
+filled(s, nth, gap, hit, doc_id, size, u) AS (
+  SELECT s, nth, CASE WHEN size <= gap THEN gap - size ELSE gap END, size <= gap, doc_id, size, u FROM offers WHERE nth = 1
+  UNION ALL
+  SELECT o.s, o.nth, CASE WHEN o.size <= f.gap THEN f.gap - o.size ELSE f.gap END, o.size <= f.gap, o.doc_id, o.size, o.u
+  FROM filled f JOIN offers o ON o.s = f.s AND o.nth = f.nth + 1),
 closing AS (
-  SELECT doc_id FROM gaps2 WHERE more = 0 AND size > 0 AND abs(size - gap) < gap AND doc_id NOT IN (SELECT doc_id FROM fill1) AND doc_id NOT IN (SELECT doc_id FROM fill2)
-  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(size - gap), u, doc_id) = 1),
-extra AS (SELECT doc_id FROM fill1 UNION SELECT doc_id FROM fill2 UNION SELECT doc_id FROM closing)
+  SELECT f.doc_id FROM filled f JOIN (SELECT s, min(gap) AS left_over FROM filled GROUP BY s) g USING (s) WHERE NOT f.hit AND f.size < 2 * left_over
+  QUALIFY row_number() OVER (PARTITION BY f.s ORDER BY f.size, f.u) = 1),
+extra AS (SELECT doc_id FROM filled WHERE hit UNION SELECT doc_id FROM closing)
 SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (size * (whole + more + CASE WHEN doc_id IN (SELECT doc_id FROM extra) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * least(whole + more + CASE WHEN doc_id IN (SELECT doc_id FROM extra) THEN 1 ELSE 0 END, 2))::BIGINT AS taken
 FROM gaps
 """
 
