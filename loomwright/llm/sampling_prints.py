@@ -3,13 +3,16 @@
 A text's terms are its words (cut at ASCII white space, case kept) and a term's weight is its count; a text without
 words has the empty word as its one term. For each of SAMPLES samples, a term's hash gives r and c, gamma distributed
 with shape 2 and scale 1, and beta, uniform in [0, 1). With t = floor(ln(weight) / r + beta), the sample is the
-term, with its t, of the smallest ln(c) - r * (t - beta + 1). Two texts agree on a sample with a chance that equals the generalised Jaccard
-similarity of their weights, sum of minima over sum of maxima, so the share of equal samples is an unbiased estimate.
-A gamma of shape 2 is minus the logarithm of a product of two uniforms, each of STEPS equally likely values.
+term, with its t, of the smallest a = c / exp(r * (t - beta + 1)). Two texts agree on a sample with a chance that equals the generalised
+Jaccard similarity of their weights, sum of minima over sum of maxima, so the share of equal samples is an unbiased estimate.
 
-Null texts count as empty. Documents are in order of descending key, null keys last, equal keys by text; the next of
-the last is the first, and the next of a single document itself. Repeated rows stay apart. An empty table gives an
-empty result; extra columns are ignored.
+A gamma of shape 2 is minus the logarithm of a product of two uniforms, and a gamma r with an independent uniform beta is
+the same as two exponentials, r = x + y with beta = y / r, x = -ln(u), y = -ln(v). So exp(r * (1 - beta)) is 1 / u, a = c * u * (u * v) ** t,
+and a term of weight 1, whose t is 0, needs one logarithm, that of c.
+
+Null texts count as empty. Documents are in order of descending key, null keys last, equal keys by their texts' hashes; the
+next of the last is the first, and the next of a single document itself. Repeated rows stay apart; what ties in the order is alike.
+Very long texts are terms like others, worked on row by row. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,24 +22,29 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.common import BLANKS
 
-SAMPLES, STEPS = 64, 4096
-#: Documents aimed at in a range of keys, and the most ranges.
-RANGE_ROWS, RANGES = 1000, 2000
+SAMPLES = 64
+#: Documents aimed at in a range of keys, and the most cuts between ranges that a plan holds; beyond that ranges hold more.
+RANGE_ROWS, CUTS = 1000, 20_000
 #: Of a sample's identity in a fingerprint.
 ID_BITS = 16
 #: Samples drawn in one operator.
 GROUP = 8
 
 
-def _sample(term: Column, log_weight: Column, k: Column) -> Column:
+def _uniform(h: Column, at: int, bits: int) -> Column:
+    return (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(0.5**bits)
+
+
+def _sample(term: Column, times: Column, k: Column) -> Column:
     """A term's draw: its value in the high bits, what identifies it in the low ones; the least of all terms is the sample."""
     h = F.xxhash64(term, k)
-    uniform = lambda at: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit(STEPS - 1)) + F.lit(0.5)) * F.lit(1.0 / STEPS)
-    c, r = -F.ln(uniform(0) * uniform(12)), -F.ln(uniform(24) * uniform(36))
-    beta = F.shiftrightunsigned(h, 48) * F.lit(1.0 / 65536)
-    t = F.floor(log_weight / r + beta)
-    value = F.floor((F.ln(c) - r * (t - beta + 1)) * F.lit(float(1 << 32)))
-    return F.shiftleft(value, ID_BITS).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long")))
+    u, v = _uniform(h, 0, 20), _uniform(h, 20, 16)
+    c = -F.ln(_uniform(h, 36, 14) * _uniform(h, 50, 14))
+    t = F.floor((F.ln(times) - F.ln(v)) / -F.ln(u * v))
+    more = times > 1
+    value = F.floor(c * u * F.when(more, F.pow(u * v, t)).otherwise(1.0) * F.lit(float(1 << 42)))  # c is under 32
+    mark = F.xxhash64(h, F.when(more, t).otherwise(F.lit(0).cast("long"))).bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
+    return F.shiftleft(value, ID_BITS).bitwiseOR(mark)
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
@@ -47,8 +55,8 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = SA
     terms = texts.select(*keys, F.explode(F.split(F.btrim(F.col(text), F.lit(BLANKS)), r"[\x20\x09-\x0D]+")).alias("word"))
     counted = terms.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("times"))
     # a term is worked on once for each group of samples: more samples in one operator would outgrow what the JVM compiles
-    spread = counted.select(*keys, "term", F.ln("times").alias("weight"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(GROUP))).alias("at"))
-    drawn = spread.groupBy(*keys, "at").agg(*[F.min(_sample(F.col("term"), F.col("weight"), F.col("at") + j)).alias(f"s{j}") for j in range(GROUP)])
+    spread = counted.select(*keys, "term", F.col("times").cast("double").alias("times"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1), F.lit(GROUP))).alias("at"))
+    drawn = spread.groupBy(*keys, "at").agg(*[F.min(_sample(F.col("term"), F.col("times"), F.col("at") + j)).alias(f"s{j}") for j in range(GROUP)])
     low = F.lit((1 << ID_BITS) - 1).cast("long")
     part = F.struct("at", F.array(*[F.col(f"s{j}").bitwiseAND(low).cast("int") for j in range(GROUP)]).alias("ids"))
     gathered = drawn.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("parts"))
@@ -68,28 +76,34 @@ def as_text(prints: Column) -> Column:
 def edited_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Ranges of keys, from approximate quantiles, are the unit of work: texts are shuffled once, by range. The first
+    Ranges of the order, cut at approximate quantiles of the keys, are the unit of work: texts are shuffled once, by range. A key that
+    several quantiles name, or null, holds many rows and is cut further by the texts' hashes. The first
     document of each range goes to the range before it as well, so each range can see every next document.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = max(1, min(RANGES, n // RANGE_ROWS))
-    cuts = rows.agg(F.percentile_approx("doc", [k / ranges for k in range(1, ranges)] or [0.5], 10 * RANGES).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts)) if ranges > 1 else []
-    # range 0 holds the smallest keys, and null ones
-    bucket = F.size(F.filter(F.lit(cuts), lambda x: x <= F.col("doc"))) if cuts else F.lit(0)
-    placed = rows.withColumn("bucket", F.when(F.col("doc").isNull(), F.lit(0)).otherwise(bucket).cast("int"))
-    tops = sorted((r["bucket"], r["top"]) for r in placed.groupBy("bucket").agg(F.max("doc").alias("top")).collect())  # at most RANGES rows
-    # the first document of a range, in descending order, is also at the end of the range of larger keys next to it; the very first at the end of all
-    sent = [(top, tops[(k + 1) % len(tops)][0]) for k, (_, top) in enumerate(tops)]
-    also = spark.createDataFrame(sent, "top long, also int")
-    met = placed.join(F.broadcast(also), F.col("doc").eqNullSafe(F.col("top")), "left")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc").isNull()).alias("nulls")).first()
+    cuts = max(0, min(CUTS, (n["n"] - n["nulls"]) // RANGE_ROWS))
+    found = rows.agg(F.percentile_approx("doc", [k / (cuts + 1) for k in range(1, cuts + 1)], 10 * (cuts + 1)).alias("cuts")).first()["cuts"] if cuts else []
+    found = F.array(*map(F.lit, found or [])).cast("array<bigint>")
+    # a range's number is that of the cuts above a row; a key equal to m cuts is spread over m ranges, null keys over ranges of their own
+    part = lambda m: F.floor((F.shiftright("h", 11) + F.lit(1 << 52)).cast("double") * F.lit(0.5**53) * m).cast("int")
+    above, equal = F.size(F.filter(found, lambda x: x > F.col("doc"))), F.size(F.filter(found, lambda x: x == F.col("doc")))
+    of_null = F.lit(cuts + 1) + part(F.lit(float(max(1, min(CUTS, n["nulls"] // RANGE_ROWS)))))
+    bucket = F.when(F.col("doc").isNull(), of_null).when(equal == 0, above).otherwise(above + 1 + part(equal.cast("double")))
+    placed = rows.withColumn("bucket", bucket.cast("int")).withColumn("order", F.struct(F.col("doc").isNull().alias("none"), F.bitwise_not("doc").alias("doc"), "h"))
+    tops = sorted((r["bucket"], tuple(r["top"])) for r in placed.groupBy("bucket").agg(F.min("order").alias("top")).collect())  # one small row a range
+    # a range's first document is also at the end of the range before it, the very first at the end of all
+    sent = [(*top, tops[k - 1][0]) for k, (_, top) in enumerate(tops)]
+    also = spark.createDataFrame(sent, "none boolean, not long, hash long, also int")
+    first = (F.col("order.none") == F.col("none")) & F.col("order.doc").eqNullSafe(F.col("not")) & (F.col("h") == F.col("hash"))
+    met = placed.join(F.broadcast(also), first, "left")  # at most CUTS rows for keys and as many for null
     own, guest = F.struct(F.col("bucket").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("also").alias("range"), F.lit(1).alias("guest"))
-    spread = met.select("doc", "text", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
-    dealt = spread.select("at.range", "at.guest", "doc", "text").repartition("range")
+    spread = met.select("doc", "h", "text", F.explode(F.when(F.col("also").isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("at"))
+    dealt = spread.select("at.range", "at.guest", "doc", "h", "text").repartition("range")
 
-    order = Window.partitionBy("range").orderBy("guest", F.col("doc").desc_nulls_last(), "text")
+    order = Window.partitionBy("range").orderBy("guest", F.col("doc").desc_nulls_last(), "h", "text")
     placed = dealt.select("range", "guest", "doc", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.coalesce("next", F.lit("")), F.lit(1), half))

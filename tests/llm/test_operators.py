@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -312,7 +313,8 @@ def test_sampling_prints(docs, none):
 
     from loomwright.llm.sampling_prints import edited_prints
 
-    data = sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is None, -(r[0] or 0), r[1].encode()))
+    place = lambda t: (xxhash.xxh64_intdigest(t.encode(), seed=42) + (1 << 63)) % (1 << 64)  # noqa: E731  of Spark's xxhash64, signed
+    data = sorted(((r[0], r[1] or "") for r in rows()), key=lambda r: (r[0] is None, -(r[0] or 0), place(r[1])))
     got = edited_prints(docs).collect()
     bag = lambda t: Counter(re.findall(r"[^\x20\x09-\x0D]+", t) or [""])
     like = lambda a, b: sum((bag(a) & bag(b)).values()) / sum((bag(a) | bag(b)).values())
