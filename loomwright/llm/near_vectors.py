@@ -8,8 +8,10 @@ matrix product in double precision. A pair of blocks returns each home's number
 never the pairs; forests are joined by connected components, and one vector of each component is kept, the smallest.
 
 Null labels, and vectors that are null, empty, zero or hold nulls or non-finite numbers, link with nothing. Vectors of
-different lengths don't link. Repeated rows are vectors of their own, linked with their copies. Links need a cosine of
-at least the threshold; ties at it link. An empty table gives an empty result; extra columns are ignored.
+different lengths don't link. Rows are told apart by themselves, not by their keys: repeated rows, and rows with a repeated or null
+key, are vectors of their own, linked with their copies; a component's id is the smallest key in it, null if all are null. Very long
+vectors only take longer. Links need a cosine of at least the threshold; ties at it link. An empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomwright.llm.common import saved
 from loomwright.llm.components import components
 
-#: Classes aimed at in a cell, the most cells of a label, and the most labels that are cut (those with most classes).
-CELL, CELLS, LABELS = 1000, 64, 64
+#: Classes aimed at in a cell, and the most cells of all labels together, which bounds the broadcast; labels with most classes are
+#: cut first. What isn't cut further is compared in more blocks, and no link is lost.
+CELL, CELLS = 1000, 4096
 #: Classes to fit a cell's centre on.
 FIT = 40
 #: Classes of a block, about.
@@ -71,15 +75,16 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def classes_of(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, h, g) with the class's hash, null if nothing can link; and classes (h, g, rep, copies, label, dims, x)."""
+    """Rows (id, c) with the class, null if nothing can link; and classes (c, low, copies, label, dims, x), low the smallest key."""
     x = F.col("x")
     fine = F.col("label").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    h = lambda *c: F.when(F.col("fine"), F.xxhash64(*c, "label", "x"))
-    rows = rows.withColumns({"h": h(), "g": h(F.lit(1))})
-    classes = rows.where("fine").groupBy("h", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("x").alias("x"))
-    return rows.select("id", "h", "g"), classes.withColumn("dims", F.size("x"))
+    # 128 bits of hash as hexadecimal text, equal for equal labels and vectors
+    c = F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(k), "label", "x")), 16, "0") for k in (0, 1)])
+    rows = rows.withColumn("c", F.when(F.col("fine"), c))
+    classes = rows.where("fine").groupBy("c").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("x").alias("x"))
+    return rows.select("id", "c"), classes.withColumn("dims", F.size("x"))
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -89,32 +94,32 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
     classes = saved(classes, "vector-classes")
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
 
-    # cells of the labels that are large
-    large = classes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).orderBy(F.desc("n"), "label", "dims").limit(LABELS).collect()
+    # cells of the labels that are large; at most CELLS labels have more than CELL classes of which a cell can be theirs
+    large = classes.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CELL).orderBy(F.desc("n"), "label", "dims").limit(CELLS // 2).collect()
+    total = sum(r["n"] for r in large)
+    counts = {(r["label"], r["dims"]): max(2, min(-(-r["n"] // CELL), CELLS * r["n"] // total)) for r in large}
     cells: dict[tuple, np.ndarray] = {}
     if large:
-        share = F.lit(0.0)
-        counts = {(r["label"], r["dims"]): min(CELLS, -(-r["n"] // CELL)) for r in large}
-        for r in large:
-            wanted = FIT * counts[r["label"], r["dims"]]
-            share = F.when((F.col("label") == F.lit(r["label"])) & (F.col("dims") == r["dims"]), F.lit(min(1.0, wanted / r["n"]))).otherwise(share)
+        share = spark.createDataFrame([(*of, min(1.0, FIT * counts[of] / n)) for of, n in (((r["label"], r["dims"]), r["n"]) for r in large)], T.StructType([T.StructField("l", classes.schema["label"].dataType), T.StructField("d", T.IntegerType()), T.StructField("share", T.DoubleType())]))
+        place = F.pmod(F.xxhash64("c"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        some = classes.join(F.broadcast(share), (F.col("label") == F.col("l")) & (F.col("dims") == F.col("d"))).where(place < F.col("share"))  # share: at most CELLS / 2 rows
         sample: dict[tuple, list] = {}
-        place = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        for r in classes.where(place < share).orderBy("rep").select("label", "dims", "x").collect():
+        for r in some.orderBy("c").select("label", "dims", "x").collect():  # about FIT * CELLS vectors at most
             sample.setdefault((r["label"], r["dims"]), []).append(r["x"])
         for of, xs in sample.items():
             x = np.array(xs, dtype=np.float64)
             cells[of] = centres(x / np.linalg.norm(x, axis=1, keepdims=True), min(counts[of], len(x)))
-    known = spark.sparkContext.broadcast(cells)  # at most LABELS * CELLS centres
+    known = spark.sparkContext.broadcast(cells)  # about CELLS centres at most
 
     def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, dims = np.array(batch.column("label").to_pylist(), dtype=object), batch.column("dims").to_numpy()
-            keys = np.array([hash((a, int(b))) for a, b in zip(labels, dims, strict=True)])
-            for k in np.unique(keys):
-                at = np.flatnonzero(keys == k)
+            of = list(zip(batch.column("label").to_pylist(), batch.column("dims").to_pylist(), strict=True))
+            rows_of: dict[tuple, list[int]] = {}
+            for k, which in enumerate(of):
+                rows_of.setdefault(which, []).append(k)
+            for which, at in rows_of.items():
                 part = batch.take(pa.array(at))
-                c = known.value.get((labels[at[0]], int(dims[at[0]])))
+                c = known.value.get(which)
                 if c is None:
                     pick, cell, home = np.arange(len(at)), np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=bool)
                 else:
@@ -126,20 +131,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
                     pick, cell = np.nonzero(can)
                     home = own[pick] == cell
                 out = part.take(pa.array(pick))
-                yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dims"), pa.array(cell, pa.int32()), pa.array(home), out.column("rep"), out.column("copies"), out.column("x")], ["label", "dims", "cell", "home", "rep", "copies", "x"])
+                yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dims"), pa.array(cell, pa.int32()), pa.array(home), out.column("c"), out.column("copies"), out.column("x")], ["label", "dims", "cell", "home", "c", "copies", "x"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
-    placed = classes.select("label", "dims", "rep", "copies", "x").mapInArrow(place_all, f"label {kinds['label']}, dims int, cell int, home boolean, rep {kinds['rep']}, copies long, x array<double>")
+    placed = classes.select("label", "dims", "c", "copies", "x").mapInArrow(place_all, f"label {classes.schema['label'].dataType.simpleString()}, dims int, cell int, home boolean, c string, copies long, x array<double>")
     placed = saved(placed, "vector-cells")
     sizes = placed.groupBy("label", "dims", "cell").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / BLOCK)).cast("int").alias("blocks"))
-    dealt = placed.join(sizes, ["label", "dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.join(sizes, ["label", "dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     units = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = units.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        reps = t.column("rep").combine_chunks()
-        empty = pa.table({"rep": reps.slice(0, 0), "links": pa.array([], pa.int64()), "root": reps.slice(0, 0)})
+        cs = t.column("c").combine_chunks()
+        empty = pa.table({"c": cs.slice(0, 0), "links": pa.array([], pa.int64()), "root": cs.slice(0, 0)})
         x = matrix(t.column("x").combine_chunks())
         home, copies, block = (t.column(c).to_numpy() for c in ("home", "copies", "block"))
         within = t.column("i")[0].as_py() == t.column("j")[0].as_py()
@@ -162,20 +166,21 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
             return empty
         root = forest(a, b, len(x))
         out = np.flatnonzero((links > 0) | (root != np.arange(len(x))))
-        return pa.table({"rep": reps.take(pa.array(out)), "links": pa.array(links[out]), "root": reps.take(pa.array(root[out]))})
+        return pa.table({"c": cs.take(pa.array(out)), "links": pa.array(links[out]), "root": cs.take(pa.array(root[out]))})
 
     keys = ["label", "dims", "cell", "i", "j"]
-    kind = kinds["rep"]
-    found = units.select(*keys, "block", "home", "rep", "copies", "x").groupBy(*keys).applyInArrow(compare, f"rep {kind}, links long, root {kind}")
+    found = units.select(*keys, "block", "home", "c", "copies", "x").groupBy(*keys).applyInArrow(compare, "c string, links long, root string")
     found = saved(found, "vector-links")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known_classes = classes.select("h", "g", "rep", "copies").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    met = rows.join(known_classes, ["h", "g"], "left")
-    component = F.coalesce("root", "rep", "id")
+    counted = found.groupBy("c").agg(F.sum("links").alias("links"))
+    roots = components(found.select(F.col("c").alias("a"), F.col("root").alias("b")))
+    named = classes.select("c", "low", "copies").join(counted, "c", "left").join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = saved(named, "vector-named")
+    lows = named.groupBy("root").agg(F.min("low").alias("component"))
+    met = rows.join(named.join(lows, "root").select("c", "copies", "links", "component"), "c", "left")
+    component = F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("component"))
     return met.select(
         F.col("id").alias(key),
         F.coalesce(F.coalesce("links", F.lit(0)) + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )
