@@ -28,20 +28,48 @@ def fold(key: Column, n: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomwright-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _store(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, written beside its place and then renamed, so that no reader meets half of it."""
+    store, where = _store(spark, path)
+    beside = where.suffix(f".{uuid.uuid4().hex}")
+    out = store.create(beside, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    store.delete(where, False)
+    if not store.rename(beside, where):
+        raise OSError(f"{path} can't be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's content, None if there is no such file."""
+    store, where = _store(spark, path)
+    if not store.exists(where):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path).collect())
+
+
 def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    store, where = _store(spark, path)
+    store.delete(where, True)
 
 
 @atexit.register
@@ -50,7 +78,7 @@ def _sweep() -> None:
         try:
             _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone by now; the folder is scratch
-            return
+            continue
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
