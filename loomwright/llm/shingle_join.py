@@ -6,15 +6,18 @@ class from the start, and a class is compared once.
 
 In any global order of tokens, two linked sets share a token among the first |x| - ceil(.9 |x|) + 1 of each. All orders
 put common tokens last, by a count sketch of the corpus, and differ in how they break ties. Classes that share a prefix
-token of the first order are candidates; they must also share prefix tokens under the second and the third order, have sizes
-that allow a link, and differ in few bits of a parity bitmap (whose Hamming distance never exceeds the sets'). What passes all filters is
-verified on the whole sets.
+token of the first order are candidates if so few tokens stand before it in both that the sets can still link: for the first token
+that two sets share, i + j tokens before it are in one set alone, and linked sets have at most (|x| + |y|) * 10 / 190 such. So one of the two
+sets holds that token in the first half of its prefix, and only such postings are joined with all others. Candidates
+must also differ in few bits of a parity bitmap (whose Hamming distance never exceeds the sets'), have sizes
+that allow a link, and share prefix tokens under the second and the third order. What passes all filters is verified on the whole sets.
 
 A token of many classes isn't expanded into all pairs. Its likeliest original is compared with the others first; then
-links make components, and only pairs of different components are compared, which loses no component.
+links make components, and only pairs of different components are compared, which loses no component; large groups are compared in blocks.
 
-Null and empty texts, or those of white space, have an empty set and link with nothing. Rows with a repeated or null key stay
-apart. Ties at the threshold link. An empty table gives an empty result; extra columns, whatever their names, are ignored here.
+Null and empty texts, or those of white space, have an empty set and link with nothing. Rows are known by their sets, not by their
+keys: rows with a repeated or null key stay apart, and a component's id is its smallest key that isn't null. Very long texts only have large
+sets. Ties at the threshold link. An empty table gives an empty result; extra columns, whatever their names, are ignored here.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.common import discard, saved
@@ -36,6 +40,8 @@ COUNTERS, LEAST_BITS, MOST_BITS = 8, 14, 24
 SKETCH_BLOCK = 1 << 12
 #: Up to so many documents with a prefix token, all pairs of them are candidates at once.
 FEW = 16
+#: Postings of a block of a token's group.
+BLOCK = 1000
 REMEMBERED = 300_000
 #: Bits of the filter by which documents to verify are picked out before their sets are built.
 PICK_BITS = 1 << 23
@@ -134,14 +140,15 @@ def _levels(rows: DataFrame, bits: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, levels: np.ndarray) -> DataFrame:
-    """Per document with a set (of rows alike within a task, the first): doc, sid, n, parity bitmap, prefixes under three orders."""
+    """Per set of a task's rows: rid (unique), p (the text's place in the pick filter), sid, n, parity bitmap, prefixes under three orders, the first in order."""
     known = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** bits bytes, at most 16 MB
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(width), set()
+        at = TaskContext.get().partitionId() << 36
         for batch in batches:
             out: list[tuple] = []
-            ids = batch.column("doc")
+            places = batch.column("p")
             for k, t in _texts(batch):
                 s = shingles.of(t)
                 if not len(s) or (sid := xxhash.xxh3_128_digest(s.tobytes())) in seen:
@@ -152,10 +159,11 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, levels: np.n
                 firsts = []
                 for seed in _SEEDS:
                     place = late | _mix(s, seed) >> _U(8)
-                    firsts.append(s[np.argpartition(place, size - 1)[:size]])
+                    some = np.argpartition(place, size - 1)[:size]
+                    firsts.append(s[some[np.argsort(place[some])]] if not firsts else s[some])
                 parity = np.bincount((_mix(s, _SEEDS[1]) & _U(511)).astype(np.int64), minlength=512) & 1
                 bitmap = np.packbits(parity.astype(np.uint8)).view("<i8")
-                out.append((ids[k].as_py(), sid, len(s), bitmap, firsts[0].view(np.int64), *((x & _U(0x7FFFFFFF)).astype(np.int32) for x in firsts[1:])))
+                out.append((at + len(seen), places[k].as_py(), sid, len(s), bitmap, firsts[0].view(np.int64), *((x & _U(0x7FFFFFFF)).astype(np.int32) for x in firsts[1:])))
                 if len(out) == 2000:
                     yield pack(out)
                     out = []
@@ -164,21 +172,32 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, levels: np.n
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         c = list(zip(*rows, strict=True))
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["doc", "sid", "n", "bits", "p1", "p2", "p3"])
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["rid", "p", "sid", "n", "bits", "p1", "p2", "p3"])
 
-    return docs.mapInArrow(work, "doc long, sid binary, n long, bits array<long>, p1 array<long>, p2 array<int>, p3 array<int>")
+    return docs.mapInArrow(work, "rid long, p int, sid binary, n long, bits array<long>, p1 array<long>, p2 array<int>, p3 array<int>")
 
 
-def _may_link(a: str, b: str, percent: int, words: int) -> Column:
-    """By sizes and the first words of the bitmaps: a distance over (|x| + |y|) * (100 - percent) / (100 + percent) rules a link out."""
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """By sizes and bitmaps: a distance over (|x| + |y|) * (100 - percent) / (100 + percent) rules a link out."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = F.lit(0)
-    for k in range(words):
+    for k in range(8):
         apart = apart + F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]))
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
+def _candidates(left: DataFrame, right: DataFrame, on: list[str], percent: int, also: Column | None = None) -> DataFrame:
+    """(x, y) of sids that share a posting, by what stands before it, sizes and bitmaps. Postings hold f: sid, n, bits, pos, half."""
+    near = (100 + percent) * (F.col("x.pos") + F.col("y.pos")) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    once = F.when(F.col("y.half"), F.col("x.sid") < F.col("y.sid")).otherwise(F.col("x.sid") != F.col("y.sid"))
+    met = left.where("f.half").withColumnsRenamed({"f": "x", "root": "rx"}).join(right.withColumnsRenamed({"f": "y", "root": "ry"}), on)
+    met = met.where(near & once & _may_link("x", "y", percent))
+    if also is not None:
+        met = met.where(also)
+    return met.select(F.least("x.sid", "y.sid").alias("x"), F.greatest("x.sid", "y.sid").alias("y"))
+
+
 class _Join:
     def __init__(self, docs: DataFrame, prefixes: DataFrame, width: int, percent: int):
         self.docs, self.prefixes, self.width, self.percent = docs, prefixes, width, percent
@@ -188,18 +207,17 @@ class _Join:
         spark, percent = self.docs.sparkSession, self.percent
         pairs = saved(pairs.distinct(), "pairs")
         met = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
-        facts = self.prefixes.select("doc", "sid", "n", "bits", "p2", "p3").join(met, "sid", "left_semi")
+        facts = self.prefixes.select("p", "sid", "p2", "p3").join(met, "sid", "left_semi")
         facts = saved(facts.dropDuplicates(["sid"]), "pair-facts")
-        side = lambda c: facts.select(F.col("sid").alias(c), F.struct("doc", "n", "bits", "p2", "p3").alias(f"{c}_"))
+        side = lambda c: facts.select(F.col("sid").alias(c), F.struct("p", "p2", "p3").alias(f"{c}_"))
         both = pairs.join(side("x"), "x").join(side("y"), "y")
-        both = both.where(_may_link("x_", "y_", percent, 8) & F.arrays_overlap("x_.p2", "y_.p2") & F.arrays_overlap("x_.p3", "y_.p3"))
-        left = saved(both.select("x", "y", F.col("x_.doc").alias("dx"), F.col("y_.doc").alias("dy")), "pairs-left")
+        both = both.where(F.arrays_overlap("x_.p2", "y_.p2") & F.arrays_overlap("x_.p3", "y_.p3"))
+        left = saved(both.select("x", "y", F.col("x_.p").alias("px"), F.col("y_.p").alias("py")), "pairs-left")
         del both
         discard(pairs, facts)
 
-        # the documents of these pairs, picked by a bitmap of fixed size over a hash of their keys
-        place = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS))
-        wanted = left.select(place("dx").alias("p")).unionByName(left.select(place("dy").alias("p")))
+        # the documents of these pairs, picked by a bitmap of fixed size over a hash of their texts
+        wanted = left.select(F.col("px").alias("p")).unionByName(left.select(F.col("py").alias("p")))
         maps = wanted.groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("m")).collect()
         if not maps:
             return left.select("x", "y")
@@ -226,7 +244,7 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(held, pa.list_(pa.int64()))], ["sid", "s"])
 
         need = left.select(F.col("x").alias("sid")).unionByName(left.select(F.col("y").alias("sid"))).distinct()
-        whole_ = self.docs.select("t", F.pmod(F.xxhash64("doc"), F.lit(PICK_BITS)).alias("p")).mapInArrow(sets, "sid binary, s array<long>")
+        whole_ = self.docs.select("t", "p").mapInArrow(sets, "sid binary, s array<long>")
         whole = saved(whole_.join(need, "sid", "left_semi").dropDuplicates(["sid"]), "pair-sets")
         met = left.join(whole.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x").join(whole.select(F.col("sid").alias("y"), F.col("s").alias("sy")), "y")
         shared = F.size(F.array_intersect("sx", "sy"))
@@ -239,6 +257,7 @@ class _Join:
 def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per row: key, n_shingles, component_id (the smallest key reachable by links)."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("t"))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("t"), F.lit(PICK_BITS)).cast("int"))
     bits = max(LEAST_BITS, min(MOST_BITS, int(np.ceil(np.log2(max(1, docs.count()) * COUNTERS)))))
     own = saved(_sets(rows, width, bits), "sets")
     levels = _levels(own, bits)
@@ -246,50 +265,56 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     prefixes = saved(_prefixes(rows, width, percent, bits, levels), "prefixes")
     join = _Join(rows, prefixes, width, percent)
 
-    # postings of the first order, of tokens that several documents have
-    posts = prefixes.select(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), F.explode("p1").alias("token"))
-    tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > 1)
-    fact = F.struct("sid", "n", F.slice("bits", 1, 4).alias("bits")).alias("f")
-    facts = prefixes.select(F.coalesce("doc", F.lit(2**63 - 1)).alias("doc"), fact)
-    # a document's weight: how many of its prefix tokens others have; an original has more than copies with edits of their own
-    weight = F.count(F.lit(1)).over(Window.partitionBy("doc")).alias("weight")
-    posts = saved(posts.join(tokens, "token").join(facts, "doc").select("*", weight), "postings")
-    few = posts.where(F.col("docs") <= FEW).select("token", F.lit(0).alias("band"), "f")
-
-    # tokens of many documents are cut by size: linked sets lie in one band or in neighbouring ones, and go to their own and the next
+    # one row of prefixes for each set: tasks that met the same set wrote one each
+    first = prefixes.groupBy("sid").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
+    again = saved(prefixes.select("sid", "rid").join(first, "sid").where(F.col("rid") != F.col("first")).select("rid"), "sets-again")
+    once = lambda *c: prefixes.select("rid", *c).join(again, "rid", "left_anti").drop("rid")
+
+    # postings of the first order, of tokens that several sets have
+    posts = once("sid", "p1").select("sid", F.posexplode("p1").alias("pos", "token"))
+    tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1)
+    posts = saved(posts.join(tokens, "token"), "postings")
+    # a set's weight: how many of its prefix tokens others have; an original has more than copies with edits of their own
+    weights = posts.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"))
+    facts = saved(once("sid", "n", "bits").join(weights, "sid"), "facts")
+    half = (2 * percent * F.col("pos") <= (100 - percent) * F.col("n")).alias("half")
+    posts = posts.join(facts, "sid").select("token", "sets", "weight", F.struct("sid", "n", "bits", "pos", half).alias("f"))
+    few = posts.where(F.col("sets") <= FEW).select("token", F.lit(0).alias("band"), "f")
+
+    # tokens of many sets are cut by size: linked sets lie in one band or in neighbouring ones, and go to their own and the next
     band = F.floor(F.ln(F.col("f.n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
-    cut = posts.where(F.col("docs") > FEW).select("token", F.explode(F.array(band, band + 1)).alias("band"), "doc", "weight", "f")
-    sizes = cut.groupBy("token", "band").agg(F.count(F.lit(1)).alias("docs"), F.max_by("doc", "weight").alias("lead")).where(F.col("docs") > 1)
-    cut = saved(cut.join(sizes, ["token", "band"]), "postings-cut")
-    few = few.unionByName(cut.where(F.col("docs") <= FEW).select("token", "band", "f"))
     on = ["token", "band"]
-    pairs = few.select(*on, F.col("f").alias("x")).join(few.select(*on, F.col("f").alias("y")), on).where((F.col("x.sid") < F.col("y.sid")) & _may_link("x", "y", percent, 4))
-    many = cut.where(F.col("docs") > FEW)
-    leads = many.where(F.col("doc") == F.col("lead")).select(*on, F.col("f").alias("x"))
-    star = leads.join(many.select(*on, F.col("f").alias("y")), on).where((F.col("x.sid") != F.col("y.sid")) & _may_link("x", "y", percent, 4))
-    sids = lambda df: df.select(F.least("x.sid", "y.sid").alias("x"), F.greatest("x.sid", "y.sid").alias("y"))
-    links = join.links(sids(pairs).unionByName(sids(star)))
+    cut = saved(posts.where(F.col("sets") > FEW).select("token", F.explode(F.array(band, band + 1)).alias("band"), "weight", "f"), "postings-cut")
+    sizes = cut.groupBy(*on).agg(F.count(F.lit(1)).alias("sets"), F.max(F.struct("weight", "f.sid")).alias("lead")).where(F.col("sets") > 1)
+    sizes = saved(sizes.select(*on, "sets", F.col("lead.sid").alias("lead")), "cut-sizes")
+    cut = cut.join(sizes, on)
+    few = few.unionByName(cut.where(F.col("sets") <= FEW).select(*on, "f"))
+    many = cut.where(F.col("sets") > FEW)
+    pairs = _candidates(few, few, on, percent)
+    # a lead stands in for the first half of its own prefix, wherever it holds the token
+    leads = many.where(F.col("f.sid") == F.col("lead")).select(*on, F.col("f").withField("half", F.lit(True)).alias("f"))
+    others = many.where(F.col("f.sid") != F.col("lead")).select(*on, F.col("f").withField("half", F.lit(False)).alias("f"))
+    links = join.links(pairs.unionByName(_candidates(leads, others, on, percent)))
     roots = saved(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
-    # cuts of many documents that still hold different components
+    # cuts of many sets that still hold different components
     placed = many.withColumn("sid", F.col("f.sid")).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    placed = saved(placed.select(*on, "root", "f"), "placed")
-    del few, pairs, star, leads, many
-    discard(posts, cut)
+    placed = saved(placed.select(*on, "sets", "root", "f"), "placed")
     mark = F.xxhash64("root")
     mixed = placed.groupBy(*on).agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where(F.col("a") != F.col("b")).select(*on)
-    rest = placed.join(mixed, on, "left_semi")
-    cross = rest.select(*on, F.col("f").alias("x"), F.col("root").alias("rx")).join(rest.select(*on, F.col("f").alias("y"), F.col("root").alias("ry")), on)
-    cross = cross.where((F.col("rx") < F.col("ry")) & _may_link("x", "y", percent, 4))
-    more = join.links(sids(cross))
+    rest = placed.join(saved(mixed, "cuts-mixed"), on, "left_semi")
+    blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
+    right = rest.withColumn("block", F.pmod(F.xxhash64("f.sid"), blocks).cast("int")).drop("sets")
+    left = rest.where("f.half").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("sets")
+    more = join.links(_candidates(left, right, [*on, "block"], percent, F.col("rx") != F.col("ry")))
     if not more.isEmpty():
         roots = saved(components(links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-    del cross, rest, mixed
-    discard(placed, prefixes)
 
     classes = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc").alias("low"))
     named = saved(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = sets.join(named.select("sid", "root"), "sid", "left").join(lows, "root", "left")
+    lows = saved(named.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
+    named = saved(named.join(lows, "root").select("sid", "component_id"), "named")
+    found = sets.where(F.col("sid").isNotNull()).join(named, "sid").select("doc", "n", "component_id")
+    found = found.unionByName(sets.where(F.col("sid").isNull()).select("doc", "n", F.col("doc").alias("component_id")))
     kind = docs.schema[key].dataType
-    return found.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").cast(kind).alias("component_id"))
+    return found.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
