@@ -43,7 +43,8 @@ def _sample(term: Column, times: Column, k: Column) -> Column:
     t = F.floor((F.ln(times) - F.ln(v)) / -F.ln(u * v))
     more = times > 1
     value = F.floor(c * u * F.when(more, F.pow(u * v, t)).otherwise(1.0) * F.lit(float(1 << 42)))  # c is under 32
-    mark = F.xxhash64(h, F.when(more, t).otherwise(F.lit(0).cast("long"))).bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
+    # where t is 0, v has no part in the value, and its bits tell terms apart
+    mark = F.when(more & (t > 0), F.xxhash64(h, t)).otherwise(F.shiftrightunsigned(h, 20)).bitwiseAND(F.lit((1 << ID_BITS) - 1).cast("long"))
     return F.shiftleft(value, ID_BITS).bitwiseOR(mark)
 
 
