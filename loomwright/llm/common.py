@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -104,9 +103,6 @@ def saved(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Removes tables made by `saved` whose every use has been written, and lets Spark drop the shuffle files of finished steps."""
-    spark = frames[0].sparkSession
+    """Removes tables made by `saved` whose every use has been written."""
     for df in frames:
-        drop_scratch(spark, df._scratch)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+        drop_scratch(df.sparkSession, df._scratch)

@@ -12,7 +12,7 @@ sets holds that token in the first half of its prefix, and only such postings ar
 must also differ in few bits of a parity bitmap (whose Hamming distance never exceeds the sets'), have sizes
 that allow a link, and share prefix tokens under the second and the third order. What passes all filters is verified on the whole sets.
 
-A token of many classes isn't expanded into all pairs. Its likeliest original is compared with the others first; then
+A token of many classes isn't expanded into all pairs. A few of its sets, likely originals among them, are compared with the others first; then
 links make components, and only pairs of different components are compared, which loses no component; large groups are compared in blocks.
 
 Null and empty texts, or those of white space, have an empty set and link with nothing. Rows are known by their sets, not by their
@@ -40,6 +40,8 @@ COUNTERS, LEAST_BITS, MOST_BITS = 8, 14, 24
 SKETCH_BLOCK = 1 << 12
 #: Up to so many documents with a prefix token, all pairs of them are candidates at once.
 FEW = 16
+#: Of a larger group, the sets that are compared with all others first: so many that share most of their prefixes, and as many others.
+LEADS = 4
 #: Postings of a block of a token's group.
 BLOCK = 1000
 REMEMBERED = 300_000
@@ -178,24 +180,22 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, levels: np.n
     return docs.mapInArrow(work, "rid long, p int, sid binary, n long, bits array<long>, p1 array<long>, p2 array<int>, p3 array<int>")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """By sizes and bitmaps: a distance over (|x| + |y|) * (100 - percent) / (100 + percent) rules a link out."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+def _alike(a: str, b: str, percent: int) -> Column:
+    """By bitmaps: a distance over (|x| + |y|) * (100 - percent) / (100 + percent) rules a link out."""
     apart = F.lit(0)
     for k in range(8):
         apart = apart + F.bit_count(F.col(f"{a}.bits")[k].bitwiseXOR(F.col(f"{b}.bits")[k]))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+    return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
 def _candidates(left: DataFrame, right: DataFrame, on: list[str], percent: int, also: Column | None = None) -> DataFrame:
-    """(x, y) of sids that share a posting, by what stands before it, sizes and bitmaps. Postings hold f: sid, n, bits, pos, half."""
-    near = (100 + percent) * (F.col("x.pos") + F.col("y.pos")) <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    once = F.when(F.col("y.half"), F.col("x.sid") < F.col("y.sid")).otherwise(F.col("x.sid") != F.col("y.sid"))
+    """(x, y) of rids that share a posting, by sizes and what stands before it. Postings hold f: rid, n, pos, half, and perhaps bits."""
+    n, m = F.col("x.n"), F.col("y.n")
+    near = ((100 + percent) * (F.col("x.pos") + F.col("y.pos")) <= (100 - percent) * (n + m)) & (100 * F.least(n, m) >= percent * F.greatest(n, m))
+    once = F.when(F.col("y.half"), F.col("x.rid") < F.col("y.rid")).otherwise(F.col("x.rid") != F.col("y.rid"))
     met = left.where("f.half").withColumnsRenamed({"f": "x", "root": "rx"}).join(right.withColumnsRenamed({"f": "y", "root": "ry"}), on)
-    met = met.where(near & once & _may_link("x", "y", percent))
-    if also is not None:
-        met = met.where(also)
-    return met.select(F.least("x.sid", "y.sid").alias("x"), F.greatest("x.sid", "y.sid").alias("y"))
+    met = met.where(near & once if also is None else near & once & also)
+    return met.select(F.least("x.rid", "y.rid").alias("x"), F.greatest("x.rid", "y.rid").alias("y"))
 
 
 class _Join:
@@ -203,18 +203,16 @@ class _Join:
         self.docs, self.prefixes, self.width, self.percent = docs, prefixes, width, percent
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: (x, y) of sids. Those that link, by the other orders, the whole bitmap, and at last the whole sets."""
+        """pairs: (x, y) of rids. Those that link, by the bitmaps, the other orders, and at last the whole sets; as (x, y) of sids."""
         spark, percent = self.docs.sparkSession, self.percent
         pairs = saved(pairs.distinct(), "pairs")
-        met = pairs.select(F.col("x").alias("sid")).unionByName(pairs.select(F.col("y").alias("sid"))).distinct()
-        facts = self.prefixes.select("p", "sid", "p2", "p3").join(met, "sid", "left_semi")
-        facts = saved(facts.dropDuplicates(["sid"]), "pair-facts")
-        side = lambda c: facts.select(F.col("sid").alias(c), F.struct("p", "p2", "p3").alias(f"{c}_"))
-        both = pairs.join(side("x"), "x").join(side("y"), "y")
+        side = lambda c, *of: self.prefixes.select(F.col("rid").alias(c), F.struct(*of).alias(f"{c}_"))
+        near = pairs.join(side("x", "n", "bits"), "x").join(side("y", "n", "bits"), "y").where(_alike("x_", "y_", percent))
+        near = saved(near.select("x", "y"), "pairs-alike")
+        both = near.join(side("x", "sid", "p", "p2", "p3"), "x").join(side("y", "sid", "p", "p2", "p3"), "y")
         both = both.where(F.arrays_overlap("x_.p2", "y_.p2") & F.arrays_overlap("x_.p3", "y_.p3"))
-        left = saved(both.select("x", "y", F.col("x_.p").alias("px"), F.col("y_.p").alias("py")), "pairs-left")
-        del both
-        discard(pairs, facts)
+        left = saved(both.select(F.col("x_.sid").alias("x"), F.col("y_.sid").alias("y"), F.col("x_.p").alias("px"), F.col("y_.p").alias("py")), "pairs-left")
+        discard(pairs, near)
 
         # the documents of these pairs, picked by a bitmap of fixed size over a hash of their texts
         wanted = left.select(F.col("px").alias("p")).unionByName(left.select(F.col("py").alias("p")))
@@ -268,47 +266,55 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     # one row of prefixes for each set: tasks that met the same set wrote one each
     first = prefixes.groupBy("sid").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
     again = saved(prefixes.select("sid", "rid").join(first, "sid").where(F.col("rid") != F.col("first")).select("rid"), "sets-again")
-    once = lambda *c: prefixes.select("rid", *c).join(again, "rid", "left_anti").drop("rid")
 
-    # postings of the first order, of tokens that several sets have
-    posts = once("sid", "p1").select("sid", F.posexplode("p1").alias("pos", "token"))
-    tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > 1)
-    posts = saved(posts.join(tokens, "token"), "postings")
+    # postings of the first order, of tokens that several sets have, one of them in the first half of its prefix, and of which two can link by size
+    posts = prefixes.select("rid", F.col("n").cast("int").alias("n"), "p1").join(again, "rid", "left_anti").select("rid", "n", F.posexplode("p1").alias("pos", "token"))
+    half = 2 * percent * F.col("pos") <= (100 - percent) * F.col("n")
+    tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max(half).alias("half"), F.min("n").alias("least"), F.max("n").alias("most"))
+    some = (F.col("sets") > 1) & F.col("half") & ((F.col("sets") > 2) | (100 * F.col("least") >= percent * F.col("most")))
+    posts = saved(posts.join(tokens.where(some).select("token", "sets"), "token"), "postings")
+    fact = F.struct("rid", "n", "pos", half.alias("half")).alias("f")
+    few = posts.where(F.col("sets") <= FEW).select("token", F.lit(0).alias("band"), fact)
+
+    # tokens of many sets are cut by size: linked sets lie in one band or in neighbouring ones, and go to their own and the next.
     # a set's weight: how many of its prefix tokens others have; an original has more than copies with edits of their own
-    weights = posts.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"))
-    facts = saved(once("sid", "n", "bits").join(weights, "sid"), "facts")
-    half = (2 * percent * F.col("pos") <= (100 - percent) * F.col("n")).alias("half")
-    posts = posts.join(facts, "sid").select("token", "sets", "weight", F.struct("sid", "n", "bits", "pos", half).alias("f"))
-    few = posts.where(F.col("sets") <= FEW).select("token", F.lit(0).alias("band"), "f")
-
-    # tokens of many sets are cut by size: linked sets lie in one band or in neighbouring ones, and go to their own and the next
-    band = F.floor(F.ln(F.col("f.n")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
+    often = posts.where(F.col("sets") > FEW)
+    weights = posts.groupBy("rid").agg(F.count(F.lit(1)).alias("weight"))
+    facts = weights.join(prefixes.select("rid", "bits"), "rid")
+    band = F.floor(F.ln("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
     on = ["token", "band"]
-    cut = saved(posts.where(F.col("sets") > FEW).select("token", F.explode(F.array(band, band + 1)).alias("band"), "weight", "f"), "postings-cut")
-    sizes = cut.groupBy(*on).agg(F.count(F.lit(1)).alias("sets"), F.max(F.struct("weight", "f.sid")).alias("lead")).where(F.col("sets") > 1)
-    sizes = saved(sizes.select(*on, "sets", F.col("lead.sid").alias("lead")), "cut-sizes")
+    cut = often.select("token", F.explode(F.array(band, band + 1)).alias("band"), "rid", "n", "pos", half.alias("half")).join(facts, "rid")
+    cut = saved(cut.select(*on, "weight", F.struct("rid", "n", "pos", "half", "bits").alias("f")), "postings-cut")
+    lot = lambda k: F.xxhash64(F.lit(k), "f.rid")
+    heavy = [F.max_by("f.rid", F.struct("weight", lot(k))).alias(f"l{k}") for k in range(LEADS)]
+    any_ = [F.max_by("f.rid", lot(k)).alias(f"l{k}") for k in range(LEADS, 2 * LEADS)]
+    sizes = cut.groupBy(*on).agg(F.count(F.lit(1)).alias("sets"), *heavy, *any_).where(F.col("sets") > 1)
+    sizes = saved(sizes.select(*on, "sets", F.array(*[f"l{k}" for k in range(2 * LEADS)]).alias("leads")), "cut-sizes")
     cut = cut.join(sizes, on)
-    few = few.unionByName(cut.where(F.col("sets") <= FEW).select(*on, "f"))
+    few = few.unionByName(cut.where(F.col("sets") <= FEW).select(*on, F.col("f").dropFields("bits").alias("f")))
     many = cut.where(F.col("sets") > FEW)
-    pairs = _candidates(few, few, on, percent)
     # a lead stands in for the first half of its own prefix, wherever it holds the token
-    leads = many.where(F.col("f.sid") == F.col("lead")).select(*on, F.col("f").withField("half", F.lit(True)).alias("f"))
-    others = many.where(F.col("f.sid") != F.col("lead")).select(*on, F.col("f").withField("half", F.lit(False)).alias("f"))
-    links = join.links(pairs.unionByName(_candidates(leads, others, on, percent)))
+    leads = many.where(F.array_contains("leads", F.col("f.rid"))).select(*on, F.col("f").withField("half", F.lit(True)).alias("f"))
+    others = many.select(*on, F.col("f").withField("half", F.array_contains("leads", F.col("f.rid"))).alias("f"))
+    alike = _alike("x", "y", percent)
+    links = join.links(_candidates(few, few, on, percent).unionByName(_candidates(leads, others, on, percent, alike)))
     roots = saved(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
     # cuts of many sets that still hold different components
-    placed = many.withColumn("sid", F.col("f.sid")).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    names = prefixes.select("rid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid").select("rid", "root")
+    placed = many.withColumn("rid", F.col("f.rid")).join(saved(names, "rid-roots"), "rid", "left").withColumn("root", F.coalesce("root", F.col("rid").cast("string").cast("binary")))
     placed = saved(placed.select(*on, "sets", "root", "f"), "placed")
     mark = F.xxhash64("root")
     mixed = placed.groupBy(*on).agg(F.min(mark).alias("a"), F.max(mark).alias("b")).where(F.col("a") != F.col("b")).select(*on)
     rest = placed.join(saved(mixed, "cuts-mixed"), on, "left_semi")
+    discard(posts, cut)
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
-    right = rest.withColumn("block", F.pmod(F.xxhash64("f.sid"), blocks).cast("int")).drop("sets")
+    right = rest.withColumn("block", F.pmod(F.xxhash64("f.rid"), blocks).cast("int")).drop("sets")
     left = rest.where("f.half").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("sets")
-    more = join.links(_candidates(left, right, [*on, "block"], percent, F.col("rx") != F.col("ry")))
+    more = join.links(_candidates(left, right, [*on, "block"], percent, (F.col("rx") != F.col("ry")) & alike))
     if not more.isEmpty():
         roots = saved(components(links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    discard(placed, prefixes)
 
     classes = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc").alias("low"))
     named = saved(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
