@@ -290,9 +290,9 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     any_ = [F.max_by("f.rid", lot(k)).alias(f"l{k}") for k in range(LEADS, 2 * LEADS)]
     sizes = cut.groupBy(*on).agg(F.count(F.lit(1)).alias("sets"), *heavy, *any_).where(F.col("sets") > 1)
     sizes = saved(sizes.select(*on, "sets", F.array(*[f"l{k}" for k in range(2 * LEADS)]).alias("leads")), "cut-sizes")
-    cut = cut.join(sizes, on)
-    few = few.unionByName(cut.where(F.col("sets") <= FEW).select(*on, F.col("f").dropFields("bits").alias("f")))
-    many = cut.where(F.col("sets") > FEW)
+    cuts = cut.join(sizes, on)
+    few = few.unionByName(cuts.where(F.col("sets") <= FEW).select(*on, F.col("f").dropFields("bits").alias("f")))
+    many = cuts.where(F.col("sets") > FEW)
     # a lead stands in for the first half of its own prefix, wherever it holds the token
     leads = many.where(F.array_contains("leads", F.col("f.rid"))).select(*on, F.col("f").withField("half", F.lit(True)).alias("f"))
     others = many.select(*on, F.col("f").withField("half", F.array_contains("leads", F.col("f.rid"))).alias("f"))
