@@ -85,23 +85,23 @@ class Merges:
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each (non-empty) word, packed as little-endian unsigned 32-bit integers."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(lengths, kind="stable")
+        lengths = lengths[order]
+        sorted_words, made = [words[k] for k in order.tolist()], []
+        short = int(np.searchsorted(lengths, LONG, side="right"))
+        at = 0
+        while at < short:  # a few thousand words of one length at a time
+            n = int(lengths[at])
+            end = min(int(np.searchsorted(lengths, n, side="right")), at + 4096)
+            ids, counts = self._by_scan(b"".join(sorted_words[at:end]), end - at, n)
+            packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            made += [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            at = end
+        made += map(self._by_heap, sorted_words[short:])
         out: list[bytes] = [b""] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        for n, rows in by_length.items():
-            if n > LONG:
-                for k in rows:
-                    out[k] = self._by_heap(words[k])
-            else:
-                for at in range(0, len(rows), 4096):
-                    some = rows[at : at + 4096]
-                    ids, counts = self._by_scan(b"".join([words[k] for k in some]), len(some), n)
-                    packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-                    start = 0
-                    for k, end in zip(some, ends, strict=True):
-                        out[k] = packed[start:end]
-                        start = end
+        for k, ids in zip(order.tolist(), made, strict=True):
+            out[k] = ids
         return out
 
     def _by_scan(self, joined: bytes, m: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from loomwright.llm.bpe_core import Merges
 from loomwright.llm.common import scratch_path
 
 #: Pieces of text that one Python worker remembers at most; the memory is emptied when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Row groups of 16 MB and pages of 256 kB or 5 000 rows.
 FORMAT = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -77,9 +77,9 @@ class Pieces:
             new.update(x)
         plain, marked, others = [], [], []
         for p in new - self.known.keys():
-            if p.isalpha() and max(p) < self.PLAIN:
-                plain.append(p)
-            elif len(p) > 1 and p[-1] in ",.;:!?" and p[:-1].isalpha() and max(p) < self.PLAIN:
+            if p.isalpha():
+                (plain if p.isascii() or max(p) < self.PLAIN else others).append(p)
+            elif len(p) > 1 and p[-1] in ",.;:!?" and p[:-1].isalpha() and (p.isascii() or max(p) < self.PLAIN):
                 marked.append(p)
             else:
                 others.append(p)
@@ -106,8 +106,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int, key
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         pieces = Pieces.warm(spec.value, end)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 packed = pieces.encode([t or "" for t in part.column("text").to_pylist()])
                 counts = np.array([len(x) // 4 for x in packed], dtype=np.int64)
                 ids = pa.array(np.frombuffer(b"".join(packed), dtype="<i4"))
@@ -146,7 +146,9 @@ def summarize_token_files(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), "key", "tokens")
     rows = read.mapInArrow(work, f"file string, at long, key {kind}, n_tokens long, ids_crc32 long")
     sizes = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), "n_tokens").groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = sizes.select("file", (F.sum("tokens").over(Window.orderBy("file")) - F.col("tokens")).alias("before"))
+    # names hold the partition's number, of five digits or more
+    number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    before = sizes.select("file", (F.sum("tokens").over(Window.orderBy(number, "file")) - F.col("tokens")).alias("before"))
     within = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.join(before, "file")
