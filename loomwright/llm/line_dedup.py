@@ -57,7 +57,8 @@ class LineRuns:
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         dealt = df.select("a", "b", "docs", "top").repartition(self.buckets, "a", "b")  # no shuffle of its own if df lies so already
-        dealt.write.format("parquet").bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", f"{self.home}/{name}").saveAsTable(name)
+        # hashes don't get smaller by compression, and its buffers outside the heap would pile up over many small files
+        dealt.write.format("parquet").option("compression", "uncompressed").bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", f"{self.home}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:
