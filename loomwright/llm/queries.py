@@ -75,10 +75,12 @@ split AS (
          regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*', 0)) + 1), '^[^?#]*', 0) AS path
   FROM rests),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
-hosts AS (
-  SELECT host, regexp_extract(host, '[^.]*$', 0) AS suffix, regexp_extract(host, '([^.]*[.])?[^.]*$', 0) AS domain,
-         count(*) AS trials, sum(bad) AS bad
-  FROM split JOIN marks ON page_id = doc_id GROUP BY host),
+bare AS (SELECT page_id, host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM split),
+named AS (
+  SELECT page_id, host, CASE WHEN twice THEN regexp_extract(bare, '[^.]*[.][^.]*$', 0) ELSE regexp_extract(bare, '[^.]*$', 0) END AS suffix,
+         CASE WHEN twice THEN regexp_extract(bare, '([^.]*[.])?[^.]*[.][^.]*$', 0) ELSE regexp_extract(bare, '([^.]*[.])?[^.]*$', 0) END AS domain
+  FROM (SELECT *, regexp_matches(bare, '(^|[.])(ac|co|com|edu|go|gov|ne|net|or|org)[.][a-z]{2}$') AS twice FROM bare) x),
+hosts AS (SELECT host, suffix, domain, count(*) AS trials, sum(bad) AS bad FROM named JOIN marks ON page_id = doc_id GROUP BY host, suffix, domain),
 domains AS (SELECT suffix, domain, sum(trials) AS trials, sum(bad) AS bad FROM hosts GROUP BY suffix, domain),
 suffixes AS (SELECT suffix, sum(trials) AS trials, sum(bad) AS bad FROM domains GROUP BY suffix),
 moments AS (
@@ -91,7 +93,13 @@ strengths AS (
   FROM moments),
 s AS (SELECT suffix, (bad + strength * rate) / (trials + strength) AS m FROM suffixes, strengths WHERE level = 's'),
 d AS (SELECT domain, (bad + strength * s.m) / (trials + strength) AS m FROM domains JOIN s USING (suffix), strengths WHERE level = 'd'),
-h AS (SELECT host, (bad + strength * d.m) / (trials + strength) AS m, trials + strength AS total FROM hosts JOIN d USING (domain), strengths WHERE level = 'h'),
+priors AS (
+  SELECT asked.host, coalesce(trials, 0) AS trials, coalesce(bad, 0) AS bad, coalesce(d.m, s.m, corpus) AS prior,
+         CASE WHEN d.m IS NOT NULL THEN of_h WHEN s.m IS NOT NULL THEN least(of_h, of_d) ELSE least(of_h, of_d, of_s) END AS strength
+  FROM (SELECT DISTINCT host, suffix, domain FROM named) asked LEFT JOIN hosts USING (host) LEFT JOIN d ON d.domain = asked.domain LEFT JOIN s ON s.suffix = asked.suffix,
+       (SELECT max(strength) FILTER (level = 'h') AS of_h, max(strength) FILTER (level = 'd') AS of_d, max(strength) FILTER (level = 's') AS of_s,
+               max(rate) FILTER (level = 's') AS corpus FROM strengths) t),
+h AS (SELECT host, (bad + strength * prior) / (trials + strength) AS m, trials + strength AS total FROM priors),
 blocked AS (SELECT host FROM h WHERE m - 1.645 * sqrt(m * (1 - m) / (total + 1)) > 0.5),
 rules(says, of, start) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 fits AS (
