@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 3
-#: Documents to learn from, of each language (the first by a hash of their keys), the longest in code points that is
-#: learnt from (whole), and the most languages (those with most documents).
+#: Defaults of the parameters that bound what is learnt from: documents of each language (the first by a hash of their keys and
+#: texts), and the code points of one.
 SAMPLE, LONGEST = 600, 20_000
 CERTAIN = 40
 PAD = 32  # a blank stands before each text
@@ -123,22 +123,23 @@ def fold_bytes(t: bytes) -> np.ndarray:
     return np.frombuffer(t.lower().replace(b"\n", b" "), dtype=np.uint8)
 
 
-def learn(docs: DataFrame, learnt_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Trees:
-    """Trees from at most `sample` documents per language, of the rows where learnt_from holds.
+def learn(docs: DataFrame, learnt_from: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE, longest: int = LONGEST) -> Trees:
+    """Trees of every language, from at most `sample` documents of each, of the rows where learnt_from holds.
 
-    Counts give each language's share of the hash range, so that no language's rows meet in one task; what is
-    collected of a language is bounded by sample and LONGEST. A language all of whose texts are longer than LONGEST is learnt from their beginnings.
+    Counts give each language's share of the hash range, so that no language's rows meet in one task. Rows that share a key are
+    drawn one by one, by their texts, and rows alike count once, so what is collected of a language is bounded by sample and longest.
+    Texts over `longest` code points are learnt from only where a language has no others, and then from their beginnings.
     """
-    rows = docs.where(learnt_from & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(key)).alias("h"), F.col(text).cast("string").alias("text"))
-    rows = rows.where(F.col("text").isNotNull())
-    short = F.length("text") <= LONGEST
+    rows = docs.where(learnt_from & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
+    rows = rows.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("k", "text"))
+    short = F.length("text") <= longest
     counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("n"))
     n = F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n"))
     place = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    met = rows.join(F.broadcast(counts.select("lang", "short", (F.lit(1.2 * sample + 20) / n).alias("share"))), "lang")
-    cut = met.where((place < F.col("share")) & (short | (F.col("short") == 0))).select("lang", place.alias("p"), F.substring("text", 1, LONGEST).alias("text"))
+    met = rows.join(F.broadcast(counts.select("lang", "short", (F.lit(1.2 * sample + 20) / n).alias("share"))), "lang")  # one row a language
+    cut = met.where((place < F.col("share")) & (short | (F.col("short") == 0))).select("lang", place.alias("p"), F.substring("text", 1, longest).alias("text"))
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(cut.collect(), key=lambda r: (r["p"], r["text"])):
+    for r in sorted(cut.distinct().collect(), key=lambda r: (r["p"], r["text"])):
         if len(mine := samples.setdefault(r["lang"], [])) < sample:
             mine.append(r["text"].encode())
     return Trees(samples)

@@ -5,8 +5,9 @@ the two words are the same, each hashed to one of 2**BITS weights. Every occurre
 occurrences), so a score is one sparse dot product. Words are cut at white space.
 
 Null and empty texts have the bias alone. Labels of documents that aren't there, null labels and null keys teach
-nothing; several labels of one document count as the lowest. Without labels every score is 0.5. Repeated rows are
-scored each; an empty table gives an empty result; extra columns are ignored.
+nothing; several labels of one document count as the lowest. Of rows that share a labelled key, one text teaches: the first by its
+hash. Ties in the order of learning are broken by the texts. Without labels every score is 0.5. Repeated rows are
+scored each; very long texts are scored whole; an empty table gives an empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 18
-#: Labelled documents to learn from, about (a share of the hash range of their keys), the longest in code points of them, and rounds over them.
+#: Defaults of the parameters that bound what is learnt from: labelled documents, about (a share of the hash range of their keys), and the
+#: longest of them in code points. Rounds over them.
 SAMPLE, LONGEST, ROUNDS = 6000, 40_000, 3
 #: Of the learner: rate, smoothing, and the weights of the absolute and the squared penalty.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
@@ -32,7 +34,7 @@ _KINDS = str.maketrans({**{c: "a" for c in map(chr, range(97, 123))}, **{c: "A"
 def shape(word: str) -> str:
     """Runs of letters, capitals and digits by one sign each; marks stay, runs of one mark shortened to two."""
     out = []
-    for c in word[:40].translate(_KINDS):
+    for c in word.translate(_KINDS):
         c = ("A" if c.isupper() else "a") if c.isalpha() else c
         if not (out and out[-1] == c and (c in "aA0" or len(out) > 1 and out[-2] == c)):
             out.append(c)
@@ -110,14 +112,16 @@ def train(texts: list[str], labels: list[int]) -> np.ndarray:
     return leader.weights().astype(np.float32)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """Weights from about `sample` labelled documents; the bounded sample meets in one task, which returns the weights."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> np.ndarray:
+    """Weights from about `sample` labelled documents of at most `longest` code points; they meet in one task, which returns the weights."""
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).alias("y"))
     n = marks.count()
     place = F.pmod(F.xxhash64("k"), F.lit(1 << 30))
     some = marks.where(place < int(min(1.0, sample / max(n, 1)) * (1 << 30))).withColumn("p", place)
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).join(F.broadcast(some), "k")  # some: about `sample` rows, by the share
-    rows = rows.where(F.length(F.coalesce("t", F.lit(""))) <= LONGEST)
+    rows = rows.where(F.length(F.coalesce("t", F.lit(""))) <= longest)
+    first = F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("first")
+    rows = rows.groupBy("k", "p", "y").agg(first).select("p", "y", F.col("first.t").alias("t"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sorted((p, t or "", y) for b in batches for p, t, y in zip(*(b.column(c).to_pylist() for c in ("p", "t", "y")), strict=True))
@@ -138,9 +142,9 @@ def score_texts(features: Features, w: np.ndarray, texts: list[str]) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(sums + w[-1], -35, 35)))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
     """Per row: key and score, the probability of label 1. labels: those to learn from."""
-    weights = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label, sample))
+    weights = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label, sample, longest))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(), weights.value
