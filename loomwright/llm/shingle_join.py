@@ -45,6 +45,8 @@ LEADS = 4
 #: Postings of a block of a token's group.
 BLOCK = 1000
 REMEMBERED = 300_000
+#: Numbers that are broadcast at most.
+BROADCAST = 500_000
 #: Bits of the filter by which documents to verify are picked out before their sets are built.
 PICK_BITS = 1 << 23
 
@@ -188,6 +190,11 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _small(numbers: DataFrame) -> DataFrame:
+    """A saved table of one number a row, to be broadcast if its rows, which are counted, are at most BROADCAST."""
+    return F.broadcast(numbers) if numbers.count() <= BROADCAST else numbers
+
+
 def _candidates(left: DataFrame, right: DataFrame, on: list[str], percent: int, also: Column | None = None) -> DataFrame:
     """(x, y) of rids that share a posting, by sizes and what stands before it. Postings hold f: rid, n, pos, half, and perhaps bits."""
     n, m = F.col("x.n"), F.col("y.n")
@@ -202,15 +209,20 @@ class _Join:
     def __init__(self, docs: DataFrame, prefixes: DataFrame, width: int, percent: int):
         self.docs, self.prefixes, self.width, self.percent = docs, prefixes, width, percent
 
+    def _met(self, pairs: DataFrame, *facts: str) -> DataFrame:
+        """pairs with structs x_ and y_ of these facts of their sets; prefixes that no pair names aren't shuffled if those named are few."""
+        rids = saved(pairs.select(F.col("x").alias("rid")).unionByName(pairs.select(F.col("y").alias("rid"))).distinct(), "pair-rids")
+        own = saved(self.prefixes.select("rid", F.struct(*facts).alias("f")).join(_small(rids), "rid", "left_semi"), "pair-facts")
+        side = lambda c: own.withColumnsRenamed({"rid": c, "f": f"{c}_"})
+        return pairs.join(side("x"), "x").join(side("y"), "y")
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """pairs: (x, y) of rids. Those that link, by the bitmaps, the other orders, and at last the whole sets; as (x, y) of sids."""
         spark, percent = self.docs.sparkSession, self.percent
         pairs = saved(pairs.distinct(), "pairs")
-        side = lambda c, *of: self.prefixes.select(F.col("rid").alias(c), F.struct(*of).alias(f"{c}_"))
-        near = pairs.join(side("x", "n", "bits"), "x").join(side("y", "n", "bits"), "y").where(_alike("x_", "y_", percent))
+        near = self._met(pairs, "n", "bits").where(_alike("x_", "y_", percent))
         near = saved(near.select("x", "y"), "pairs-alike")
-        both = near.join(side("x", "sid", "p", "p2", "p3"), "x").join(side("y", "sid", "p", "p2", "p3"), "y")
-        both = both.where(F.arrays_overlap("x_.p2", "y_.p2") & F.arrays_overlap("x_.p3", "y_.p3"))
+        both = self._met(near, "sid", "p", "p2", "p3").where(F.arrays_overlap("x_.p2", "y_.p2") & F.arrays_overlap("x_.p3", "y_.p3"))
         left = saved(both.select(F.col("x_.sid").alias("x"), F.col("y_.sid").alias("y"), F.col("x_.p").alias("px"), F.col("y_.p").alias("py")), "pairs-left")
         discard(pairs, near)
 
@@ -268,7 +280,7 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     again = saved(prefixes.select("sid", "rid").join(first, "sid").where(F.col("rid") != F.col("first")).select("rid"), "sets-again")
 
     # postings of the first order, of tokens that several sets have, one of them in the first half of its prefix, and of which two can link by size
-    posts = prefixes.select("rid", F.col("n").cast("int").alias("n"), "p1").join(again, "rid", "left_anti").select("rid", "n", F.posexplode("p1").alias("pos", "token"))
+    posts = prefixes.select("rid", F.col("n").cast("int").alias("n"), "p1").join(_small(again), "rid", "left_anti").select("rid", "n", F.posexplode("p1").alias("pos", "token"))
     half = 2 * percent * F.col("pos") <= (100 - percent) * F.col("n")
     tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max(half).alias("half"), F.min("n").alias("least"), F.max("n").alias("most"))
     some = (F.col("sets") > 1) & F.col("half") & ((F.col("sets") > 2) | (100 * F.col("least") >= percent * F.col("most")))
