@@ -47,7 +47,8 @@ class LineRuns:
         self.spark, self.home, self.fanout = spark, home, fanout
         held = json.loads(read_text(spark, f"{home}/manifest.json") or "{}")
         self.kind = held.get("kind", kind)
-        self.buckets: int = held.get("buckets") or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # keys are a small part of their texts: a quarter of the shuffle's partitions, and so of the files of each run
+        self.buckets: int = held.get("buckets") or -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
         self.levels: list[list[str]] = held.get("levels", [])
         self.updates: list[str] = held.get("updates", [])
         self.batches: list[str] = held.get("batches", [])

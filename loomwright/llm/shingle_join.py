@@ -190,9 +190,9 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return (100 + percent) * apart <= (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
-def _small(numbers: DataFrame) -> DataFrame:
-    """A saved table of one number a row, to be broadcast if its rows, which are counted, are at most BROADCAST."""
-    return F.broadcast(numbers) if numbers.count() <= BROADCAST else numbers
+def _small(numbers: DataFrame, most: int) -> DataFrame:
+    """Numbers, at most so many as was counted, to be broadcast if that is within BROADCAST."""
+    return F.broadcast(numbers) if most <= BROADCAST else numbers
 
 
 def _candidates(left: DataFrame, right: DataFrame, on: list[str], percent: int, also: Column | None = None) -> DataFrame:
@@ -211,8 +211,8 @@ class _Join:
 
     def _met(self, pairs: DataFrame, *facts: str) -> DataFrame:
         """pairs with structs x_ and y_ of these facts of their sets; prefixes that no pair names aren't shuffled if those named are few."""
-        rids = saved(pairs.select(F.col("x").alias("rid")).unionByName(pairs.select(F.col("y").alias("rid"))).distinct(), "pair-rids")
-        own = saved(self.prefixes.select("rid", F.struct(*facts).alias("f")).join(_small(rids), "rid", "left_semi"), "pair-facts")
+        rids = pairs.select(F.col("x").alias("rid")).unionByName(pairs.select(F.col("y").alias("rid"))).distinct()
+        own = self.prefixes.select("rid", F.struct(*facts).alias("f")).join(_small(rids, 2 * pairs.count()), "rid", "left_semi")
         side = lambda c: own.withColumnsRenamed({"rid": c, "f": f"{c}_"})
         return pairs.join(side("x"), "x").join(side("y"), "y")
 
@@ -280,7 +280,7 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     again = saved(prefixes.select("sid", "rid").join(first, "sid").where(F.col("rid") != F.col("first")).select("rid"), "sets-again")
 
     # postings of the first order, of tokens that several sets have, one of them in the first half of its prefix, and of which two can link by size
-    posts = prefixes.select("rid", F.col("n").cast("int").alias("n"), "p1").join(_small(again), "rid", "left_anti").select("rid", "n", F.posexplode("p1").alias("pos", "token"))
+    posts = prefixes.select("rid", F.col("n").cast("int").alias("n"), "p1").join(_small(again, again.count()), "rid", "left_anti").select("rid", "n", F.posexplode("p1").alias("pos", "token"))
     half = 2 * percent * F.col("pos") <= (100 - percent) * F.col("n")
     tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max(half).alias("half"), F.min("n").alias("least"), F.max("n").alias("most"))
     some = (F.col("sets") > 1) & F.col("half") & ((F.col("sets") > 2) | (100 * F.col("least") >= percent * F.col("most")))
