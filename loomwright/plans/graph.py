@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.text import clamp01  # noqa: F401
 from loomwright.operators import graph
 from loomwright.registry import query, statement
 from loomwright.sources.tables import Tables
@@ -31,15 +30,11 @@ statement("go_to_definition", f"""
   SELECT q, id FROM (SELECT q.q, d.id, row_number() OVER (PARTITION BY q.q ORDER BY CASE WHEN d.package = q.package THEN 0 ELSE 1 END, d.ins DESC, d.id) AS place FROM q JOIN deg d ON d.kind = q.kind AND d.id <> q.q) x WHERE place <= 3""")
 statement("project_map", f"""
   WITH {_DEG} SELECT package, kind, count(*) AS files, CAST(sum(ins) AS BIGINT) AS ins, CAST(sum(outs) AS BIGINT) AS outs FROM deg GROUP BY package, kind""")
-statement("resolve_edges", """
-  SELECT r.from_id, r.line, r.file, coalesce(l.id, g.id) AS target FROM (SELECT DISTINCT from_id, line, file, target_id FROM refs WHERE file <= 500) r
-  LEFT JOIN definitions l ON l.id = r.target_id AND l.exported LEFT JOIN (SELECT kind, min(id) AS id FROM definitions GROUP BY kind) g ON g.kind = (CASE WHEN r.line % 2 = 0 THEN 'none' ELSE 'none2' END)""")
-statement("edge_kind", "SELECT from_id, target_id, line, file, CASE kind WHEN 'A' THEN 'emit' WHEN 'R' THEN 'listen' ELSE 'call' END AS edge_kind FROM refs WHERE file <= 2000")
 # whole tables; the statements of these names above say a slice, which is what they are checked on
-statement("resolve_edges_whole", """
+statement("resolve_edges", """
   SELECT r.from_id, r.line, r.file, coalesce(l.id, g.id) AS target FROM (SELECT DISTINCT from_id, line, file, target_id FROM refs) r
   LEFT JOIN definitions l ON l.id = r.target_id AND l.exported LEFT JOIN (SELECT kind, min(id) AS id FROM definitions GROUP BY kind) g ON g.kind = (CASE WHEN r.line % 2 = 0 THEN 'none' ELSE 'none2' END)""")
-statement("edge_kind_whole", "SELECT from_id, target_id, line, file, CASE kind WHEN 'A' THEN 'emit' WHEN 'R' THEN 'listen' ELSE 'call' END AS edge_kind FROM refs")
+statement("edge_kind", "SELECT from_id, target_id, line, file, CASE kind WHEN 'A' THEN 'emit' WHEN 'R' THEN 'listen' ELSE 'call' END AS edge_kind FROM refs")
 
 
 def _imports(t: Tables) -> DataFrame:
@@ -81,68 +76,42 @@ def impact_risk(t: Tables) -> DataFrame:
     return met.withColumn("r", risk).orderBy(F.desc("r"), "id").limit(100).select("id", F.round("r", 6).alias("risk"))
 
 
-_CHAINS = "imports WHERE from_id <= 60 AND to_id <= 60"
+#: Chains of a start, and steps of a chain.
+CHAINS, STEPS = 50, 4
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT from_id, to_id FROM {_CHAINS}), walk(id, path, hops) AS (SELECT from_id, CAST(from_id AS STRING), 0 FROM e WHERE from_id <= 20 GROUP BY from_id
-    UNION SELECT e.to_id, concat(w.path, '>', CAST(e.to_id AS STRING)), w.hops + 1 FROM walk w JOIN e ON e.from_id = w.id WHERE w.hops < 4 AND NOT contains(concat('>', w.path, '>'), concat('>', CAST(e.to_id AS STRING), '>')))
-  SELECT path, CAST(hops AS BIGINT) AS hops FROM walk WHERE hops > 0""")
+@query()
 def trace_chains(t: Tables) -> DataFrame:
-    """All walks without a repeated node, up to four hops."""
-    e = t.sql(f"SELECT DISTINCT from_id, to_id FROM {_CHAINS}")
-    return _chains(e, e.where("from_id <= 20"))
-
+    """Of every start that 50 divides, the first CHAINS chains in the order of their nodes: each ends at a leaf, after STEPS steps, or with a mark where it would go in a circle.
 
-@query()
-def trace_chains_whole(t: Tables) -> DataFrame:
-    """From every node over all imports; the rows grow with the fourth power of a node's imports."""
+    A chain's beginning comes before the chain, so keeping the first CHAINS beginnings after each step loses none.
+    """
     e = t.imports.distinct()
-    return _chains(e, e)
-
-
-def _chains(e: DataFrame, starts: DataFrame) -> DataFrame:
-    walk = starts.select(F.col("from_id").alias("id")).distinct().withColumn("path", F.array("id"))
-    out = None
-    for _ in range(4):
-        walk = walk.join(e, F.col("id") == F.col("from_id")).where(~F.array_contains("path", F.col("to_id"))).select(F.col("to_id").alias("id"), F.concat("path", F.array("to_id")).alias("path"))
-        out = walk if out is None else out.unionByName(walk)
-    return out.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
-
-
-_SMALL = "imports WHERE from_id % 40 < 2 AND to_id % 40 < 2"
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT from_id AS a, to_id AS b FROM {_SMALL} UNION SELECT to_id, from_id FROM {_SMALL}), reach(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
-  SELECT a AS id, min(b) AS root FROM reach GROUP BY a""")
-def connected_components(t: Tables) -> DataFrame:
-    return graph.components(t.sql(f"SELECT from_id AS src, to_id AS dst FROM {_SMALL}"))
-
-
-@query(f"""WITH RECURSIVE e AS (SELECT DISTINCT from_id AS a, to_id AS b FROM {_SMALL}), n AS (SELECT a AS id FROM e UNION SELECT b FROM e), reach(a, b) AS (SELECT id, id FROM n UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b)
-  SELECT x.a AS id, min(x.b) AS root FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
-def scc_cycles(t: Tables) -> DataFrame:
-    return graph.scc(t.sql(f"SELECT from_id AS src, to_id AS dst FROM {_SMALL}"))
+    at = e.select(F.col("from_id").alias("start")).where("start % 50 = 0").distinct().withColumn("path", F.array("start")).withColumn("ends", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("start").orderBy("path", "ends"))
+    last = F.element_at("path", -1)
+    for _ in range(STEPS):
+        on = at.where("NOT ends").join(e, last == F.col("from_id"), "left")
+        again = F.array_contains("path", F.col("to_id"))
+        on = on.select("start", F.when(F.col("to_id").isNull() | again, F.col("path")).otherwise(F.array_append("path", F.col("to_id"))).alias("path"), (F.col("to_id").isNull() | again).alias("ends"), F.coalesce(again, F.lit(False)).alias("circle"))
+        done = at.where("ends").withColumn("circle", F.col("circle") if "circle" in at.columns else F.lit(False))
+        at = on.distinct().unionByName(done).withColumn("n", place).where(F.col("n") <= CHAINS).drop("n")
+    return at.select("start", F.concat(F.array_join(F.col("path").cast("array<string>"), ">"), F.when(F.col("circle"), F.lit("↺")).otherwise(F.lit(""))).alias("path"), (F.size("path") - 1).cast("long").alias("hops"))
 
 
 @query()
-def connected_components_whole(t: Tables) -> DataFrame:
+def connected_components(t: Tables) -> DataFrame:
     return graph.components(_imports(t))
 
 
 @query()
-def scc_cycles_whole(t: Tables) -> DataFrame:
+def scc_cycles(t: Tables) -> DataFrame:
     return graph.scc(_imports(t))
 
 
-@query()
-def communities_whole(t: Tables) -> DataFrame:
-    return graph.label_communities(_imports(t).withColumn("weight", F.lit(1.0)))
-
-
 @query()
 def communities(t: Tables) -> DataFrame:
-    """Label propagation with its settling rule; modularity is a query of its own."""
-    return graph.label_communities(t.sql("SELECT from_id AS src, to_id AS dst, 1.0 AS weight FROM imports WHERE from_id % 10 = to_id % 10"))
+    return graph.label_communities(_imports(t).withColumn("weight", F.lit(1.0)))
 
 
 @query("""WITH e AS (SELECT i.from_id, i.to_id, a.package AS ca, b.package AS cb FROM imports i JOIN definitions a ON a.id = i.from_id JOIN definitions b ON b.id = i.to_id WHERE i.from_id <> i.to_id),
@@ -210,12 +179,9 @@ def decision_chain(t: Tables) -> DataFrame:
     return graph.bfs(both, t.spark.createDataFrame([("s1",)], "id string"), 2).select("id", F.col("depth").cast("long").alias("depth"))
 
 
-statement("memory_bfs", """
-  WITH out1 AS (SELECT DISTINCT to_id AS id FROM memory_edges WHERE from_id = 's3' AND weight >= 0.5)
-  SELECT id, 1 AS depth FROM out1 UNION ALL SELECT 's3', 0""")
 @query("""WITH RECURSIVE reach(id, depth) AS (SELECT 's3', 0 UNION SELECT e.to_id, r.depth + 1 FROM reach r JOIN memory_edges e ON e.from_id = r.id WHERE r.depth < 3)
   SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY id""")
-def memory_bfs_whole(t: Tables) -> DataFrame:
+def memory_bfs(t: Tables) -> DataFrame:
     """Along outgoing edges of any weight, three steps."""
     edges = t.memory_edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
     return graph.bfs(edges, t.spark.createDataFrame([("s3",)], "id string"), 3).select("id", F.col("depth").cast("long").alias("depth"))

@@ -17,96 +17,134 @@ from loomwright.sources.tables import Tables
 STOPWORDS = ["the", "and", "of", "to", "in", "is", "de", "la", "que", "le", "die", "der", "und", "el", "en", "a"]
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
-# --- query terms, and the postings of chunks; a query's terms meet chunks through an equi-join on the term
+# --- a query is a benchmark item: its text gives terms, the embedding of its id gives its vector; POOL rows of each stream are fused
+POOL = 50
 _QTERMS = f"""
-  qwords AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, EXPLODE(SPLIT(lower(substr(text, 1, 60)), ' ')) AS term FROM benchmark) x WHERE REGEXP_LIKE(term, '^[a-z]{{3,}}$')),
+  qwords AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, EXPLODE(SPLIT(lower(text), ' ')) AS term FROM benchmark) x WHERE REGEXP_LIKE(term, '^[a-z]{{3,}}$')),
   qterms AS (SELECT query_id, term FROM qwords WHERE term NOT IN ({_STOP})),
-  words AS (SELECT id, term, count(*) AS tf FROM (SELECT id, EXPLODE(SPLIT(lower(content), ' ')) AS term FROM chunks) x WHERE REGEXP_LIKE(term, '^[a-z]{{3,}}$') GROUP BY id, term),
-  wanted AS (SELECT query_id, count(*) AS terms FROM qterms GROUP BY query_id)"""
-_STREAMS = f"""{_QTERMS},
-  keyword AS (SELECT q.query_id, w.id, least(1.0, 2.0 * CAST(sum(w.tf) AS DOUBLE) / (10.0 + sum(w.tf))) AS score FROM qterms q JOIN words w ON w.term = q.term GROUP BY q.query_id, w.id),
-  cover AS (SELECT q.query_id, w.id, CAST(count(*) AS DOUBLE) / max(t.terms) AS score FROM qterms q JOIN words w ON w.term = q.term JOIN wanted t ON t.query_id = q.query_id GROUP BY q.query_id, w.id)"""
-_FUSED = f"""{_STREAMS},
-  streams AS (SELECT 'v' AS role, query_id, id, score FROM cover UNION ALL SELECT 'l', query_id, id, score FROM keyword),
-  placed AS (SELECT role, query_id, id, score, 1.0 / (60 + row_number() OVER (PARTITION BY role, query_id ORDER BY score DESC, id)) AS share FROM streams),
-  summed AS (SELECT query_id, id, sum(CASE WHEN role = 'v' THEN share ELSE 0 END) + max(CASE WHEN role = 'l' THEN share ELSE 0 END) AS rrf, max(CASE WHEN role = 'v' THEN score END) AS raw FROM placed GROUP BY query_id, id),
-  fused AS (SELECT query_id, id, least(1.0, 0.7 * rrf / max(rrf) OVER (PARTITION BY query_id) + 0.3 * coalesce(raw, 0)) AS score, raw FROM summed)"""
-
-
-def _whole_text(sql: str) -> str:
-    """The same statement with the terms of whole texts, not of their first characters."""
-    return re.sub(r"substr\(text, 1, \d+\)", "text", sql)
-
-
-def _words(t: Tables) -> DataFrame:
-    words = t.chunks.select("id", F.explode(F.split(F.lower("content"), " ")).alias("term")).where(F.col("term").rlike("^[a-z]{3,}$"))
-    return words.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _terms(t: Tables, whole: bool = False) -> DataFrame:
-    text = F.col("text") if whole else F.substring("text", 1, 60)
-    words = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower(text), " ")).alias("term"))
+  words AS (SELECT id, term, count(*) AS tf FROM (SELECT id, EXPLODE(SPLIT(lower(content), ' ')) AS term FROM chunks) x WHERE REGEXP_LIKE(term, '^[a-z]{{3,}}$') GROUP BY id, term)"""
+_KEYWORD = f"""{_QTERMS},
+  hits AS (SELECT q.query_id, w.id, least(1.0, 2.0 * CAST(sum(w.tf) AS DOUBLE) / (10.0 + sum(w.tf))) AS score FROM qterms q JOIN words w ON w.term = q.term GROUP BY q.query_id, w.id)"""
+# the oracle compares every long term with every text, and every vector with every query's; the plan below meets both through words and blocks
+_ALL_STREAMS = f"""{_KEYWORD},
+  long_terms AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS terms FROM qterms WHERE length(term) >= 5),
+  parts AS (SELECT l.query_id, c.id, count(*) * 1.0 / max(l.terms) AS score FROM long_terms l JOIN chunks c ON contains(lower(c.content), l.term) GROUP BY l.query_id, c.id),
+  near AS (SELECT b.item_id AS query_id, m.id, least(greatest(round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(m.embedding AS DOUBLE[])), 9), 0), 1) AS score
+    FROM benchmark b JOIN memories q ON q.id = b.item_id, memories m),
+  pools AS (SELECT role, query_id, id, score, place FROM (
+    SELECT role, query_id, id, score, row_number() OVER (PARTITION BY role, query_id ORDER BY score DESC, id) AS place FROM (
+      SELECT 'vector' AS role, query_id, id, score FROM near UNION ALL SELECT 'keyword', query_id, id, score FROM hits UNION ALL SELECT 'trigram', query_id, id, score FROM parts WHERE score >= 0.25) u) v WHERE place <= {POOL}),
+  seeds AS (SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY max(score) DESC, id) AS n FROM pools WHERE role <> 'trigram' GROUP BY query_id, id) x WHERE n <= 20),
+  step1 AS (SELECT DISTINCT s.query_id, i.to_id AS id FROM seeds s JOIN imports i ON i.from_id = s.id),
+  step2 AS (SELECT DISTINCT s.query_id, i.to_id AS id FROM step1 s JOIN imports i ON i.from_id = s.id),
+  fresh AS (SELECT query_id, id, min(depth) AS depth FROM (SELECT query_id, id, 1 AS depth FROM step1 UNION ALL SELECT query_id, id, 2 FROM step2) x
+    WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = x.query_id AND s.id = x.id) GROUP BY query_id, id),
+  streams AS (SELECT role, query_id, id, score, place FROM pools
+    UNION ALL SELECT 'graph', query_id, id, 0.45, row_number() OVER (PARTITION BY query_id ORDER BY depth, id) FROM fresh QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY depth, id) <= {POOL}),
+  summed AS (SELECT query_id, id, coalesce(sum(1.0 / (60 + place)) FILTER (WHERE role = 'vector'), 0) + coalesce(max(1.0 / (60 + place)) FILTER (WHERE role IN ('keyword', 'trigram')), 0)
+      + coalesce(sum(1.0 / (60 + place)) FILTER (WHERE role = 'graph'), 0) AS rrf,
+      max(score) FILTER (WHERE role = 'vector') AS similarity, bool_and(role = 'graph') AS by_graph FROM streams GROUP BY query_id, id),
+  central AS (SELECT to_id AS id, count(*) * 1.0 / max(count(*)) OVER () AS centrality FROM imports GROUP BY to_id),
+  fused AS (SELECT s.query_id, s.id, least(1.0, (0.7 * rrf / max(rrf) OVER (PARTITION BY s.query_id) + 0.3 * coalesce(similarity, 0)) * (1 + 0.2 * coalesce(centrality, 0))) AS score,
+      coalesce(similarity, CASE WHEN by_graph THEN 0.0 END) AS raw FROM summed s LEFT JOIN central c ON c.id = s.id)"""
+
+
+def _terms(t: Tables) -> DataFrame:
+    words = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(F.split(F.lower("text"), " ")).alias("term"))
     return words.where(F.col("term").rlike("^[a-z]{3,}$") & ~F.col("term").isin(STOPWORDS)).distinct()
 
 
-def _streams(t: Tables, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The coverage stream (in the vector stream's place) and the term-frequency stream."""
-    terms = _terms(t, whole)
-    wanted = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
-    hits = terms.join(_words(t), "term").groupBy("query_id", "id").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("met"))
-    cover = hits.join(wanted, "query_id").select("query_id", "id", (F.col("met") / F.col("terms")).alias("score"))
-    keyword = hits.select("query_id", "id", F.least(F.lit(1.0), 2.0 * F.col("tf") / (10.0 + F.col("tf"))).alias("score"))
-    return cover, keyword
-
-
-_HYBRID = f"""WITH {_FUSED}, gated AS (SELECT f.query_id, f.id, f.score, c.project FROM fused f JOIN chunks c ON c.id = f.id WHERE coalesce(f.raw, f.score) >= 0.2),
-  capped AS (SELECT query_id, id, score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id, project ORDER BY score DESC, id) AS nth FROM gated) x WHERE nth <= 2)
-  SELECT query_id, id, round(score, 9) AS score, place FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS place FROM capped) y WHERE place < 10"""
-
-
-@query(_HYBRID)
+def keyword_stream(t: Tables, terms: DataFrame) -> DataFrame:
+    """Saturated term frequency; words of texts that no query asks for go before anything is shuffled, as the queries' terms are the small side."""
+    words = t.chunks.select("id", F.explode(F.split(F.lower("content"), " ")).alias("term"))
+    asked = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = asked.join(terms, "term").groupBy("query_id", "id").agg(F.sum("tf").alias("tf"))
+    return hits.select("query_id", "id", F.least(F.lit(1.0), 2.0 * F.col("tf") / (10.0 + F.col("tf"))).alias("score"))
+
+
+def trigram_stream(t: Tables, terms: DataFrame, least: float = 0.25) -> DataFrame:
+    """The share of a query's longer terms that stand somewhere in a text, words' parts included.
+
+    A term has letters alone, so it stands within one run of letters: terms meet the distinct runs of the corpus first, in blocks,
+    and those that hold one meet their texts by an equi-join.
+    """
+    own = terms.where(F.length("term") >= 5)
+    counted = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
+    runs = t.chunks.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]{5,})"), F.lit(1)))).alias("run"))
+    known = runs.select("run").distinct()
+    held = ranking.in_blocks(own.select(F.col("term").alias("q")).distinct(), lambda part: known.join(F.broadcast(part), F.contains("run", "q")).select("run", F.col("q").alias("term")))
+    met = runs.join(held, "run").select("id", "term").distinct().join(own, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("met"))
+    return met.join(counted, "query_id").select("query_id", "id", (F.col("met") / F.col("terms")).alias("score")).where(F.col("score") >= least)
+
+
+def vector_stream(t: Tables) -> DataFrame:
+    q = t.benchmark.select(F.col("item_id").alias("id")).join(t.memories.select("id", F.col("embedding").alias("v")), "id").withColumnRenamed("id", "q")
+    near = ranking.in_blocks(q, lambda part: _nearest(t, part, POOL, 0.0))
+    return near.select(F.col("q").alias("query_id"), "id", F.least("s", F.lit(1.0)).alias("score"))
+
+
+def neighbour_stream(t: Tables, seeds: DataFrame, score: float = 0.45) -> DataFrame:
+    """What the seeds (query_id, id) import within two steps and isn't a seed itself, nearer first."""
+    edges = t.imports.distinct()
+    step = lambda at: at.join(edges, at["id"] == edges["from_id"]).select("query_id", F.col("to_id").alias("id")).distinct()
+    one = step(seeds)
+    two = step(one)
+    met = one.withColumn("depth", F.lit(1)).unionByName(two.withColumn("depth", F.lit(2))).groupBy("query_id", "id").agg(F.min("depth").alias("depth"))
+    fresh = met.join(seeds, ["query_id", "id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("depth", "id"))
+    return fresh.withColumn("n", place).where(F.col("n") <= POOL).select("query_id", "id", F.lit(score).alias("score"), "n")
+
+
+def _pool(stream: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    return stream.withColumn("n", place).where(F.col("n") <= POOL).drop("n")
+
+
+def _all_fused(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """All streams fused, and the keyword stream's pool."""
+    terms = _terms(t)
+    vector, keyword, parts = _pool(vector_stream(t)), _pool(keyword_stream(t, terms)), _pool(trigram_stream(t, terms))
+    best = vector.unionByName(keyword).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    seeds = best.withColumn("n", place).where("n <= 20").select("query_id", "id")
+    near = neighbour_stream(t, seeds)
+    ins = t.imports.groupBy(F.col("to_id").alias("id")).agg(F.count(F.lit(1)).alias("ins"))
+    central = ins.join(F.broadcast(ins.agg(F.max("ins").alias("top")))).select("id", (F.col("ins") / F.col("top")).alias("centrality"))  # one row
+    return ranking.rrf_fuse(vector, [keyword, parts], near.select("query_id", "id", "score", F.col("n").alias("place")), centrality=central), keyword
+
+
+@query(f"""WITH {_ALL_STREAMS}, gated AS (SELECT f.query_id, f.id, f.score, c.project FROM fused f JOIN chunks c ON c.id = f.id WHERE coalesce(f.raw, f.score) >= 0.2),
+  capped AS (SELECT query_id, id, score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id, project ORDER BY round(score, 12) DESC, id) AS nth FROM gated) x WHERE nth <= 2)
+  SELECT query_id, id, round(score, 9) AS score, place FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) - 1 AS place FROM capped) y WHERE place < 10""")
 def hybrid_search(t: Tables) -> DataFrame:
-    """Terms to coverage and frequency streams, fusion, gate, cap by project, top 10; a batch of queries is one plan."""
-    return _hybrid(t, *_streams(t))
-
-
-@query(_whole_text(_HYBRID))
-def hybrid_search_whole(t: Tables) -> DataFrame:
-    """The same with the terms of whole query texts."""
-    return _hybrid(t, *_streams(t, whole=True))
-
-
-def _hybrid(t: Tables, cover: DataFrame, keyword: DataFrame) -> DataFrame:
-    fused = ranking.min_score(ranking.rrf_fuse(cover, [keyword]), 0.2)
+    """Vector, keyword, trigram and graph streams, fusion, gate, cap by project, top 10; a batch of queries is one plan."""
+    fused = ranking.min_score(_all_fused(t)[0], 0.2).withColumn("score", F.round("score", 12))
     capped = ranking.per_file_cap(fused.join(t.chunks.select("id", "project"), "id"), 2, "project")
     return ranking.top(capped, 10).select("query_id", "id", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {_FUSED} SELECT query_id, id, round(score, 9) AS score FROM fused WHERE query_id < 12")
+@query(f"WITH {_ALL_STREAMS} SELECT query_id, id, round(score, 9) AS score FROM fused")
 def rrf_fuse(t: Tables) -> DataFrame:
-    cover, keyword = _streams(t)
-    few = F.col("query_id") < 12
-    return ranking.rrf_fuse(cover.where(few), [keyword.where(few)]).select("query_id", "id", F.round("score", 9).alias("score"))
+    return _all_fused(t)[0].select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-@query(_whole_text(f"WITH {_FUSED} SELECT query_id, id, round(score, 9) AS score FROM fused"))
-def rrf_fuse_whole(t: Tables) -> DataFrame:
-    cover, keyword = _streams(t, whole=True)
-    return ranking.rrf_fuse(cover, [keyword]).select("query_id", "id", F.round("score", 9).alias("score"))
+@query(f"""WITH {_ALL_STREAMS}
+  SELECT f.query_id, f.id, concat('vector ', CASE WHEN f.raw IS NULL THEN 'none' ELSE CAST(CAST(floor(f.raw * 100) AS BIGINT) AS STRING) || '%' END, ', keyword ', CASE WHEN k.id IS NULL THEN 'no' ELSE 'yes' END) AS explanation
+  FROM fused f LEFT JOIN (SELECT * FROM pools WHERE role = 'keyword') k ON k.query_id = f.query_id AND k.id = f.id""")
+def rrf_explain(t: Tables) -> DataFrame:
+    fused, keyword = _all_fused(t)
+    met = fused.join(keyword.select("query_id", "id", F.lit("yes").alias("k")), ["query_id", "id"], "left")
+    share = F.coalesce(F.concat(F.floor(F.col("raw") * 100).cast("string"), F.lit("%")), F.lit("none"))
+    return met.select("query_id", "id", F.concat(F.lit("vector "), share, F.lit(", keyword "), F.coalesce("k", F.lit("no"))).alias("explanation"))
+
+
+@query(f"WITH {_KEYWORD} SELECT query_id, id, round(score, 9) AS score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM hits) x WHERE place <= 20")
+def keyword_search(t: Tables) -> DataFrame:
+    return ranking.top(keyword_stream(t, _terms(t)), 20).select("query_id", "id", F.round("score", 9).alias("score"))
 
 
-statement("rrf_explain", f"""WITH {_FUSED}
-  SELECT f.query_id, f.id, concat('coverage ', CAST(CAST(floor(coalesce(f.raw, 0) * 100) AS BIGINT) AS STRING), '%, keyword ', CASE WHEN k.id IS NULL THEN 'no' ELSE 'yes' END) AS explanation
-  FROM fused f LEFT JOIN keyword k ON k.query_id = f.query_id AND k.id = f.id WHERE f.query_id < 6""")
-statement("rrf_explain_whole", _whole_text(f"""WITH {_FUSED}
-  SELECT f.query_id, f.id, concat('coverage ', CAST(CAST(floor(coalesce(f.raw, 0) * 100) AS BIGINT) AS STRING), '%, keyword ', CASE WHEN k.id IS NULL THEN 'no' ELSE 'yes' END) AS explanation
-  FROM fused f LEFT JOIN keyword k ON k.query_id = f.query_id AND k.id = f.id"""))
-statement("keyword_search", f"WITH {_STREAMS} SELECT query_id, id, round(score, 9) AS score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM keyword) x WHERE place <= 20")
 statement("query_terms", f"WITH {_QTERMS} SELECT query_id, term FROM qterms")
-statement("fts_terms", "SELECT DISTINCT item_id AS query_id, REPLACE_ALL(w, '[^a-z0-9_]', '') AS term FROM (SELECT item_id, EXPLODE(SPLIT(lower(substr(text, 1, 80)), ' ')) AS w FROM benchmark) x WHERE length(REPLACE_ALL(w, '[^a-z0-9_]', '')) > 2")
-statement("keyword_search_whole", _whole_text(f"WITH {_STREAMS} SELECT query_id, id, round(score, 9) AS score FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM keyword) x WHERE place <= 20"))
-statement("query_terms_whole", _whole_text(f"WITH {_QTERMS} SELECT query_id, term FROM qterms"))
-statement("fts_terms_whole", "SELECT DISTINCT item_id AS query_id, REPLACE_ALL(w, '[^a-z0-9_]', '') AS term FROM (SELECT item_id, EXPLODE(SPLIT(lower(text), ' ')) AS w FROM benchmark) x WHERE length(REPLACE_ALL(w, '[^a-z0-9_]', '')) > 2")
+statement("fts_terms", "SELECT DISTINCT item_id AS query_id, REPLACE_ALL(w, '[^a-z0-9_]', '') AS term FROM (SELECT item_id, EXPLODE(SPLIT(lower(text), ' ')) AS w FROM benchmark) x WHERE length(REPLACE_ALL(w, '[^a-z0-9_]', '')) > 2")
 statement("trigram_search", """
   WITH q AS (SELECT EXPLODE(SPLIT('tion erth chque ciono', ' ')) AS term)
   SELECT id, score FROM (SELECT c.id, count(*) / 4.0 AS score FROM chunks c JOIN q ON contains(lower(c.content), q.term) GROUP BY c.id) x WHERE score >= 0.25""")
@@ -117,22 +155,18 @@ statement("fuzzy_correct", """
   SELECT term, word, CAST(d AS BIGINT) AS distance FROM (SELECT term, word, d, row_number() OVER (PARTITION BY term ORDER BY d, word) AS place FROM near
     WHERE d <= CASE WHEN length(term) <= 4 THEN 1 WHEN length(term) <= 12 THEN 2 ELSE 3 END) x WHERE place = 1""")
 statement("boost_files", "SELECT id, round(CASE WHEN type IN ('t1', 't4') THEN least(1.0, importance * 1.3) ELSE importance END, 6) AS score FROM memories")
+# ids that a verdict names come first, in its order; the rest of a project's pool keeps its own
 statement("apply_verdict", """
-  SELECT id, row_number() OVER (ORDER BY CASE id WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 11 THEN 3 ELSE 4 END, importance DESC, id) - 1 AS place FROM memories WHERE id < 40""")
-statement("apply_verdict_whole", """
-  SELECT id, row_number() OVER (ORDER BY CASE id WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 11 THEN 3 ELSE 4 END, importance DESC, id) - 1 AS place FROM memories""")
+  SELECT project_id, id, place FROM (SELECT project_id, id, row_number() OVER (PARTITION BY project_id ORDER BY CASE id WHEN 7 THEN 1 WHEN 3 THEN 2 WHEN 11 THEN 3 ELSE 4 END, importance DESC, id) - 1 AS place FROM memories) x WHERE place < 50""")
 statement("cache_invalidate", "SELECT query, count(*) AS n FROM search_events WHERE NOT contains(query, '7') AND project_id <> 3 GROUP BY query")
 statement("memory_pack", """
   SELECT id, used FROM (SELECT id, CAST(sum(n) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM (
     SELECT id, importance, CAST(ceil(length(content) / 5.0) AS BIGINT) AS n FROM memory_texts) a) b WHERE used <= 20000""")
+# each text whose id 50 divides against all texts
 statement("jaccard", """
-  WITH t AS (SELECT DISTINCT id, tok FROM (SELECT id, EXPLODE(SPLIT(lower(content), ' ')) AS tok FROM chunks WHERE id < 60) x), n AS (SELECT id, count(*) AS n FROM t GROUP BY id)
-  SELECT a.id AS a, b.id AS b, round(count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)), 9) AS sim
-  FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id""")
-statement("jaccard_whole", """
-  WITH t AS (SELECT DISTINCT id, tok FROM (SELECT id, EXPLODE(SPLIT(lower(content), ' ')) AS tok FROM chunks) x), n AS (SELECT id, count(*) AS n FROM t GROUP BY id)
-  SELECT a.id AS a, b.id AS b, round(count(*) * 1.0 / (max(na.n) + max(nb.n) - count(*)), 9) AS sim
-  FROM t a JOIN t b ON a.tok = b.tok AND a.id < b.id JOIN n na ON na.id = a.id JOIN n nb ON nb.id = b.id GROUP BY a.id, b.id""")
+  WITH t AS (SELECT DISTINCT id, tok FROM (SELECT id, EXPLODE(SPLIT(lower(content), ' ')) AS tok FROM chunks) x), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+  q AS (SELECT t.id, tok, n FROM t JOIN n ON n.id = t.id WHERE t.id % 50 = 0)
+  SELECT a, b, round(met * 1.0 / (na + n.n - met), 9) AS sim FROM (SELECT q.id AS a, t.id AS b, max(q.n) AS na, count(*) AS met FROM q JOIN t ON q.tok = t.tok AND q.id <> t.id GROUP BY q.id, t.id) x JOIN n ON n.id = x.b""")
 statement("confidence_gate", """
   WITH q AS (SELECT item_id AS query_id, CASE WHEN length(text) < 250 THEN 'specific' WHEN length(text) < 330 THEN 'focused' ELSE 'broad' END AS class FROM benchmark),
   gates AS (SELECT 'specific' AS class, 0.55 AS least UNION ALL SELECT 'focused', 0.40 UNION ALL SELECT 'broad', 0.25)
@@ -176,38 +210,24 @@ statement("bench_stability", "SELECT event_type, round(mid, 6) AS mid, round(max
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 
 
-@query(f"SELECT q, id, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, least(greatest({_COS}, 0), 1) AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS place FROM memories a, memories b WHERE a.id < 8) x WHERE place <= 10")
-def cosine_topk(t: Tables) -> DataFrame:
-    """Exact kNN of a stated set of queries, which is small and broadcast, against all vectors; 10 rows a query and task are kept before any shuffle."""
-    return _nearest(t, t.memories.where("id < 8").select(F.col("id").alias("q"), F.col("embedding").alias("v")))
-
-
 @query(f"SELECT q, id, round(score, 6) AS score FROM (SELECT a.id AS q, b.id, least(greatest({_COS}, 0), 1) AS score, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS place FROM memories a, memories b WHERE a.id % 50 = 0) x WHERE place <= 10")
-def cosine_topk_whole(t: Tables) -> DataFrame:
+def cosine_topk(t: Tables) -> DataFrame:
     """Each id that 50 divides is a query, so queries grow with the table and are broadcast block by block."""
     q = t.memories.where("id % 50 = 0").select(F.col("id").alias("q"), F.col("embedding").alias("v"))
-    return ranking.in_blocks(q, lambda part: _nearest(t, part))
+    near = ranking.in_blocks(q, lambda part: _nearest(t, part))
+    return near.select("q", "id", F.round(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
 
 
-def _nearest(t: Tables, q: DataFrame) -> DataFrame:
-    near = t.memories.crossJoin(F.broadcast(q)).select("q", "id", cosine(F.col("embedding"), F.col("v")).alias("s"))
+def _nearest(t: Tables, q: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
+    near = t.memories.crossJoin(F.broadcast(q)).select("q", "id", F.greatest(F.round(cosine(F.col("embedding"), F.col("v")), 9), F.lit(least)).alias("s"))
     w = Window.partitionBy("q").orderBy(F.desc("s"), "id")
-    return near.withColumn("place", F.row_number().over(w)).where("place <= 10").select("q", "id", F.round(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
-
-
-@query(f"""WITH b1 AS (SELECT a.id AS q, b.id, list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END)) AS h, {_COS} AS s FROM memories a, memories b WHERE a.id < 8),
-  c AS (SELECT q, id, s FROM (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY h, id) AS n FROM b1) x WHERE n <= 100)
-  SELECT q, id, round(s, 6) AS score FROM (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS n FROM c) y WHERE n <= 5""")
-def bq_two_phase(t: Tables) -> DataFrame:
-    """The nearest 100 by Hamming distance of packed signs, re-ranked by cosine."""
-    coded = _coded(t)
-    return _by_signs(coded, _asked(coded.where("id < 8")))
+    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("q", "id", "s")
 
 
 @query(f"""WITH b1 AS (SELECT a.id AS q, b.id, list_sum(list_transform(generate_series(1, 64), lambda i: CASE WHEN (a.embedding[i] > 0) <> (b.embedding[i] > 0) THEN 1 ELSE 0 END)) AS h, {_COS} AS s FROM memories a, memories b WHERE a.id % 50 = 0),
   c AS (SELECT q, id, s FROM (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY h, id) AS n FROM b1) x WHERE n <= 100)
   SELECT q, id, round(s, 6) AS score FROM (SELECT q, id, s, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS n FROM c) y WHERE n <= 5""")
-def bq_two_phase_whole(t: Tables) -> DataFrame:
+def bq_two_phase(t: Tables) -> DataFrame:
     coded = _coded(t)
     return ranking.in_blocks(_asked(coded.where("id % 50 = 0")), lambda part: _by_signs(coded, part))
 

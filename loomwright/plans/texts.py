@@ -15,14 +15,9 @@ from loomwright.operators import chunking
 from loomwright.registry import query, statement
 from loomwright.sources.tables import Tables
 
-statement("chunk_fixed", """
-  WITH l AS (SELECT id, EXPLODE(SPLIT(content, ' ')) AS w FROM chunks WHERE id < 0), n AS (SELECT id, SIZE(SPLIT(content, ' ')) AS words FROM chunks)
-  SELECT id, CAST(words AS BIGINT) AS words, CAST(ceil(words / 50.0) AS BIGINT) AS pieces FROM n UNION ALL SELECT id, 0, 0 FROM l""")
 statement("content_hash", "SELECT id, SHA_256(content) AS hash, md5(content) AS short_hash FROM chunks")
 statement("path_prefix", "SELECT id, concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) AS prefix, split_part(path, '/', 1) AS package FROM definitions")
 statement("query_signature", "SELECT query, min(lower(REPLACE_ALL(query, '[0-9:]+', ''))) AS signature FROM search_events GROUP BY query")
-statement("detect_code_language", """
-  SELECT page_id, CASE WHEN REGEXP_LIKE(html, '<script') THEN 'html' WHEN REGEXP_LIKE(html, 'fun [a-z]+[(]') THEN 'kotlin' ELSE 'unknown' END AS language FROM pages""")
 
 
 def code_language(text: F.Column) -> F.Column:
@@ -51,12 +46,12 @@ def code_language(text: F.Column) -> F.Column:
 
 
 @query()
-def detect_code_language_whole(t: Tables) -> DataFrame:
+def detect_code_language(t: Tables) -> DataFrame:
     return t.pages.select("page_id", code_language(F.col("html")).alias("language"))
 
 
 @query()
-def chunk_fixed_whole(t: Tables) -> DataFrame:
+def chunk_fixed(t: Tables) -> DataFrame:
     return chunking.exploded(t.chunks, "id", "content", chunking.fixed)
 
 
@@ -82,13 +77,8 @@ def preview_lines(t: Tables) -> DataFrame:
 _LINES = "SELECT id, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS pos FROM chunks"
 
 
-@query(f"WITH l AS ({_LINES}) SELECT id, CAST(pos + 1 AS BIGINT) AS n, lpad(CAST(pos + 1 AS VARCHAR), 6, ' ') || '  ' || line AS text FROM l WHERE id < 100 AND pos BETWEEN 1 AND 4")
-def line_range(t: Tables) -> DataFrame:
-    return _numbered(t.chunks.where("id < 100"))
-
-
 @query(f"WITH l AS ({_LINES}) SELECT id, CAST(pos + 1 AS BIGINT) AS n, lpad(CAST(pos + 1 AS VARCHAR), 6, ' ') || '  ' || line AS text FROM l WHERE pos BETWEEN 1 AND 4")
-def line_range_whole(t: Tables) -> DataFrame:
+def line_range(t: Tables) -> DataFrame:
     """Of every text; the lines asked for are the operator's own range."""
     return _numbered(t.chunks)
 
@@ -199,16 +189,9 @@ def chunk_post(t: Tables) -> DataFrame:
     return chunking.exploded(t.chunks, "id", "content", lambda x: chunking.merged(chunking.markdown(x)))
 
 
-@query("""WITH m AS (SELECT event_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events WHERE event_id < 200)
-  SELECT event_id, min(60 * (m + 1 + i)) AS next_s FROM (SELECT event_id, m, unnest(range(1500)) AS i FROM m) x WHERE ((m + 1 + i) % 60) % 15 = 0 AND ((m + 1 + i) // 60) % 24 IN (3, 9) GROUP BY event_id""")
-def cron_next(t: Tables) -> DataFrame:
-    """The next run of the plan */15 3,9 * * * after each event, in UTC: the first of the day's minutes ahead that it names."""
-    return _next_runs(t.events.where("event_id < 200"))
-
-
 @query("""WITH m AS (SELECT event_id, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events)
   SELECT event_id, min(60 * (m + 1 + i)) AS next_s FROM (SELECT event_id, m, unnest(range(1500)) AS i FROM m) x WHERE ((m + 1 + i) % 60) % 15 = 0 AND ((m + 1 + i) // 60) % 24 IN (3, 9) GROUP BY event_id""")
-def cron_next_whole(t: Tables) -> DataFrame:
+def cron_next(t: Tables) -> DataFrame:
     return _next_runs(t.events)
 
 

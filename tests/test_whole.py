@@ -1,4 +1,4 @@
-"""The whole-table queries on small made-up tables, against plain Python; ids lie outside the slices of the queries they extend."""
+"""Queries over whole tables on small made-up ones, against plain Python."""
 
 from __future__ import annotations
 
@@ -30,19 +30,31 @@ def test_graph_queries_see_every_edge(spark, tmp_path):
     nodes, edges = {n for e in STEPS for n in e}, set(STEPS)
     r, both = reach(edges, nodes), reach(edges | {(b, a) for a, b in edges}, nodes)
     of = lambda name, c: {x["id"]: x[c] for x in registry.QUERIES[name](spark, d).collect()}
-    assert of("connected_components_whole", "root") == {n: min(both[n]) for n in nodes}
-    assert of("scc_cycles_whole", "root") == {n: min(m for m in r[n] if n in r[m]) for n in nodes}
-    found = of("communities_whole", "community")
+    assert of("connected_components", "root") == {n: min(both[n]) for n in nodes}
+    assert of("scc_cycles", "root") == {n: min(m for m in r[n] if n in r[m]) for n in nodes}
+    found = of("communities", "community")
     assert set(found) == {n for a, b in STEPS if a != b for n in (a, b)} and all(found[n] in both[n] for n in found)
 
 
-def test_chains_start_at_every_node(spark, tmp_path):
-    want, walks = set(), [(n,) for n in {a for a, _ in STEPS}]
-    for _ in range(4):
-        walks = [(*w, b) for w in walks for a, b in STEPS if a == w[-1] and b not in w]
-        want |= {(">".join(map(str, w)), len(w) - 1) for w in walks}
-    got = registry.QUERIES["trace_chains_whole"](spark, imports(spark, tmp_path)).collect()
-    assert len(got) == len(want) and {tuple(r) for r in got} == want
+def test_chains_are_the_first_in_order_and_end_rightly(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(graph, "CHAINS", 7)
+    rng = random.Random(4)
+    edges = {(50 * rng.randrange(1, 4), rng.randrange(1, 30)) for _ in range(9)} | {(rng.randrange(1, 30), rng.choice([rng.randrange(1, 30), 50, 100])) for _ in range(60)}
+    rows = [(k, p, 1, n) for k, step in enumerate(sorted(edges)) for n, p in enumerate(step)]
+    d = folder(spark, tmp_path, lineitem=(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"))
+
+    def chains(path):
+        after = sorted(b for a, b in edges if a == path[-1])
+        if len(path) > graph.STEPS or not after:
+            return [(path, False)]
+        out = [(path, True)] if any(b in path for b in after) else []
+        return out + [c for b in after if b not in path for c in chains((*path, b))]
+
+    want = set()
+    for start in {a for a, _ in edges if a % 50 == 0}:
+        first = sorted(chains((start,)))[:7]
+        want |= {(start, ">".join(map(str, p)) + ("↺" if circle else ""), len(p) - 1) for p, circle in first}
+    assert {tuple(r) for r in registry.QUERIES["trace_chains"](spark, d).collect()} == want
 
 
 def test_searches_take_every_fiftieth_row_in_blocks(spark, tmp_path, monkeypatch):
@@ -53,7 +65,7 @@ def test_searches_take_every_fiftieth_row_in_blocks(spark, tmp_path, monkeypatch
     rng = random.Random(3)
     rows = [(k, [rng.gauss(0, 1) for _ in range(64)], k % 4) for k in range(400, 1000)]
     d = folder(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label int"))
-    for name, each in {"cosine_topk_whole": 10, "bq_two_phase_whole": 5, "semantic_rank_whole": 600, "recall_whole": 20}.items():
+    for name, each in {"cosine_topk": 10, "bq_two_phase": 5, "semantic_rank": 600, "recall": 20}.items():
         got = Counter(r["q"] for r in registry.QUERIES[name](spark, d).collect())
         assert got == dict.fromkeys(range(400, 1000, 50), each), name
 
@@ -64,10 +76,9 @@ def test_query_terms_come_from_the_whole_text(spark, tmp_path):
     docs = [(7, "a zebra here", "en", "s", 12), (8, "nothing here", "en", "s", 12)]
     d = folder(spark, tmp_path, benchmark=([(1, text)], "item_id long, text string"), documents=(docs, "doc_id long, text string, lang string, source string, n_chars long"))
     of = lambda name: registry.QUERIES[name](spark, d).collect()
-    for name in ("query_terms_whole", "fts_terms_whole"):
+    for name in ("query_terms", "fts_terms"):
         assert {r["term"] for r in of(name)} == {"alpha", "zebra"}, name
-    for name in ("keyword_search_whole", "rrf_fuse_whole", "rrf_explain_whole", "hybrid_search_whole", registry.FLAGSHIP):
-        assert [r["id"] for r in of(name)] == [7], name
+    assert [r["id"] for r in of("keyword_search")] == [7]
 
 
 def test_languages_of_the_whole_cascade(spark, tmp_path):
@@ -83,13 +94,13 @@ def test_languages_of_the_whole_cascade(spark, tmp_path):
     }
     rows = [(k, "u", x, name) for k, (name, x) in enumerate((n, x) for n, xs in texts.items() for x in xs)]
     d = folder(spark, tmp_path, pages=([r[:3] for r in rows], "page_id long, url string, html string"))
-    assert {r["page_id"]: r["language"] for r in registry.QUERIES["detect_code_language_whole"](spark, d).collect()} == {r[0]: r[3] for r in rows}
+    assert {r["page_id"]: r["language"] for r in registry.QUERIES["detect_code_language"](spark, d).collect()} == {r[0]: r[3] for r in rows}
 
 
 def test_fixed_chunks_hold_every_line(spark, tmp_path):
     text = "\n".join(f"line {k}" for k in range(120))
     d = folder(spark, tmp_path, documents=([(5, text, "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long"))
-    got = registry.QUERIES["chunk_fixed_whole"](spark, d).toPandas()
+    got = registry.QUERIES["chunk_fixed"](spark, d).toPandas()
     assert len(got) == 3 and "\n".join(got.sort_values(got.columns[1])[got.columns[-1]]) == text
 
 
@@ -97,4 +108,4 @@ def test_memory_bfs_goes_to_its_depth(spark, tmp_path):
     """With edges that lead on, and weak ones."""
     t = Tables(spark, "")
     t._known["memory_edges"] = spark.createDataFrame([("s3", "a", 0.1), ("a", "b", 0.9), ("b", "c", 0.9), ("c", "d", 0.9)], "from_id string, to_id string, weight double")
-    assert {r["id"]: r["depth"] for r in graph.memory_bfs_whole(t).collect()} == {"s3": 0, "a": 1, "b": 2, "c": 3}
+    assert {r["id"]: r["depth"] for r in graph.memory_bfs(t).collect()} == {"s3": 0, "a": 1, "b": 2, "c": 3}
