@@ -47,8 +47,8 @@ class LineRuns:
         self.spark, self.home, self.fanout = spark, home, fanout
         held = json.loads(read_text(spark, f"{home}/manifest.json") or "{}")
         self.kind = held.get("kind", kind)
-        # keys are a small part of their texts: a quarter of the shuffle's partitions, and so of the files of each run
-        self.buckets: int = held.get("buckets") or -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+        # as many buckets as a shuffle has partitions: what a batch's shuffle deals out lies as the runs do, one file a bucket
+        self.buckets: int = held.get("buckets") or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = held.get("levels", [])
         self.updates: list[str] = held.get("updates", [])
         self.batches: list[str] = held.get("batches", [])
@@ -85,20 +85,16 @@ class LineRuns:
         label = label or uuid.uuid4().hex
         if label in self.batches:
             return
-        batch = self._write(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("top")))
+        batch = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("top"))
         runs, gone = sum(self.levels, []), []
         if not self.levels:
             self.levels.append([])
-        if runs:
-            new = self.spark.table(batch)
-            for run in runs:
-                new = new.join(self.spark.table(run).select("a", "b"), ["a", "b"], "left_anti")
-            own = self._write(new)
-            known = self.spark.table(batch).join(self.spark.table(own).select("a", "b"), ["a", "b"], "left_anti")
-            self.updates.append(self._write(known))
-            gone.append(batch)
-        else:
-            own = batch
+        new = batch
+        for run in runs:
+            new = new.join(self.spark.table(run).select("a", "b"), ["a", "b"], "left_anti")
+        own = self._write(new)
+        if runs:  # what of the batch is not in its own run, some run has already
+            self.updates.append(self._write(batch.join(self.spark.table(own).select("a", "b"), ["a", "b"], "left_anti")))
         self.levels[0].append(own)
         level = 0
         while len(self.levels[level]) >= self.fanout:
@@ -132,7 +128,7 @@ def key_rows(docs: DataFrame, key: str, text: str, least_chars: int, batches: in
     return keys.select("doc", key_hash(F.col("k")).alias("h")).groupBy("doc", "h.a", "h.b").agg(F.min(F.pmod(F.xxhash64("doc"), F.lit(batches))).alias("batch"))
 
 
-def drops(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5, batches: int = 4) -> DataFrame:
+def drops(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40, least_docs: int = 5, batches: int = 3) -> DataFrame:
     """(doc, hashes): the line keys that each document loses."""
     spark = docs.sparkSession
     rows = saved(key_rows(docs, key, text, least_chars, batches), "line-keys")
