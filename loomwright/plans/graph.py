@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators import communities as louvain
 from loomwright.operators import graph
 from loomwright.registry import query, statement
 from loomwright.sources.tables import Tables
@@ -111,7 +112,33 @@ def scc_cycles(t: Tables) -> DataFrame:
 
 @query()
 def communities(t: Tables) -> DataFrame:
-    return graph.label_communities(_imports(t).withColumn("weight", F.lit(1.0)))
+    """Louvain's, within its limits; modularity is a query of its own."""
+    return louvain.communities(_imports(t).withColumn("weight", F.lit(1.0)))
+
+
+#: Kinds of edges that a mode of tracing follows, and steps at most.
+MODES = {"calls": ["A"], "data": ["R"], "all": ["A", "R", "N"]}
+DEEPEST = 6
+
+
+def traced(edges: DataFrame, starts: DataFrame, mode: str, way: str, depth: int) -> DataFrame:
+    """edges: src, dst, kind; starts: id. Nodes within depth steps over edges of a mode, out of a node, into it, or both."""
+    own = edges.where(F.col("kind").isin(MODES[mode])).select("src", "dst")
+    back = own.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    steps = {"out": own, "in": back, "both": own.unionByName(back)}[way].distinct()
+    return graph.bfs(steps, starts, min(depth, DEEPEST))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT concat('f', CAST(from_id AS STRING)) AS a, CASE WHEN target_id % 100 = 0 THEN concat('event:', CAST(target_id AS STRING)) ELSE concat('f', CAST(target_id AS STRING)) END AS b FROM refs WHERE kind = 'R'),
+  both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(id, depth) AS (SELECT 'f7', 0 UNION SELECT b.b, r.depth + 1 FROM reach r JOIN both_ways b ON b.a = r.id WHERE r.depth < 2 AND r.id NOT LIKE 'event:%')
+  SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY id""")
+def trace_path(t: Tables) -> DataFrame:
+    """Both ways over edges of one mode; targets that are no symbols (events) are ends, from which no step leads on."""
+    to = F.when(F.col("target_id") % 100 == 0, F.concat(F.lit("event:"), F.col("target_id").cast("string"))).otherwise(F.concat(F.lit("f"), F.col("target_id").cast("string")))
+    e = t.refs.select(F.concat(F.lit("f"), F.col("from_id").cast("string")).alias("src"), to.alias("dst"), "kind").where(F.col("kind") == "R").select("src", "dst")
+    back = e.where(~F.col("dst").startswith("event:")).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = e.unionByName(back).distinct().withColumn("kind", F.lit("R"))
+    return traced(both, t.spark.createDataFrame([("f7",)], "id string"), "data", "out", 2).select("id", F.col("depth").cast("long").alias("depth"))
 
 
 @query("""WITH e AS (SELECT i.from_id, i.to_id, a.package AS ca, b.package AS cb FROM imports i JOIN definitions a ON a.id = i.from_id JOIN definitions b ON b.id = i.to_id WHERE i.from_id <> i.to_id),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import cosine, hamming, sign_bits, tokens
-from loomwright.operators import ranking
+from loomwright.operators import cells, ranking
 from loomwright.registry import query, statement
 from loomwright.sources.tables import Tables
 
@@ -232,6 +232,13 @@ def bq_two_phase(t: Tables) -> DataFrame:
     return ranking.in_blocks(_asked(coded.where("id % 50 = 0")), lambda part: _by_signs(coded, part))
 
 
+@query()
+def lsh_topk(t: Tables) -> DataFrame:
+    """Approximate kNN of each id that 50 divides, by cells; tests hold its recall against brute force."""
+    q = t.memories.where("id % 50 = 0").select(F.col("id").alias("q"), "embedding")
+    return cells.nearest(t.memories.select("id", "embedding"), q).select("q", "id", F.round("score", 6).alias("score"))
+
+
 def _coded(t: Tables) -> DataFrame:
     return t.memories.withColumn("bits", sign_bits(F.col("embedding"), 64)).select("id", "embedding", "bits")
 
