@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,11 +94,24 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     _SCRATCH[:] = [x for x in _SCRATCH if x[1] != path]
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark removes a query's shuffle files as soon as the query has ended; what follows reads what it wrote."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def saved(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, lost executors don't matter."""
     spark = df.sparkSession
     path = path or scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
+    with tidy(spark):
+        df.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import BLANKS, LOWER, UPPER, drop_scratch, read_text, saved, scratch_path, write_text
+from loomwright.llm.common import BLANKS, LOWER, UPPER, drop_scratch, read_text, saved, scratch_path, tidy, write_text
 
 FANOUT = 2
 
@@ -59,7 +59,8 @@ class LineRuns:
         name = f"line_run_{uuid.uuid4().hex}"
         dealt = df.select("a", "b", "docs", "top").repartition(self.buckets, "a", "b")  # no shuffle of its own if df lies so already
         # hashes don't get smaller by compression, and its buffers outside the heap would pile up over many small files
-        dealt.write.format("parquet").option("compression", "uncompressed").bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", f"{self.home}/{name}").saveAsTable(name)
+        with tidy(self.spark):
+            dealt.write.format("parquet").option("compression", "uncompressed").bucketBy(self.buckets, "a", "b").sortBy("a", "b").option("path", f"{self.home}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, names: list[str]) -> None:

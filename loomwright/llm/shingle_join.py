@@ -22,6 +22,7 @@ sets. Ties at the threshold link. An empty table gives an empty result; extra co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,7 +119,8 @@ def _sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(ns, pa.int64()), pa.array(sids, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         blocks = [k for k in range(0, 1 << bits, SKETCH_BLOCK) if counts[k : k + SKETCH_BLOCK].any()]
-        cut = [counts[k : k + SKETCH_BLOCK].astype("<u4").tobytes() for k in blocks]
+        # a task's counts are small numbers, which pack into a few bits each
+        cut = [zlib.compress(counts[k : k + SKETCH_BLOCK].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for k in blocks]
         m = len(blocks)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([k // SKETCH_BLOCK for k in blocks], pa.int32()), pa.array(cut, pa.binary())], names)
 
@@ -131,7 +133,8 @@ def _levels(rows: DataFrame, bits: int) -> np.ndarray:
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(SKETCH_BLOCK, dtype=np.uint64)
         for c in t.column("counts"):
-            total += np.frombuffer(c.as_py(), dtype="<u4")
+            planes = np.frombuffer(zlib.decompress(c.as_py()), dtype=np.uint8).reshape(4, -1)
+            total += np.ascontiguousarray(planes.T).view("<u4").ravel()
         return pa.table({"block": t.column("block").slice(0, 1), "total": pa.array([total.astype("<u8").tobytes()], pa.binary())})
 
     total = np.zeros(1 << bits, dtype=np.uint64)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe_core import Merges
-from loomwright.llm.common import scratch_path
+from loomwright.llm.common import scratch_path, tidy
 
 #: Pieces of text that one Python worker remembers at most; the memory is emptied when it is full.
 REMEMBERED = 300_000
@@ -119,7 +119,9 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int, key
     rows = docs.select(F.col(key).alias("key"), where.alias("source"), F.col(text).cast("string").alias("text"))
     # Texts are dealt and sorted before they are encoded: they are smaller than their ids, and sampling the ranges then encodes nothing
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    ordered.mapInArrow(work, f"key {kind}, source string, n_tokens long, tokens array<int>").write.mode("overwrite").options(**FORMAT).parquet(path)
+    coded = ordered.mapInArrow(work, f"key {kind}, source string, n_tokens long, tokens array<int>")
+    with tidy(spark):
+        coded.write.mode("overwrite").options(**FORMAT).parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
