@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.text import access_boost, clamp01, cosine, decay_score
-from loomwright.operators import ranking
+from loomwright.operators import blocks, ranking
 from loomwright.registry import query, statement
 from loomwright.sources.tables import Tables
 
@@ -87,26 +87,21 @@ _PAIRS = f"SELECT a.id AS a, b.id AS b, a.type, {_COS} AS sim FROM memories a JO
 
 
 def pairs_within(t: Tables, least: float) -> DataFrame:
-    """Pairs of one type with a cosine of at least `least`. Both ends share a band of the angle to a fixed axis, or lie in neighbouring bands."""
-    step = float(np.arccos(least))
-    axis = F.array(*[F.lit(1.0)] * 64)
-    place = F.acos(F.least(F.greatest(cosine(F.col("embedding"), axis), F.lit(-1.0)), F.lit(1.0)))
-    m = t.memories.select("id", "type", "importance", "access_count", "embedding", F.floor(place / (step * (1 + 1e-9))).alias("band"))
-    a = m.select(*[F.col(c).alias(f"a_{c}") for c in m.columns]).withColumn("near", F.explode(F.array(F.col("a_band") - 1, F.col("a_band"), F.col("a_band") + 1)))
-    met = a.join(m, (F.col("a_type") == F.col("type")) & (F.col("near") == F.col("band")) & (F.col("a_id") < F.col("id")))
-    return met.withColumn("sim", cosine(F.col("a_embedding"), F.col("embedding"))).where(F.col("sim") >= least)
+    """Pairs of one type with a cosine of at least `least`: part (the type), a, b, sim."""
+    return blocks.near_pairs(t.memories.select("id", F.col("type").alias("part"), "embedding"), least)
 
 
 @query(f"SELECT a, b, round(sim, 6) AS sim FROM ({_PAIRS}) p")
 def near_dup_pairs(t: Tables) -> DataFrame:
-    return pairs_within(t, 0.95).select(F.col("a_id").alias("a"), F.col("id").alias("b"), F.round("sim", 6).alias("sim"))
+    return pairs_within(t, 0.95).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 @query()
 def near_dup_removed(t: Tables) -> DataFrame:
     """Of each pair the less important goes (then the less used, then the later), and a removed row removes none; greedy in id order within a type."""
-    pairs = pairs_within(t, 0.95).select("type", F.col("a_id").alias("a"), F.col("id").alias("b"), F.struct("a_importance", "a_access_count").alias("ka"), F.struct("importance", "access_count").alias("kb"))
-    pairs = pairs.select("type", "a", "b", (F.col("ka") >= F.col("kb")).alias("first"))
+    worth = t.memories.select("id", F.struct("importance", "access_count").alias("worth"))
+    side = lambda c: worth.select(F.col("id").alias(c), F.col("worth").alias(f"of_{c}"))
+    pairs = pairs_within(t, 0.95).join(side("a"), "a").join(side("b"), "b").select(F.col("part").alias("type"), "a", "b", (F.col("of_a") >= F.col("of_b")).alias("first"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         gone: dict[int, int] = {}
@@ -185,7 +180,7 @@ def relation_classify(t: Tables) -> DataFrame:
 
 @query(f"SELECT a, b, round(sim, 6) AS sim FROM (SELECT a.id AS a, b.id AS b, {_COS} AS sim, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS n FROM memories a JOIN memories b ON a.type = b.type AND a.id <> b.id WHERE {_COS} >= 0.65) x WHERE n <= 5")
 def similar_topk(t: Tables) -> DataFrame:
-    p = pairs_within(t, 0.65).select(F.col("a_id").alias("a"), F.col("id").alias("b"), "sim")
+    p = pairs_within(t, 0.65).select("a", "b", "sim")
     both = p.unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
     return both.withColumn("n", F.row_number().over(w)).where("n <= 5").select("a", "b", F.round("sim", 6).alias("sim"))
@@ -194,6 +189,28 @@ def similar_topk(t: Tables) -> DataFrame:
 statement("edge_increment", "SELECT from_id, to_id, edge_type, round(least(1.0, sum(w)), 6) AS weight FROM (SELECT l_suppkey AS from_id, l_partkey AS to_id, l_linestatus AS edge_type, 0.1 + l_discount AS w FROM lineitem) x GROUP BY from_id, to_id, edge_type")
 statement("contradictions", "SELECT e.from_id, e.to_id, p.p_name, s.s_name FROM memory_edges e JOIN supplier s ON concat('s', CAST(s.s_suppkey AS STRING)) = e.from_id JOIN part p ON concat('p', CAST(p.p_partkey AS STRING)) = e.to_id WHERE e.edge_type = 'F' AND e.weight >= 0.9")
 statement("neighborhood_text", "SELECT from_id, count(*) AS n, min(concat('-> ', edge_type, ' ', to_id)) AS first_line, max(concat('-> ', edge_type, ' ', to_id)) AS last_line FROM memory_edges WHERE weight >= 0.8 GROUP BY from_id")
-statement("tag_merge", "SELECT user_id, tag FROM (SELECT user_id, tag FROM memories WHERE age_days < 30 UNION SELECT user_id, concat(tag, 'x') FROM memories WHERE pinned) x")
-statement("embedding_evolve", """
-  SELECT type, count(*) AS samples, round(avg(CAST(importance AS DOUBLE)) * 0.3 + 0.7 * min(CAST(importance AS DOUBLE)), 6) AS blended FROM memories WHERE access_count >= 3 GROUP BY type HAVING count(*) >= 5""")
+
+
+
+@query("""SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(list(tag), list(CASE WHEN pinned THEN 'pinned' ELSE tag END)))), ',') AS tags FROM memories GROUP BY user_id""")
+def tag_merge(t: Tables) -> DataFrame:
+    """New tags are added to those held, each once."""
+    held = t.memories.groupBy("user_id").agg(F.collect_set("tag").alias("held"), F.collect_set(F.when(F.col("pinned"), "pinned")).alias("new"))
+    return held.select("user_id", F.array_join(F.array_sort(F.array_union("held", "new")), ",").alias("tags"))
+
+
+#: Samples that a memory's embedding needs to move, the least cosine to their centroid, and the share that it keeps.
+SAMPLES, LEAST, KEPT = 5, 0.5, 0.7
+
+
+@query("""WITH s AS (SELECT 't' || (label + 0)::VARCHAR AS type, embedding, vec_id FROM embeddings WHERE vec_id % 7 >= 3), own AS (SELECT type, arg_min(embedding, vec_id) AS v FROM s GROUP BY type HAVING count(*) >= 5),
+  c AS (SELECT type, i, avg(embedding[i]::DOUBLE) AS m FROM s, generate_series(1, 64) g(i) GROUP BY type, i), p AS (SELECT own.type, c.i, own.v[c.i]::DOUBLE AS x, m FROM own JOIN c ON c.type = own.type)
+  SELECT type, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 6) AS cosine, round(sum(CASE WHEN i = 1 THEN 0.7 * x + 0.3 * m END), 6) AS first_value FROM p GROUP BY type HAVING sum(x * m) / sqrt(sum(x * x) * sum(m * m)) >= 0.5""")
+def embedding_evolve(t: Tables) -> DataFrame:
+    """Per type: the first memory's embedding moves towards the centroid of those that were used often, if it lies near enough."""
+    used = t.memories.where("access_count >= 3").select("type", "id", "embedding")
+    values = used.select("type", "id", F.posexplode("embedding").alias("at", "x"))
+    mean = values.groupBy("type", "at").agg(F.avg(F.col("x").cast("double")).alias("m"), F.min_by(F.col("x").cast("double"), "id").alias("x"), F.count(F.lit(1)).alias("n"))
+    dots = mean.where(F.col("n") >= SAMPLES).groupBy("type").agg(F.sum(F.col("x") * F.col("m")).alias("xm"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.max(F.when(F.col("at") == 0, KEPT * F.col("x") + (1 - KEPT) * F.col("m"))).alias("first_value"))
+    near = F.col("xm") / F.sqrt(F.col("xx") * F.col("mm"))
+    return dots.where(near >= LEAST).select("type", F.round(near, 6).alias("cosine"), F.round("first_value", 6).alias("first_value"))

@@ -430,3 +430,61 @@ def resolve_imports(t: Tables) -> DataFrame:
     files = t.definitions.select(F.concat("path", F.lit(".ts")).alias("path")).distinct()
     asked = files.select(F.col("path").alias("file"), F.concat(F.lit("./"), F.regexp_replace(F.split_part("path", F.lit("/"), F.lit(3)), "[.]ts$", "")).alias("spec"))
     return resolve_specifiers(asked, files, {"@app": "src"})
+
+
+# --- sessions and spans: peers meet in slots of the time or line axis
+WINDOW = 600
+
+
+def co_retrieved(t: Tables) -> DataFrame:
+    """Pairs of searches of one session (here: of a project), the peer at most ten minutes before: event_id, k, peer, peer_k, at."""
+    e = t.search_events.select("event_id", "project_id", "ts_s", "k")
+    slot = F.floor(F.col("ts_s") / WINDOW)
+    peers = e.select("project_id", F.col("event_id").alias("peer"), F.col("ts_s").alias("at"), F.col("k").alias("peer_k"), F.explode(F.array(slot, slot + 1)).alias("slot"))
+    return e.withColumn("slot", slot).join(peers, ["project_id", "slot"]).where(F.col("at").between(F.col("ts_s") - WINDOW, F.col("ts_s")) & (F.col("event_id") != F.col("peer")))
+
+
+@query("""SELECT event_id, peer FROM (SELECT a.event_id, b.event_id AS peer, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts_s DESC, b.event_id DESC) AS place
+  FROM search_events a JOIN search_events b ON a.project_id = b.project_id AND b.ts_s BETWEEN a.ts_s - 600 AND a.ts_s AND a.event_id <> b.event_id) x WHERE place <= 5""")
+def co_retrieval_pairs(t: Tables) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("at"), F.desc("peer")))
+    return co_retrieved(t).withColumn("n", place).where("n <= 5").select("event_id", "peer")
+
+
+@query("""SELECT a, b, least(0.85, round(0.15 + 0.1 * (n - 1), 6)) AS weight FROM (SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, count(*) AS n
+  FROM search_events x JOIN search_events y ON x.project_id = y.project_id AND y.ts_s BETWEEN x.ts_s - 600 AND x.ts_s AND x.event_id > y.event_id AND x.k <> y.k GROUP BY 1, 2) z""")
+def co_retrieval_weights(t: Tables) -> DataFrame:
+    met = co_retrieved(t).where("event_id > peer AND k <> peer_k").groupBy(F.least("k", "peer_k").alias("a"), F.greatest("k", "peer_k").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    return met.select("a", "b", F.least(F.lit(0.85), F.round(0.15 + 0.1 * (F.col("n") - 1), 6)).alias("weight"))
+
+
+@query("""WITH spans AS (SELECT id, package, line_start AS a, line_start + 3 AS b FROM definitions)
+  SELECT x.id, count(*) AS overlaps FROM spans x JOIN spans y ON x.package = y.package AND x.id <> y.id AND x.a - 1 <= y.b AND y.a <= x.b + 1 GROUP BY x.id""")
+def range_overlap_hits(t: Tables) -> DataFrame:
+    """Spans of a package that overlap with a line to spare: how many there are, from counts by first line, so no pair is made."""
+    spans = t.definitions.select("id", "package", F.col("line_start").alias("a"))
+    counts = spans.groupBy("package", "a").agg(F.count(F.lit(1)).alias("n"))
+    near = spans.withColumn("at", F.explode(F.sequence(F.col("a") - 4, F.col("a") + 4))).join(counts.withColumnRenamed("a", "at"), ["package", "at"])
+    return near.groupBy("id").agg((F.sum("n") - 1).alias("overlaps")).where("overlaps > 0")
+
+
+# --- files of an index: what changed since the last generation
+def _stored(t: Tables) -> DataFrame:
+    """The active generation (a stand-in): files with the hashes of what they held; some changed since, some are new, some are gone."""
+    held = F.when(F.col("id") % 4 == 0, F.col("content")).otherwise(F.concat("content", F.lit(" ")))
+    return t.chunks.where("id % 7 <> 3").select("file", F.sha2(held, 256).alias("old")).unionByName(t.spark.createDataFrame([("gone/1.ts", "00")], "file string, old string"))
+
+
+@query("SELECT id, sha256(content) AS hash, id % 7 = 3 OR id % 4 <> 0 AS needs_reparse FROM chunks")
+def discover_changed(t: Tables) -> DataFrame:
+    """Files whose content has another hash than the stored one, or none."""
+    now = t.chunks.select("id", "file", F.sha2("content", 256).alias("hash"))
+    return now.join(_stored(t), "file", "left").select("id", "hash", (~F.col("hash").eqNullSafe(F.col("old"))).alias("needs_reparse"))
+
+
+@query("SELECT file, CASE WHEN id % 7 = 3 OR id % 4 <> 0 THEN 'parsed' ELSE 'copied' END AS origin FROM chunks UNION ALL SELECT 'gone/1.ts', 'dropped'")
+def generation_copy_forward(t: Tables) -> DataFrame:
+    """A new generation: unchanged files come from the active one, changed and new ones are parsed, those that are gone drop out."""
+    now = t.chunks.select(F.col("file").alias("f"), F.sha2("content", 256).alias("hash"))
+    met = now.join(_stored(t), F.col("f") == F.col("file"), "full")
+    return met.select(F.coalesce("f", "file").alias("file"), F.when(F.col("f").isNull(), "dropped").when(F.col("hash").eqNullSafe(F.col("old")), "copied").otherwise("parsed").alias("origin"))

@@ -6,8 +6,6 @@ from loomwright.registry import statement
 
 # --- sources and scans
 statement("resume_cursor", "SELECT id, file FROM chunks WHERE file > 'src3'")
-statement("discover_changed", """
-    SELECT id, SHA_256(content) AS hash, CASE WHEN id % 4 = 0 THEN false ELSE true END AS needs_reparse FROM chunks""")
 statement("discover_priority", """
     SELECT c.id, c.file, coalesce(m.importance, 0.0) AS centrality FROM chunks c LEFT JOIN memories m ON m.id = c.id
     ORDER BY centrality DESC, c.n_chars DESC, c.file LIMIT 100""")
@@ -29,7 +27,7 @@ statement("active_snapshot_scan", """
     SELECT d.id, d.path FROM definitions d JOIN active a ON d.package = a.package AND d.line_start = a.generation""")
 statement("memory_page", "SELECT id, type, age_days FROM memories WHERE NOT deleted ORDER BY age_days, id DESC LIMIT 25 OFFSET 50")
 statement("memory_page_total", """
-    SELECT id, total FROM (SELECT id, age_days, count(*) OVER () AS total FROM memories WHERE level = 'USER') x ORDER BY age_days, id DESC LIMIT 20 OFFSET 20""")
+    SELECT id, total FROM (SELECT id, age_days FROM memories WHERE level = 'USER' ORDER BY age_days, id DESC LIMIT 20 OFFSET 20) x, (SELECT count(*) AS total FROM memories WHERE level = 'USER') n""")
 statement("active_projects", "SELECT DISTINCT project_id FROM search_events WHERE project_id IS NOT NULL")
 
 # --- sinks
@@ -41,16 +39,13 @@ statement("upsert_latest", """
 statement("vocab_build", """
     WITH words AS (SELECT DISTINCT w FROM (SELECT EXPLODE(SPLIT(lower(content), ' ')) AS w FROM chunks) x WHERE REGEXP_LIKE(w, '^[a-z0-9]{3,}$'))
     SELECT w AS word, length(w) AS chars FROM words LEFT JOIN (SELECT p_name FROM part) p ON p.p_name = words.w WHERE p.p_name IS NULL""")
-statement("generation_copy_forward", """
-    SELECT id, 2 AS generation, 'copied' AS origin FROM chunks WHERE id % 4 <> 1
-    UNION ALL SELECT id, 2, 'parsed' FROM chunks WHERE id % 4 = 1""")
 statement("generation_validate", """
     SELECT project, count(*) AS files, count(*) FILTER (WHERE n_chars > 20000) AS hard, count(*) FILTER (WHERE n_chars > 20000) = 0 AND count(*) >= 40 AS can_activate
     FROM chunks GROUP BY project""")
 statement("memory_live", "SELECT id, pinned FROM memories WHERE NOT deleted")
 statement("ttl_purge", "SELECT id FROM memories WHERE pinned OR 60 - age_days >= 0")
 statement("lru_trim", """
-    SELECT id FROM (SELECT id, row_number() OVER (ORDER BY access_count DESC, age_days, id) AS place FROM memories) x WHERE place <= 200""")
+    SELECT id FROM memories ORDER BY access_count DESC, age_days, id LIMIT 200""")
 statement("project_merge", """
     WITH src AS (SELECT id, type FROM memories WHERE project_id = 1), dst AS (SELECT id + 1 AS id, type FROM memories WHERE project_id = 0)
     SELECT id, type, 0 AS project_id FROM dst
@@ -114,9 +109,6 @@ statement("innermost_owner", """
 statement("nearest_preceding_def", """
     SELECT r.file, r.line, coalesce(max_by(d.id, CASE WHEN d.line_start <= r.line THEN d.line_start * 1000000 + d.id END), min_by(d.id, d.line_start * 1000000 + d.id)) AS def
     FROM (SELECT DISTINCT file, line, from_id FROM refs) r JOIN definitions d ON d.id % 50 = r.from_id % 50 GROUP BY r.file, r.line""")
-statement("range_overlap_hits", """
-    WITH spans AS (SELECT id, package, line_start AS a, line_start + 3 AS b FROM definitions)
-    SELECT x.id, count(*) AS overlaps FROM spans x JOIN spans y ON x.package = y.package AND x.id <> y.id AND x.a - 1 <= y.b AND y.a <= x.b + 1 GROUP BY x.id""")
 
 # --- aggregations
 statement("analytics_summary", """
@@ -214,15 +206,6 @@ statement("adaptive_ttl", """
       SELECT session_id, avg(CAST(g AS DOUBLE)) AS gap FROM (
         SELECT session_id, ts_s - lag(ts_s) OVER (PARTITION BY session_id ORDER BY ts_s, event_id) AS g, row_number() OVER (PARTITION BY session_id ORDER BY ts_s DESC, event_id DESC) AS place FROM search_events) x
       WHERE place <= 9 GROUP BY session_id) y""")
-statement("co_retrieval_pairs", """
-    SELECT event_id, peer FROM (
-      SELECT a.event_id, b.event_id AS peer, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts_s DESC, b.event_id DESC) AS place
-      FROM search_events a JOIN search_events b ON a.session_id = b.session_id AND b.ts_s BETWEEN a.ts_s - 3600 AND a.ts_s AND a.event_id <> b.event_id) x
-    WHERE place <= 5""")
-statement("co_retrieval_weights", """
-    SELECT a, b, least(0.85, round(0.15 + 0.1 * (n - 1), 6)) AS weight FROM (
-      SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, count(*) AS n FROM search_events x JOIN search_events y ON x.session_id = y.session_id AND y.ts_s BETWEEN x.ts_s - 3600 AND x.ts_s AND x.event_id > y.event_id AND x.k <> y.k
-      GROUP BY 1, 2) z""")
 statement("sliding_rate", """
     SELECT event_id, count(*) OVER (PARTITION BY session_id ORDER BY ts_s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS per_minute,
            CAST(sum(k) OVER (PARTITION BY session_id ORDER BY ts_s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS BIGINT) AS per_day FROM search_events""")

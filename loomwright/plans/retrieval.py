@@ -161,7 +161,7 @@ statement("apply_verdict", """
 statement("cache_invalidate", "SELECT query, count(*) AS n FROM search_events WHERE NOT contains(query, '7') AND project_id <> 3 GROUP BY query")
 statement("memory_pack", """
   SELECT id, used FROM (SELECT id, CAST(sum(n) OVER (ORDER BY importance DESC, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM (
-    SELECT id, importance, CAST(ceil(length(content) / 5.0) AS BIGINT) AS n FROM memory_texts) a) b WHERE used <= 20000""")
+    SELECT id, importance, CAST(ceil(length(content) / 5.0) AS BIGINT) AS n FROM memory_texts WHERE length(content) > 0 ORDER BY importance DESC, id LIMIT 20000) a) b WHERE used <= 20000""")
 # each text whose id 50 divides against all texts
 statement("jaccard", """
   WITH t AS (SELECT DISTINCT id, tok FROM (SELECT id, EXPLODE(SPLIT(lower(content), ' ')) AS tok FROM chunks) x), n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
@@ -253,7 +253,9 @@ def _by_signs(coded: DataFrame, q: DataFrame) -> DataFrame:
     return first.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "id"))).where("n <= 5").select("q", "id", F.round("s", 6).alias("score"))
 
 
-_POOL = "SELECT id % 9 AS query_id, id, importance AS score, concat('f', CAST(id % 12 AS STRING)) AS file, content FROM memory_texts"
+#: What re-scoring works on: the first 60 of each query.
+_POOL = """SELECT query_id, id, score, file, content FROM (SELECT id % 9 AS query_id, id, importance AS score, concat('f', CAST(id % 12 AS STRING)) AS file, content,
+  row_number() OVER (PARTITION BY id % 9 ORDER BY importance DESC, id) AS nth FROM memory_texts) p WHERE nth <= 60"""
 
 
 @query(f"""WITH pool AS ({_POOL}), t AS (SELECT *, list_distinct(regexp_extract_all(lower(content), '[a-z0-9_]{{2,}}')) AS toks, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM pool),

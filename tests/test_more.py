@@ -64,3 +64,74 @@ def test_import_specifiers(spark):
     want = {("src/a.ts", "./lib/b"): "src/lib/b.ts", ("src/lib/b.ts", "../c"): "src/c.ts", ("src/a.ts", "./lib"): "src/lib/index.ts", ("src/lib/b.ts", "../../pkg/x"): "pkg/x/index.js", ("src/a.ts", "@x"): "pkg/x/index.js", ("src/a.ts", "@x/y"): None, ("src/a.ts", "react"): None, ("src/a.ts", "./c.js"): "src/c.js"}
     got = resolve_specifiers(spark.createDataFrame(list(want), "file string, spec string"), files, {"@x": "pkg/x"})
     assert {(r["file"], r["spec"]): r["target"] for r in got.collect()} == want
+
+
+def clustered(spark, n: int = 60):
+    """Tables whose memories lie around a few directions, so that thresholds have something to find."""
+    import numpy as np
+
+    from loomwright.sources.tables import Tables
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 8))
+    x = base[np.arange(n) % 6] + rng.normal(size=(n, 8)) * np.where(np.arange(n) % 5 == 0, 0.8, 0.15)[:, None]
+    rows = [(k, [float(v) for v in x[k]], f"t{k % 2}", (k % 10) / 10, k % 7, k % 30, k % 3, False, False) for k in range(n)]
+    t = Tables(spark, "")
+    t._known["memories"] = spark.createDataFrame(rows, "id long, embedding array<double>, type string, importance double, access_count long, age_days long, project_id long, pinned boolean, deleted boolean")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return t, rows, x @ x.T
+
+
+def test_near_pairs_in_blocks_equal_all_pairs(spark, monkeypatch):
+    from loomwright.operators import blocks
+    from loomwright.plans import memory
+
+    monkeypatch.setattr(blocks, "BLOCK", 7)
+    t, rows, sims = clustered(spark)
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if rows[a][2] == rows[b][2] and sims[a, b] >= 0.95}
+    got = memory.near_dup_pairs(t).collect()
+    assert len(got) == len(want) > 20 and {(r["a"], r["b"]) for r in got} == want and all(abs(r["sim"] - sims[r["a"], r["b"]]) < 1e-5 for r in got)
+    assert blocks.near_pairs(t.memories.select("id", F.col("type").alias("part"), "embedding").limit(0), 0.9).count() == 0
+
+
+def test_duplicates_and_cliques_on_clustered_memories(spark):
+    from loomwright.plans import memory
+
+    t, rows, sims = clustered(spark)
+    gone: dict[int, int] = {}
+    for kind in ("t0", "t1"):
+        own = [r[0] for r in rows if r[2] == kind]
+        for a in own:
+            for b in own:
+                if a < b and sims[a, b] >= 0.95 and a not in gone and b not in gone:
+                    keep, drop = (a, b) if rows[a][3:5] >= rows[b][3:5] else (b, a)
+                    gone[drop] = keep
+    assert len(gone) > 10 and {r["id"]: r["kept"] for r in memory.near_dup_removed(t).collect()} == gone
+    want = set()
+    for project in range(3):
+        own, best = sorted((r for r in rows if r[6] == project), key=lambda r: (r[5], -r[0])), []
+        for seed in range(len(own)):
+            clique = [seed]
+            for k in range(len(own)):
+                if k != seed and len(clique) < 8 and all(sims[own[k][0], own[c][0]] >= 0.65 for c in clique):
+                    clique.append(k)
+            best = max(best, clique, key=len)
+        want |= {(project, own[k][0]) for k in best} if len(best) > 1 else set()
+    assert len(want) > 6 and {(r["project_id"], r["id"]) for r in memory.consolidation_window(t).collect()} == want
+
+
+def test_embeddings_move_towards_what_was_used(spark):
+    import numpy as np
+
+    from loomwright.plans import memory
+
+    t, rows, _ = clustered(spark)
+    got = {r["type"]: (r["cosine"], r["first_value"]) for r in memory.embedding_evolve(t).collect()}
+    want = {}
+    for kind in ("t0", "t1"):
+        used = [r for r in rows if r[2] == kind and r[4] >= 3]
+        m, x = np.mean([r[1] for r in used], axis=0), np.array(min(used)[1])
+        c = x @ m / np.sqrt((x @ x) * (m @ m))
+        if c >= 0.5:
+            want[kind] = (round(c, 6), round(0.7 * x[0] + 0.3 * m[0], 6))
+    assert want and {k: pytest.approx(v, abs=2e-6) for k, v in want.items()} == got
