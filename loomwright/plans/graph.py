@@ -31,11 +31,6 @@ statement("go_to_definition", f"""
   SELECT q, id FROM (SELECT q.q, d.id, row_number() OVER (PARTITION BY q.q ORDER BY CASE WHEN d.package = q.package THEN 0 ELSE 1 END, d.ins DESC, d.id) AS place FROM q JOIN deg d ON d.kind = q.kind AND d.id <> q.q) x WHERE place <= 3""")
 statement("project_map", f"""
   WITH {_DEG} SELECT package, kind, count(*) AS files, CAST(sum(ins) AS BIGINT) AS ins, CAST(sum(outs) AS BIGINT) AS outs FROM deg GROUP BY package, kind""")
-# whole tables; the statements of these names above say a slice, which is what they are checked on
-statement("resolve_edges", """
-  SELECT r.from_id, r.line, r.file, coalesce(l.id, g.id) AS target FROM (SELECT DISTINCT from_id, line, file, target_id FROM refs) r
-  LEFT JOIN definitions l ON l.id = r.target_id AND l.exported LEFT JOIN (SELECT kind, min(id) AS id FROM definitions GROUP BY kind) g ON g.kind = (CASE WHEN r.line % 2 = 0 THEN 'none' ELSE 'none2' END)""")
-statement("edge_kind", "SELECT from_id, target_id, line, file, CASE kind WHEN 'A' THEN 'emit' WHEN 'R' THEN 'listen' ELSE 'call' END AS edge_kind FROM refs")
 
 
 def _imports(t: Tables) -> DataFrame:
@@ -219,7 +214,3 @@ statement("community_labels", """
   inside AS (SELECT ca AS c, count(*) AS n FROM e WHERE ca = cb GROUP BY ca), edge AS (SELECT c, count(*) AS n FROM (SELECT ca AS c FROM e WHERE ca <> cb UNION ALL SELECT cb FROM e WHERE ca <> cb) x GROUP BY c),
   m AS (SELECT package AS c, min(path) AS first_path, max(path) AS last_path, count(*) AS members FROM definitions GROUP BY package)
   SELECT m.c AS community, split_part(m.first_path, '/', 1) AS label, m.members, round(coalesce(i.n, 0) * 1.0 / (coalesce(i.n, 0) + coalesce(g.n, 0)), 3) AS cohesion FROM m LEFT JOIN inside i ON i.c = m.c LEFT JOIN edge g ON g.c = m.c WHERE m.members >= 2""")
-statement("graph_stream", """
-  WITH seeds AS (SELECT id FROM definitions WHERE id <= 20), one AS (SELECT DISTINCT i.to_id AS id FROM imports i JOIN seeds s ON s.id = i.from_id),
-  two AS (SELECT DISTINCT i.to_id AS id FROM imports i JOIN one o ON o.id = i.from_id), near AS (SELECT id FROM one UNION SELECT id FROM two)
-  SELECT n.id, 0.45 AS score FROM near n WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.id = n.id)""")

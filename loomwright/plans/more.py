@@ -488,3 +488,118 @@ def generation_copy_forward(t: Tables) -> DataFrame:
     now = t.chunks.select(F.col("file").alias("f"), F.sha2("content", 256).alias("hash"))
     met = now.join(_stored(t), F.col("f") == F.col("file"), "full")
     return met.select(F.coalesce("f", "file").alias("file"), F.when(F.col("f").isNull(), "dropped").when(F.col("hash").eqNullSafe(F.col("old")), "copied").otherwise("parsed").alias("origin"))
+
+
+# --- what a path says
+#: Paths that hold secrets, tests, documents and sources. Java's patterns, case ignored.
+SECRETS = [r"\.env", r"\.key$", r"\.pem$", r"\.p12$", r"\.pfx$", r"^secrets?\.", r"\.keystore$", r"^id_rsa", r"\.asc$"]
+TESTS = r"(?i)(^|/)(test|tests|spec|specs|__tests__)(/|$)|(\.|_|-)(test|spec)\.(t|j)sx?$"
+DOCS = r"(?i)(^|/)docs?/|\.(md|mdx|rst|adoc)$|(^|/)(readme|changelog)"
+SOURCES = r"(?i)(^|/)migrations/|\.(ts|tsx|js|jsx|py|go|rs|java|cpp|c|h|hpp|cs|rb|kt|swift|dart|scala|php|lua|sh|sql)$"
+
+
+def is_secret(path: Column) -> Column:
+    return path.rlike("(?i)" + "|".join(SECRETS))
+
+
+def kind_of_path(path: Column) -> Column:
+    return F.when(path.rlike(TESTS), "code-test").when(path.rlike(DOCS), "documentation").when(path.rlike(SOURCES), "code")
+
+
+def _paths(t: Tables) -> DataFrame:
+    """Files of every sort (a stand-in), by id."""
+    ends = ["/a.ts", "/tests/b.py", "/.env.local", "/c_spec.js", "/docs/d.txt", "/README", "/migrations/1", "/id_rsa.pub", "/key.pem", "/data.bin"]
+    return t.definitions.select("id", F.concat("package", F.array(*map(F.lit, ends))[(F.col("id") % 10).cast("int")]).alias("path"))
+
+
+@query("SELECT id FROM definitions WHERE id % 10 IN (2, 8)")
+def secret_paths(t: Tables) -> DataFrame:
+    return _paths(t).where(is_secret(F.col("path"))).select("id")
+
+
+@query("SELECT id, id % 10 IN (1, 3) AS is_test FROM definitions")
+def is_test_file(t: Tables) -> DataFrame:
+    return _paths(t).select("id", F.col("path").rlike(TESTS).alias("is_test"))
+
+
+@query("SELECT id, CASE WHEN id % 10 IN (1, 3) THEN 'code-test' WHEN id % 10 IN (4, 5) THEN 'documentation' WHEN id % 10 IN (0, 6) THEN 'code' END AS type FROM definitions")
+def infer_type(t: Tables) -> DataFrame:
+    return _paths(t).select("id", kind_of_path(F.col("path")).alias("type"))
+
+
+# --- edges of code
+#: Names of calls that listen, clients and methods of HTTP.
+LISTENS, CLIENTS, METHODS = ["on", "once", "addListener", "addEventListener", "subscribe"], ["axios", "http", "https", "client", "api", "ky", "got"], ["get", "post", "put", "patch", "delete", "request"]
+
+
+def call_kind(target: Column, first: Column) -> Column:
+    """Of a call, from what is called and its first literal."""
+    name, root = F.element_at(F.split(target, r"\."), -1), F.element_at(F.split(target, r"\."), 1)
+    return (
+        F.when(name == "emit", "emit").when(name.isin(LISTENS) & (root != "trpc"), "listen").when(name.isin("fetch", "graphql", "gql"), "http_call")
+        .when((root.isin(CLIENTS) & name.isin(METHODS) & (root != name)) | ((root == "trpc") & name.isin("query", "mutate", "subscribe")), "http_call")
+        .when(F.coalesce(first.rlike(r"^(https?://|/api(/|$))"), F.lit(False)), "http_call").otherwise("call")
+    )
+
+
+@query("SELECT from_id, target_id, line, file, CASE target_id % 6 WHEN 0 THEN 'emit' WHEN 1 THEN 'listen' WHEN 2 THEN 'http_call' WHEN 3 THEN 'http_call' WHEN 4 THEN 'http_call' ELSE 'call' END AS edge_kind FROM refs")
+def edge_kind(t: Tables) -> DataFrame:
+    k = (F.col("target_id") % 6).cast("int")
+    target = F.array(*map(F.lit, ["bus.emit", "bus.on", "axios.get", "trpc.query", "load", "a.b.load"]))[k]
+    return t.refs.select("from_id", "target_id", "line", "file", call_kind(target, F.when(k == 4, "/api/x")).alias("edge_kind"))
+
+
+@query("""WITH once AS (SELECT name, min(id) AS id, count(*) AS n FROM definitions GROUP BY name), r AS (SELECT DISTINCT from_id, line, file, target_id FROM refs)
+  SELECT r.from_id, r.line, r.file, r.target_id, CASE WHEN l.id IS NOT NULL THEN l.id ELSE once.id END AS target, CASE WHEN l.id IS NOT NULL THEN 'local' ELSE 'global' END AS found
+  FROM r JOIN definitions d ON d.id = r.target_id LEFT JOIN definitions l ON l.id = r.target_id AND l.package = (SELECT min(package) FROM definitions) LEFT JOIN once ON once.name = d.name""")
+def resolve_edges(t: Tables) -> DataFrame:
+    """A reference's target: a name of the file's own package first, else the first definition of that name anywhere."""
+    refs = t.refs.select("from_id", "line", "file", "target_id").distinct()
+    named = refs.join(t.definitions.select(F.col("id").alias("target_id"), "name"), "target_id")
+    local = t.definitions.agg(F.min("package").alias("package"))
+    own = t.definitions.join(F.broadcast(local), "package").select(F.col("id").alias("target_id"), F.col("id").alias("own"))  # one row
+    first = t.definitions.groupBy("name").agg(F.min("id").alias("first"))
+    met = named.join(own, "target_id", "left").join(first, "name", "left")
+    return met.select("from_id", "line", "file", "target_id", F.coalesce("own", "first").alias("target"), F.when(F.col("own").isNotNull(), "local").otherwise("global").alias("found"))
+
+
+@query("""WITH seeds AS (SELECT id % 7 AS query_id, id FROM definitions WHERE id % 50 = 0), one AS (SELECT DISTINCT s.query_id, i.to_id AS id FROM imports i JOIN seeds s ON s.id = i.from_id),
+  two AS (SELECT DISTINCT o.query_id, i.to_id AS id FROM imports i JOIN one o ON o.id = i.from_id), near AS (SELECT query_id, id, min(d) AS d FROM (SELECT *, 1 AS d FROM one UNION ALL SELECT *, 2 FROM two) x GROUP BY query_id, id)
+  SELECT query_id, id, 0.45::DOUBLE AS score FROM near n WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.id = n.id AND s.query_id = n.query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 50""")
+def graph_stream(t: Tables) -> DataFrame:
+    """Neighbours within two steps of each query's seeds, as hybrid_search has them."""
+    from loomwright.plans.retrieval import neighbour_stream
+
+    seeds = t.definitions.where("id % 50 = 0").select((F.col("id") % 7).alias("query_id"), "id")
+    return neighbour_stream(t, seeds).select("query_id", "id", "score")
+
+
+# --- compression, and sections by intent
+@query("""SELECT id, CASE WHEN o = 0 THEN 0 ELSE round((o - c) / o, 3) END AS ratio, (least(CASE WHEN o = 0 THEN 0 ELSE round((o - c) / o, 3) END, 0.9) + CASE WHEN c > 0 THEN 1 ELSE 0.5 END) / 2 AS quality
+  FROM (SELECT id, ceil(length(content) / 4.0)::DOUBLE AS o, ceil(length(string_split(content, chr(10))[1]) / 4.0)::DOUBLE AS c FROM chunks) x""")
+def compression_ratio(t: Tables) -> DataFrame:
+    """Of a text cut to its first line: the share of tokens saved, to three digits, and its quality."""
+    tokens = lambda x: F.ceil(F.length(x) / 4).cast("double")
+    o, c = tokens(F.col("content")), tokens(F.element_at(F.split("content", "\n", -1), 1))
+    ratio = F.when(o == 0, F.lit(0.0)).otherwise(F.round((o - c) / o, 3))
+    return t.chunks.select("id", ratio.alias("ratio"), ((F.least(ratio, F.lit(0.9)) + F.when(c > 0, 1.0).otherwise(0.5)) / 2).alias("quality"))
+
+
+#: The least bytes of a text that is searched by sections, sections returned, and what a term in a section's title adds.
+SECTION_BYTES, SECTIONS, TITLE = 5000, 5, 0.5
+_INTENT = ["the", "und", "que"]
+
+
+@query("""WITH s AS (SELECT id, unnest(string_split(content, chr(10))) AS body, unnest(range(len(string_split(content, chr(10))))) AS pos FROM chunks WHERE octet_length(encode(content)) >= 5000),
+  f AS (SELECT id, pos, (len(list_filter(string_split(lower(body), ' '), lambda w: w IN ('the', 'und', 'que'))))::DOUBLE AS tf, CASE WHEN list_contains(['the', 'und', 'que'], string_split(lower(body), ' ')[1]) THEN 0.5 ELSE 0.0 END AS title FROM s),
+  r AS (SELECT id, pos, tf / max(tf) OVER (PARTITION BY id) + title AS score, tf FROM f)
+  SELECT id, pos, round(score, 6) AS score FROM r WHERE tf > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) <= 5""")
+def intent_search(t: Tables) -> DataFrame:
+    """Of long texts, the sections (here: lines) that hold most of an intent's terms; a text's sections stay in its row until they are ranked."""
+    long = t.chunks.where(F.octet_length("content") >= SECTION_BYTES).select("id", F.split("content", "\n", -1).alias("parts"))
+    count = lambda x: F.size(F.filter(F.split(F.lower(x), " "), lambda w: w.isin(_INTENT))).cast("double")
+    tf = long.withColumn("tf", F.transform("parts", count)).withColumn("top", F.array_max("tf"))
+    bonus = lambda x: F.when(F.element_at(F.split(F.lower(x), " "), 1).isin(_INTENT), TITLE).otherwise(0.0)
+    scored = F.transform("parts", lambda x, k: F.struct((-(F.get("tf", k) / F.nullif("top", F.lit(0.0)) + bonus(x))).alias("s"), k.cast("long").alias("pos"), F.get("tf", k).alias("tf")))
+    best = tf.where("top > 0").select("id", F.explode(F.slice(F.array_sort(F.filter(scored, lambda x: x["tf"] > 0)), 1, SECTIONS)).alias("x"))
+    return best.select("id", "x.pos", F.round(-F.col("x.s"), 6).alias("score"))

@@ -78,10 +78,6 @@ statement("memory_text_search", """
     SELECT m.id FROM memory_texts m WHERE (lower(m.content) LIKE '%the%' OR lower(m.content) LIKE '%que%') AND NOT EXISTS (SELECT 1 FROM superseded s WHERE s.id = m.id)""")
 statement("recent_by_tag", "SELECT id, age_days FROM memories WHERE tag = 'tag2' AND age_days <= 30 ORDER BY age_days, id")
 statement("consolidation_candidates", "SELECT id FROM memories WHERE NOT deleted AND NOT pinned AND embedding IS NOT NULL AND age_days > 30")
-statement("secret_paths", "SELECT id FROM definitions WHERE REGEXP_LIKE(lower(path), 'secret|token|/[.]env|steel/1[0-9]*5$')")
-statement("is_test_file", "SELECT id, REGEXP_LIKE(path, '(^|/)[0-9]*7$|[.]test[.]') AS is_test FROM definitions")
-statement("infer_type", """
-    SELECT id, CASE WHEN REGEXP_LIKE(file, '^src1/') THEN 'test' WHEN REGEXP_LIKE(file, '[.]fr$') THEN 'docs' WHEN REGEXP_LIKE(file, '0[.]en$') THEN 'readme' ELSE 'source' END AS type FROM chunks""")
 statement("event_validate", """
     SELECT event_id, least(greatest(coalesce(duration / 100, 0.5), 0.0), 1.0) AS importance FROM search_events
     WHERE event_type IN ('view', 'click', 'purchase', 'error') AND project_id IS NOT NULL AND k IS NOT NULL""")

@@ -57,11 +57,7 @@ def chunk_fixed(t: Tables) -> DataFrame:
 
 statement("json_cascade", "SELECT event_id, coalesce(JSON_TEXT(props, '$.filePath'), JSON_TEXT(props, '$.file_path'), JSON_TEXT(props, '$.k')) AS path FROM events")
 statement("sanitize_text", "SELECT item_id, substr(REPLACE_ALL(text, '[<>]', ''), 1, 100) AS text FROM benchmark")
-statement("compression_ratio", "SELECT id, round(1 - length(REPLACE_ALL(content, 'tion', '')) * 1.0 / greatest(length(content), 1), 3) AS ratio FROM chunks")
 statement("tokens_per_source", "SELECT project, count(DISTINCT tok) AS tokens FROM (SELECT project, EXPLODE(SPLIT(lower(content), ' ')) AS tok FROM chunks) x WHERE REGEXP_LIKE(tok, '^[a-z0-9_]{2,}$') GROUP BY project")
-statement("intent_search", """
-  WITH s AS (SELECT conv_id, turn, lower(text) AS body FROM conversations), f AS (SELECT conv_id, turn, CAST(length(body) - length(replace(body, 'th', '')) AS DOUBLE) / 2 AS tf FROM s)
-  SELECT conv_id, turn, round(tf / max(tf) OVER (PARTITION BY conv_id), 6) AS score FROM f WHERE tf > 0""")
 
 
 @query("SELECT id, CAST(ceil(length(content) / 4.0) AS BIGINT) AS code_tokens, CAST(ceil(length(content) / 5.0) AS BIGINT) AS text_tokens FROM chunks")

@@ -11,6 +11,8 @@ import pytest
 from loomwright import registry
 
 SF = "/root/testdata/sf0.001"
+#: The driver's vectors of one type lie too far apart for these; test_more.py runs them on clustered ones.
+NOTHING_THERE = {"near_dup_removed", "consolidation_window"}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
@@ -50,7 +52,7 @@ def test_agrees_with_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     df = registry.QUERIES[name](spark, SF)
-    assert df.columns and df.count() >= 0
+    assert df.columns and (df.count() > 0 or name in NOTHING_THERE)
 
 
 def test_entry(spark):
