@@ -276,7 +276,6 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     levels = _levels(own, bits)
     sets = own.where(F.col("n").isNotNull())
     prefixes = saved(_prefixes(rows, width, percent, bits, levels), "prefixes")
-    join = _Join(rows, prefixes, width, percent)
 
     # one row of prefixes for each set: tasks that met the same set wrote one each
     first = prefixes.groupBy("sid").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("times")).where(F.col("times") > 1)
@@ -288,6 +287,10 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     tokens = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets"), F.max(half).alias("half"), F.min("n").alias("least"), F.max("n").alias("most"))
     some = (F.col("sets") > 1) & F.col("half") & ((F.col("sets") > 2) | (100 * F.col("least") >= percent * F.col("most")))
     posts = saved(posts.join(tokens.where(some).select("token", "sets"), "token"), "postings")
+    # the first order's prefixes, half of that table, have done their work
+    facts = saved(prefixes.select("rid", "p", "sid", "n", "bits", "p2", "p3"), "prefix-facts")
+    discard(prefixes, again)
+    join = _Join(rows, facts, width, percent)
     fact = F.struct("rid", "n", "pos", half.alias("half")).alias("f")
     few = posts.where(F.col("sets") <= FEW).select("token", F.lit(0).alias("band"), fact)
 
@@ -295,10 +298,10 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     # a set's weight: how many of its prefix tokens others have; an original has more than copies with edits of their own
     often = posts.where(F.col("sets") > FEW)
     weights = posts.groupBy("rid").agg(F.count(F.lit(1)).alias("weight"))
-    facts = weights.join(prefixes.select("rid", "bits"), "rid")
+    weights = weights.join(facts.select("rid", "bits"), "rid")
     band = F.floor(F.ln("n") / float(np.log(100 / percent) * (1 + 1e-9))).cast("int")
     on = ["token", "band"]
-    cut = often.select("token", F.explode(F.array(band, band + 1)).alias("band"), "rid", "n", "pos", half.alias("half")).join(facts, "rid")
+    cut = often.select("token", F.explode(F.array(band, band + 1)).alias("band"), "rid", "n", "pos", half.alias("half")).join(weights, "rid")
     cut = saved(cut.select(*on, "weight", F.struct("rid", "n", "pos", "half", "bits").alias("f")), "postings-cut")
     lot = lambda k: F.xxhash64(F.lit(k), "f.rid")
     heavy = [F.max_by("f.rid", F.struct("weight", lot(k))).alias(f"l{k}") for k in range(LEADS)]
@@ -316,7 +319,7 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     roots = saved(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
     # cuts of many sets that still hold different components
-    names = prefixes.select("rid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid").select("rid", "root")
+    names = facts.select("rid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid").select("rid", "root")
     placed = many.withColumn("rid", F.col("f.rid")).join(saved(names, "rid-roots"), "rid", "left").withColumn("root", F.coalesce("root", F.col("rid").cast("string").cast("binary")))
     placed = saved(placed.select(*on, "sets", "root", "f"), "placed")
     mark = F.xxhash64("root")
@@ -329,7 +332,7 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     more = join.links(_candidates(left, right, [*on, "block"], percent, (F.col("rx") != F.col("ry")) & alike))
     if not more.isEmpty():
         roots = saved(components(links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-    discard(placed, prefixes)
+    discard(placed, facts)
 
     classes = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc").alias("low"))
     named = saved(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
