@@ -603,3 +603,36 @@ def intent_search(t: Tables) -> DataFrame:
     scored = F.transform("parts", lambda x, k: F.struct((-(F.get("tf", k) / F.nullif("top", F.lit(0.0)) + bonus(x))).alias("s"), k.cast("long").alias("pos"), F.get("tf", k).alias("tf")))
     best = tf.where("top > 0").select("id", F.explode(F.slice(F.array_sort(F.filter(scored, lambda x: x["tf"] > 0)), 1, SECTIONS)).alias("x"))
     return best.select("id", "x.pos", F.round(-F.col("x.s"), 6).alias("score"))
+
+
+# --- symbols, imports and calls of source texts, line by line
+#: What declares a symbol or imports a module, by language family. Group 1 is the name.
+DECLARES = {
+    "py": [("class", r"^\s*class\s+([A-Za-z_]\w*)"), ("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"), ("import", r"^\s*(?:from\s+([\w.]+)\s+import\b|import\s+([\w.]+))")],
+    "ts": [
+        ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"), ("interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"),
+        ("type", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*="), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+([A-Za-z_$][\w$]*)"),
+        ("function", r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"), ("import", r"""^\s*import\b.*?['"]([^'"]+)['"]"""),
+    ],
+    "kt": [("class", r"^\s*(?:(?:data|sealed|open|abstract|enum)\s+)*class\s+([A-Za-z_]\w*)"), ("object", r"^\s*(?:companion\s+)?object\s+([A-Za-z_]\w*)"), ("function", r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?([A-Za-z_]\w*)\s*\("), ("import", r"^\s*import\s+([\w.]+)")],
+    "dart": [("class", r"^\s*(?:abstract\s+)?(?:class|mixin|enum|extension)\s+([A-Za-z_]\w*)"), ("function", r"^(?:[\w<>?]+\s+)([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:async\s*)?\{"), ("import", r"""^\s*import\s+['"]([^'"]+)['"]""")],
+}
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """files: file, language (a key of DECLARES), content. Per declaration or import: file, line, kind, name; of each line, the first pattern that fits."""
+    lines = files.select("file", "language", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
+    found = F.lit(None).cast("struct<kind:string,name:string>")
+    for language, patterns in DECLARES.items():
+        for kind, pattern in reversed(patterns):
+            name = F.regexp_extract("text", pattern, 1)
+            if language == "py" and kind == "import":
+                name = F.when(name == "", F.regexp_extract("text", pattern, 2)).otherwise(name)
+            found = F.when((F.col("language") == language) & F.col("text").rlike(pattern), F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(found)
+    return lines.withColumn("f", found).where("f IS NOT NULL").select("file", (F.col("at") + 1).cast("long").alias("line"), "f.kind", "f.name")
+
+
+@query("""SELECT p_partkey AS file, 1::BIGINT AS line, 'import' AS kind, split_part(lower(p_brand), '#', 1) AS name FROM part UNION ALL SELECT p_partkey, 2, 'function', concat('f', p_partkey) FROM part UNION ALL SELECT p_partkey, 4, 'class', 'C' FROM part""")
+def extract_symbols(t: Tables) -> DataFrame:
+    code = t.part.select(F.col("p_partkey").alias("file"), F.lit("py").alias("language"), F.concat(F.lit("import "), F.lower("p_brand"), F.lit("\ndef f"), F.col("p_partkey").cast("string"), F.lit("(x):\n  return 1\nclass C:\n  pass")).alias("content"))
+    return symbols(code)

@@ -135,3 +135,31 @@ def test_embeddings_move_towards_what_was_used(spark):
         if c >= 0.5:
             want[kind] = (round(c, 6), round(0.7 * x[0] + 0.3 * m[0], 6))
     assert want and {k: pytest.approx(v, abs=2e-6) for k, v in want.items()} == got
+
+
+def test_symbols_of_four_languages(spark):
+    from loomwright.plans.more import symbols
+
+    texts = {
+        "py": ("import os.path\nfrom a.b import c\nclass K(B):\n    async def run(self): ...\nx = 'def no'", [(1, "import", "os.path"), (2, "import", "a.b"), (3, "class", "K"), (4, "function", "run")]),
+        "ts": ("import { a } from './b';\nexport default class A {}\nexport interface I {}\ntype T = string\nexport const f = async (x) => 1\nfunction* g() {}\nconst y = 3", [(1, "import", "./b"), (2, "class", "A"), (3, "interface", "I"), (4, "type", "T"), (5, "function", "f"), (6, "function", "g")]),
+        "kt": ("import a.b.C\ndata class D(val x: Int)\ncompanion object O\nprivate fun String.ext(y: Int) = y", [(1, "import", "a.b.C"), (2, "class", "D"), (3, "object", "O"), (4, "function", "ext")]),
+        "dart": ("import 'dart:io';\nabstract class W {}\nvoid main() {\n  call();\n}", [(1, "import", "dart:io"), (2, "class", "W"), (3, "function", "main")]),
+    }
+    df = spark.createDataFrame([(k, k, v[0]) for k, v in texts.items()], "file string, language string, content string")
+    got = sorted((r["file"], r["line"], r["kind"], r["name"]) for r in symbols(df).collect())
+    assert got == sorted((k, *x) for k, v in texts.items() for x in v[1])
+
+
+def test_files_of_a_folder(spark, tmp_path):
+    import hashlib
+
+    from loomwright.sources.files import read_files
+
+    for path, text in {"a.py": "x", "b.ts": "y", "build/c.py": "z", "lib/d.py": "é", "lib/gen/e.py": "w", "lib/gen/keep.py": "k", "f.md": "m", "big.py": "b" * 200}.items():
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(text, encoding="utf-8")
+    got = {r["path"]: (r["content"], r["hash"]) for r in read_files(spark, str(tmp_path), [".py", ".ts"], ["# made", "build/", "lib/gen/*", "!lib/gen/keep.py"], 100).collect()}
+    assert set(got) == {"a.py", "b.ts", "lib/d.py", "lib/gen/keep.py"}
+    assert got["lib/d.py"] == ("é", hashlib.sha256("é".encode()).hexdigest())
