@@ -219,16 +219,20 @@ class _Join:
         side = lambda c: own.withColumnsRenamed({"rid": c, "f": f"{c}_"})
         return pairs.join(side("x"), "x").join(side("y"), "y")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """pairs: (x, y) of rids. Those that link, by the bitmaps, the other orders, and at last the whole sets; as (x, y) of sids."""
-        spark, percent = self.docs.sparkSession, self.percent
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """pairs: (x, y) of rids. Those that may link by the bitmaps and the other orders, as (x, y) of sids with px and py."""
+        percent = self.percent
         pairs = saved(pairs.distinct(), "pairs")
         near = self._met(pairs, "n", "bits").where(_alike("x_", "y_", percent))
         near = saved(near.select("x", "y"), "pairs-alike")
         both = self._met(near, "sid", "p", "p2", "p3").where(F.arrays_overlap("x_.p2", "y_.p2") & F.arrays_overlap("x_.p3", "y_.p3"))
         left = saved(both.select(F.col("x_.sid").alias("x"), F.col("y_.sid").alias("y"), F.col("x_.p").alias("px"), F.col("y_.p").alias("py")), "pairs-left")
         discard(pairs, near)
+        return left
 
+    def links(self, left: DataFrame) -> DataFrame:
+        """Of likely pairs, which go, those that link by their whole sets: (x, y) of sids."""
+        spark, percent = self.docs.sparkSession, self.percent
         # the documents of these pairs, picked by a bitmap of fixed size over a hash of their texts
         wanted = left.select(F.col("px").alias("p")).unionByName(left.select(F.col("py").alias("p")))
         maps = wanted.groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("m")).collect()
@@ -315,11 +319,15 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     leads = many.where(F.array_contains("leads", F.col("f.rid"))).select(*on, F.col("f").withField("half", F.lit(True)).alias("f"))
     others = many.select(*on, F.col("f").withField("half", F.array_contains("leads", F.col("f.rid"))).alias("f"))
     alike = _alike("x", "y", percent)
-    links = join.links(_candidates(few, few, on, percent).unionByName(_candidates(leads, others, on, percent, alike)))
+    likely = join.likely(_candidates(few, few, on, percent).unionByName(_candidates(leads, others, on, percent, alike)))
+    # from here on, only sets of large groups are asked for
+    join.prefixes = saved(facts.join(cut.select("f.rid").distinct(), "rid", "left_semi"), "large-facts")
+    discard(facts)
+    links = join.links(likely)
     roots = saved(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
 
     # cuts of many sets that still hold different components
-    names = facts.select("rid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid").select("rid", "root")
+    names = join.prefixes.select("rid", "sid").join(roots.withColumnRenamed("node", "sid"), "sid").select("rid", "root")
     placed = many.withColumn("rid", F.col("f.rid")).join(saved(names, "rid-roots"), "rid", "left").withColumn("root", F.coalesce("root", F.col("rid").cast("string").cast("binary")))
     placed = saved(placed.select(*on, "sets", "root", "f"), "placed")
     mark = F.xxhash64("root")
@@ -329,10 +337,10 @@ def near_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     blocks = F.ceil(F.col("sets") / BLOCK).cast("int")
     right = rest.withColumn("block", F.pmod(F.xxhash64("f.rid"), blocks).cast("int")).drop("sets")
     left = rest.where("f.half").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("sets")
-    more = join.links(_candidates(left, right, [*on, "block"], percent, (F.col("rx") != F.col("ry")) & alike))
+    more = join.links(join.likely(_candidates(left, right, [*on, "block"], percent, (F.col("rx") != F.col("ry")) & alike)))
     if not more.isEmpty():
         roots = saved(components(links.unionByName(more).select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-    discard(placed, facts)
+    discard(placed, join.prefixes)
 
     classes = sets.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min("doc").alias("low"))
     named = saved(classes.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "classes")
