@@ -45,7 +45,7 @@ FEW = 16
 LEADS = 4
 #: Postings of a block of a token's group.
 BLOCK = 1000
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Numbers that are broadcast at most.
 BROADCAST = 500_000
 #: Bits of the filter by which documents to verify are picked out before their sets are built.
