@@ -212,3 +212,83 @@ def op9_sampling_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomwright.llm.sampling_prints import edited_prints
 
     return edited_prints(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.divergence import quality_report
+
+    return quality_report(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+_CLASSES = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[#*$%&|<>]", r"[!\x22'()+,\-./:;=?@\[\\\]^_`{}~]"]
+_OF_CLASS = ", ".join("length(t) - length(regexp_replace(t, '" + c.replace("'", "''") + "+', '', 'g'))" for c in _CLASSES)
+
+ORACLES["op11_divergence"] = rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t FROM documents),
+listed AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, [{_OF_CLASS}] AS cs FROM texts),
+docs AS (SELECT *, len(ws)::BIGINT AS n, list_append(cs, length(t) - list_sum(cs)::BIGINT) AS chars FROM listed),
+words AS (SELECT r, lang, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM docs),
+windows AS (
+  SELECT r, i, w, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY r ORDER BY i)),
+found AS (SELECT r, i FROM windows WHERE w3 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, w, w2, w3) > 1),
+repeats AS (SELECT r, count(DISTINCT i + k) AS c FROM found, (VALUES (0), (1), (2)) x(k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS l FROM docs),
+dups AS (SELECT r, count(*) - count(DISTINCT l) AS c FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+totals AS (SELECT lang, sum(n) AS n FROM docs GROUP BY lang),
+common AS (
+  SELECT words.lang, w, count(*) AS c, any_value(totals.n) AS n FROM words JOIN totals ON words.lang IS NOT DISTINCT FROM totals.lang GROUP BY words.lang, totals.lang, w
+  HAVING count(*) >= 0.005 * any_value(totals.n)),
+ref_words AS (SELECT lang, w, c / n AS q FROM common UNION ALL SELECT t.lang, NULL, 1 - coalesce(sum(c), 0) / any_value(t.n) FROM totals t LEFT JOIN common c ON t.lang IS NOT DISTINCT FROM c.lang WHERE t.n > 0 GROUP BY t.lang),
+own AS (
+  SELECT words.r, common.w, count(*) AS c FROM words LEFT JOIN common ON words.lang IS NOT DISTINCT FROM common.lang AND words.w = common.w GROUP BY words.r, common.w),
+word_terms AS (
+  SELECT docs.r, ref_words.q, coalesce(own.c, 0) / docs.n AS p FROM docs JOIN ref_words ON docs.lang IS NOT DISTINCT FROM ref_words.lang
+  LEFT JOIN own ON own.r = docs.r AND own.w IS NOT DISTINCT FROM ref_words.w WHERE docs.n >= 50),
+of_class AS (SELECT r, lang, unnest(chars) AS c, unnest(range(7)) AS k, length(t) AS size FROM docs),
+ref_classes AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM of_class GROUP BY lang, k),
+class_terms AS (SELECT o.r, q, c / size AS p FROM of_class o JOIN ref_classes f ON o.lang IS NOT DISTINCT FROM f.lang AND o.k = f.k WHERE size >= 200),
+distances AS (
+  SELECT r, which, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d
+  FROM (SELECT *, 'w' AS which FROM word_terms UNION ALL SELECT *, 'c' FROM class_terms) x GROUP BY r, which),
+farthest AS (SELECT r, max(d) AS d FROM distances GROUP BY r),
+based AS (
+  SELECT docs.*, coalesce(repeats.c, 0)::BIGINT AS n_repeat_words, coalesce(dups.c, 0)::BIGINT AS n_dup_lines, farthest.d,
+         n < 50 OR 100 * coalesce(repeats.c, 0) > 50 * n AS base_failed
+  FROM docs LEFT JOIN repeats USING (r) LEFT JOIN dups USING (r) LEFT JOIN farthest USING (r))
+SELECT doc_id, n AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+       n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d > 0.16 + 1.2 / sqrt(n), false) AS kept
+FROM based
+"""
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH texts AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT d, lang, unnest(p) AS piece, unnest(range(len(p))) AS pos FROM (SELECT d, lang, regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]') AS p FROM texts) x),
+words AS (SELECT d, lang, pos, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT d, lang, pos, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces) x),
+totals AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, w, lead(w, 1) OVER p AS w2, lead(w, 2) OVER p AS w3, lead(w, 3) OVER p AS w4, lead(w, 4) OVER p AS w5 FROM words WINDOW p AS (PARTITION BY d, pos ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS k, w AS phrase FROM runs UNION ALL SELECT lang, 2, w || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL UNION ALL SELECT lang, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM runs WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, 5, w || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM runs WHERE w5 IS NOT NULL),
+counts AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+free AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a FROM counts c WHERE c.k > 1 AND NOT EXISTS (
+    SELECT 1 FROM counts o WHERE o.lang = c.lang AND o.k > c.k AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.f >= 100 * c.f)),
+cuts AS (SELECT lang, phrase, a, unnest(range(1, k)) AS k, string_split(phrase, ' ') AS ws FROM free),
+met AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, 1000::HUGEINT * c.a * n // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:c.k], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(ws[c.k + 1:], ' ')
+  JOIN totals ON totals.lang = c.lang),
+best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM best QUALIFY rank <= 2000
+"""
