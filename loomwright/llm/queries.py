@@ -292,3 +292,10 @@ best AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY lang, phrase
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM best QUALIFY rank <= 2000
 """
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomwright.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
