@@ -3,8 +3,9 @@
 A language's reference has two histograms, of the characters of all its documents by class (CLASSES and the rest), and of their
 words: those that make SHARE of the language's words or more, which are 1 / SHARE at most, and the rest. A document is compared
 with the reference of its own language by the Jensen-Shannon distance (the root of the divergence in bits: 0 alike, 1 disjoint).
-It fails where a distance is over BASE + SLACK / sqrt(n_words): a short text strays from its language by chance alone, by
-about that root. Class histograms are judged from LEAST_CHARS code points on, word histograms from LEAST_WORDS words on.
+A short text strays from its language by chance alone, by about the root of bins / words. So it fails where its classes are
+farther than BASE + CLASS_SLACK / sqrt(words), or its words than BASE + WORD_SLACK * sqrt(bins / words). Class histograms are
+judged from LEAST_CHARS code points on, word histograms from LEAST_WORDS words on.
 
 Before that come the base rules: too few words, or too many words within windows of three words that the text holds
 twice or more. Windows are told apart by 64-bit hashes within a document.
@@ -31,8 +32,8 @@ CLASSES = [r"[a-z]", r"[\x20\x09-\x0D]", r"[A-Z]", r"[!\x22'()+,\-./:;=?@\[\\\]^
 AT_BLANK, AT_SYMBOL = 1, 4
 #: The least share of a language's words that makes a word common.
 SHARE = 0.005
-#: Of the largest distance, and the guards.
-BASE, SLACK = 0.16, 1.2
+#: Of the largest distances, and the guards.
+BASE, CLASS_SLACK, WORD_SLACK = 0.16, 1.2, 0.32
 LEAST_CHARS, LEAST_WORDS = 200, 50
 
 
@@ -108,7 +109,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", share: f
     return saved(found.select("of", "class_shares", common["word"].alias("words"), _shares(F.concat(common["times"], F.array(rest)), F.col("n")).alias("word_shares")), "references")
 
 
-def judged(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE, base: float = BASE, slack: float = SLACK) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", lang: str = "lang", share: float = SHARE, base: float = BASE) -> DataFrame:
     """Per row: its columns in a struct named row, the base counts, base_failed, class_distance, word_distance (null where not judged), kept."""
     known = references(docs, text, lang, share)
     rows = docs.select(F.struct("*").alias("row"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -127,12 +128,14 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", share: float
         (F.length(t) - F.get("chars", F.lit(AT_BLANK))).cast("long").alias("word_chars"), F.get("chars", F.lit(AT_SYMBOL)).cast("long").alias("n_symbols"),
         repeated_lines(t).alias("n_dup_lines"), repeated_words(F.col("ws")).alias("n_repeat_words"),
         F.when(F.length(t) >= LEAST_CHARS, distance(_shares(F.col("chars"), F.length(t)), F.col("class_shares"))).alias("class_distance"),
-        F.when(F.size("ws") >= LEAST_WORDS, distance(let(F.col("ws"), histogram), F.col("word_shares"))).alias("word_distance"),
+        F.when(F.size("ws") >= LEAST_WORDS, distance(let(F.col("ws"), histogram), F.col("word_shares"))).alias("word_distance"), F.size("word_shares").alias("bins"),
     )
-    most = F.lit(base) + F.lit(slack) / F.sqrt(F.col("n_words"))
+    # null without words, where the base rules have failed
+    most_class = F.lit(base) + F.try_divide(F.lit(CLASS_SLACK), F.sqrt("n_words"))
+    most_word = F.lit(base) + F.lit(WORD_SLACK) * F.sqrt(F.try_divide("bins", "n_words"))
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    strays = F.coalesce(F.col("class_distance") > most, F.lit(False)) | F.coalesce(F.col("word_distance") > most, F.lit(False))
-    return facts.withColumn("base_failed", failed).withColumn("kept", ~failed & ~strays)
+    strays = F.coalesce(F.col("class_distance") > most_class, F.lit(False)) | F.coalesce(F.col("word_distance") > most_word, F.lit(False))
+    return facts.withColumn("base_failed", failed).withColumn("kept", ~failed & ~strays).drop("bins")
 
 
 def quality_report(docs: DataFrame, key: str = "doc_id", **how: str) -> DataFrame:

@@ -243,21 +243,22 @@ ref_words AS (SELECT lang, w, c / n AS q FROM common UNION ALL SELECT t.lang, NU
 own AS (
   SELECT words.r, common.w, count(*) AS c FROM words LEFT JOIN common ON words.lang IS NOT DISTINCT FROM common.lang AND words.w = common.w GROUP BY words.r, common.w),
 word_terms AS (
-  SELECT docs.r, ref_words.q, coalesce(own.c, 0) / docs.n AS p FROM docs JOIN ref_words ON docs.lang IS NOT DISTINCT FROM ref_words.lang
+  SELECT docs.r, docs.n, ref_words.q, coalesce(own.c, 0) / docs.n AS p FROM docs JOIN ref_words ON docs.lang IS NOT DISTINCT FROM ref_words.lang
   LEFT JOIN own ON own.r = docs.r AND own.w IS NOT DISTINCT FROM ref_words.w WHERE docs.n >= 50),
-of_class AS (SELECT r, lang, unnest(chars) AS c, unnest(range(7)) AS k, length(t) AS size FROM docs),
+of_class AS (SELECT r, n, lang, unnest(chars) AS c, unnest(range(7)) AS k, length(t) AS size FROM docs),
 ref_classes AS (SELECT lang, k, sum(c) / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM of_class GROUP BY lang, k),
-class_terms AS (SELECT o.r, q, c / size AS p FROM of_class o JOIN ref_classes f ON o.lang IS NOT DISTINCT FROM f.lang AND o.k = f.k WHERE size >= 200),
+class_terms AS (SELECT o.r, o.n, q, c / size AS p FROM of_class o JOIN ref_classes f ON o.lang IS NOT DISTINCT FROM f.lang AND o.k = f.k WHERE size >= 200),
 distances AS (
-  SELECT r, which, sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d
-  FROM (SELECT *, 'w' AS which FROM word_terms UNION ALL SELECT *, 'c' FROM class_terms) x GROUP BY r, which),
-farthest AS (SELECT r, max(d) AS d FROM distances GROUP BY r),
+  SELECT r, which, any_value(n) AS n, count(*) AS bins,
+         sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2, 0)) AS d
+  FROM (SELECT *, 'w' AS which FROM word_terms UNION ALL SELECT *, 'c' FROM class_terms) x WHERE n > 0 GROUP BY r, which),
+farthest AS (SELECT r, max(d - CASE WHEN which = 'c' THEN 0.16 + 1.2 / sqrt(n) ELSE 0.16 + 0.32 * sqrt(bins / n) END) AS over FROM distances GROUP BY r),
 based AS (
-  SELECT docs.*, coalesce(repeats.c, 0)::BIGINT AS n_repeat_words, coalesce(dups.c, 0)::BIGINT AS n_dup_lines, farthest.d,
+  SELECT docs.*, coalesce(repeats.c, 0)::BIGINT AS n_repeat_words, coalesce(dups.c, 0)::BIGINT AS n_dup_lines, farthest.over,
          n < 50 OR 100 * coalesce(repeats.c, 0) > 50 * n AS base_failed
   FROM docs LEFT JOIN repeats USING (r) LEFT JOIN dups USING (r) LEFT JOIN farthest USING (r))
 SELECT doc_id, n AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-       n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(d > 0.16 + 1.2 / sqrt(n), false) AS kept
+       n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over > 0, false) AS kept
 FROM based
 """
 
