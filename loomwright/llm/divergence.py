@@ -34,6 +34,8 @@ AT_BLANK, AT_SYMBOL = 1, 4
 SHARE = 0.005
 #: Of the largest distances, and the guards.
 BASE, CLASS_SLACK, WORD_SLACK = 0.16, 1.2, 0.32
+#: So many windows that come again are looked up one by one.
+FEW = 16
 LEAST_CHARS, LEAST_WORDS = 200, 50
 
 
@@ -47,22 +49,28 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def repeated_words(words: Column) -> Column:
-    """How many words lie in a window of three words that occurs twice or more, its first place included."""
+def windows_of(words: Column) -> Column:
+    """A hash of each window of three words."""
+    hashed = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    return let(words, lambda w: F.when(F.size(w) < 4, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: hashed(w, i))))
 
-    def windows(w: Column) -> Column:
-        hashed = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("at"))
-        return F.when(F.size(w) < 4, F.array().cast("array<struct<h:bigint,at:int>>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), hashed))
 
-    def places(s: Column) -> Column:
-        alike = lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])
-        return F.sort_array(F.array_compact(F.transform(s, lambda x, i: F.when(F.coalesce(alike(x, i), F.lit(False)), x["at"]))))
+def repeated_words(windows: Column) -> Column:
+    """How many words lie in a window of three words that occurs twice or more, its first place included."""
 
     def covered(p: Column) -> Column:
         each = F.transform(p, lambda at, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - at, F.lit(3))))
         return F.aggregate(each, F.lit(0).cast("long"), lambda s, x: s + x)
 
-    return let(let(F.sort_array(let(words, windows)), places), covered)
+    def sorted_places(s: Column) -> Column:
+        alike = lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | (F.get(s, i + 1)["h"] == x["h"])
+        return F.sort_array(F.array_compact(F.transform(s, lambda x, i: F.when(F.coalesce(alike(x, i), F.lit(False)), x["at"]))))
+
+    # the windows' hashes in order show which come again; few are looked up at each place, many are sorted with their places
+    again = let(F.sort_array(windows), lambda s: F.array_distinct(F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False)))))
+    few = lambda d: F.array_compact(F.transform(windows, lambda x, i: F.when(F.array_contains(d, x), i)))
+    many = let(F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("at")))), sorted_places)
+    return let(again, lambda d: F.when(F.size(d) == 0, F.lit(0).cast("long")).when(F.size(d) <= FEW, let(few(d), covered)).otherwise(let(many, covered)))
 
 
 def repeated_lines(text: Column) -> Column:
@@ -115,7 +123,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", share: float
     rows = docs.select(F.struct("*").alias("row"), F.col(lang).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     t = F.col("text")
     rows = rows.join(known, F.col("lang").eqNullSafe(F.col("of")))  # Spark broadcasts the references if they are small, and splits languages if not
-    rows = rows.withColumn("ws", words_of(t)).withColumn("chars", class_counts(t))
+    rows = rows.withColumn("ws", words_of(t)).withColumns({"chars": class_counts(t), "windows": windows_of(F.col("ws"))})
 
     def histogram(ws: Column) -> Column:
         hits = F.filter(ws, lambda w: F.array_contains("words", w))
@@ -126,7 +134,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", share: float
     facts = rows.select(
         "row", n_words.alias("n_words"),
         (F.length(t) - F.get("chars", F.lit(AT_BLANK))).cast("long").alias("word_chars"), F.get("chars", F.lit(AT_SYMBOL)).cast("long").alias("n_symbols"),
-        repeated_lines(t).alias("n_dup_lines"), repeated_words(F.col("ws")).alias("n_repeat_words"),
+        repeated_lines(t).alias("n_dup_lines"), repeated_words(F.col("windows")).alias("n_repeat_words"),
         F.when(F.length(t) >= LEAST_CHARS, distance(_shares(F.col("chars"), F.length(t)), F.col("class_shares"))).alias("class_distance"),
         F.when(F.size("ws") >= LEAST_WORDS, distance(let(F.col("ws"), histogram), F.col("word_shares"))).alias("word_distance"), F.size("word_shares").alias("bins"),
     )

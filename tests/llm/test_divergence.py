@@ -81,7 +81,7 @@ def test_against_plain_python(spark):
     got = sorted((tuple(r) for r in quality_report(frame(spark, data)).collect()), key=repr)
     assert got == oracle(data)
     kept = {r[0] for r in got if r[7]}
-    assert not {100, 101, 102, 103, 104, 105, 106, 107, 108} & kept and set(range(80)) <= kept and {109, 111, 112} <= kept
+    assert not {100, 101, 102, 103, 104, 105, 106, 107, 108} & kept and set(range(80)) <= kept and {111, 112} <= kept
 
 
 def test_keeps_columns_and_rows(spark):
@@ -103,13 +103,13 @@ def test_empty(spark):
 def test_repeats_of_every_kind(spark):
     from pyspark.sql import functions as F
 
-    from loomwright.llm.divergence import repeated_words, words_of
+    from loomwright.llm.divergence import repeated_words, windows_of, words_of
 
-    texts = ["", "a", "a b", "a b c", "a b c a b c", "a b c x a b c", "a a a", "a a a a", "a b a b a", "a b c d e a b c q c d e"]
+    texts = ["", "a", "a b", "a b c", "a b c a b c", "a b c x a b c", "a a a", "a a a a", "a b a b a", "a b c d e a b c q c d e", " ".join(f"w{k % 30}" for k in range(50))]
     want = []
     for t in texts:
         ws = t.split()
         g = Counter(zip(ws, ws[1:], ws[2:], strict=False))
         want.append(len({i + j for i, x in enumerate(zip(ws, ws[1:], ws[2:], strict=False)) if g[x] > 1 for j in range(3)}))
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
-    assert [r[1] for r in df.select("k", repeated_words(words_of(F.col("t")))).orderBy("k").collect()] == want
+    assert [r[1] for r in df.select("k", repeated_words(windows_of(words_of(F.col("t"))))).orderBy("k").collect()] == want
