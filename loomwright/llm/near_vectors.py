@@ -32,8 +32,8 @@ from loomwright.llm.components import components
 CELL, CELLS = 1000, 4096
 #: Classes to fit a cell's centre on.
 FIT = 40
-#: Classes of a block, about.
-BLOCK = 2048
+#: Classes of a block, about, and rows that are compared with all centres at once.
+BLOCK, ROWS = 2048, 1024
 
 
 def centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarray:
@@ -47,7 +47,7 @@ def centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarra
         c = np.vstack([c, x[pick]])
         far = np.minimum(far, 1 - x @ c[-1])
     for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
+        own = np.concatenate([(x[at : at + ROWS] @ c.T).argmax(axis=1) for at in range(0, len(x), ROWS)])
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -58,6 +58,7 @@ def centres(x: np.ndarray, k: int, rounds: int = 12, seed: int = 1) -> np.ndarra
 def matrix(vectors: pa.Array) -> np.ndarray:
     """Rows of unit vectors in double precision; all are of one length."""
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # else squares of very small or large components would be 0 or infinite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -74,6 +75,20 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         root = low
 
 
+def placed_in(x: np.ndarray, c: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit rows and unit centres: (row, cell, whether it is the row's home) for each cell that can hold a vector within reach."""
+    out = []
+    for at in range(0, len(x), ROWS):
+        sims = x[at : at + ROWS] @ c.T
+        rows, own = np.arange(len(sims)), sims.argmax(axis=1)
+        gaps = np.sqrt(np.maximum(0.0, 2 - 2 * (c[own] @ c.T)))
+        can = sims[rows, own][:, None] - sims <= reach * gaps + 1e-6
+        can[rows, own] = True
+        pick, cell = np.nonzero(can)
+        out.append((pick + at, cell, own[pick] == cell))
+    return tuple(np.concatenate(v) for v in zip(*out, strict=True))
+
+
 def classes_of(vectors: DataFrame, key: str, vector: str, label: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, c) with the class, null if nothing can link; and classes (c, low, copies, label, dims, x), low the smallest key."""
     x = F.col("x")
@@ -107,8 +122,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
         for r in some.orderBy("c").select("label", "dims", "x").collect():  # about FIT * CELLS vectors at most
             sample.setdefault((r["label"], r["dims"]), []).append(r["x"])
         for of, xs in sample.items():
-            x = np.array(xs, dtype=np.float64)
-            cells[of] = centres(x / np.linalg.norm(x, axis=1, keepdims=True), min(counts[of], len(x)))
+            cells[of] = centres(matrix(pa.array(xs)), min(counts[of], len(xs)))
     known = spark.sparkContext.broadcast(cells)  # about CELLS centres at most
 
     def place_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +137,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id
                 if c is None:
                     pick, cell, home = np.arange(len(at)), np.zeros(len(at), dtype=np.int64), np.ones(len(at), dtype=bool)
                 else:
-                    sims = matrix(part.column("x")) @ c.T
-                    own = sims.argmax(axis=1)
-                    gaps = np.linalg.norm(c[:, None] - c[None], axis=2)
-                    can = sims[np.arange(len(at)), own][:, None] - sims <= reach * gaps[own] + 1e-6
-                    can[np.arange(len(at)), own] = True
-                    pick, cell = np.nonzero(can)
-                    home = own[pick] == cell
+                    pick, cell, home = placed_in(matrix(part.column("x")), c, reach)
                 out = part.take(pa.array(pick))
                 yield pa.RecordBatch.from_arrays([out.column("label"), out.column("dims"), pa.array(cell, pa.int32()), pa.array(home), out.column("c"), out.column("copies"), out.column("x")], ["label", "dims", "cell", "home", "c", "copies", "x"])
 

@@ -11,7 +11,8 @@ A-Z count as a-z and line feeds as blanks, and bytes that were never learnt from
 shortest code wins, ties going to the first in code point order. The score is the posterior of that language, all languages being
 alike before, from code lengths tempered to at most CERTAIN bytes: exp(-bits) of whole texts would be 0 or 1.
 A null text and one without a letter get und and score 0. Learning skips null texts and languages; without a learned
-language everything is und. Repeated rows, extra columns and very long texts need no care; an empty table gives an empty result.
+language everything is und. Rows alike are learnt from once, however often they are there. Extra columns and very long texts need no care; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -133,7 +134,8 @@ def learn(docs: DataFrame, learnt_from: Column, key: str = "doc_id", text: str =
     rows = docs.where(learnt_from & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("k", "text"))
     short = F.length("text") <= longest
-    counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count(F.lit(1)).alias("n"))
+    each = rows.select("lang", "h", short.alias("is_short")).distinct()  # rows alike count once here too, else their language's share would be too small
+    counts = each.groupBy("lang").agg(F.count_if("is_short").alias("short"), F.count(F.lit(1)).alias("n"))
     n = F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("n"))
     place = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     met = rows.join(F.broadcast(counts.select("lang", "short", (F.lit(1.2 * sample + 20) / n).alias("share"))), "lang")  # one row a language

@@ -17,6 +17,8 @@ Very long texts are terms like others, worked on row by row. An empty table give
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,13 @@ def as_text(prints: Column) -> Column:
     return F.array_join(F.transform(prints, lambda x: F.lpad(F.hex(x), ID_BITS // 4, "0")), "")
 
 
+def _below(cuts: str, fits: Callable[[Column], Column]) -> Column:
+    """How many of the ascending cuts fit, which the first do and the others don't: found by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(CUTS.bit_length()))])
+    take = lambda at, step: F.when((at + step <= F.size(cuts)) & F.coalesce(fits(F.get(cuts, at + step - 1)), F.lit(False)), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), take)
+
+
 def edited_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
@@ -87,13 +96,14 @@ def edited_prints(docs: DataFrame, key: str = "doc_id", text: str = "text", samp
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc").isNull()).alias("nulls")).first()
     cuts = max(0, min(CUTS, (n["n"] - n["nulls"]) // RANGE_ROWS))
     found = rows.agg(F.percentile_approx("doc", [k / (cuts + 1) for k in range(1, cuts + 1)], 10 * (cuts + 1)).alias("cuts")).first()["cuts"] if cuts else []
-    found = F.array(*map(F.lit, found or [])).cast("array<bigint>")
+    known = spark.createDataFrame([(list(found or []),)], "cuts array<bigint>")  # one row of CUTS keys at most
+    rows = rows.join(F.broadcast(known)).select("doc", "text", "h", _below("cuts", lambda x: x < F.col("doc")).alias("low"), _below("cuts", lambda x: x <= F.col("doc")).alias("high"))
     # a range's number is that of the cuts above a row; a key equal to m cuts is spread over m ranges, null keys over ranges of their own
     part = lambda m: F.floor((F.shiftright("h", 11) + F.lit(1 << 52)).cast("double") * F.lit(0.5**53) * m).cast("int")
-    above, equal = F.size(F.filter(found, lambda x: x > F.col("doc"))), F.size(F.filter(found, lambda x: x == F.col("doc")))
+    above, equal = F.lit(len(found or [])) - F.col("high"), F.col("high") - F.col("low")
     of_null = F.lit(cuts + 1) + part(F.lit(float(max(1, min(CUTS, n["nulls"] // RANGE_ROWS)))))
     bucket = F.when(F.col("doc").isNull(), of_null).when(equal == 0, above).otherwise(above + 1 + part(equal.cast("double")))
-    placed = rows.withColumn("bucket", bucket.cast("int")).withColumn("order", F.struct(F.col("doc").isNull().alias("none"), F.bitwise_not("doc").alias("doc"), "h"))
+    placed = rows.select("doc", "text", "h", bucket.cast("int").alias("bucket")).withColumn("order", F.struct(F.col("doc").isNull().alias("none"), F.bitwise_not("doc").alias("doc"), "h"))
     tops = sorted((r["bucket"], tuple(r["top"])) for r in placed.groupBy("bucket").agg(F.min("order").alias("top")).collect())  # one small row a range
     # a range's first document is also at the end of the range before it, the very first at the end of all
     sent = [(*top, tops[k - 1][0]) for k, (_, top) in enumerate(tops)]

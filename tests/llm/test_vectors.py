@@ -57,3 +57,22 @@ def test_repeated_and_null_keys_are_rows_of_their_own(spark):
     near = lambda v: v + 0.01 * np.eye(4)[3]
     data = [(5, x, 1), (5, y, 1), (6, near(x), 1), (7, near(y), 1), (None, near(near(x)), 1), (None, np.eye(4)[2], 1), (None, np.eye(4)[2], 1), (5, x, 1)]
     assert run(spark, data) == oracle(data)
+
+
+def test_very_small_and_large_components(spark):
+    rows = [(0, [1e-200, 1e-200], 1), (1, [1.0, 0.1], 1), (2, [2e-200, 2e-200], 1), (3, [1e200, 1e199], 1)]
+    got = {r[0]: r[1:3] for r in run(spark, rows)}
+    assert got == {0: (1, 0), 1: (1, 1), 2: (1, 0), 3: (1, 1)}
+
+
+def test_cells_hold_every_vector_within_reach():
+    from loomwright.llm.near_vectors import placed_in
+
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    c, x = unit(rng.standard_normal((40, 6))), unit(rng.standard_normal((1500, 6)))
+    y = unit(x + 0.05 * rng.standard_normal(x.shape))
+    reach = np.linalg.norm(x - y, axis=1)
+    pick, cell, home = placed_in(x, c, float(reach.max()))
+    held = set(zip(pick.tolist(), cell.tolist(), strict=True))
+    assert home.sum() == len(x) and all((k, int(d)) in held for k, d in enumerate((y @ c.T).argmax(axis=1)))
