@@ -9,6 +9,8 @@ from loomwright.registry import query
 from loomwright.sources.tables import Tables
 
 # --- observations
+#: Names by which other hosts call the same tools.
+ALIASES = {"read_file": "Read", "write_file": "Write", "edit_file": "Edit", "glob": "Glob", "shell": "Bash", "run_shell_command": "Bash"}
 #: Tools by the category of an observation of their use.
 TOOLS = {
     "files-read": ["Read"], "files-written": ["Write", "Edit", "MultiEdit"], "file-search": ["Glob", "list_files", "Grep", "search_files", "grep"], "tasks": ["TodoWrite"],
@@ -36,11 +38,13 @@ def any_of(conditions: list[Column]) -> Column:
 def observation_kind(source: Column, payload: Column) -> Column:
     """The category of an event from its source and its payload, a JSON object: the first rule that fits; null payloads are raw."""
     of = lambda *paths: F.coalesce(*[F.get_json_object(payload, f"$.{p}") for p in paths])
-    tool, command, said = of("tool_name", "toolName"), F.lower(of("command", "tool_input.command")), F.lower(of("prompt", "message", "text"))
+    called = of("tool_name", "toolName")
+    tool = F.coalesce(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])[called], called)
+    command, said = F.lower(of("command", "tool_input.command")), F.lower(of("prompt", "message", "text"))
     file, out = F.lower(of("file_path", "path", "tool_input.file_path")), F.lower(of("stdout"))
     after = source == "post-tool-use"
     rules = [
-        ("rules", tool.isin("Read", "read_file") & any_of([file.endswith(x) for x in RULE_FILES] + [file.contains("claudemd")])),
+        ("rules", (tool == "Read") & any_of([file.endswith(x) for x in RULE_FILES] + [file.contains("claudemd")])),
         ("errors", after & any_of([of("tool_response.is_error") == "true", F.length(of("tool_response.error")) > 0, out.contains("error:"), out.contains("failed:")])),
         ("git-changes", F.lower(of("command")).rlike("^git .*(commit|merge|rebase|checkout|reset)") | F.coalesce(F.length(of("diff", "git_diff")) > 0, F.lit(False))),
         ("skills-invoked", tool.isin("Skill", "skill")),
@@ -252,12 +256,16 @@ def code_query(t: Tables) -> DataFrame:
 
 
 # --- JSON, arrays, times
+def patched(object_text: Column, key: str, value: str) -> Column:
+    """A JSON object's text with a key set to a JSON value. The other values keep their types; what is no object counts as an empty one."""
+    held = F.coalesce(F.try_variant_get(F.try_parse_json(object_text), "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return F.to_json(F.map_concat(F.map_filter(held, lambda k, _: k != key), F.create_map(F.lit(key), F.parse_json(F.lit(value)))))
+
+
 @query("""SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || ',"seen":true}' AS props FROM events""")
 def json_patch(t: Tables) -> DataFrame:
     """A key set in an object, the others kept."""
-    held = F.from_json("props", "map<string,string>")
-    patched = F.map_concat(held, F.create_map(F.lit("seen"), F.lit("true")))
-    return t.events.select("event_id", F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(patched)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","), F.lit("}")).alias("props"))
+    return t.events.select("event_id", patched(F.col("props"), "seen", "true").alias("props"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -268,13 +276,28 @@ def json_unescape(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object(plain, "$.k").alias("k"))
 
 
-@query("SELECT id, tag, 'x,y' AS other FROM memories")
+def array_text(elements: Column) -> Column:
+    """A one-dimensional array of texts as a literal, {a,"x,y"}: quoted where an element needs it."""
+    escaped = lambda x: F.concat(F.lit('"'), F.regexp_replace(x, r'([\\"])', r"\\$1"), F.lit('"'))
+    plain = lambda x: x.rlike(r'^[^{},"\\\s]+$') & (F.lower(x) != "null")
+    one = lambda x: F.when(x.isNull(), "NULL").when(plain(x), x).otherwise(escaped(x))
+    return F.concat(F.lit("{"), F.array_join(F.transform(elements, one), ","), F.lit("}"))
+
+
+def array_elements(literal: Column) -> Column:
+    """The elements of an array literal: quoted ones without quotes and escapes, a bare NULL as null; null for what is no literal."""
+    body = F.regexp_extract(literal, r"(?s)^\s*\{(.*)\}\s*$", 1)
+    parts = F.regexp_extract_all(body, F.lit(r'(?s)\s*("(?:[^"\\]|\\.)*"|[^,"]*[^,"\s])\s*(?:,|$)'), F.lit(1))
+    bare = lambda x: F.when(F.upper(F.trim(x)) == "NULL", F.lit(None)).otherwise(F.trim(x))
+    quoted = lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"(?s)\\(.)", "$1")
+    return F.when(literal.rlike(r"(?s)^\s*\{.*\}\s*$"), F.transform(parts, lambda x: F.when(x.startswith('"'), quoted(x)).otherwise(bare(x))))
+
+
+@query("SELECT id, array_to_string(list_slice(string_split(content, ' '), 1, 20), '|') AS words, len(list_slice(string_split(content, ' '), 1, 20)) AS n FROM chunks")
 def array_literal(t: Tables) -> DataFrame:
-    """A one-dimensional array written as text, with quoted elements: {a,"x,y"}."""
-    written = F.concat(F.lit("{"), F.col("tag"), F.lit(',"x,y"}'))
-    parts = F.regexp_extract_all(F.substring(written, F.lit(2), F.length(written) - 2), F.lit(r'("(?:[^"\\]|\\.)*"|[^,]+)'), F.lit(1))
-    clean = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(x, '^"|"$', ""), r"\\(.)", "$1"))
-    return t.memories.select("id", clean[0].alias("tag"), clean[1].alias("other"))
+    """The first words of each text, written as an array literal and read back."""
+    words = t.chunks.select("id", array_text(F.slice(F.split("content", " ", -1), 1, 20)).alias("literal"))
+    return words.withColumn("w", array_elements(F.col("literal"))).select("id", F.array_join("w", "|").alias("words"), F.size("w").cast("long").alias("n"))
 
 
 @query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) + CASE event_type WHEN 'view' THEN 3600 WHEN 'click' THEN 300 ELSE 86400 END AS expires FROM events")
@@ -528,25 +551,34 @@ def infer_type(t: Tables) -> DataFrame:
 
 
 # --- edges of code
-#: Names of calls that listen, clients and methods of HTTP.
-LISTENS, CLIENTS, METHODS = ["on", "once", "addListener", "addEventListener", "subscribe"], ["axios", "http", "https", "client", "api", "ky", "got"], ["get", "post", "put", "patch", "delete", "request"]
+#: What a call is by its last name and, where one is given, by its first; the first row that holds it counts.
+LISTENS = ["on", "once", "addListener", "addEventListener", "subscribe"]
+CLIENTS = ["axios", "http", "https", "client", "api", "ky", "got"]
+METHODS = ["get", "post", "put", "patch", "delete", "request"]
+CALLS: list[tuple[str, list[str], list[str]]] = [
+    ("http_call", ["query", "mutate", "subscribe"], ["trpc"]), ("emit", ["emit"], []), ("listen", LISTENS, []), ("http_call", ["fetch", "graphql", "gql"], []), ("http_call", METHODS, CLIENTS),
+]
+REMOTE = r"^(https?://|/api(/|$))"
 
 
-def call_kind(target: Column, first: Column) -> Column:
-    """Of a call, from what is called and its first literal."""
-    name, root = F.element_at(F.split(target, r"\."), -1), F.element_at(F.split(target, r"\."), 1)
-    return (
-        F.when(name == "emit", "emit").when(name.isin(LISTENS) & (root != "trpc"), "listen").when(name.isin("fetch", "graphql", "gql"), "http_call")
-        .when((root.isin(CLIENTS) & name.isin(METHODS) & (root != name)) | ((root == "trpc") & name.isin("query", "mutate", "subscribe")), "http_call")
-        .when(F.coalesce(first.rlike(r"^(https?://|/api(/|$))"), F.lit(False)), "http_call").otherwise("call")
-    )
+def edge_of_call(target: Column, first: Column) -> Column:
+    """The kind of edge that a call is, from the dotted name it calls and its first literal. trpc listens to nothing but by its own rows."""
+    steps = F.split(target, r"\.")
+    last, root = F.element_at(steps, -1), F.when(F.size(steps) > 1, steps[0])
+    kind = F.when(F.coalesce(first.rlike(REMOTE), F.lit(False)), "http_call").otherwise("call")
+    for name, names, roots in reversed(CALLS):
+        fits = last.isin(names) & (F.coalesce(root.isin(roots), F.lit(False)) if roots else F.lit(True))
+        if name == "listen":
+            fits = fits & ~F.coalesce(root == "trpc", F.lit(False))
+        kind = F.when(fits, name).otherwise(kind)
+    return kind
 
 
 @query("SELECT from_id, target_id, line, file, CASE target_id % 6 WHEN 0 THEN 'emit' WHEN 1 THEN 'listen' WHEN 2 THEN 'http_call' WHEN 3 THEN 'http_call' WHEN 4 THEN 'http_call' ELSE 'call' END AS edge_kind FROM refs")
 def edge_kind(t: Tables) -> DataFrame:
     k = (F.col("target_id") % 6).cast("int")
     target = F.array(*map(F.lit, ["bus.emit", "bus.on", "axios.get", "trpc.query", "load", "a.b.load"]))[k]
-    return t.refs.select("from_id", "target_id", "line", "file", call_kind(target, F.when(k == 4, "/api/x")).alias("edge_kind"))
+    return t.refs.select("from_id", "target_id", "line", "file", edge_of_call(target, F.when(k == 4, "/api/x")).alias("edge_kind"))
 
 
 @query("""WITH once AS (SELECT name, min(id) AS id, count(*) AS n FROM definitions GROUP BY name), r AS (SELECT DISTINCT from_id, line, file, target_id FROM refs)

@@ -20,7 +20,7 @@ VIEWS: dict[str, str] = {
     "memory_texts": "SELECT m.*, d.text AS content FROM memories m JOIN documents d ON d.doc_id = m.id",
     "search_events": """
         SELECT event_id, EPOCH_S(ts) AS ts_s, user_id AS session_id, user_id % 5 AS project_id, event_type, concat(event_type, ':', JSON_TEXT(props, '$.k')) AS query,
-               value AS duration, event_type = 'view' AS cache_hit, CAST(JSON_TEXT(props, '$.k') AS BIGINT) AS k
+               value AS duration, event_type = 'view' AS cache_hit, TRY_CAST(JSON_TEXT(props, '$.k') AS BIGINT) AS k
         FROM events""",
     "imports": """
         SELECT from_id, to_id FROM (
