@@ -43,9 +43,9 @@ _FACTOR = 0x9E3779B97F4A7C15
 _OTHER = 0xC2B2AE3D27D4EB4F
 
 
-def tokens(text: str) -> list[bytes]:
-    """The words of a text, with b"." between pieces."""
-    return text.encode().lower().translate(_CUT).replace(b"\t", b" ").replace(b".", b" . ").split(b" ")
+def prepared(text: str) -> bytes:
+    """A text whose words stand between blanks, with b"." between pieces."""
+    return text.encode().lower().translate(_CUT).replace(b"\t", b" ").replace(b".", b" . ")
 
 
 def phrase_hash(words: list[bytes], lang: str, factor: int = _FACTOR) -> int:
@@ -80,9 +80,9 @@ class Frequent:
 
 def count_block(texts: list[bytes], lang: str, k: int, known: Frequent | None) -> tuple[list[str], list[int], int]:
     """Phrases of k words of some texts of a language, their counts, and the words of these texts."""
-    words = [w for w in b" . ".join(texts).split(b" ") if w]
-    mark = np.fromiter((w == b"." for w in words), bool, len(words))
+    words = b" . ".join(texts).split()  # of the bytes that it splits at, only blanks are left
     own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    mark = own == np.uint64(xxhash.xxh3_64_intdigest(b"."))
     total = len(words) - int(mark.sum())
     n = len(words) - k + 1
     if n <= 0:
@@ -120,7 +120,7 @@ def _counted(texts: DataFrame, k: int, known: Frequent | None) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
-                raw = b" ".join(tokens(text.as_py()))
+                raw = prepared(text.as_py())
                 held.setdefault(lang.as_py(), []).append(raw)
                 size += len(raw)
                 if size >= BLOCK:
