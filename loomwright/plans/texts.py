@@ -28,7 +28,7 @@ MARKS: dict[str, list[tuple[float, str]]] = {
 }
 #: Beside all that javascript shows.
 MARKS["typescript"] = [(3, r"\b(interface|type) \w+(<\w+>)? ?[={]"), (3, r"\w\)?\??: (string|number|boolean|void|unknown|any)\b"), (3, r"\b(import|export) type\b"), (2, r"\bprivate \w+|\breadonly \w+"), *MARKS["javascript"]]
-_HIDDEN = r"""(?s)/\*.*?\*/|(?m://.*$)|(?m:(?<=^|\s)#(?!\[|include).*$)|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
+_HIDDEN = r"""(?s)/\*.*?\*/|//[^\n]*|(?<=^|\s)#(?!\[|include)[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
 
 
 def code_language(text: F.Column) -> F.Column:
