@@ -82,12 +82,13 @@ _OPENS = re.compile(r"\s{0,4}(export\s+)?(default\s+)?(async\s+)?(abstract\s+)?(
 _REMARK = re.compile(r"\s*(//|#|\*|/\*|\"\"\"|@)")
 
 
-def code(text: str) -> list[Chunk]:
-    """Chunks begin at declarations with the remarks above them; small ones join the one before, large ones are split with some lines shared."""
+def code(text: str, declared: list[int] | None = None) -> list[Chunk]:
+    """Chunks begin at declarations (the lines given, from 0, else those that look like it) with the remarks above them; small ones join the one before, large ones are split with some lines shared."""
     lines = text.split("\n")
     starts = []
-    for k, line in enumerate(lines):
-        if _OPENS.match(line):
+    opens = {k for k, line in enumerate(lines) if _OPENS.match(line)} if declared is None else set(declared)
+    for k in range(len(lines)):
+        if k in opens:
             while k > 0 and _REMARK.match(lines[k - 1]) and (not starts or k - 1 > starts[-1]):
                 k -= 1
             starts.append(k)
@@ -101,7 +102,7 @@ def code(text: str) -> list[Chunk]:
             end = min(b, a + MOST)
             body = "\n".join(lines[a:end])
             if body.strip():
-                m = next((x for x in lines[a:end] if _OPENS.match(x)), "")
+                m = next((lines[k] for k in range(a, end) if k in opens), "")
                 out.append((a + 1, end, m.strip()[:80], body))
             a = end if end == b else end - OVERLAP
     return [piece for c in out for piece in shortened(c)]

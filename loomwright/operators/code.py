@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.operators.graph import _cut
 from loomwright.operators.spans import innermost, nearest
 
 #: Languages by family: with quotes of either sort for strings, with single quotes for one character, and by indentation.
@@ -71,6 +72,11 @@ def tokens(files: DataFrame) -> DataFrame:
     return code.withColumn("depth", depth).drop("step")
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """The tokens of files with their surroundings, written once, as `symbols` and `calls` take them."""
+    return _cut(_around(tokens(files)))
+
+
 def _around(code: DataFrame) -> DataFrame:
     """Tokens with those around them (p2, p1, t1 to t4), and for brackets the place and line of the partner (close, close_line) and the text after it (after)."""
     order = Window.partitionBy("file").orderBy("m")
@@ -96,7 +102,7 @@ def _declarations(wide: DataFrame) -> DataFrame:
     # the bracket after this token, the one after the next, and so on: their partners' neighbours
     after = {k: F.lead("after", k).over(order) for k in (1, 2, 3, 4)}
     receiver = F.lead("after", 1).over(order)  # go: func (r T) name(
-    name = F.when((F.col("language") == "go") & (F.col("text") == "func") & (F.col("t1") == "("), receiver).when((F.col("t1") == "*") & (F.col("text") == "function"), F.col("t2")).otherwise(F.col("t1"))
+    name = F.when((F.col("language") == "go") & (F.col("text") == "func") & (F.col("t1") == "("), receiver).when((F.col("t1") == "*") & (F.col("text") == "function"), F.col("t2")).when((F.col("text") == "fun") & (F.col("t2") == "."), F.col("t3")).otherwise(F.col("t1"))
     fits = word.isNotNull() & _is_word(name) & ~known[F.concat_ws(" ", "language", name)].isNotNull() & ~F.coalesce(F.col("p1").isin(".", "new", "::"), F.lit(False))
     fits = fits & ((F.col("text") != "type") | (F.col("language") == "go") | F.coalesce(F.col("t2").isin("=", "<"), F.lit(False)))
     held = F.col("text").isin("const", "let", "var") & _is_word(F.col("t1")) & (F.col("t2") == "=") & F.col("language").isin("typescript", "javascript")
@@ -145,9 +151,8 @@ def _indented(wide: DataFrame) -> DataFrame:
     return met.select("file", "language", "kind", "name", F.lit(False).alias("typed"), "depth", F.col("at").alias("m"), "line", F.lit(True).alias("block"), F.coalesce(F.col("stop") - 1, "last_m").cast("int").alias("end_m"), F.coalesce("before_line", "last_line").alias("end_line"))
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """files: file, language, content. Per declaration: file, language, kind, name, line, end_line, parent (of the innermost one around it), m, end_m."""
-    wide = _around(tokens(files))
+def symbols(wide: DataFrame) -> DataFrame:
+    """wide: of `parsed`. Per declaration: file, language, kind, name, line, end_line, parent (of the innermost one around it), m, end_m."""
     found = _braced(wide).unionByName(_indented(wide))
     owned = innermost(found, found.where("block").select("file", "kind", "name", "depth", "m", "end_m"), ["file"], ["file", "m"], "m", "m", "end_m", strictly=True)
     # a name with brackets and a type is a method only right within a class; a function there is one too
@@ -158,10 +163,8 @@ def symbols(files: DataFrame) -> DataFrame:
     return kept.select("file", "language", kind.alias("kind"), "name", F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), F.col("span.name").alias("parent"), "m", "end_m")
 
 
-def calls(files: DataFrame, declared: DataFrame | None = None) -> DataFrame:
-    """Per call: file, line, caller (the innermost symbol around it, null at the top), callee (a dotted name), first (its first argument if that is a text)."""
-    declared = symbols(files) if declared is None else declared
-    wide = _around(tokens(files))
+def calls(wide: DataFrame, declared: DataFrame) -> DataFrame:
+    """wide: of `parsed`; declared: its symbols. Per call: file, line, caller (the innermost symbol around it, null at the top), callee (a dotted name), first (its first argument if that is a text)."""
     call = _is_word(F.col("text")) & (F.col("t1") == "(") & ~F.col("text").isin(CONTROL) & ~F.coalesce(F.col("p1").isin("function", "fun", "func", "fn", "def", "class"), F.lit(False)) & ~((F.col("language") == "go") & F.coalesce(F.col("p1") == ")", F.lit(False)))
     dotted = F.when((F.col("p1") == ".") & _is_word(F.col("p2")), F.when((F.col("p3") == ".") & _is_word(F.col("p4")), F.concat_ws(".", "p4", "p2", "text")).otherwise(F.concat_ws(".", "p2", "text"))).otherwise(F.col("text"))
     literal = F.when(F.col("t2").rlike("^[\"'`]"), F.regexp_replace("t2", "^.|.$", ""))

@@ -1,8 +1,10 @@
-"""Iterative operators over edge DataFrames. Each step's result is checkpointed, so lineage stays short."""
+"""Iterative operators over edge DataFrames. Each step's result is a table in the folder that the cluster shares, so lineage stays short and lost executors cost a step, not the job."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _TABLES:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may be gone by now; the folder is scratch
+            continue
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Writes df as a table in the shared folder and reads it back. Lineage ends there, and so do the constraints that a checkpoint would carry on, which grow from round to round."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _TABLES.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, least: float = 1e-6) -> DataFrame:

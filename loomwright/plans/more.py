@@ -447,14 +447,6 @@ def resolve_specifiers(asked: DataFrame, files: DataFrame, aliases: dict[str, st
     return met.groupBy("file", "spec").agg(F.min_by("target", F.when(F.col("target").isNotNull(), F.col("t.n"))).alias("target"))
 
 
-@query("""WITH f AS (SELECT DISTINCT path FROM definitions) SELECT d.path || '.ts' AS file, './' || split_part(d.path, '/', 3) AS spec, d.path || '.ts' AS target FROM (SELECT DISTINCT path FROM definitions) d""")
-def resolve_imports(t: Tables) -> DataFrame:
-    """Each file's import of its neighbour in the same folder, here itself."""
-    files = t.definitions.select(F.concat("path", F.lit(".ts")).alias("path")).distinct()
-    asked = files.select(F.col("path").alias("file"), F.concat(F.lit("./"), F.regexp_replace(F.split_part("path", F.lit("/"), F.lit(3)), "[.]ts$", "")).alias("spec"))
-    return resolve_specifiers(asked, files, {"@app": "src"})
-
-
 # --- sessions and spans: peers meet in slots of the time or line axis
 WINDOW = 600
 
@@ -581,20 +573,6 @@ def edge_kind(t: Tables) -> DataFrame:
     return t.refs.select("from_id", "target_id", "line", "file", edge_of_call(target, F.when(k == 4, "/api/x")).alias("edge_kind"))
 
 
-@query("""WITH once AS (SELECT name, min(id) AS id, count(*) AS n FROM definitions GROUP BY name), r AS (SELECT DISTINCT from_id, line, file, target_id FROM refs)
-  SELECT r.from_id, r.line, r.file, r.target_id, CASE WHEN l.id IS NOT NULL THEN l.id ELSE once.id END AS target, CASE WHEN l.id IS NOT NULL THEN 'local' ELSE 'global' END AS found
-  FROM r JOIN definitions d ON d.id = r.target_id LEFT JOIN definitions l ON l.id = r.target_id AND l.package = (SELECT min(package) FROM definitions) LEFT JOIN once ON once.name = d.name""")
-def resolve_edges(t: Tables) -> DataFrame:
-    """A reference's target: a name of the file's own package first, else the first definition of that name anywhere."""
-    refs = t.refs.select("from_id", "line", "file", "target_id").distinct()
-    named = refs.join(t.definitions.select(F.col("id").alias("target_id"), "name"), "target_id")
-    local = t.definitions.agg(F.min("package").alias("package"))
-    own = t.definitions.join(F.broadcast(local), "package").select(F.col("id").alias("target_id"), F.col("id").alias("own"))  # one row
-    first = t.definitions.groupBy("name").agg(F.min("id").alias("first"))
-    met = named.join(own, "target_id", "left").join(first, "name", "left")
-    return met.select("from_id", "line", "file", "target_id", F.coalesce("own", "first").alias("target"), F.when(F.col("own").isNotNull(), "local").otherwise("global").alias("found"))
-
-
 @query("""WITH seeds AS (SELECT id % 7 AS query_id, id FROM definitions WHERE id % 50 = 0), one AS (SELECT DISTINCT s.query_id, i.to_id AS id FROM imports i JOIN seeds s ON s.id = i.from_id),
   two AS (SELECT DISTINCT o.query_id, i.to_id AS id FROM imports i JOIN one o ON o.id = i.from_id), near AS (SELECT query_id, id, min(d) AS d FROM (SELECT *, 1 AS d FROM one UNION ALL SELECT *, 2 FROM two) x GROUP BY query_id, id)
   SELECT query_id, id, 0.45::DOUBLE AS score FROM near n WHERE NOT EXISTS (SELECT 1 FROM seeds s WHERE s.id = n.id AND s.query_id = n.query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, id) <= 50""")
@@ -635,36 +613,3 @@ def intent_search(t: Tables) -> DataFrame:
     scored = F.transform("parts", lambda x, k: F.struct((-(F.get("tf", k) / F.nullif("top", F.lit(0.0)) + bonus(x))).alias("s"), k.cast("long").alias("pos"), F.get("tf", k).alias("tf")))
     best = tf.where("top > 0").select("id", F.explode(F.slice(F.array_sort(F.filter(scored, lambda x: x["tf"] > 0)), 1, SECTIONS)).alias("x"))
     return best.select("id", "x.pos", F.round(-F.col("x.s"), 6).alias("score"))
-
-
-# --- symbols, imports and calls of source texts, line by line
-#: What declares a symbol or imports a module, by language family. Group 1 is the name.
-DECLARES = {
-    "py": [("class", r"^\s*class\s+([A-Za-z_]\w*)"), ("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)"), ("import", r"^\s*(?:from\s+([\w.]+)\s+import\b|import\s+([\w.]+))")],
-    "ts": [
-        ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)"), ("interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"),
-        ("type", r"^\s*(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*="), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+([A-Za-z_$][\w$]*)"),
-        ("function", r"^\s*(?:export\s+)?const\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>"), ("import", r"""^\s*import\b.*?['"]([^'"]+)['"]"""),
-    ],
-    "kt": [("class", r"^\s*(?:(?:data|sealed|open|abstract|enum)\s+)*class\s+([A-Za-z_]\w*)"), ("object", r"^\s*(?:companion\s+)?object\s+([A-Za-z_]\w*)"), ("function", r"^\s*(?:\w+\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?([A-Za-z_]\w*)\s*\("), ("import", r"^\s*import\s+([\w.]+)")],
-    "dart": [("class", r"^\s*(?:abstract\s+)?(?:class|mixin|enum|extension)\s+([A-Za-z_]\w*)"), ("function", r"^(?:[\w<>?]+\s+)([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:async\s*)?\{"), ("import", r"""^\s*import\s+['"]([^'"]+)['"]""")],
-}
-
-
-def symbols(files: DataFrame) -> DataFrame:
-    """files: file, language (a key of DECLARES), content. Per declaration or import: file, line, kind, name; of each line, the first pattern that fits."""
-    lines = files.select("file", "language", F.posexplode(F.split("content", "\n", -1)).alias("at", "text"))
-    found = F.lit(None).cast("struct<kind:string,name:string>")
-    for language, patterns in DECLARES.items():
-        for kind, pattern in reversed(patterns):
-            name = F.regexp_extract("text", pattern, 1)
-            if language == "py" and kind == "import":
-                name = F.when(name == "", F.regexp_extract("text", pattern, 2)).otherwise(name)
-            found = F.when((F.col("language") == language) & F.col("text").rlike(pattern), F.struct(F.lit(kind).alias("kind"), name.alias("name"))).otherwise(found)
-    return lines.withColumn("f", found).where("f IS NOT NULL").select("file", (F.col("at") + 1).cast("long").alias("line"), "f.kind", "f.name")
-
-
-@query("""SELECT p_partkey AS file, 1::BIGINT AS line, 'import' AS kind, split_part(lower(p_brand), '#', 1) AS name FROM part UNION ALL SELECT p_partkey, 2, 'function', concat('f', p_partkey) FROM part UNION ALL SELECT p_partkey, 4, 'class', 'C' FROM part""")
-def extract_symbols(t: Tables) -> DataFrame:
-    code = t.part.select(F.col("p_partkey").alias("file"), F.lit("py").alias("language"), F.concat(F.lit("import "), F.lower("p_brand"), F.lit("\ndef f"), F.col("p_partkey").cast("string"), F.lit("(x):\n  return 1\nclass C:\n  pass")).alias("content"))
-    return symbols(code)

@@ -97,16 +97,6 @@ statement("term_coverage", """
 statement("merge_max_score", """
     SELECT id, max(score) AS score FROM (SELECT id, importance AS score FROM memories UNION ALL SELECT id, access_count / 6.0 FROM memories WHERE id % 2 = 0) x GROUP BY id""")
 statement("checkpoint_live_refs", "SELECT DISTINCT l_partkey AS id FROM lineitem WHERE EXISTS (SELECT 1 FROM memories m WHERE m.id = l_partkey AND NOT m.deleted)")
-statement("innermost_owner", """
-    WITH spans AS (SELECT id, package, line_start AS a, line_start + id % 9 AS b FROM definitions)
-    SELECT r.file, r.line, min_by(s.id, (s.b - s.a) * 1000000 + s.id) AS owner
-    FROM refs r JOIN definitions d ON d.id = r.target_id JOIN spans s ON s.package = d.package AND s.a <= r.line AND s.b >= r.line
-    GROUP BY r.file, r.line""")
-statement("nearest_preceding_def", """
-    SELECT r.file, r.line, coalesce(max_by(d.id, CASE WHEN d.line_start <= r.line THEN d.line_start * 1000000 + d.id END), min_by(d.id, d.line_start * 1000000 + d.id)) AS def
-    FROM (SELECT DISTINCT file, line, from_id FROM refs) r JOIN definitions d ON d.id % 50 = r.from_id % 50 GROUP BY r.file, r.line""")
-
-# --- aggregations
 statement("analytics_summary", """
     SELECT query, count(*) AS n, (SELECT count(*) FROM search_events) AS total FROM search_events GROUP BY query ORDER BY n DESC, query LIMIT 10""")
 statement("analytics_project", """

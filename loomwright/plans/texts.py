@@ -99,11 +99,6 @@ def line_diff(t: Tables) -> DataFrame:
     return a.join(b, "id").select("id", F.size(differ).cast("long").alias("changed"))
 
 
-@query()
-def chunk_code(t: Tables) -> DataFrame:
-    return chunking.exploded(t.chunks, "id", "content", chunking.code)
-
-
 @query()
 def chunk_markdown(t: Tables) -> DataFrame:
     return chunking.exploded(t.chunks, "id", "content", chunking.markdown)
@@ -160,12 +155,6 @@ statement("log_filter", "SELECT event_id, event_type FROM events WHERE EPOCH_S(t
 _CODE = "SELECT p_partkey AS id, concat('import ', lower(p_brand), chr(10), 'def f', CAST(p_partkey AS STRING), '(x):', chr(10), '  return ', CAST(p_size AS STRING), chr(10), 'class C:', chr(10), '  pass') AS content FROM part"
 
 
-@query("SELECT p_partkey AS id, concat('import ', lower(p_brand)) AS line FROM part")
-def extract_imports(t: Tables) -> DataFrame:
-    lines = t.sql(_CODE).select("id", F.explode(F.split("content", "\n")).alias("line"))
-    return lines.where(F.col("line").rlike(r"^\s*(import\s|from\s+\S+\s+import\s|#include|use\s)"))
-
-
 @query("SELECT p_partkey AS id, concat('import ', lower(p_brand), chr(10), 'def f', CAST(p_partkey AS STRING), '(x):', chr(10), 'class C:') AS outline FROM part")
 def compress_structure(t: Tables) -> DataFrame:
     @F.pandas_udf(StringType())

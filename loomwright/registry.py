@@ -31,4 +31,4 @@ def query(sql: str | None = None) -> Callable:
     return keep
 
 
-from loomwright.plans import graph, memory, more, relational, retrieval, streams, texts  # noqa: E402, F401  they register themselves
+from loomwright.plans import code, graph, memory, more, relational, retrieval, streams, texts  # noqa: E402, F401  they register themselves

@@ -75,7 +75,7 @@ class Store(private val c: Char = '{') {
     }
 }
 
-fun find(key: String): Item? { return null }
+fun String.find(key: String): Item? { return null }
 """
 
 GO = """package main
@@ -114,10 +114,10 @@ def files(spark):
 
 
 def found(files):
-    from loomwright.operators.code import symbols
+    from loomwright.operators.code import parsed, symbols
 
     out: dict = {}
-    for r in symbols(files).orderBy("file", "m").collect():
+    for r in symbols(parsed(files)).orderBy("file", "m").collect():
         out.setdefault(r["file"], []).append((r["kind"], r["name"], r["line"], r["end_line"], r["parent"]))
     return out
 
@@ -140,10 +140,11 @@ def test_symbols(files):
 
 
 def test_calls(files):
-    from loomwright.operators.code import calls
+    from loomwright.operators.code import calls, parsed, symbols
 
     got: dict = {}
-    for r in calls(files).collect():
+    wide = parsed(files)
+    for r in calls(wide, symbols(wide)).collect():
         got.setdefault(r["file"], set()).add((r["line"], r["caller"], r["callee"], r["first"]))
     assert got["a.ts"] >= {
         (17, "get", "this.held.get", None), (18, "get", "lookup", "x${key}"), (21, "put", "emit", "stored"), (23, "wrap", "inner", None), (25, "put", "wrap", None), (29, "lookup", "fetch", "/api/x"), (32, "later", "read", None),
@@ -166,10 +167,19 @@ def test_imports(files):
 
 
 def test_long_and_broken_texts(spark):
-    from loomwright.operators.code import symbols
+    from loomwright.operators.code import parsed, symbols
 
     texts = ['const a = "' + "x\\\\" * 40_000 + '";\nfunction late() { return 1; }', "function open( {\n" * 50, "/* never closed", "`never closed", "}" * 200 + "\nfunction f() {}", "class A {\n" + "  m() { return 1; }\n" * 3000 + "}"]
     df = spark.createDataFrame([(str(k), "typescript", t) for k, t in enumerate(texts)], "file string, language string, content string")
-    got = symbols(df).collect()
+    got = symbols(parsed(df)).collect()
     assert ("0", "late") in {(r["file"], r["name"]) for r in got} and ("4", "f") in {(r["file"], r["name"]) for r in got}
     assert sum(r["file"] == "5" and r["kind"] == "method" and r["parent"] == "A" for r in got) == 3000
+
+
+def test_chunks_begin_at_outermost_declarations(files):
+    from loomwright.plans.code import chunked
+
+    got = {}
+    for r in chunked(files.where("content IS NOT NULL")).orderBy("file", "nth").collect():
+        got.setdefault(r["file"], []).append((r["line_start"], r["line_end"]))
+    assert got["a.ts"] == [(1, 6), (7, 11), (12, 28), (29, 33), (34, 35)] and got["b.py"] == [(1, 16), (17, 22)]

@@ -11,29 +11,6 @@ from pyspark.sql import functions as F
 SF = "/root/testdata/sf0.01"
 
 
-def test_louvain_finds_cliques_and_keeps_communities_connected(spark):
-    from loomwright.operators.communities import communities, louvain
-
-    cliques = [(a + 10 * g, b + 10 * g, 1.0) for g in range(4) for a in range(5) for b in range(a)]
-    bridges = [(4, 10, 1.0), (14, 20, 1.0), (24, 30, 1.0), (7, 7, 1.0)]
-    found = louvain(cliques + bridges)
-    assert found == {n + 10 * g: 10 * g for g in range(4) for n in range(5)}
-    df = spark.createDataFrame(cliques + bridges, "src long, dst long, weight double")
-    assert {r["id"]: r["community"] for r in communities(df).collect()} == found
-    assert communities(df.limit(0)).count() == 0
-
-
-def test_louvain_raises_modularity_above_single_nodes():
-    from loomwright.operators.communities import louvain
-
-    rng = random.Random(2)
-    links = list({(min(a, b), max(a, b)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(200)) if a != b})
-    found, m = louvain([(a, b, 1.0) for a, b in links]), len(links)
-    degree = {n: sum(n in e for e in links) for n in found}
-    q = lambda at: sum(at[a] == at[b] for a, b in links) / m - sum((sum(d for n, d in degree.items() if at[n] == c) / (2 * m)) ** 2 for c in set(at.values()))
-    assert q(found) > 0.2 > q({n: n for n in found})
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 def test_recall_of_the_cell_index(spark):
     from loomwright import registry
@@ -137,20 +114,6 @@ def test_embeddings_move_towards_what_was_used(spark):
     assert want and {k: pytest.approx(v, abs=2e-6) for k, v in want.items()} == got
 
 
-def test_symbols_of_four_languages(spark):
-    from loomwright.plans.more import symbols
-
-    texts = {
-        "py": ("import os.path\nfrom a.b import c\nclass K(B):\n    async def run(self): ...\nx = 'def no'", [(1, "import", "os.path"), (2, "import", "a.b"), (3, "class", "K"), (4, "function", "run")]),
-        "ts": ("import { a } from './b';\nexport default class A {}\nexport interface I {}\ntype T = string\nexport const f = async (x) => 1\nfunction* g() {}\nconst y = 3", [(1, "import", "./b"), (2, "class", "A"), (3, "interface", "I"), (4, "type", "T"), (5, "function", "f"), (6, "function", "g")]),
-        "kt": ("import a.b.C\ndata class D(val x: Int)\ncompanion object O\nprivate fun String.ext(y: Int) = y", [(1, "import", "a.b.C"), (2, "class", "D"), (3, "object", "O"), (4, "function", "ext")]),
-        "dart": ("import 'dart:io';\nabstract class W {}\nvoid main() {\n  call();\n}", [(1, "import", "dart:io"), (2, "class", "W"), (3, "function", "main")]),
-    }
-    df = spark.createDataFrame([(k, k, v[0]) for k, v in texts.items()], "file string, language string, content string")
-    got = sorted((r["file"], r["line"], r["kind"], r["name"]) for r in symbols(df).collect())
-    assert got == sorted((k, *x) for k, v in texts.items() for x in v[1])
-
-
 def test_files_of_a_folder(spark, tmp_path):
     import hashlib
 
