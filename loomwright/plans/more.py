@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwright.functions.text import edit_limit
 from loomwright.registry import query
 from loomwright.sources.tables import Tables
 
@@ -163,29 +164,11 @@ def buffer_hits(t: Tables) -> DataFrame:
 
 
 # --- text helpers
-def edit_limit(term: Column) -> Column:
-    return F.when(F.length(term) <= 4, 1).when(F.length(term) <= 12, 2).otherwise(3)
-
-
 @query("SELECT n_name AS term, CASE WHEN length(n_name) < 5 THEN 1 WHEN length(n_name) < 13 THEN 2 ELSE 3 END AS edits FROM nation")
 def max_edit_distance(t: Tables) -> DataFrame:
     return t.nation.select(F.col("n_name").alias("term"), edit_limit(F.col("n_name")).alias("edits"))
 
 
-@query("""WITH q AS (SELECT replace(n_name, 'A', 'E') AS asked FROM nation UNION SELECT concat(n_name, ' two') FROM nation), v AS (SELECT DISTINCT n_name AS word FROM nation),
-  c AS (SELECT asked, word, levenshtein(asked, word) AS d FROM q, v WHERE asked NOT LIKE '% %' AND length(asked) >= 3 AND levenshtein(asked, word) <= CASE WHEN length(asked) <= 4 THEN 1 WHEN length(asked) <= 12 THEN 2 ELSE 3 END),
-  b AS (SELECT asked, arg_min(word, d * 1000 + ascii(word)) AS word, min(d) AS d FROM c GROUP BY asked)
-  SELECT q.asked, CASE WHEN b.d > 0 THEN b.word ELSE q.asked END AS used FROM q LEFT JOIN b USING (asked)""")
-def query_correction(t: Tables) -> DataFrame:
-    """Queries of one term of three letters and more take the nearest known word within the limit; others stay."""
-    q = t.nation.select(F.replace("n_name", F.lit("A"), F.lit("E")).alias("asked")).union(t.nation.select(F.concat("n_name", F.lit(" two")))).distinct()
-    words = t.nation.select(F.col("n_name").alias("word")).distinct()
-    one = q.where(~F.col("asked").contains(" ") & (F.length("asked") >= 3))
-    near = one.join(F.broadcast(words), F.levenshtein("asked", "word") <= edit_limit(F.col("asked")))  # the vocabulary of 25 names
-    best = near.groupBy("asked").agg(F.min(F.struct(F.levenshtein("asked", "word").alias("d"), F.ascii("word").alias("a"), "word")).alias("b"))
-    return q.join(best, "asked", "left").select("asked", F.when(F.col("b.d") > 0, F.col("b.word")).otherwise(F.col("asked")).alias("used"))
-
-
 @query("""SELECT id, CASE WHEN id % 4 = 0 THEN concat('label ', CAST(id AS VARCHAR)) WHEN id % 4 = 1 THEN lang WHEN id % 4 = 2 THEN file ELSE left(string_split(content, chr(10))[1], 80) END AS title FROM chunks""")
 def title_resolution(t: Tables) -> DataFrame:
     """Of label, parent symbol, path and first line, the first that isn't empty."""

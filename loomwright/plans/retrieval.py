@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.functions.text import cosine, hamming, sign_bits, tokens
-from loomwright.operators import cells, ranking
+from loomwright.functions.text import cosine, edit_limit, hamming, sign_bits, tokens
+from loomwright.operators import cells, graph, ranking, words
 from loomwright.registry import query, statement
 from loomwright.sources.tables import Tables
 
@@ -65,14 +65,14 @@ def keyword_stream(t: Tables, terms: DataFrame) -> DataFrame:
 def trigram_stream(t: Tables, terms: DataFrame, least: float = 0.25) -> DataFrame:
     """The share of a query's longer terms that stand somewhere in a text, words' parts included.
 
-    A term has letters alone, so it stands within one run of letters: terms meet the distinct runs of the corpus first, in blocks,
-    and those that hold one meet their texts by an equi-join.
+    A term has letters alone, so it stands within one run of letters: terms meet the distinct runs of the corpus first, by an index of their
+    pieces, and those that hold one meet their texts by an equi-join.
     """
     own = terms.where(F.length("term") >= 5)
     counted = own.groupBy("query_id").agg(F.count(F.lit(1)).alias("terms"))
     runs = t.chunks.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]{5,})"), F.lit(1)))).alias("run"))
     known = runs.select("run").distinct()
-    held = ranking.in_blocks(own.select(F.col("term").alias("q")).distinct(), lambda part: known.join(F.broadcast(part), F.contains("run", "q")).select("run", F.col("q").alias("term")))
+    held = words.holding(own, runs.select(F.col("run").alias("word"))).withColumnRenamed("word", "run")
     met = runs.join(held, "run").select("id", "term").distinct().join(own, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("met"))
     return met.join(counted, "query_id").select("query_id", "id", (F.col("met") / F.col("terms")).alias("score")).where(F.col("score") >= least)
 
@@ -103,7 +103,7 @@ def _pool(stream: DataFrame) -> DataFrame:
 def _all_fused(t: Tables) -> tuple[DataFrame, DataFrame]:
     """All streams fused, and the keyword stream's pool."""
     terms = _terms(t)
-    vector, keyword, parts = _pool(vector_stream(t)), _pool(keyword_stream(t, terms)), _pool(trigram_stream(t, terms))
+    vector, keyword, parts = (graph._cut(_pool(s)) for s in (vector_stream(t), keyword_stream(t, terms), trigram_stream(t, terms)))  # each serves twice
     best = vector.unionByName(keyword).groupBy("query_id", "id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     seeds = best.withColumn("n", place).where("n <= 20").select("query_id", "id")
@@ -118,9 +118,9 @@ def _all_fused(t: Tables) -> tuple[DataFrame, DataFrame]:
   SELECT query_id, id, round(score, 9) AS score, place FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, id) - 1 AS place FROM capped) y WHERE place < 10""")
 def hybrid_search(t: Tables) -> DataFrame:
     """Vector, keyword, trigram and graph streams, fusion, gate, cap by project, top 10; a batch of queries is one plan."""
-    fused = ranking.min_score(_all_fused(t)[0], 0.2).withColumn("score", F.round("score", 12))
+    fused = ranking.min_score(_all_fused(t)[0], 0.2).withColumn("exact", F.col("score")).withColumn("score", F.round("score", 12))
     capped = ranking.per_file_cap(fused.join(t.chunks.select("id", "project"), "id"), 2, "project")
-    return ranking.top(capped, 10).select("query_id", "id", F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"))
+    return ranking.top(capped, 10).select("query_id", "id", F.round("exact", 9).alias("score"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"WITH {_ALL_STREAMS} SELECT query_id, id, round(score, 9) AS score FROM fused")
@@ -148,12 +148,47 @@ statement("fts_terms", "SELECT DISTINCT item_id AS query_id, REPLACE_ALL(w, '[^a
 statement("trigram_search", """
   WITH q AS (SELECT EXPLODE(SPLIT('tion erth chque ciono', ' ')) AS term)
   SELECT id, score FROM (SELECT c.id, count(*) / 4.0 AS score FROM chunks c JOIN q ON contains(lower(c.content), q.term) GROUP BY c.id) x WHERE score >= 0.25""")
-statement("fuzzy_correct", """
-  WITH vocabulary AS (SELECT DISTINCT p_type AS word FROM part UNION SELECT DISTINCT p_brand FROM part UNION SELECT n_name FROM nation),
-  typed AS (SELECT n_name AS was, concat(substr(n_name, 1, 2), 'X', substr(n_name, 4)) AS term FROM nation WHERE length(n_name) >= 3),
-  near AS (SELECT t.term, v.word, levenshtein(t.term, v.word) AS d FROM typed t JOIN vocabulary v ON abs(length(t.term) - length(v.word)) <= CASE WHEN length(t.term) <= 4 THEN 1 WHEN length(t.term) <= 12 THEN 2 ELSE 3 END)
-  SELECT term, word, CAST(d AS BIGINT) AS distance FROM (SELECT term, word, d, row_number() OVER (PARTITION BY term ORDER BY d, word) AS place FROM near
-    WHERE d <= CASE WHEN length(term) <= 4 THEN 1 WHEN length(term) <= 12 THEN 2 ELSE 3 END) x WHERE place = 1""")
+_LIMIT = "CASE WHEN length(term) <= 4 THEN 1 WHEN length(term) <= 12 THEN 2 ELSE 3 END"
+_TYPED = r"""vocabulary AS (SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(lower(content), ' ')) AS w FROM chunks) x WHERE regexp_matches(w, '^[a-z0-9]{3,}$')),
+  typed AS (SELECT DISTINCT substr(w, 1, length(w) // 2) || substr(w, length(w) // 2 + 2) AS term FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark) x)"""
+
+
+def _vocabulary(t: Tables) -> DataFrame:
+    found = t.chunks.select(F.explode(F.split(F.lower("content"), " ", -1)).alias("word")).where(F.col("word").rlike("^[a-z0-9]{3,}$"))
+    return found.distinct()
+
+
+def _mistyped(t: Tables) -> DataFrame:
+    """The benchmark's words of four letters and more, each without the letter in its middle."""
+    w = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("w"))
+    half = F.floor(F.length("w") / 2).cast("int")
+    return w.select(F.concat(F.substring("w", F.lit(1), half), F.substring("w", half + 2, F.length("w"))).alias("term")).distinct()
+
+
+def nearest_words(t: Tables, terms: DataFrame) -> DataFrame:
+    """Per term the nearest word of the vocabulary within its limit of edits, ties to the first by name: term, word, distance."""
+    near = words.within_edits(terms, _vocabulary(t), edit_limit)
+    return near.groupBy("term").agg(F.min(F.struct("distance", "word")).alias("b")).select("term", "b.word", "b.distance")
+
+
+@query(f"""WITH {_TYPED}, near AS (SELECT term, word, levenshtein(term, word) AS d FROM typed JOIN vocabulary ON abs(length(term) - length(word)) <= {_LIMIT} AND levenshtein(term, word) <= {_LIMIT})
+  SELECT term, arg_min(word, (d, word)) AS word, CAST(min(d) AS BIGINT) AS distance FROM near GROUP BY term""")
+def fuzzy_correct(t: Tables) -> DataFrame:
+    return nearest_words(t, _mistyped(t))
+
+
+@query(f"""WITH {_TYPED}, asked AS (SELECT term AS asked FROM typed UNION SELECT term || ' two' FROM typed),
+  near AS (SELECT term, word, levenshtein(term, word) AS d FROM typed JOIN vocabulary ON abs(length(term) - length(word)) <= {_LIMIT} AND levenshtein(term, word) <= {_LIMIT} WHERE length(term) >= 3),
+  best AS (SELECT term, arg_min(word, (d, word)) AS word FROM near GROUP BY term)
+  SELECT asked, coalesce(word, asked) AS used FROM asked LEFT JOIN best ON term = asked""")
+def query_correction(t: Tables) -> DataFrame:
+    """Queries of one term of three letters and more take the nearest known word within the limit; others stay."""
+    typed = _mistyped(t)
+    asked = typed.select(F.col("term").alias("asked")).union(typed.select(F.concat("term", F.lit(" two")))).distinct()
+    one = asked.where(~F.col("asked").contains(" ") & (F.length("asked") >= 3)).select(F.col("asked").alias("term"))
+    return asked.join(nearest_words(t, one), F.col("asked") == F.col("term"), "left").select("asked", F.coalesce("word", "asked").alias("used"))
+
+
 statement("boost_files", "SELECT id, round(CASE WHEN type IN ('t1', 't4') THEN least(1.0, importance * 1.3) ELSE importance END, 6) AS score FROM memories")
 # ids that a verdict names come first, in its order; the rest of a project's pool keeps its own
 statement("apply_verdict", """
