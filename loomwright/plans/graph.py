@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.operators import communities as louvain
-from loomwright.operators import graph
+from loomwright.operators import graph, paths
 from loomwright.registry import query, statement
 from loomwright.sources.tables import Tables
 
@@ -148,18 +148,54 @@ def modularity(t: Tables) -> DataFrame:
 _MEM = "SELECT from_id AS src, to_id AS dst, weight FROM memory_edges WHERE weight >= 0.9"
 
 
-@query(f"""WITH RECURSIVE e AS ({_MEM} UNION SELECT to_id, from_id, weight FROM memory_edges WHERE weight >= 0.9), reach(id, depth) AS (SELECT 's1', 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN e ON e.src = r.id WHERE r.depth < 2)
-  SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY id""")
-def related_context(t: Tables) -> DataFrame:
-    """Undirected, two steps over strong edges."""
-    e = t.sql(_MEM).select("src", "dst")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.bfs(both, t.spark.createDataFrame([("s1",)], "id string"), 2).select("id", F.col("depth").cast("long").alias("depth"))
+#: Of the memory graph: edges out of a node, the least weight, related memories returned, paths returned.
+FAN_OUT, LEAST, RELATED, PATHS = 20, 0.3, 20, 10
+_LINKED = "SELECT from_id AS src, to_id AS dst, edge_type, weight FROM memory_edges UNION ALL SELECT to_id, from_id, edge_type, weight FROM memory_edges"
+
+
+def _linked(t: Tables, where: str = "TRUE") -> DataFrame:
+    """Memory edges both ways, one a pair, the heaviest."""
+    return t.sql(_LINKED).where(where).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+
+
+def _asked(t: Tables) -> DataFrame:
+    """Memories whose number 50 divides."""
+    return t.memory_edges.select(F.col("from_id").alias("id")).distinct().where(F.substring("id", 2, 20).cast("long") % 50 == 0)
 
 
-statement("memory_paths", f"""
-  WITH e AS (SELECT src, dst, max(weight) AS weight FROM ({_MEM}) x GROUP BY src, dst), back AS (SELECT dst AS src, src AS dst, weight FROM e)
-  SELECT a.src, b.dst AS mid_peer, round(max(a.weight * b.weight), 6) AS strength FROM e a JOIN back b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY a.src, b.dst""")
+def _levels_sql(edges: str, depth: int, weight: str, start: str = "SELECT DISTINCT from_id AS id FROM memory_edges WHERE CAST(substr(from_id, 2) AS BIGINT) % 50 = 0") -> str:
+    """CTEs l0 to l<depth>, and `reached`: breadth first, each node at its first level with the best path of that length."""
+    parts = [f"e AS ({edges})", f"l0 AS (SELECT id AS start, id, 0 AS hops, CAST(0 AS DOUBLE) AS w, CAST(id AS VARCHAR) AS path FROM ({start}) s)"]
+    for k in range(1, depth + 1):
+        before = " AND ".join(f"NOT EXISTS (SELECT 1 FROM l{j} o WHERE o.start = l.start AND o.id = e.dst)" for j in range(k))
+        parts.append(f"l{k} AS (SELECT start, id, {k} AS hops, -min(b)[1] AS w, min(b)[2] AS path FROM (SELECT l.start, e.dst AS id, (-({weight}), l.path || '>' || CAST(e.dst AS VARCHAR)) AS b FROM l{k - 1} l JOIN e ON e.src = l.id WHERE {before}) x GROUP BY start, id)")
+    return ", ".join([*parts, f"reached AS ({' UNION ALL '.join(f'SELECT * FROM l{k}' for k in range(depth + 1))})"])
+
+
+_BOTH = "SELECT src, dst, max(weight) AS weight FROM (" + _LINKED + ") x WHERE {} GROUP BY src, dst"
+_FEW = "SELECT src, dst, weight FROM ({}) y QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= 20"
+
+
+@query(f"WITH {_levels_sql(_FEW.format(_BOTH.format('weight >= 0.3')), 2, 'e.weight')} SELECT start, id, hops AS depth, w AS weight FROM reached WHERE hops > 0 QUALIFY row_number() OVER (PARTITION BY start ORDER BY hops, w DESC, id) <= 20")
+def related_context(t: Tables) -> DataFrame:
+    """Undirected, two steps over edges of some weight, the heaviest FAN_OUT of each node; nearer ones first, then heavier ones."""
+    edges = paths.strongest_edges(_linked(t, f"weight >= {LEAST}"), FAN_OUT)
+    near = paths.nearest_first(edges, _asked(t), 2, total=False).where("hops > 0")
+    place = F.row_number().over(Window.partitionBy("start").orderBy("hops", F.desc("weight"), "id"))
+    return near.withColumn("n", place).where(F.col("n") <= RELATED).select("start", "id", F.col("hops").alias("depth"), "weight")
+
+
+@query("""WITH e AS (SELECT from_id AS src, to_id AS dst, count(*) / (count(*) + 1.0)::DOUBLE AS weight FROM imports WHERE from_id <> to_id GROUP BY 1, 2), s AS (SELECT DISTINCT src AS start FROM e WHERE src % 50 = 0),
+  one AS (SELECT start, dst AS id, weight AS w, [start, dst] AS p FROM s JOIN e ON src = start), two AS (SELECT start, e.dst AS id, w * weight AS w, list_append(p, e.dst) AS p FROM one JOIN e ON e.src = id WHERE NOT list_contains(p, e.dst)),
+  three AS (SELECT start, e.dst AS id, w * weight AS w, list_append(p, e.dst) AS p FROM two JOIN e ON e.src = id WHERE NOT list_contains(p, e.dst)),
+  best AS (SELECT start, id, max(round(w, 9)) AS strength, arg_min(hops, (-round(w, 9), hops)) AS hops FROM (SELECT *, 1 AS hops FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three) x GROUP BY start, id)
+  SELECT start, id, strength, hops FROM best QUALIFY row_number() OVER (PARTITION BY start ORDER BY strength DESC, hops, id) <= 10""")
+def memory_paths(t: Tables) -> DataFrame:
+    """Directed, the product of weights over three steps at most, the ten strongest; an edge weighs more the more often it is there."""
+    n = F.count(F.lit(1))
+    edges = t.imports.where("from_id <> to_id").groupBy(F.col("from_id").alias("src"), F.col("to_id").alias("dst")).agg((n / (n + 1)).alias("weight"))
+    starts = edges.select(F.col("src").alias("id")).where("id % 50 = 0")
+    return paths.strongest_paths(edges, starts, 3, PATHS).select("start", "id", F.round("weight", 9).alias("strength"), "hops")
 
 
 def prefixes(path: F.Column) -> F.Column:
@@ -182,23 +218,18 @@ def prefix_attribution(t: Tables) -> DataFrame:
     return longest.where("b.owners = 1").select("c_custkey", "b.project")
 
 
-@query(f"""WITH RECURSIVE e AS ({_MEM} UNION SELECT to_id, from_id, weight FROM memory_edges WHERE weight >= 0.9), reach(id, depth) AS (SELECT 's2', 0 UNION SELECT e.dst, r.depth + 1 FROM reach r JOIN e ON e.src = r.id WHERE r.depth < 5)
-  SELECT id, CAST(min(depth) AS BIGINT) AS hops FROM reach WHERE id IN ('s5', 's9', 's1') GROUP BY id""")
+@query(f"WITH {_levels_sql(_BOTH.format('weight >= 0.9'), 5, 'l.w + e.weight')} SELECT start, id, hops, round(w, 6) AS weight, path FROM reached WHERE id LIKE 's%'")
 def shortest_path(t: Tables) -> DataFrame:
-    """Hops from one memory to others, undirected, five at most."""
-    e = t.sql(_MEM).select("src", "dst")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    near = graph.bfs(both, t.spark.createDataFrame([("s2",)], "id string"), 5)
-    return near.where(F.col("id").isin("s5", "s9", "s1")).select("id", F.col("depth").cast("long").alias("hops"))
+    """From each start to every memory of its kind, undirected, five steps at most: the fewest steps, and of such paths the heaviest."""
+    near = paths.nearest_first(_linked(t, "weight >= 0.9"), _asked(t), 5)
+    return near.where("id LIKE 's%'").select("start", "id", "hops", F.round("weight", 6).alias("weight"), "path")
 
 
-@query(f"""WITH RECURSIVE e AS (SELECT from_id AS src, to_id AS dst FROM memory_edges WHERE edge_type = 'F'), both_ways AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach(id, depth) AS (SELECT 's1', 0 UNION SELECT b.dst, r.depth + 1 FROM reach r JOIN both_ways b ON b.src = r.id WHERE r.depth < 2)
-  SELECT id, CAST(min(depth) AS BIGINT) AS depth FROM reach GROUP BY id""")
+@query(f"WITH {_levels_sql(_FEW.format(_BOTH.format(chr(39).join(['edge_type IN (', 'F', ') AND weight >= 0.3']))), 5, 'e.weight')} SELECT start, id, hops AS depth, w AS weight FROM reached WHERE hops > 0")
 def decision_chain(t: Tables) -> DataFrame:
-    """Related memories over edges of some types alone."""
-    e = t.sql("SELECT from_id AS src, to_id AS dst FROM memory_edges WHERE edge_type = 'F'")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return graph.bfs(both, t.spark.createDataFrame([("s1",)], "id string"), 2).select("id", F.col("depth").cast("long").alias("depth"))
+    """Related memories over edges of some types alone, five steps."""
+    edges = paths.strongest_edges(_linked(t, f"edge_type IN ('F') AND weight >= {LEAST}"), FAN_OUT)
+    return paths.nearest_first(edges, _asked(t), 5, total=False).where("hops > 0").select("start", "id", F.col("hops").alias("depth"), "weight")
 
 
 @query("""WITH RECURSIVE reach(id, depth) AS (SELECT 's3', 0 UNION SELECT e.to_id, r.depth + 1 FROM reach r JOIN memory_edges e ON e.from_id = r.id WHERE r.depth < 3)
