@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import edit_limit
 from loomwright.registry import query
+from loomwright.sources.versions import VersionedTable, shared_folder
 from loomwright.sources.tables import Tables
+from loomwright.streaming import links
 
 # --- observations
 #: Names by which other hosts call the same tools.
@@ -596,3 +598,29 @@ def intent_search(t: Tables) -> DataFrame:
     scored = F.transform("parts", lambda x, k: F.struct((-(F.get("tf", k) / F.nullif("top", F.lit(0.0)) + bonus(x))).alias("s"), k.cast("long").alias("pos"), F.get("tf", k).alias("tf")))
     best = tf.where("top > 0").select("id", F.explode(F.slice(F.array_sort(F.filter(scored, lambda x: x["tf"] > 0)), 1, SECTIONS)).alias("x"))
     return best.select("id", "x.pos", F.round(-F.col("x.s"), 6).alias("score"))
+
+
+# --- versioned tables: what is read back is what was written
+@query("""WITH d AS (SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type)
+  SELECT user_id, max(event_type) AS event_type, arg_max(event_id, event_type) AS event_id FROM d WHERE user_id NOT IN (SELECT n_nationkey FROM nation) GROUP BY user_id""")
+def generation_upserts(t: Tables) -> DataFrame:
+    """A table of users' last events, written type by type, each under a lease and as a generation of its own; then some users are deleted and parts are compacted."""
+    table = VersionedTable(t.spark, shared_folder(t.spark, "users"), "user_id")
+    last = t.events.groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    for kind in [r[0] for r in t.events.select("event_type").distinct().orderBy("event_type").collect()]:  # the types of events: a few
+        lease = table.begin("load")
+        table.activate(table.stage(last.where(F.col("event_type") == kind)), table.version(), lease=lease, batch=kind)
+    table.delete(t.nation.select("n_nationkey"))
+    table.compact()
+    return table.read().select("user_id", "event_type", "event_id")
+
+
+@query("""SELECT a, b, n, least(0.85, round(0.15 + 0.1 * (n - 1), 6)) AS weight FROM (SELECT least(x.k, y.k) AS a, greatest(x.k, y.k) AS b, count(*) AS n
+  FROM search_events x JOIN search_events y ON x.project_id = y.project_id AND y.ts_s BETWEEN x.ts_s - 600 AND x.ts_s AND (y.ts_s < x.ts_s OR y.event_id < x.event_id) AND x.k <> y.k GROUP BY 1, 2) z""")
+def co_retrieval_links(t: Tables) -> DataFrame:
+    """The links of searches, merged into a versioned table in two batches, the second of which comes twice."""
+    table = VersionedTable(t.spark, shared_folder(t.spark, "links"), "link")
+    found = links.pairs(t.search_events.select("event_id", F.col("project_id").alias("session"), F.col("k").alias("item"), F.timestamp_seconds("ts_s").alias("ts")))
+    for batch in (0, 1, 1):
+        links.merge(table, found.where(F.pmod(F.xxhash64("a", "b"), F.lit(2)) == batch), f"links-{batch}")
+    return table.read().select("a", "b", "n", "weight")
