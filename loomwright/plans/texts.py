@@ -23,11 +23,11 @@ MARKS: dict[str, list[tuple[float, str]]] = {
     "rust": [(3, r"\blet mut\b"), (3, r"\bpub (fn|struct|enum|mod|trait)\b"), (2, r"\bfn \w+"), (2, r"\bimpl\b"), (1, r"\) -> "), (1, r"\b[a-z_]+!\(")],
     "go": [(4, r"(?m)^package \w+\s*$"), (3, r"(?m)^func (\(\w+ \*?\w+\) )?\w+\("), (2, r":="), (2, r"\b(defer|chan|go func)\b")],
     "kotlin": [(3, r"\b(data|sealed) class\b"), (3, r"\bcompanion object\b"), (3, r"\bfun (<\w+> )?[\w.]+\("), (2, r"\bval \w+"), (1, r"\?\.|\?:")],
-    "dart": [(4, r"(?m)^\s*(library|part of) [\w.]+;"), (3, r"\bmixin \w+"), (3, r"\bFuture<"), (3, r"\bvoid main\("), (2, r"\bfinal \w+ \w+ ?="), (2, r"\b(late|required) \w+ \w+")],
-    "javascript": [(2, r"\bfunction\b"), (2, r"[=!]=="), (1, r"\b(const|let|var) \w+ ?="), (1, r"=>"), (2, r"\brequire\(")],
+    "dart": [(4, r"(?m)^\s*(library|part of) [\w.]+;"), (4, r"(?m)^\s*(import|part|part of)\s+;"), (3, r"\bmixin \w+"), (3, r"\bFuture<"), (3, r"\bvoid main\("), (2, r"\bfinal \w+ \w+ ?="), (2, r"\b(late|required) \w+ \w+")],
+    "javascript": [(2, r"\bfunction\b"), (2, r"(?m)^\s*(import|export)\b[^;\n]*\bfrom\b"), (2, r"[=!]=="), (1, r"\b(const|let|var) \w+ ?="), (1, r"=>"), (2, r"\brequire\(")],
 }
 #: Beside all that javascript shows.
-MARKS["typescript"] = [(3, r"\b(interface|type) \w+(<\w+>)? ?[={]"), (3, r"\w\)?\??: (string|number|boolean|void|unknown|any)\b"), (3, r"\b(import|export) type\b"), (2, r"\bprivate \w+|\breadonly \w+"), *MARKS["javascript"]]
+MARKS["typescript"] = [(3, r"\binterface \w+|\btype \w+(<\w+>)? ?="), (3, r"\b(let|const|var) \w+: \w"), (3, r"\w\)?\??: (string|number|boolean|void|unknown|any)\b"), (3, r"\b(import|export) type\b"), (2, r"\bprivate \w+|\breadonly \w+"), *MARKS["javascript"]]
 _HIDDEN = r"""(?s)/\*.*?\*/|//[^\n]*|(?<=^|\s)#(?!\[|include)[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'"""
 
 
