@@ -42,3 +42,61 @@ def test_recall_meets_only_its_first_memories(spark, tmp_path):
     assert {r["id"] for r in got} <= first and len(got) == 6 * 20
     text = plan(df).split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
     assert "LeftSemi" not in text and text.index("Join Cross") < text.index("GlobalLimit")
+
+
+def odd_vectors(spark, tmp_path):
+    """Copies, zeros, nulls, lacking components, a null id and more rows than a pack of the test."""
+    rng = random.Random(9)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(64)]) for k in range(230)]
+    rows += [(k, rows[k % 7][1]) for k in range(230, 260)] + [(260, [0.0] * 64), (261, None), (262, [None] + [1.0] * 63), (None, rows[50][1])]
+    d = folder(spark, tmp_path, embeddings=([(k, v, (k or 0) % 4) for k, v in rows], "vec_id long, embedding array<float>, label int"))
+    return rows, d
+
+
+def brute(spark, d):
+    import math
+
+    held = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+
+    def cos(a, b):
+        if a is None or b is None or None in a or None in b:
+            return 0.0
+        n = math.sqrt(math.fsum(x * x for x in a)) * math.sqrt(math.fsum(x * x for x in b))
+        return math.fsum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    return held, cos
+
+
+def test_vector_searches_score_packs_and_pass_on_the_best_alone(spark, tmp_path, monkeypatch):
+    from loomwright.operators import vectors
+
+    monkeypatch.setattr(vectors, "QUERIES", 3)
+    monkeypatch.setattr(vectors, "AT_ONCE", 50)
+    monkeypatch.setattr(vectors.packed, "__defaults__", (9,))
+    _, d = odd_vectors(spark, tmp_path)
+    held, cos = brute(spark, d)
+    asked = [k for k in held if k is not None and k % 50 == 0]
+    place = lambda k: -1 if k is None else k
+    near = {q: sorted((-round(cos(held[q], v), 9), place(k)) for k, v in held.items()) for q in asked}
+    df = registry.QUERIES["cosine_topk"](spark, d)
+    got = {q: [] for q in asked}
+    for r in df.collect():
+        got[r["q"]].append((-r["score"], place(r["id"])))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted((-round(min(max(-s, 0), 1), 6), k) for s, k in x[:10]) for q, x in near.items()}
+
+    sign = lambda v: [(x or 0) > 0 for x in v or [0] * 64]
+    got = {(r["q"], place(r["id"])) for r in registry.QUERIES["bq_two_phase"](spark, d).collect()}
+    want = set()
+    for q in asked:
+        pool = sorted((sum(a != b for a, b in zip(sign(held[q]), sign(v))), place(k)) for k, v in held.items())[:100]
+        of = {place(k): v for k, v in held.items()}
+        want |= {(q, k) for _, k in sorted((-round(cos(held[q], of[k]), 12), k) for _, k in pool)[:5]}
+    assert got == want
+
+    rows = registry.QUERIES["semantic_rank"](spark, d).collect()
+    assert len(rows) == len(asked) * len(held)
+    own = {k: {r["score"] - 0.65 * max(cos(held[r["q"]], held[k]), 0) for r in rows if r["id"] == k} for k in held}
+    assert all(max(x) - min(x) < 2e-6 for x in own.values())
+    for name in ("cosine_topk", "bq_two_phase", "semantic_rank"):
+        made = plan(registry.QUERIES[name](spark, d)).split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
+        assert "zip_with" not in made and "MapInArrow" in made, name
