@@ -21,8 +21,12 @@ def pairs(events: DataFrame, within_s: int = WITHIN_S, late: str | None = None)
     x, y = side("x"), side("y")
     if late:
         x, y = x.withWatermark("x_ts", late), y.withWatermark("y_ts", late)
+    # of slots as long as the gap, a search meets the earlier ones of its own slot and of the one before, so a session of any length is no one group
+    slot = lambda p: F.floor(F.unix_seconds(f"{p}_ts") / max(int(within_s), 1))
+    x = x.withColumn("x_slot", slot("x"))
+    y = y.withColumn("y_slot", F.explode(F.array(slot("y"), slot("y") + 1)))
     gap = F.expr(f"INTERVAL {int(within_s)} SECONDS")
-    met = (F.col("x_session") == F.col("y_session")) & (F.col("y_ts") >= F.col("x_ts") - gap) & (F.col("y_ts") <= F.col("x_ts")) & ((F.col("y_ts") < F.col("x_ts")) | (F.col("y_id") < F.col("x_id"))) & (F.col("x_item") != F.col("y_item"))
+    met = (F.col("x_session") == F.col("y_session")) & (F.col("x_slot") == F.col("y_slot")) & (F.col("y_ts") >= F.col("x_ts") - gap) & (F.col("y_ts") <= F.col("x_ts")) & ((F.col("y_ts") < F.col("x_ts")) | (F.col("y_id") < F.col("x_id"))) & (F.col("x_item") != F.col("y_item"))
     return x.join(y, met).select(F.least("x_item", "y_item").alias("a"), F.greatest("x_item", "y_item").alias("b"))
 
 
@@ -31,11 +35,12 @@ def weight(n: F.Column) -> F.Column:
 
 
 def merge(table: VersionedTable, found: DataFrame, batch: str, tries: int = 10) -> int:
-    """Adds found pairs to the table of links (link, a, b, n, weight). A batch that the table records already changes nothing.
+    """Adds found pairs (a, b, or a, b, n if counted) to the table of links (link, a, b, n, weight). A batch that the table records already changes nothing.
 
     The sums build on one generation; if another writer was first, they are worked out again from the next one.
     """
-    fresh = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("link", F.concat_ws("|", "a", "b"))
+    times = F.sum("n") if "n" in found.columns else F.count(F.lit(1))
+    fresh = found.groupBy("a", "b").agg(times.alias("n")).withColumn("link", F.concat_ws("|", "a", "b"))
     for _ in range(tries):
         held = table.manifest()
         if batch in held["batches"]:

@@ -100,3 +100,35 @@ def test_vector_searches_score_packs_and_pass_on_the_best_alone(spark, tmp_path,
     for name in ("cosine_topk", "bq_two_phase", "semantic_rank"):
         made = plan(registry.QUERIES[name](spark, d)).split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
         assert "zip_with" not in made and "MapInArrow" in made, name
+
+
+def test_searches_meet_within_slots_of_a_session(spark):
+    """In one session over a long time, also over the edges of slots."""
+    from pyspark.sql import functions as F
+
+    from loomwright.streaming.links import pairs
+
+    rng = random.Random(2)
+    rows = [(k, 1, rng.randrange(5), t) for k, t in enumerate([0, 599, 600, 601, 1199, 1200, 1200, 1800] + [rng.randrange(-2000, 9000) for _ in range(150)])]
+    df = pairs(spark.createDataFrame(rows, "event_id long, session long, item long, s long").select("event_id", "session", "item", F.timestamp_seconds("s").alias("ts")))
+    want = sorted((min(i, j), max(i, j)) for k, _, i, t in rows for k2, _, j, u in rows if i != j and t - 600 <= u <= t and (u < t or k2 < k))
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == want
+    join = next(line for line in plan(df).split("== Optimized Logical Plan ==")[1].splitlines() if "Join Inner" in line)
+    assert "x_slot" in join and "y_slot" in join
+
+
+def test_owners_of_spans_that_one_customer_has(spark, tmp_path):
+    """Hundreds of spans that hold one another: of a cell's spans one goes on, and nothing that is exploded is broadcast."""
+    rng = random.Random(7)
+    day = lambda n: dt.datetime(1999, 1, 1) + dt.timedelta(days=n)
+    rows = [(k, k % 2, day(rng.randrange(120)), float(rng.randrange(100, 1000))) for k in range(400)]
+    d = folder(spark, tmp_path, orders=(rows, "o_orderkey long, o_custkey long, o_orderdate timestamp, o_totalprice double"))
+    df = registry.QUERIES["innermost_owner"](spark, d)
+    spans = [(k, c, (t - day(0)).days, (t - day(0)).days + int(p) % 200) for k, c, t, p in rows]
+    want = {}
+    for k, c, a, _ in spans:
+        held = [(x[2], -x[3], x[0]) for x in spans if x[1] == c and x[2] < a <= x[3]]
+        if held:
+            want[k] = max(held)[2]
+    assert {r["id"]: r["owner"] for r in df.collect()} == want
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
