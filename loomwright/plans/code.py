@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomwright.operators import code, resolve
 from loomwright.operators.chunking import code as code_chunks
 from loomwright.operators.graph import _cut
-from loomwright.operators.spans import containing, nearest
+from loomwright.operators.spans import longest, nearest, owners
 from loomwright.plans.more import edge_of_call, resolve_specifiers
 from loomwright.registry import query
 from loomwright.sources.tables import Tables
@@ -88,8 +88,8 @@ def innermost_owner(t: Tables) -> DataFrame:
 
 def containing_first(spans: DataFrame) -> DataFrame:
     """Per span the innermost other one that holds its beginning: the latest to begin, the first to end, the largest id."""
-    met = containing(spans.select("file", "span_id", "a"), spans, ["file"], "a", "a", "b").where(F.col("span.a") < F.col("a"))
-    return met.groupBy("span_id").agg(F.max_by("span.span_id", F.struct("span.a", -F.col("span.b"), F.col("span.span_id"))).alias("owner"))
+    found = owners(spans.select("file", "span_id", "a"), spans, ["file"], ["span_id"], "a", "a", "b", strictly=True, levels=longest(spans, "a", "b"), last=["span_id"])
+    return found.select("span_id", F.col("span.span_id").alias("owner"))
 
 
 @query("""WITH d AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderdate AS at FROM orders)
