@@ -19,6 +19,8 @@ from loomwright.operators.ranking import in_blocks
 
 #: Vectors of a pack, queries of a block (which is broadcast), and pairs that are scored at once.
 PACK, QUERIES, AT_ONCE = 16384, 8192, 2**21
+#: Beyond all cosines in whole 1e-9.
+FAR = np.int64(2**62)
 
 
 def packed(rows: DataFrame, size: int = PACK) -> DataFrame:
@@ -87,13 +89,14 @@ def best(keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(keys)), k), at.ravel()
 
 
-def met(rows: DataFrame, queries: DataFrame, score: Callable[[dict, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """rows: columns as score takes them; queries: q, v. score: of a pack of rows and one of queries, columns as Arrow arrays, to rows of the result."""
+def met(rows: DataFrame, queries: DataFrame, begin: Callable[[], Callable[[dict, dict], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+    """rows: columns as scores take them; queries: q, v. begin: for one task, a score: of a pack of rows and one of queries, columns as Arrow arrays, to rows of the result."""
     spark = rows.sparkSession
     spread = rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))
     packs = packed(spread)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = begin()
         for b in batches:
             for i in range(len(b)):
                 part = {name: b.column(n)[i].values for n, name in enumerate(b.schema.names)}
@@ -116,20 +119,91 @@ def _tenths(s: np.ndarray) -> np.ndarray:
         return np.where(np.isnan(s), -(2 * 10**9), -np.rint(np.maximum(s, -1.0) * 1e9)).astype(np.int64)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """rows: id, embedding; queries: q, v. Per query the k rows of the largest cosine to nine digits, at least `least`, ties to the smaller id: q, id, s."""
+def _slim(x: np.ndarray, norms: np.ndarray, widths: np.ndarray) -> np.ndarray | None:
+    """Unit vectors of `unit_rows` in single precision, zero for null and zero vectors; None where widths differ or values are out of its range."""
+    known = widths >= 0
+    big = known & (norms != 0)
+    if len(set(widths[widths > 0])) > 1 or not np.isfinite(x).all() or not ((norms[big] > 1e-100) & (norms[big] < 1e100)).all():
+        return None
+    return np.where(big[:, None], x / np.where(big, norms, 1.0)[:, None], 0.0).astype(np.float32)
+
+
+def _likely(a: np.ndarray, b: np.ndarray, floor: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows and columns of all pairs that can be among a row's k best, from single precision with a bound on its error; None where that leaves too many or `least` decides.
+
+    floor: of each row's k-th best so far, its whole 1e-9, or FAR.
+    """
+    error = (a.shape[1] + 8) * 6e-8 + 2e-9
+    limit = -floor / 1e9 - error
+    first = floor == FAR
+    if first.any():
+        some = b[: max(4096, 4 * k)]
+        if len(some) <= k:
+            return None
+        limit[first] = np.partition(a[first] @ some.T, len(some) - k, axis=1)[:, len(some) - k].astype(np.float64) - 2 * error
+    if (limit <= least + error).any():
+        return None
+    limit, found, n = limit.astype(np.float32)[:, None], [], 0
+    for at in range(0, len(b), 2048):
+        part = b[at : at + 2048]
+        hit = np.flatnonzero(a @ part.T >= limit)
+        found.append((hit // len(part), at + hit % len(part)))
+        n += len(hit)
+        if n > len(a) * len(b) // 16 + 1024:
+            return None
+    r, c = (np.concatenate(x) for x in zip(*found, strict=True))
+    return r, c
 
-    def score(m: dict, q: dict) -> Iterator[pa.RecordBatch]:
-        ids, own = _ordered(m)
-        them, asked, names = unit_rows(own), unit_rows(q["v"]), q["q"].to_numpy(zero_copy_only=False)
-        step = max(1, AT_ONCE // len(ids))
-        for at in range(0, len(names), step):
-            keys = np.minimum(_tenths(cosines(tuple(c[at : at + step] for c in asked), them)), -int(round(least * 1e9)))
-            r, c = best(keys, k)
-            s = np.where(keys[r, c] == -(2 * 10**9), np.nan, -keys[r, c] / 1e9)
-            yield pa.RecordBatch.from_arrays([pa.array(names[at + r]), ids.take(pa.array(c)), pa.array(s)], names=["q", "id", "s"])
 
-    found = met(rows.select("id", "embedding"), queries.select("q", "v"), score, "q long, id long, s double")
+def nearest(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+    """rows: id, embedding; queries: q, v. Per query the k rows of the largest cosine to nine digits, at least `least`, ties to the smaller id: q, id, s.
+
+    A task keeps each query's k best cosines so far. Pairs that single precision, with its error, puts below them go no further; the others are scored in double precision.
+    """
+    most = -int(round(least * 1e9))
+
+    def begin() -> Callable[[dict, dict], Iterator[pa.RecordBatch]]:
+        held: dict[bytes, tuple] = {}
+
+        def score(m: dict, q: dict) -> Iterator[pa.RecordBatch]:
+            ids, own = _ordered(m)
+            them, names = unit_rows(own), q["q"].to_numpy(zero_copy_only=False)
+            if names.tobytes() not in held:
+                asked = unit_rows(q["v"])
+                held[names.tobytes()] = asked, _slim(*asked), np.full((len(names), k), FAR)
+            asked, a, top = held[names.tobytes()]
+            b = _slim(*them)
+            if a is not None and b is not None and a.shape[1] != b.shape[1]:
+                b = None
+            step = max(1, AT_ONCE // len(ids))
+            for at in range(0, len(names), 4 * step):
+                to = min(at + 4 * step, len(names))
+                found = _likely(a[at:to], b, top[at:to, -1], k, least) if a is not None and b is not None else None
+                if found:
+                    r, c = found
+                    near = [_pairwise(asked, them, at + r[n : n + 65536], c[n : n + 65536]) for n in range(0, len(r), 65536)]
+                    keys = np.minimum(_tenths(np.concatenate(near) if near else np.zeros(0)), most)
+                else:
+                    parts = []
+                    for one in range(at, to, step):
+                        all_keys = np.minimum(_tenths(cosines(tuple(x[one : min(one + step, to)] for x in asked), them)), most)
+                        r, c = best(all_keys, k)
+                        parts.append((one - at + r, c, all_keys[r, c]))
+                    r, c, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.lexsort((c, keys, r))
+                r, c, keys = r[order], c[order], keys[order]
+                nth = np.arange(len(r)) - np.searchsorted(r, r)
+                go = (nth < k) & (keys <= top[at + r, -1])
+                r, c, keys, nth = r[go], c[go], keys[go], nth[go]
+                new = np.full((to - at, k), FAR)
+                new[r, nth] = keys
+                top[at:to] = np.sort(np.concatenate([top[at:to], new], axis=1), axis=1)[:, :k]
+                s = np.where(keys == -(2 * 10**9), np.nan, -keys / 1e9)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at + r]), ids.take(pa.array(c)), pa.array(s)], names=["q", "id", "s"])
+
+        return score
+
+    found = met(rows.select("id", "embedding"), queries.select("q", "v"), begin, "q long, id long, s double")
     return _first(found, [F.desc("s"), "id"], k)
 
 
@@ -152,7 +226,7 @@ def nearest_by_signs(rows: DataFrame, queries: DataFrame, pool: int, k: int, dim
                 near[mine] = _pairwise(asked, them, at + r[mine], c[mine])
             yield pa.RecordBatch.from_arrays([pa.array(names[at + r]), ids.take(pa.array(c)), pa.array(h[r, c].astype(np.int16)), pa.array(near)], names=["q", "id", "h", "s"])
 
-    found = met(rows.select("id", "embedding"), queries.select("q", "v"), score, "q long, id long, h short, s double")
+    found = met(rows.select("id", "embedding"), queries.select("q", "v"), lambda: score, "q long, id long, h short, s double")
     return _first(_first(found, ["h", "id"], pool), [F.desc("s"), "id"], k).select("q", "id", "s")
 
 
@@ -183,4 +257,4 @@ def weighed(rows: DataFrame, queries: DataFrame, weight: float, own: list[str],
             s = np.floor(s * 10**digits + 0.5) / 10**digits
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[at : at + step], len(ids))), ids.take(pa.array(np.tile(np.arange(len(ids)), len(s)))), pa.array(s.ravel())], names=["q", "id", "score"])
 
-    return met(rows.select("id", "embedding", *own), queries.select("q", "v"), score, "q long, id long, score double")
+    return met(rows.select("id", "embedding", *own), queries.select("q", "v"), lambda: score, "q long, id long, score double")

@@ -132,3 +132,45 @@ def test_owners_of_spans_that_one_customer_has(spark, tmp_path):
             want[k] = max(held)[2]
     assert {r["id"]: r["owner"] for r in df.collect()} == want
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_vectors_go_on_only_while_they_can_be_among_the_best(spark):
+    """A task's later packs pass on what beats its earlier ones; ties, copies, zero and null vectors as by brute force, whichever precision decides."""
+    import numpy as np
+
+    from loomwright.operators import vectors
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[100:140] = x[0]
+    x[200] = 0
+    rows = [(k, None if k == 201 else [float(y) for y in v]) for k, v in enumerate(x)]
+    near = np.where(np.arange(600)[:, None] == 201, 0.0, x.astype(np.float64))
+    unit = near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-300)
+    queries = list(range(0, 600, 50))
+    want = {(q, k, n) for q in queries for n, k in enumerate(sorted(range(600), key=lambda j: (-round(float(unit[q] @ unit[j]), 9), j))[:7])}
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = df.where("id % 50 = 0").selectExpr("id AS q", "embedding AS v")
+    got = {}
+    for r in vectors.nearest(df, asked, 7).collect():
+        got.setdefault(r["q"], []).append((-r["s"], r["id"]))
+    assert {(q, k, n) for q, found in got.items() for n, (_, k) in enumerate(sorted(found))} == want
+
+    # two packs in one task: of the second, of zero vectors, only what ties with the zero query's best goes on
+    import pyarrow as pa
+
+    passed, met = [], vectors.met
+    pack = lambda ids, vs, names: dict(zip(names, (pa.array(ids, pa.int64()), pa.array(vs, pa.list_(pa.float32()))), strict=True))
+
+    def spy(found, searched, begin, schema):
+        score, q = begin(), pack(queries, [rows[k][1] for k in queries], ("q", "v"))
+        for ids, vs in ((list(range(600)), [v for _, v in rows]), (list(range(600, 900)), [[0.0] * 8] * 300)):
+            passed.append(sum(len(b) for b in score(pack(ids, vs, ("id", "embedding")), q)))
+        return met(found, searched, begin, schema)
+
+    vectors.met = spy
+    try:
+        vectors.nearest(df, asked, 7)
+    finally:
+        vectors.met = met
+    assert passed == [7 * len(queries), 7]
