@@ -11,6 +11,7 @@ first. An empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe_core import Merges
-from loomwright.llm.common import scratch_path, tidy
+from loomwright.llm.common import scratch_path, thrifty, tidy
 
 #: Pieces of text that one Python worker remembers at most; the memory is emptied when it is full.
 REMEMBERED = 300_000
@@ -44,10 +45,15 @@ class Pieces:
     """Ids as the tokenizers library gives them; pieces between blanks are independent under a tokenizer that drops white space, and remembered.
 
     Most new pieces are a word of Latin letters below PLAIN, perhaps with one mark after it. Composition leaves such letters alone
-    and lower case maps each to one letter, so those words go to the batched merges of bpe_core; all others go to the library.
+    and lower case maps each to one letter, so those words go to the batched merges of bpe_core, and so do other printable ASCII pieces, cut
+    as the tokenizer's pattern cuts them; all others go to the library.
     """
 
     PLAIN = "\u0130"
+    #: Those most often found behind a word.
+    MARKS = frozenset(",.;:!?")
+    #: How the tokenizer's pattern cuts printable ASCII.
+    CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 
     def __init__(self, spec: str, end: int):
         from tokenizers import Tokenizer
@@ -56,6 +62,7 @@ class Pieces:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.merges = Merges(spec)
+        self.marks = dict(zip(self.MARKS, self.merges.encode([m.encode() for m in self.MARKS]), strict=True))
         self.known: dict[str, bytes] = {}
         self.spec, self.end = spec, np.array([end], dtype="<u4").tobytes()
 
@@ -72,26 +79,31 @@ class Pieces:
         if len(self.known) > REMEMBERED:
             self.known = {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for x in split:
-            new.update(x)
-        plain, marked, others = [], [], []
-        for p in new - self.known.keys():
-            if p.isalpha():
-                (plain if p.isascii() or max(p) < self.PLAIN else others).append(p)
-            elif len(p) > 1 and p[-1] in ",.;:!?" and p[:-1].isalpha() and (p.isascii() or max(p) < self.PLAIN):
-                marked.append(p)
+        plain, marked, mixed, others = [], [], [], []
+        for p in set().union(*split).difference(self.known):
+            if p.isascii():
+                if p.isalpha():
+                    plain.append(p)
+                elif p[-1:] in self.MARKS and p[:-1].isalpha():
+                    marked.append(p)
+                else:
+                    (mixed if p.isprintable() and "<|" not in p else others).append(p)  # special tokens begin so
+            elif max(p) < self.PLAIN and p.isalpha():
+                plain.append(p)
             else:
-                others.append(p)
+                (marked if p[-1] in self.MARKS and max(p) < self.PLAIN and p[:-1].isalpha() else others).append(p)
         self.known.update(zip(plain, self.merges.encode([p.lower().encode() for p in plain]), strict=True))
         words = self.merges.encode([p[:-1].lower().encode() for p in marked])
-        marks = {m: self.merges.encode([m.encode()])[0] for m in ",.;:!?"} if marked else {}
-        self.known.update((p, w + marks[p[-1]]) for p, w in zip(marked, words, strict=True))
+        self.known.update((p, w + self.marks[p[-1]]) for p, w in zip(marked, words, strict=True))
+        cuts = [self.CUT.findall(p.lower()) for p in mixed]
+        parts = list({w for c in cuts for w in c})
+        coded = dict(zip(parts, self.merges.encode([w.encode() for w in parts]), strict=True))
+        self.known.update((p, b"".join([coded[w] for w in c])) for p, c in zip(mixed, cuts, strict=True))
         for at in range(0, len(others), 2048):
             some = others[at : at + 2048]
             self.known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        known = self.known
-        return [b"".join([known[p] for p in x]) + self.end for x in split]
+        known = self.known.__getitem__
+        return [b"".join(map(known, x)) + self.end for x in split]
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int, key: str = "doc_id", text: str = "text", source: str | None = "source") -> None:
@@ -119,7 +131,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, path: str, end: int, key
     rows = docs.select(F.col(key).alias("key"), where.alias("source"), F.col(text).cast("string").alias("text"))
     # Texts are dealt and sorted before they are encoded: they are smaller than their ids, and sampling the ranges then encodes nothing
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    coded = ordered.mapInArrow(work, f"key {kind}, source string, n_tokens long, tokens array<int>")
+    coded = ordered.mapInArrow(thrifty(work), f"key {kind}, source string, n_tokens long, tokens array<int>")
     with tidy(spark):
         coded.write.mode("overwrite").options(**FORMAT).parquet(path)
 
