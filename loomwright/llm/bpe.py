@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.llm.bpe_core import Merges
+from loomwright.llm.common import thrifty
 
 #: Fixed value: the pattern by which byte-level vocabularies cut a text before merging.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,6 +54,10 @@ class Codec:
         self.pieces: dict[str, bytes] = {}
         self.feed = self.merges.encode([b"\n"])[0]
 
+    def forget(self) -> None:
+        """Empties the memory of pieces; the merges stay."""
+        self.words, self.pieces = {}, {}
+
     def _learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.words]
         self.words.update(zip(new, self.merges.encode([w.encode() for w in new]), strict=True))
@@ -71,7 +76,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
         if len(self.pieces) + len(self.words) > REMEMBERED:
-            self.words, self.pieces = {}, {}
+            self.forget()
         # A line feed before all counts as the first line's; its id goes again below
         split = [("\n" + t).replace("\n", " \n")[1:].split(" ") for t in texts]
         flat = [p for x in split for p in x]
@@ -139,7 +144,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
                 if with_ids:
                     columns += [pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in packed], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])])
+        codec.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(work, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(thrifty(work), schema).withColumnRenamed("key", key)

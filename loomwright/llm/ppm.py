@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.llm.common import thrifty
+
 ORDER = 3
 #: Defaults of the parameters that bound what is learnt from: documents of each language (the first by a hash of their keys and
 #: texts), and the code points of one.
@@ -166,7 +168,7 @@ def identify(docs: DataFrame, learnt_from: Column, key: str = "doc_id", text: st
 
     row = F.struct(*(docs.columns if keep is None else keep)).alias("row")
     schema = docs.select(row).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    return docs.select(row, F.col(text).cast("string").alias("t")).mapInArrow(work, schema)
+    return docs.select(row, F.col(text).cast("string").alias("t")).mapInArrow(thrifty(work), schema)
 
 
 def judge(t: Trees, part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.common import discard, saved
+from loomwright.llm.common import discard, saved, thrifty
 from loomwright.llm.components import components
 
 WIDTH, PERCENT = 3, 90
@@ -101,6 +101,10 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
 def _sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
     """Per row: doc, n, sid (of the set; null if empty); and rows with a block of the counts of shingles by hash."""
 
+    def count(counts: np.ndarray, held: list[np.ndarray]) -> None:
+        places, times = np.unique((np.concatenate(held) >> _U(64 - bits)).astype(np.uint32), return_counts=True)
+        counts[places] += times.astype(np.uint32)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingles(width), np.zeros(1 << bits, dtype=np.uint32)
         names = ["doc", "n", "sid", "block", "counts"]
@@ -112,10 +116,10 @@ def _sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
                 sids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 held.append(s)
                 if len(held) == 512:
-                    counts += np.bincount((np.concatenate(held) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                    count(counts, held)
                     held = []
             if held:
-                counts += np.bincount((np.concatenate(held) >> _U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                count(counts, held)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(ns, pa.int64()), pa.array(sids, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         blocks = [k for k in range(0, 1 << bits, SKETCH_BLOCK) if counts[k : k + SKETCH_BLOCK].any()]
@@ -124,7 +128,7 @@ def _sets(docs: DataFrame, width: int, bits: int) -> DataFrame:
         m = len(blocks)
         yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array([k // SKETCH_BLOCK for k in blocks], pa.int32()), pa.array(cut, pa.binary())], names)
 
-    return docs.mapInArrow(work, "doc long, n long, sid binary, block int, counts binary")
+    return docs.mapInArrow(thrifty(work), "doc long, n long, sid binary, block int, counts binary")
 
 
 def _levels(rows: DataFrame, bits: int) -> np.ndarray:
@@ -182,7 +186,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, bits: int, levels: np.n
         kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(c, kinds, strict=True)], ["rid", "p", "sid", "n", "bits", "p1", "p2", "p3"])
 
-    return docs.mapInArrow(work, "rid long, p int, sid binary, n long, bits array<long>, p1 array<long>, p2 array<int>, p3 array<int>")
+    return docs.mapInArrow(thrifty(work), "rid long, p int, sid binary, n long, bits array<long>, p1 array<long>, p2 array<int>, p3 array<int>")
 
 
 def _alike(a: str, b: str, percent: int) -> Column:
@@ -261,7 +265,7 @@ class _Join:
                     yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(held, pa.list_(pa.int64()))], ["sid", "s"])
 
         need = left.select(F.col("x").alias("sid")).unionByName(left.select(F.col("y").alias("sid"))).distinct()
-        whole_ = self.docs.select("t", "p").mapInArrow(sets, "sid binary, s array<long>")
+        whole_ = self.docs.select("t", "p").mapInArrow(thrifty(sets), "sid binary, s array<long>")
         whole = saved(whole_.join(need, "sid", "left_semi").dropDuplicates(["sid"]), "pair-sets")
         met = left.join(whole.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x").join(whole.select(F.col("sid").alias("y"), F.col("s").alias("sy")), "y")
         shared = F.size(F.array_intersect("sx", "sy"))
