@@ -45,6 +45,10 @@ STARTS = ["const", "let", "var", "val", "return", "export", "import", "public",
 NESTS = ["class", "interface", "object", "struct", "trait", "enum"]
 
 
+#: Characters of texts that are dealt into one part, about.
+PART = 4_000_000
+
+
 def _family(language: Column) -> Column:
     return F.when(language.isin(QUOTED), "quoted").when(language.isin(CHARACTERS), "characters").when(language.isin(INDENTED), "indented")
 
@@ -73,8 +77,16 @@ def tokens(files: DataFrame) -> DataFrame:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """The tokens of files with their surroundings, written once, as `symbols` and `calls` take them."""
-    return _cut(_around(tokens(files)))
+    """The tokens of files with their surroundings, written once, as `symbols` and `calls` take them.
+
+    Texts are dealt by file before they are cut, so tokens aren't shuffled, into parts of about PART characters, so that their windows are small. Of languages with braces only those
+    tokens are written that begin or end a statement or a block, may declare, or stand before a bracket.
+    """
+    files = _cut(files.select("file", "language", "content"))
+    parts = (files.agg(F.sum(F.length("content"))).first()[0] or 0) // PART
+    dealt = files.repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), "file")
+    words = sorted({w for of in DECLARES.values() for w in of} | set(STARTS))
+    return _cut(_around(tokens(dealt)).where(F.col("language").isin(INDENTED) | F.col("text").isin("{", "}", ";", *words) | F.coalesce(F.col("t1") == "(", F.lit(False))))
 
 
 def _around(code: DataFrame) -> DataFrame:
@@ -87,7 +99,9 @@ def _around(code: DataFrame) -> DataFrame:
     wide = wide.withColumn("close", F.when(F.col("text").isin("(", "[", "{"), F.lead("m").over(match))).withColumn("close_line", F.when(F.col("close").isNotNull(), F.lead("line").over(match)))
     after = F.when(F.col("close").isNotNull(), F.lead("t1").over(match))
     name_after = F.when(F.col("close").isNotNull(), F.lead("t2").over(match))
-    return wide.withColumns({"after": after, "after2": name_after})
+    wide = wide.withColumns({"after": after, "after2": name_after})
+    # the bracket after a token, the one after the next, and so on: their partners' neighbours
+    return wide.withColumns({f"after_t{k}": F.lead("after", k).over(order) for k in (1, 2, 3, 4)})
 
 
 def _is_word(c: Column) -> Column:
@@ -96,12 +110,10 @@ def _is_word(c: Column) -> Column:
 
 def _declarations(wide: DataFrame) -> DataFrame:
     """Tokens that declare: with kind and name, null for those that only begin a statement."""
-    order = Window.partitionBy("file").orderBy("m")
     known = F.create_map(*[x for language, words in DECLARES.items() for word, kind in words.items() for x in (F.lit(f"{language} {word}"), F.lit(kind))])
     word = known[F.concat_ws(" ", "language", "text")]
-    # the bracket after this token, the one after the next, and so on: their partners' neighbours
-    after = {k: F.lead("after", k).over(order) for k in (1, 2, 3, 4)}
-    receiver = F.lead("after", 1).over(order)  # go: func (r T) name(
+    after = {k: F.col(f"after_t{k}") for k in (1, 2, 3, 4)}
+    receiver = after[1]  # go: func (r T) name(
     name = F.when((F.col("language") == "go") & (F.col("text") == "func") & (F.col("t1") == "("), receiver).when((F.col("t1") == "*") & (F.col("text") == "function"), F.col("t2")).when((F.col("text") == "fun") & (F.col("t2") == "."), F.col("t3")).otherwise(F.col("t1"))
     fits = word.isNotNull() & _is_word(name) & ~known[F.concat_ws(" ", "language", name)].isNotNull() & ~F.coalesce(F.col("p1").isin(".", "new", "::"), F.lit(False))
     fits = fits & ((F.col("text") != "type") | (F.col("language") == "go") | F.coalesce(F.col("t2").isin("=", "<"), F.lit(False)))
