@@ -86,26 +86,41 @@ class Merges:
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each (non-empty) word, packed as little-endian unsigned 32-bit integers."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        ids, counts, order = self._sorted(np.frombuffer(b"".join(words), dtype=np.uint8), lengths)
+        packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        out: list[bytes] = [b""] * len(words)
+        for k, a, b in zip(order.tolist(), [0, *ends[:-1]], ends, strict=False):
+            out[k] = packed[a:b]
+        return out
+
+    def encode_flat(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words that lie one behind the other in raw: all their ids, where each word's ids begin in them, and how many they are."""
+        ids, counts, order = self._sorted(raw, lengths)
+        starts, sizes = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
+        starts[order], sizes[order] = np.cumsum(counts) - counts, counts
+        return ids, starts, sizes
+
+    def _sorted(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their counts by word, words in the order of their lengths; and that order."""
         order = np.argsort(lengths, kind="stable")
-        lengths = lengths[order]
-        sorted_words, made = [words[k] for k in order.tolist()], []
+        begins, lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+        ids, counts = [np.empty(0, dtype=np.int32)], [np.zeros(int(np.searchsorted(lengths, 0, side="right")), dtype=np.int64)]
         short = int(np.searchsorted(lengths, LONG, side="right"))
-        at = 0
+        at = len(counts[0])
         while at < short:  # a few thousand words of one length at a time
             n = int(lengths[at])
             end = min(int(np.searchsorted(lengths, n, side="right")), at + 4096)
-            ids, counts = self._by_scan(b"".join(sorted_words[at:end]), end - at, n)
-            packed, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-            made += [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            some, sizes = self._by_scan(raw[begins[at:end, None] + np.arange(n)])
+            ids.append(some)
+            counts.append(sizes)
             at = end
-        made += map(self._by_heap, sorted_words[short:])
-        out: list[bytes] = [b""] * len(words)
-        for k, ids in zip(order.tolist(), made, strict=True):
-            out[k] = ids
-        return out
+        for a, n in zip(begins[short:].tolist(), lengths[short:].tolist(), strict=True):
+            ids.append(self._by_heap(raw[a : a + n].tobytes()))
+            counts.append(np.array([len(ids[-1])], dtype=np.int64))
+        return np.concatenate(ids), np.concatenate(counts), order
 
-    def _by_scan(self, joined: bytes, m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(joined, dtype=np.uint8).reshape(m, n)
+    def _by_scan(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, n = raw.shape
         parts = self.first[raw]
         parts[:, -1] = self.last[raw[:, -1]]
         starts = np.ones((m, n), dtype=bool)  # where a part begins
@@ -141,7 +156,7 @@ class Merges:
         counts = starts.sum(axis=1)
         return parts[starts], counts
 
-    def _by_heap(self, word: bytes) -> bytes:
+    def _by_heap(self, word: bytes) -> np.ndarray:
         ids = self.parts(word).tolist()
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -166,4 +181,4 @@ class Merges:
             if before[j] >= 0:
                 offer(before[j])
             offer(j)
-        return np.array([x for x in ids if x >= 0], dtype="<u4").tobytes()
+        return np.array([x for x in ids if x >= 0], dtype=np.int32)
