@@ -1,190 +1,58 @@
-"""Symbols, calls and imports of source texts, as joins and windows over their tokens.
-
-One pattern per family of languages cuts a text into comments, strings, words, signs and blanks, which together make up the text, so a token's line is a
-running count. What is in comments and strings is no code. Brackets get a running depth; a bracket's partner is the next one of its
-depth. A declaration's block is the next block of its depth that opens before another statement there does; in Python it ends before the next line
-that is indented no deeper. Owners, of symbols and of calls, are the innermost spans that hold them. All windows are within a file.
-"""
+"""Symbols, calls and imports of source texts. `outline` reads each text once, in Arrow batches; nothing is shuffled by file."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.operators.graph import _cut
-from loomwright.operators.spans import innermost, nearest
-
-#: Languages by family: with quotes of either sort for strings, with single quotes for one character, and by indentation.
-QUOTED, CHARACTERS, INDENTED = ["typescript", "javascript", "dart"], ["kotlin", "rust", "go", "java", "c"], ["python"]
-_WORD = r"[A-Za-z_$][\w$]*"
-_TEXT = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?'
-_TICK = r"`[^`\\]*+(?:\\.[^`\\]*+)*+`?"
-_REST = rf"{_WORD}|\d[\w.]*|=>|->|:=|\s+|."
-_REGEX = r"(?<=[(,=:\[!&|?{};]\s{0,3})/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*"
-PATTERNS = {
-    "quoted": rf"(?s)/\*.*?(?:\*/|\z)|//[^\n]*|{_TEXT}|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|{_TICK}|{_REGEX}|{_REST}",
-    "characters": rf"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|\"\"\".*?(?:\"\"\"|\z)|{_TEXT}|'(?:\\.[^'\n]{{0,8}}|[^'\\\n])'|{_TICK}|{_REST}""",
-    "indented": rf"""(?s)\"\"\".*?(?:\"\"\"|\z)|'''.*?(?:'''|\z)|{_TEXT}|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?|#[^\n]*|{_REST}""",
-}
-#: What declares a symbol, by language: word and kind. The name is the next word.
-DECLARES = {
-    "typescript": {"class": "class", "interface": "interface", "enum": "enum", "namespace": "module", "function": "function", "type": "type"},
-    "javascript": {"class": "class", "function": "function"},
-    "dart": {"class": "class", "mixin": "class", "enum": "enum", "extension": "class"},
-    "kotlin": {"class": "class", "interface": "interface", "object": "object", "fun": "function"},
-    "rust": {"struct": "struct", "enum": "enum", "trait": "trait", "mod": "module", "fn": "function"},
-    "go": {"type": "type", "func": "function"},
-    "java": {"class": "class", "interface": "interface", "enum": "enum"},
-    "c": {"struct": "struct", "enum": "enum"},
-    "python": {"class": "class", "def": "function"},
-}
-#: Words before a bracket that call nothing and declare nothing.
-CONTROL = ["if", "for", "while", "switch", "catch", "return", "function", "fun", "fn", "func", "def", "class", "elif", "and", "or", "not", "in", "is", "with", "when", "match", "else", "do", "try", "await", "typeof", "assert", "import", "constructor", "except", "lambda", "yield", "raise"]
-#: Words that begin another statement of a block.
-STARTS = ["const", "let", "var", "val", "return", "export", "import", "public", "private", "protected", "static"]
-NESTS = ["class", "interface", "object", "struct", "trait", "enum"]
-
-
-#: Characters of texts that are dealt into one part, about.
-PART = 4_000_000
-
-
-def _family(language: Column) -> Column:
-    return F.when(language.isin(QUOTED), "quoted").when(language.isin(CHARACTERS), "characters").when(language.isin(INDENTED), "indented")
-
-
-def tokens(files: DataFrame) -> DataFrame:
-    """files: file, language, content. Per token of code: file, language, m (its place), line, text, indent (blanks before the first of a line, else null), depth."""
-    family = _family(F.col("language"))
-    cut = F.lit(None).cast("array<string>")
-    for name, pattern in PATTERNS.items():
-        cut = F.when(family == name, F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).otherwise(cut)
-    each = files.where(family.isNotNull()).select("file", "language", F.posexplode(cut).alias("n", "text"))
-    order = Window.partitionBy("file").orderBy("n")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    each = each.withColumn("line", 1 + F.coalesce(F.sum(newlines).over(before), F.lit(0)))
-    blank = F.col("text").rlike(r"^\s")
-    each = each.withColumn("lead", F.when(F.col("n") == 0, F.lit("")).otherwise(F.when(F.lag(blank).over(order), F.lag("text").over(order))))
-    first = (F.col("n") == 0) | F.col("lead").contains("\n") | (F.lag("n").over(order).eqNullSafe(0) & F.lag(blank).over(order))
-    each = each.withColumn("indent", F.when(first, F.length(F.regexp_extract("lead", r"[^\n]*$", 0))))
-    remark = F.col("text").rlike(r"^(/\*|//)") | (F.col("language").isin(INDENTED) & F.col("text").startswith("#"))
-    step = F.when(F.col("text").isin("(", "[", "{"), 1).when(F.col("text").isin(")", "]", "}"), -1).otherwise(0)
-    code = each.where(~blank & ~remark).select("file", "language", F.row_number().over(order).alias("m"), "line", "text", "indent", step.alias("step"))
-    order = Window.partitionBy("file").orderBy("m")
-    depth = F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.greatest("step", F.lit(0))
-    return code.withColumn("depth", depth).drop("step")
-
-
-def parsed(files: DataFrame) -> DataFrame:
-    """The tokens of files with their surroundings, written once, as `symbols` and `calls` take them.
-
-    Texts are dealt by file before they are cut, so tokens aren't shuffled, into parts of about PART characters, so that their windows are small. Of languages with braces only those
-    tokens are written that begin or end a statement or a block, may declare, or stand before a bracket.
+from loomwright.operators.outline import LANGUAGES, outline
+
+_FIELDS = {"file": "string", "language": "string", "m": "int", "line": "bigint", "text": "string", "kind": "string", "name": "string", "end_line": "bigint", "end_m": "int", "parent": "string", "caller": "string", "callee": "string", "first": "string"}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+#: Rows of one Arrow batch of results, about.
+ROWS = 20_000
+
+
+def parsed(files: DataFrame, calls: bool = True, marks: bool = True) -> DataFrame:
+    """files: file, language, content. What `symbols` and `calls` take: a row for each declaration (with kind), for each call (with callee), and with `marks` for each other token that
+    begins or ends a statement or a block, may declare, or is a word before a bracket. Read as often as it is used: who uses it twice writes it.
     """
-    files = _cut(files.select("file", "language", "content"))
-    parts = (files.agg(F.sum(F.length("content"))).first()[0] or 0) // PART
-    dealt = files.repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts), "file")
-    words = sorted({w for of in DECLARES.values() for w in of} | set(STARTS))
-    return _cut(_around(tokens(dealt)).where(F.col("language").isin(INDENTED) | F.col("text").isin("{", "}", ";", *words) | F.coalesce(F.col("t1") == "(", F.lit(False))))
-
-
-def _around(code: DataFrame) -> DataFrame:
-    """Tokens with those around them (p2, p1, t1 to t4), and for brackets the place and line of the partner (close, close_line) and the text after it (after)."""
-    order = Window.partitionBy("file").orderBy("m")
-    near = {f"t{k}": F.lead("text", k).over(order) for k in (1, 2, 3, 4)} | {f"p{k}": F.lag("text", k).over(order) for k in (1, 2, 3, 4)}
-    wide = code.withColumns(near)
-    bracket = F.col("text").isin("(", "[", "{", ")", "]", "}")
-    match = Window.partitionBy("file", "depth", bracket).orderBy("m")
-    wide = wide.withColumn("close", F.when(F.col("text").isin("(", "[", "{"), F.lead("m").over(match))).withColumn("close_line", F.when(F.col("close").isNotNull(), F.lead("line").over(match)))
-    after = F.when(F.col("close").isNotNull(), F.lead("t1").over(match))
-    name_after = F.when(F.col("close").isNotNull(), F.lead("t2").over(match))
-    wide = wide.withColumns({"after": after, "after2": name_after})
-    # the bracket after a token, the one after the next, and so on: their partners' neighbours
-    return wide.withColumns({f"after_t{k}": F.lead("after", k).over(order) for k in (1, 2, 3, 4)})
-
-
-def _is_word(c: Column) -> Column:
-    return F.coalesce(c.rlike(f"^{_WORD}$"), F.lit(False))
-
-
-def _declarations(wide: DataFrame) -> DataFrame:
-    """Tokens that declare: with kind and name, null for those that only begin a statement."""
-    known = F.create_map(*[x for language, words in DECLARES.items() for word, kind in words.items() for x in (F.lit(f"{language} {word}"), F.lit(kind))])
-    word = known[F.concat_ws(" ", "language", "text")]
-    after = {k: F.col(f"after_t{k}") for k in (1, 2, 3, 4)}
-    receiver = after[1]  # go: func (r T) name(
-    name = F.when((F.col("language") == "go") & (F.col("text") == "func") & (F.col("t1") == "("), receiver).when((F.col("t1") == "*") & (F.col("text") == "function"), F.col("t2")).when((F.col("text") == "fun") & (F.col("t2") == "."), F.col("t3")).otherwise(F.col("t1"))
-    fits = word.isNotNull() & _is_word(name) & ~known[F.concat_ws(" ", "language", name)].isNotNull() & ~F.coalesce(F.col("p1").isin(".", "new", "::"), F.lit(False))
-    fits = fits & ((F.col("text") != "type") | (F.col("language") == "go") | F.coalesce(F.col("t2").isin("=", "<"), F.lit(False)))
-    held = F.col("text").isin("const", "let", "var") & _is_word(F.col("t1")) & (F.col("t2") == "=") & F.col("language").isin("typescript", "javascript")
-    arrow = held & ((F.col("t3") == "function") | ((F.col("t3") == "(") & (after[3] == "=>")) | (_is_word(F.col("t3")) & (F.col("t4") == "=>")) | ((F.col("t3") == "async") & ((F.col("t4") == "function") | ((F.col("t4") == "(") & (after[4] == "=>")) | _is_word(F.col("t4")))))
-    free = _is_word(F.col("text")) & (F.col("t1") == "(") & ~F.col("text").isin(CONTROL) & ~F.coalesce(F.col("p1").isin(".", "new", "function", "fun", "func", "fn", "def", ")", "=", "(", ","), F.lit(False)) & ~word.isNotNull()
-    method = free & ~F.col("language").isin("go", "rust", "kotlin", "python") & (after[1].isin("{", ":") | ((after[1] == "async") & (F.col("language") == "dart")))
-    kind = F.when(fits, word).when(F.coalesce(arrow, F.lit(False)), "function").when(F.coalesce(method, F.lit(False)), "method")
-    found = wide.withColumn("typed", F.coalesce(method & (after[1] == ":"), F.lit(False))).withColumn("kind", kind)
-    found = found.withColumn("name", F.when(F.col("kind").isNull(), F.lit(None)).when(F.col("kind") == "method", F.col("text")).when(arrow, F.col("t1")).otherwise(name))
-    return found
-
-
-def _braced(wide: DataFrame) -> DataFrame:
-    """Declarations of languages with braces, with the places that they reach to."""
-    found = _declarations(wide.where(~F.col("language").isin(INDENTED)))
-    # at each depth: what comes first after a declaration, a block, the end of the statement, or another one
-    opens, ends = F.col("text") == "{", F.col("text").isin(";", "}")
-    events = found.where(opens | ends | F.col("kind").isNotNull() | F.col("text").isin(STARTS))
-    w = Window.partitionBy("file", "depth").orderBy("m")
-    said = events.withColumns({"next": F.lead("text").over(w), "next_m": F.lead("m").over(w), "next_line": F.lead("line").over(w), "next_close": F.lead("close").over(w), "next_close_line": F.lead("close_line").over(w)})
-    said = said.where(F.col("kind").isNotNull())
-    block, stop = F.coalesce(F.col("next") == "{", F.lit(False)), F.coalesce(F.col("next") == ";", F.lit(False))
-    return said.select(
-        "file", "language", "kind", "name", "typed", "depth", "m", "line", block.alias("block"),
-        F.when(block, F.coalesce("next_close", F.lit(2**24 - 1))).when(stop, F.col("next_m")).otherwise(F.col("m") + 1).alias("end_m"),
-        F.when(block, F.coalesce("next_close_line", "line")).when(stop, F.col("next_line")).otherwise(F.col("line")).alias("end_line"),
-    )
-
-
-def _indented(wide: DataFrame) -> DataFrame:
-    """Declarations of languages that indent: a block ends before the next line that is indented no deeper."""
-    code = wide.where(F.col("language").isin(INDENTED))
-    firsts = code.where(F.col("indent").isNotNull() & (F.col("depth") == 0)).select("file", F.col("m").cast("long").alias("m"), F.col("indent").alias("level"), F.lag("line").over(Window.partitionBy("file").orderBy("m")).alias("unused"))
-    whole = code.groupBy("file").agg(F.max("m").alias("last_m"), F.max("line").alias("last_line"))
-    head = code.where(F.col("text").isin(*DECLARES["python"]) & _is_word(F.col("t1")) & (F.col("indent").isNotNull() | (F.col("p1") == "async")))
-    order = Window.partitionBy("file").orderBy("m")
-    levels = code.where(F.col("indent").isNotNull() & (F.col("depth") == 0)).groupBy("file").agg(F.collect_set("indent").alias("levels"))  # of one file's lines: few
-    own = code.withColumn("own", F.last("indent", ignorenulls=True).over(order)).where(F.col("text").isin(*DECLARES["python"])).select("file", F.col("m").alias("om"), "own")
-    head = head.join(own, (head["file"] == own["file"]) & (head["m"] == own["om"])).drop(own["file"])
-    kind = F.create_map(*[F.lit(x) for p in DECLARES["python"].items() for x in p])[F.col("text")]
-    asked = head.join(levels, "file").select("file", "language", kind.alias("kind"), F.col("t1").alias("name"), "depth", (F.col("m") + 1).cast("long").alias("m"), F.col("m").alias("at"), "line", F.explode(F.filter("levels", lambda x: x <= F.col("own"))).alias("level"))
-    after = nearest(asked, firsts.select("file", "level", "m"), ["file", "level"], "m", [], forward=True)
-    ends = after.groupBy("file", "language", "kind", "name", "depth", "at", "line").agg(F.min("near.at").alias("stop"))
-    lines = code.select("file", (F.col("m") + 1).cast("long").alias("stop"), F.col("line").alias("before_line"))
-    met = ends.join(lines, ["file", "stop"], "left").join(whole, "file")
-    return met.select("file", "language", "kind", "name", F.lit(False).alias("typed"), "depth", F.col("at").alias("m"), "line", F.lit(True).alias("block"), F.coalesce(F.col("stop") - 1, "last_m").cast("int").alias("end_m"), F.coalesce("before_line", "last_line").alias("end_line"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for file, language, text in zip(*(b.column(c).to_pylist() for c in ("file", "language", "content")), strict=True):
+                found, called, x = outline(text, language, calls)
+                if marks and x:
+                    known = {s.m for s in found} | {c.m for c in called}
+                    rows += [(file, language, m, x.line[m], x.text[m], *[None] * 8) for m in x.marks if m not in known]
+                rows += [(file, language, s.m, s.line, x.text[s.m], s.kind, s.name, s.end_line, s.end_m, s.parent, None, None, None) for s in found]
+                rows += [(file, language, c.m, c.line, x.text[c.m], *[None] * 5, c.caller, c.callee, c.first) for c in called]
+                if len(rows) >= ROWS:
+                    yield packed(rows)
+                    rows = []
+        if rows:
+            yield packed(rows)
+
+    known = files.where(F.col("language").isin(LANGUAGES) & F.col("content").isNotNull()).select("file", "language", "content")
+    return known.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in _FIELDS.items()))
+
+
+def packed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)], names=list(_FIELDS))
 
 
 def symbols(wide: DataFrame) -> DataFrame:
     """wide: of `parsed`. Per declaration: file, language, kind, name, line, end_line, parent (of the innermost one around it), m, end_m."""
-    found = _braced(wide).unionByName(_indented(wide))
-    owned = innermost(found, found.where("block").select("file", "kind", "name", "depth", "m", "end_m"), ["file"], ["file", "m"], "m", "m", "end_m", strictly=True)
-    # a name with brackets and a type is a method only right within a class; a function there is one too
-    inside = F.col("span.kind").isin(NESTS) & F.coalesce(F.col("depth") == F.col("span.depth") + 1, F.lit(False))
-    kept = owned.where(~F.col("typed") | F.coalesce(inside & F.col("block"), F.lit(False)))
-    method = (F.col("kind") == "function") & F.coalesce(F.col("span.kind").isin(NESTS), F.lit(False))
-    kind = F.when(method, "method").when((F.col("kind") == "method") & F.col("span.kind").isNull(), "function").otherwise(F.col("kind"))
-    return kept.select("file", "language", kind.alias("kind"), "name", F.col("line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end_line"), F.col("span.name").alias("parent"), "m", "end_m")
-
-
-def calls(wide: DataFrame, declared: DataFrame) -> DataFrame:
-    """wide: of `parsed`; declared: its symbols. Per call: file, line, caller (the innermost symbol around it, null at the top), callee (a dotted name), first (its first argument if that is a text)."""
-    call = _is_word(F.col("text")) & (F.col("t1") == "(") & ~F.col("text").isin(CONTROL) & ~F.coalesce(F.col("p1").isin("function", "fun", "func", "fn", "def", "class"), F.lit(False)) & ~((F.col("language") == "go") & F.coalesce(F.col("p1") == ")", F.lit(False)))
-    dotted = F.when((F.col("p1") == ".") & _is_word(F.col("p2")), F.when((F.col("p3") == ".") & _is_word(F.col("p4")), F.concat_ws(".", "p4", "p2", "text")).otherwise(F.concat_ws(".", "p2", "text"))).otherwise(F.col("text"))
-    literal = F.when(F.col("t2").rlike("^[\"'`]"), F.regexp_replace("t2", "^.|.$", ""))
-    found = wide.where(call).select("file", "m", "line", dotted.alias("callee"), literal.alias("first"))
-    names = declared.select("file", F.col("m").alias("dm"), F.col("name").alias("dn"))
-    found = found.join(names, (found["file"] == names["file"]) & (found["m"] == names["dm"]) & (found["callee"] == names["dn"]), "left_anti")  # a method's own head
-    owned = innermost(found, declared.select("file", "name", "m", "end_m"), ["file"], ["file", "m"], "m", "m", "end_m")
-    return owned.select("file", F.col("line").cast("long").alias("line"), F.col("span.name").alias("caller"), "callee", "first")
+    return wide.where("kind IS NOT NULL").select("file", "language", "kind", "name", "line", "end_line", "parent", "m", "end_m")
+
+
+def calls(wide: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """wide: of `parsed`, which knows its own symbols, so `declared` is not read. Per call: file, line, caller (the innermost symbol around it, null at the top), callee (a dotted name), first (its first argument if that is a text)."""
+    return wide.where("callee IS NOT NULL").select("file", "line", "caller", "callee", "first")
 
 
 _FROM = r"""(?s)\b(import|export)\s+(type\s+)?([\w$*{}\s,]+?)\s*from\s*['"]([^'"\n]+)['"]"""

@@ -36,7 +36,7 @@ def sources(t: Tables) -> DataFrame:
 @query(f"""WITH {_COUNTS} SELECT concat('m', id, '.ts') AS file, 'class' AS kind, concat('C', id) AS name, n + r + 1 AS line, 2 * n + r + 4 AS end_line, NULL AS parent FROM counts
   UNION ALL SELECT concat('m', id, '.ts'), 'method', 'run', n + r + 2, 2 * n + r + 3, concat('C', id) FROM counts UNION ALL SELECT concat('m', id, '.ts'), 'function', concat('f', id), 2 * n + r + 5, 2 * n + r + 5, NULL FROM counts""")
 def extract_symbols(t: Tables) -> DataFrame:
-    return code.symbols(code.parsed(sources(t))).select("file", "kind", "name", "line", "end_line", "parent")
+    return code.symbols(code.parsed(sources(t), calls=False, marks=False)).select("file", "kind", "name", "line", "end_line", "parent")
 
 
 @query(f"WITH {_LINKS} SELECT concat('m', from_id, '.ts') AS file, concat('./m', to_id) AS spec, concat('f', to_id) AS name, concat('g', to_id) AS local FROM links")
@@ -55,13 +55,13 @@ def resolve_imports(t: Tables) -> DataFrame:
 def resolve_edges(t: Tables) -> DataFrame:
     """Calls with the symbols that they call: names are followed through imports and re-exports."""
     files = sources(t)
-    wide, imported = code.parsed(files), code.imports(files)
-    declared = _cut(code.symbols(wide))
+    wide, imported = _cut(code.parsed(files, marks=False)), code.imports(files)
+    declared = code.symbols(wide)
     where = resolve_specifiers(imported.select("file", "spec").distinct(), files.select(F.col("file").alias("path")), {})
     linked = imported.join(where.where("target IS NOT NULL"), ["file", "spec"]).withColumnRenamed("file", "module")
     own = declared.where("parent IS NULL").select(F.col("file").alias("module"), "name")
     exported = resolve.exports(own, linked.where("reexport"))
-    calls = code.calls(wide, declared).select(F.col("file").alias("module"), "caller", "callee")
+    calls = code.calls(wide).select(F.col("file").alias("module"), "caller", "callee")
     return resolve.targets(calls, own, linked.where("NOT reexport"), exported).select("module", "caller", "callee", "found", "target_module", "target")
 
 
@@ -71,8 +71,7 @@ def script_calls(t: Tables) -> DataFrame:
     """What the scripts of each page call, with the kind of edge."""
     scripts = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<script[^>]*>(.*?)</script>"), F.lit(1))).alias("k", "content"))
     files = scripts.select(F.concat_ws(":", "page_id", "k").alias("file"), F.lit("javascript").alias("language"), "content")
-    wide = code.parsed(files)
-    found = code.calls(wide, code.symbols(wide)).select(F.split("file", ":")[0].cast("long").alias("page_id"), "callee", edge_of_call(F.col("callee"), F.col("first")).alias("kind"))
+    found = code.calls(code.parsed(files, marks=False)).select(F.split("file", ":")[0].cast("long").alias("page_id"), "callee", edge_of_call(F.col("callee"), F.col("first")).alias("kind"))
     return found.groupBy("page_id", "callee", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -110,7 +109,7 @@ def chunk_code(t: Tables) -> DataFrame:
 
 def chunked(files: DataFrame) -> DataFrame:
     """files: file, language, content. file, nth, line_start, line_end, label, content of chunks that begin at declarations outside of any other."""
-    starts = code.symbols(code.parsed(files)).where("parent IS NULL").groupBy("file").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("starts"))
+    starts = code.symbols(code.parsed(files, calls=False, marks=False)).where("parent IS NULL").groupBy("file").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("starts"))
     met = files.join(starts, "file", "left").select("file", "content", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
