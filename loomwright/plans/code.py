@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomwright.operators import code, resolve
 from loomwright.operators.chunking import code as code_chunks
 from loomwright.operators.graph import _cut
+from loomwright.operators.outline import outline
 from loomwright.operators.spans import longest, nearest, owners
 from loomwright.plans.more import edge_of_call, resolve_specifiers
 from loomwright.registry import query
@@ -109,12 +110,13 @@ def chunk_code(t: Tables) -> DataFrame:
 
 def chunked(files: DataFrame) -> DataFrame:
     """files: file, language, content. file, nth, line_start, line_end, label, content of chunks that begin at declarations outside of any other."""
-    starts = code.symbols(code.parsed(files, calls=False, marks=False)).where("parent IS NULL").groupBy("file").agg(F.sort_array(F.collect_list(F.col("line").cast("int"))).alias("starts"))
-    met = files.join(starts, "file", "left").select("file", "content", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, n, *c) for f, text, at in zip(b["file"], b["content"], b["starts"], strict=True) for n, c in enumerate(code_chunks(text or "", [k - 1 for k in at]))]
+            rows = []
+            for file, language, text in zip(b["file"], b["language"], b["content"], strict=True):
+                outer = sorted(s.line - 1 for s in outline(text, language, calls=False)[0] if s.parent is None)
+                rows += [(file, n, *c) for n, c in enumerate(code_chunks(text or "", outer))]
             yield pd.DataFrame(rows, columns=["file", "nth", "line_start", "line_end", "label", "content"])
 
-    return met.mapInPandas(work, "file string, nth int, line_start int, line_end int, label string, content string")
+    return files.select("file", "language", "content").mapInPandas(work, "file string, nth int, line_start int, line_end int, label string, content string")

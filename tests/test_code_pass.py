@@ -9,10 +9,11 @@ from tests.test_sizes import plan
 
 def test_nothing_is_shuffled_by_file(spark):
     from loomwright.operators.code import calls, parsed, symbols
+    from loomwright.plans.code import chunked
 
     files = spark.createDataFrame([("a.ts", "typescript", TS), ("b.py", "python", PY)], "file string, language string, content string")
     wide = parsed(files)
-    for df in (symbols(wide), calls(wide)):
+    for df in (symbols(wide), calls(wide), chunked(files)):
         text = plan(df).split("== Physical Plan ==")[1]
         assert "Exchange" not in text and "Window" not in text and "Join" not in text and text.count("Scan ExistingRDD") == 1
 
