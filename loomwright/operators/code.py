@@ -8,10 +8,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.operators.outline import LANGUAGES, outline
+from loomwright.operators.outline import LANGUAGES, base, outline
+from loomwright.operators.outline import imports as imported
 
 _FIELDS = {"file": "string", "language": "string", "m": "int", "line": "bigint", "text": "string", "kind": "string", "name": "string", "end_line": "bigint", "end_m": "int", "parent": "string", "caller": "string", "callee": "string", "first": "string"}
-_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
+_IMPORTS = {"file": "string", "spec": "string", "name": "string", "local": "string", "reexport": "boolean"}
+_MODULES = {"what": "string", "file": "string", "name": "string", "base": "string", "local": "string", "reexport": "boolean", "caller": "string", "callee": "string", "own_root": "boolean", "several": "boolean"}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 #: Rows of one Arrow batch of results, about.
 ROWS = 20_000
 
@@ -32,17 +35,21 @@ def parsed(files: DataFrame, calls: bool = True, marks: bool = True) -> DataFram
                 rows += [(file, language, s.m, s.line, x.text[s.m], s.kind, s.name, s.end_line, s.end_m, s.parent, None, None, None) for s in found]
                 rows += [(file, language, c.m, c.line, x.text[c.m], *[None] * 5, c.caller, c.callee, c.first) for c in called]
                 if len(rows) >= ROWS:
-                    yield packed(rows)
+                    yield packed(rows, _FIELDS)
                     rows = []
         if rows:
-            yield packed(rows)
+            yield packed(rows, _FIELDS)
 
     known = files.where(F.col("language").isin(LANGUAGES) & F.col("content").isNotNull()).select("file", "language", "content")
-    return known.mapInArrow(work, ", ".join(f"{n} {t}" for n, t in _FIELDS.items()))
+    return known.mapInArrow(work, _schema(_FIELDS))
 
 
-def packed(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*rows, strict=True), _FIELDS.values(), strict=True)], names=list(_FIELDS))
+def packed(rows: list[tuple], fields: dict[str, str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*rows, strict=True), fields.values(), strict=True)], names=list(fields))
+
+
+def _schema(fields: dict[str, str]) -> str:
+    return ", ".join(f"{n} {t}" for n, t in fields.items())
 
 
 def symbols(wide: DataFrame) -> DataFrame:
@@ -55,27 +62,53 @@ def calls(wide: DataFrame, declared: DataFrame | None = None) -> DataFrame:
     return wide.where("callee IS NOT NULL").select("file", "line", "caller", "callee", "first")
 
 
-_FROM = r"""(?s)\b(import|export)\s+(type\s+)?([\w$*{}\s,]+?)\s*from\s*['"]([^'"\n]+)['"]"""
-_NAMES = r"([\w$*]+)(?:\s+as\s+([\w$]+))?"
-
-
 def imports(files: DataFrame) -> DataFrame:
     """Per imported name: file, spec, name (`default`, or `*` for all), local (what it is called here), reexport. Of ES modules and Python."""
-    bare = F.regexp_replace("content", r"(?s)/\*.*?\*/|(?<![:'\x22])//[^\n]*", " ")
-    es = files.where(F.col("language").isin("typescript", "javascript")).select("file", F.explode(F.regexp_extract_all(bare, F.lit(_FROM), F.lit(0))).alias("s"))
-    es = es.select("file", F.regexp_extract("s", _FROM, 1).alias("word"), F.regexp_extract("s", _FROM, 3).alias("clause"), F.regexp_extract("s", _FROM, 4).alias("spec"))
-    braced = F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ",")
-    plain = F.split(F.regexp_replace("clause", r"\{[^}]*\}", ""), ",")
-    pair = lambda x, named: F.struct(F.when(F.lit(named) | x.startswith("*"), F.regexp_extract(x, _NAMES, 1)).otherwise("default").alias("name"), F.coalesce(F.nullif(F.regexp_extract(x, _NAMES, 2), F.lit("")), F.regexp_extract(x, _NAMES, 1)).alias("local"))
-    clean = lambda xs: F.filter(F.transform(xs, lambda x: F.regexp_replace(F.trim(F.regexp_replace(x, r"\s+", " ")), "^type ", "")), lambda x: x != "")
-    es = es.withColumn("n", F.explode(F.concat(F.transform(clean(braced), lambda x: pair(x, True)), F.transform(clean(plain), lambda x: pair(x, False)))))
-    es = es.select("file", "spec", "n.name", "n.local", (F.col("word") == "export").alias("reexport"))
-
-    py = files.where(F.col("language") == "python").select("file", F.regexp_replace("content", r"(?m)#.*$", "").alias("c"))
-    one = r"(?m)^\s*from\s+([\w.]+)\s+import\s+(\([^)]*\)|[^\n]+)"
-    froms = py.select("file", F.explode(F.regexp_extract_all("c", F.lit(one), F.lit(0))).alias("s")).select("file", F.regexp_extract("s", one, 1).alias("spec"), F.explode(F.split(F.regexp_replace(F.regexp_extract("s", one, 2), r"[()]", ""), ",")).alias("x"))
-    froms = froms.where(F.trim("x") != "").select("file", "spec", F.regexp_extract("x", _NAMES, 1).alias("name"), F.coalesce(F.nullif(F.regexp_extract("x", _NAMES, 2), F.lit("")), F.regexp_extract("x", _NAMES, 1)).alias("local"), F.lit(True).alias("reexport"))
-    whole = py.select("file", F.explode(F.regexp_extract_all("c", F.lit(r"(?m)^\s*import\s+([^\n]+)"), F.lit(1))).alias("s")).select("file", F.explode(F.split("s", ",")).alias("x"))
-    module = r"([\w.]+)(?:\s+as\s+(\w+))?"
-    whole = whole.select("file", F.regexp_extract("x", module, 1).alias("spec"), F.lit("*").alias("name"), F.coalesce(F.nullif(F.regexp_extract("x", module, 2), F.lit("")), F.regexp_extract("x", module, 1)).alias("local"), F.lit(False).alias("reexport"))
-    return es.unionByName(froms).unionByName(whole)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(file, *x) for file, language, text in zip(*(b.column(c).to_pylist() for c in ("file", "language", "content")), strict=True) for x in imported(text, language)]
+            for k in range(0, len(rows), ROWS):
+                yield packed(rows[k : k + ROWS], _IMPORTS)
+
+    return files.select("file", "language", "content").mapInArrow(work, _schema(_IMPORTS))
+
+
+def modules(files: DataFrame) -> DataFrame:
+    """What resolving the calls of ES modules takes, of one pass over their texts. `what` tells rows apart:
+
+    file: each file. own: `name` that it declares at the top. import: an imported name, with `base`, the path that its specifier names, if that is relative. call: with caller and
+    callee; own_root says whether the file itself declares the callee's root, base and name are those of the one import that has it as local name; `several` marks calls of which there are
+    more. Imports that are no re-exports have rows only for such calls' sake.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for b in batches:
+            for file, language, text in zip(*(b.column(c).to_pylist() for c in ("file", "language", "content")), strict=True):
+                found, called, _ = outline(text, language)
+                own = {s.name for s in found if s.parent is None}
+                given: dict[str, set] = {}
+                rows.append(("file", file, *[None] * 8))
+                rows += [("own", file, name, *[None] * 7) for name in own]
+                for x in imported(text, language):
+                    at = base(file, x.spec)
+                    if x.reexport:
+                        rows.append(("import", file, x.name, at, x.local, True, *[None] * 4))
+                    elif at is not None:
+                        given.setdefault(x.local, set()).add((x.name, at))
+                for local, of in given.items():
+                    if len(of) > 1:
+                        rows += [("import", file, name, at, local, False, *[None] * 4) for name, at in of]
+                for c in called:
+                    root = c.callee.split(".", 1)[0]
+                    of = given.get(root, ())
+                    name, at = next(iter(of)) if len(of) == 1 else (None, None)
+                    rows.append(("call", file, name, at, None, None, c.caller, c.callee, root in own, len(of) > 1))
+                if len(rows) >= ROWS:
+                    yield packed(rows, _MODULES)
+                    rows = []
+        if rows:
+            yield packed(rows, _MODULES)
+
+    return files.select("file", "language", "content").mapInArrow(work, _schema(_MODULES))

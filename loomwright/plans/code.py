@@ -55,15 +55,27 @@ def resolve_imports(t: Tables) -> DataFrame:
 @query(f"WITH {_LINKS} SELECT concat('m', from_id, '.ts') AS module, 'run' AS caller, concat('g', to_id) AS callee, 'import' AS found, concat('m', to_id, '.ts') AS target_module, concat('f', to_id) AS target FROM links")
 def resolve_edges(t: Tables) -> DataFrame:
     """Calls with the symbols that they call: names are followed through imports and re-exports."""
-    files = sources(t)
-    wide, imported = _cut(code.parsed(files, marks=False)), code.imports(files)
-    declared = code.symbols(wide)
-    where = resolve_specifiers(imported.select("file", "spec").distinct(), files.select(F.col("file").alias("path")), {})
-    linked = imported.join(where.where("target IS NOT NULL"), ["file", "spec"]).withColumnRenamed("file", "module")
-    own = declared.where("parent IS NULL").select(F.col("file").alias("module"), "name")
+    return edges(sources(t)).select("module", "caller", "callee", "found", "target_module", "target")
+
+
+def edges(files: DataFrame) -> DataFrame:
+    """files: file, language, content. Each text is read once; what one file decides, its own names and its imports by name, is decided there, and specifiers are looked up once for each path that they name."""
+    of = _cut(code.modules(files))
+    rows = lambda what: of.where(F.col("what") == what).drop("what").withColumnRenamed("file", "module")
+    asked = of.where("base IS NOT NULL").select(F.lit("").alias("file"), F.concat(F.lit("./"), "base").alias("spec"), "base").distinct()
+    paths = of.where("what = 'file'").select(F.col("file").alias("path"))
+    target = resolve_specifiers(asked.select("file", "spec"), paths, {}).where("target IS NOT NULL").select(F.expr("substring(spec, 3)").alias("base"), "target")
+    target = _cut(target)
+    linked = rows("import").join(target.hint("merge"), "base")
+    own = rows("own").select("module", "name")
     exported = resolve.exports(own, linked.where("reexport"))
-    calls = code.calls(wide).select(F.col("file").alias("module"), "caller", "callee")
-    return resolve.targets(calls, own, linked.where("NOT reexport"), exported).select("module", "caller", "callee", "found", "target_module", "target")
+    calls = rows("call").withColumnRenamed("own_root", "_own")
+    root = F.split("callee", r"\.")[0]
+    given = linked.where("NOT reexport").groupBy("module", F.col("local").alias("root")).agg(F.min(F.struct("target", "name")).alias("i"))
+    several = calls.where("several").withColumn("root", root).join(given, ["module", "root"], "left").select("module", "caller", "callee", "_own", F.col("i.name").alias("_name"), F.col("i.target").alias("_from"))
+    single = calls.where("base IS NOT NULL").join(target.hint("merge"), "base", "left").select("module", "caller", "callee", "_own", F.when(F.col("target").isNotNull(), F.col("name")).alias("_name"), F.col("target").alias("_from"))
+    none = calls.where("base IS NULL AND NOT several").select("module", "caller", "callee", "_own", F.lit(None).cast("string").alias("_name"), F.lit(None).cast("string").alias("_from"))
+    return resolve.settled(single.unionByName(several).unionByName(none), ["module", "caller", "callee"], own, exported)
 
 
 @query(r"""WITH s AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) AS body FROM pages)
